@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, simhash
+from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_warc": warc.op4_warc,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_quality": quality.op7_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_mixing": mixing.op10_mixing,
     }
