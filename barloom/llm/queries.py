@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, warc
+from . import decontaminate, exact_dedup, langid, mixing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality": quality.op7_quality,
+        "op8_langid": langid.op8_langid,
         "op9_simhash": simhash.op9_simhash,
         "op10_mixing": mixing.op10_mixing,
     }
