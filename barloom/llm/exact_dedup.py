@@ -17,6 +17,8 @@ from ._common import SPACES, durable, fresh_dir, table
 CAPACITY = 200_000
 #: Bits of the key by which the directory may grow. The histogram behind it has at most 2**MOST_DEPTH cells.
 MOST_DEPTH = 16
+#: Keys of 8 bytes that may be broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -88,11 +90,14 @@ def verify_bytes(docs: DataFrame, entries: DataFrame, text: str = "text") -> Non
     """Compares the bytes of all texts of each chain entry that has copies; raises if an entry holds different texts.
 
     A group's smallest and largest text are equal if all are. Both are found with map-side combining, so only texts that
-    have copies move, once for each task.
+    have copies move, once for each task. Keys of such texts are broadcast if they number BROADCAST_KEYS or fewer; else
+    texts are shuffled by key, and it is Spark's to split a key that very many have.
     """
-    copies = entries.filter("group_size > 1").select("key", "n_bytes", "text_sha256")
+    copies = durable(entries.filter("group_size > 1").select("key").distinct())
+    if copies.count() <= BROADCAST_KEYS:
+        copies = F.broadcast(copies)
     bare = docs.select(normalised(F.col(text)).alias("bare"))
-    rows = bare.select(F.xxhash64("bare").alias("key"), "bare").join(copies.select("key").distinct(), "key", "left_semi")
+    rows = bare.select(F.xxhash64("bare").alias("key"), "bare").join(copies, "key", "left_semi")
     rows = rows.select("key", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"), "bare")
     spread = rows.groupBy("key", "text_sha256").agg(F.min("bare").alias("a"), F.max("bare").alias("b"))
     if not spread.filter("a != b").isEmpty():

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, licenses, mixing, quality, simhash, toxicity, warc
+from . import decontaminate, exact_dedup, langid, licenses, mixing, quality, simhash, suffixes, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_warc": warc.op4_warc,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,

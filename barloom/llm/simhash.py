@@ -136,6 +136,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def drop_near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any others) that stay, in all columns: of each component the smallest doc_id.
+
+    Rows are named by doc_id: those that share one go if one of them does, and rows without one stay.
+    """
+    gone = near_duplicates(docs, bucket=bucket).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(durable(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     from ._common import table
 
