@@ -72,7 +72,7 @@ def gaussian_projection(v: Column, width: int, dims: int = 256, seed: int = 0) -
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
+    def project(x):
         matrix = np.random.default_rng(seed).standard_normal((width, dims)) / np.sqrt(dims)
         return pd.Series(list(np.stack(x.to_list()) @ matrix)) if len(x) else pd.Series([], dtype=object)
 

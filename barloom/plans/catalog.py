@@ -11,11 +11,19 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-FILES = StructType.fromDDL("file_id string, market string, symbol string, dataset_type string, interval string, year int, month int, path string, start_ts bigint, end_ts bigint, row_count bigint, size_bytes bigint, sha256 string, status string, version string, created_at timestamp")
-ASSETS = StructType.fromDDL("symbol string, market_type string, base_asset string, quote_asset string, tick_size double, step_size double, min_qty double, is_active boolean, valid_from timestamp, valid_to timestamp")
-EXPERIMENTS = StructType.fromDDL("experiment_id string, name string, model string, dataset_fingerprint string, config string, seed int, status string, metrics string, checkpoint string, git_commit string, notes string, started_at timestamp, finished_at timestamp, created_at timestamp")
+_TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def _schema(columns: str) -> StructType:
+    """A schema of "name type, ..."; unlike a DDL string it needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+FILES = _schema("file_id string, market string, symbol string, dataset_type string, interval string, year int, month int, path string, start_ts bigint, end_ts bigint, row_count bigint, size_bytes bigint, sha256 string, status string, version string, created_at timestamp")
+ASSETS = _schema("symbol string, market_type string, base_asset string, quote_asset string, tick_size double, step_size double, min_qty double, is_active boolean, valid_from timestamp, valid_to timestamp")
+EXPERIMENTS = _schema("experiment_id string, name string, model string, dataset_fingerprint string, config string, seed int, status string, metrics string, checkpoint string, git_commit string, notes string, started_at timestamp, finished_at timestamp, created_at timestamp")
 
 
 class Table:
