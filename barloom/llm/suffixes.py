@@ -264,7 +264,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     _anchors(named).write.parquet(where)
     anchors = spark.read.parquet(where)
     # Counting is combined on the map side. The join's skew, a gram of very many documents, is Spark's to split.
-    common = anchors.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
+    # For that its other side must be a table, not an aggregation dealt out by the same key.
+    common = durable(anchors.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
     shared = durable(anchors.join(common, "gram"))
     classes = durable(
         shared.groupBy("gram", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("first"))
@@ -272,7 +273,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     whole = classes.filter("lo < hi").select("gram", "context", "lo", "hi")
     equal = shared.filter(F.col("before") + F.col("after") >= SHORTEST).join(whole, ["gram", "context"])
     spans = equal.select("doc_id", (F.col("place") - F.col("before")).cast("long").alias("begin"), (F.col("place") + F.col("after")).cast("long").alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    mixed = durable(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     # Of a context that several documents have, one suffix stands for all; one document's own are all compared.
     alone = shared.join(classes.filter("lo = hi").select("gram", "context"), ["gram", "context"]).select("gram", "doc_id", "place")
     wanted = classes.filter("lo < hi").select("gram", "first.doc_id", "first.place").unionByName(alone).join(mixed, "gram")
