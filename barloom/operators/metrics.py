@@ -202,7 +202,7 @@ def standardised(fit: DataFrame, frame: DataFrame, vector: str = "embedding") ->
     return frame.join(F.broadcast(stats)).withColumn(vector, scaled).drop("_stats")
 
 
-def logistic(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "embedding", c: float = 1.0, scale: bool = True, rounds: int = 1000) -> DataFrame:
+def logistic(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "embedding", c: float = 1.0, scale: bool = True, rounds: int = 100) -> DataFrame:
     """`frame` with pred and p1 of a ridge logistic regression of inverse strength `c` on `fit`. One class: its prediction."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
@@ -212,8 +212,9 @@ def logistic(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "
         return frame.withColumn("pred", F.lit(only)).withColumn("p1", F.lit(None if only is None else float(only)))
     if scale:
         fit, frame = standardised(fit, fit, vector), standardised(fit, frame, vector)
-    rows = _vectors(fit, vector).select("_x", F.col(label).cast("double").alias("_y"))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=rounds, predictionCol="_pred", probabilityCol="_p", rawPredictionCol="_r").fit(rows)
+    # Every step of the fit is a job: as few partitions as the rows need.
+    rows = _vectors(fit, vector).select("_x", F.col(label).cast("double").alias("_y")).coalesce(max(1, n // 20_000))
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-5, predictionCol="_pred", probabilityCol="_p", rawPredictionCol="_r").fit(rows)
     found = model.transform(_vectors(frame, vector))
     return found.withColumn("pred", F.col("_pred").cast("int")).withColumn("p1", vector_to_array("_p")[1]).drop("_x", "_pred", "_p", "_r")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import WindowSpec
 from ..operators import align, features, metrics, stats, windows
+from ..storage import durable
 
 TASKS = ("future_return", "volatility", "range_expansion", "liquidity")
 #: The statistic behind each threshold task.
@@ -35,13 +36,17 @@ def task_labels(fit: DataFrame, frame: DataFrame, task: str) -> DataFrame:
 
 
 def evaluate(fit: DataFrame, frame: DataFrame) -> DataFrame:
-    """(task, baseline, balanced_accuracy, auc) of majority, persistence, handcrafted and projected linear baselines."""
+    """(task, baseline, balanced_accuracy, auc) of majority, persistence, handcrafted and projected linear baselines.
+
+    Every task and model reads the same windows, so they are written once: a row for each window.
+    """
+    fit, frame = (durable(x.withColumn("projected", _projected())) for x in (fit, frame))
     out = None
     for task in TASKS:
         a, b = task_labels(fit, fit, task), task_labels(fit, frame, task)
         top = stats.majority(a).first()["majority"]
         rows = metrics.evaluate_task(b, "y", top, task == "future_return").withColumn("auc", F.lit(None).cast("double"))
-        for name, vector in (("handcrafted_linear", F.col("handcrafted")), ("random_proj", _projected())):
+        for name, vector in (("handcrafted_linear", F.col("handcrafted")), ("random_proj", F.col("projected"))):
             pred = metrics.logistic(a.withColumn("embedding", vector), b.withColumn("embedding", vector))
             both = metrics.balanced_accuracy(pred, "y", "pred").join(metrics.roc_auc(pred, "y", "p1"))
             rows = rows.unionByName(both.select(F.lit(name).alias("baseline"), "balanced_accuracy", "auc"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import fresh_dir
+
 
 def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """The result of `plan` on a stream of the table's files, as a batch frame.
@@ -15,8 +15,7 @@ def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[D
     Result and checkpoint lie in the shared folder that spark.checkpoint.dir names. In complete mode the last batch is whole; in
     append mode batches are added, each under its own number, so a batch that runs again replaces itself.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = fresh_dir(spark, "stream")
     static = spark.read.parquet(f"{folder}/{name}.parquet")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
     result = plan(source)

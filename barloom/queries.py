@@ -419,7 +419,7 @@ def orphan_antijoin(spark, sf_dir):
     return catalog.orphans(files, files.filter("o_orderkey % 7 <> 0").select("path")).select("o_orderkey")
 
 
-KNN = "q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 9) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
+KNN = "q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
 
 
 def _near(spark, sf_dir) -> DataFrame:
