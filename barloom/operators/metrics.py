@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -194,29 +195,38 @@ def pca(frame: DataFrame, dims: int = 2, vector: str = "embedding") -> DataFrame
     return PCA(k=dims, inputCol="_x", outputCol="_p").fit(rows).transform(rows).withColumn("pca", vector_to_array("_p")).drop("_x", "_p")
 
 
-def standardised(fit: DataFrame, frame: DataFrame, vector: str = "embedding") -> DataFrame:
-    """`frame` with the vector less the fit rows' mean, over their population deviation (1 where that is 0)."""
-    places = fit.select(F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    stats = places.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_stats"))  # one row as long as a vector
-    scaled = F.zip_with(doubles(F.col(vector)), F.col("_stats"), lambda x, s: (x - s["m"]) / F.when(s["s"] == 0, 1.0).otherwise(s["s"]))
-    return frame.join(F.broadcast(stats)).withColumn(vector, scaled).drop("_stats")
+def _constant(values: list[float]) -> Column:
+    """A constant array; as JSON it is one literal in the plan, however long."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def scaling(fit: DataFrame, vector: str = "embedding") -> tuple[list[float], list[float]]:
+    """Means and population deviations (1 where 0) of each place of the vectors: as many numbers as a vector has."""
+    places = fit.select(F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
+    return [r.m for r in places], [r.s or 1.0 for r in places]
 
 
 def logistic(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "embedding", c: float = 1.0, scale: bool = True, rounds: int = 100) -> DataFrame:
-    """`frame` with pred and p1 of a ridge logistic regression of inverse strength `c` on `fit`. One class: its prediction."""
+    """`frame` with pred and p1 of a ridge logistic regression of inverse strength `c` on `fit`, standardised if asked. One class
+    in `fit` gives that class. The fitted weights become an expression: scoring needs no join and no model."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
 
     n, classes, only = fit.agg(F.count("*"), F.countDistinct(label), F.min(label)).first()
     if classes < 2:
         return frame.withColumn("pred", F.lit(only)).withColumn("p1", F.lit(None if only is None else float(only)))
+    mean, deviation = scaling(fit, vector) if scale else ([], [])
+    x = doubles(F.col(vector))
     if scale:
-        fit, frame = standardised(fit, fit, vector), standardised(fit, frame, vector)
+        x = F.zip_with(F.zip_with(x, _constant(mean), lambda v, m: v - m), _constant(deviation), lambda v, s: v / s)
     # Every step of the fit is a job: as few partitions as the rows need.
-    rows = _vectors(fit, vector).select("_x", F.col(label).cast("double").alias("_y")).coalesce(max(1, n // 20_000))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-5, predictionCol="_pred", probabilityCol="_p", rawPredictionCol="_r").fit(rows)
-    found = model.transform(_vectors(frame, vector))
-    return found.withColumn("pred", F.col("_pred").cast("int")).withColumn("p1", vector_to_array("_p")[1]).drop("_x", "_pred", "_p", "_r")
+    rows = _vectors(fit.select(x.alias(vector), F.col(label).cast("double").alias("_y")), vector).select("_x", "_y").coalesce(max(1, n // 20_000))
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-5).fit(rows)
+    weights, bias = model.coefficients.toArray().tolist(), float(model.intercept)
+    if scale:
+        bias -= sum(w * m / s for w, m, s in zip(weights, mean, deviation, strict=True))
+        weights = [w / s for w, s in zip(weights, deviation, strict=True)]
+    p1 = 1 / (1 + F.exp(-(F.lit(bias) + dot(F.col(vector), _constant(weights)))))
+    return frame.withColumn("p1", p1).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
 
 
 def probe(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "embedding") -> DataFrame:

@@ -531,8 +531,9 @@ def temporal_consistency(spark, sf_dir):
 @register()
 def baseline_evaluation(spark, sf_dir):
     from .plans.pipeline import evaluate, labelled_windows
+    from .storage import durable
 
-    rows = labelled_windows(hourly(spark, sf_dir), SPEC, 3 * HOUR)
+    rows = durable(labelled_windows(hourly(spark, sf_dir), SPEC, 3 * HOUR))
     return evaluate(windows.split(rows, "train", BUDGET), windows.split(rows, "test", BUDGET))
 
 
