@@ -294,3 +294,15 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     archives = manifest.repartition(max(1, manifest.count()))
     found = read_archives(spark, archives, with_data=False).filter("last")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a digest is read off its bits, five at a time.
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, list_aggregate(list_transform(generate_series(1, 40), lambda i: lpad(bin(strpos('0123456789abcdef', substr(digest, i, 1)) - 1), 4, '0')), 'string_agg', '') AS bits FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM b
+"""
