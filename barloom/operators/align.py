@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FUNDING, OPEN_INTEREST, AlignmentPolicy, frequency_ms
 from ..functions.time import bucket, calendar_fields
-from .asof import DAY_MS, asof, forward_fill, running_last
+from .asof import DAY_MS, asof, asof_filled, forward_fill, running_last
 
 MINUTE_MS = 60_000
 #: Modalities that a contract may name but that this alignment does not take.
@@ -41,20 +41,25 @@ def sparse(frame: DataFrame, policy: AlignmentPolicy, keys: tuple[str, ...] = ("
     return rows.filter("timestamp IS NOT NULL")
 
 
-def join_sparse(state: DataFrame, frame: DataFrame | None, policy: AlignmentPolicy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """`state` with the policy's value and `<name>_stale`.
+def join_sparse(state: DataFrame, frames: dict[AlignmentPolicy, DataFrame | None], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """`state` with each policy's value and `<name>_stale`.
 
     The value is that of the last row at or before the bar's time, filled forward over bars where that row has none. It is
     stale if that row is farther back than the frequency, or if there is none. An absent frame gives nulls that are not
-    stale, as does any policy but forward_fill.
+    stale, as does any policy but forward_fill. Columns of `state` with these names are replaced.
     """
-    name, stale = policy.name, f"{policy.name}_stale"
-    if frame is None or policy.policy != "forward_fill":
-        return state.withColumn(name, F.lit(None).cast("double")).withColumn(stale, F.lit(False))
-    found = asof(state, sparse(frame, policy, keys), list(keys), [name])
-    age = F.col("timestamp") - F.col("match_timestamp")
-    found = found.withColumn(stale, age.isNull() | (age > frequency_ms(policy.frequency))).drop("match_timestamp")
-    return forward_fill(found, list(keys), [name])
+    state = state.drop(*[c for p in frames for c in (p.name, f"{p.name}_stale") if c in state.columns])
+    joined = {p.name: sparse(f, p, keys) for p, f in frames.items() if f is not None and p.policy == "forward_fill"}
+    if joined:
+        state = asof_filled(state, joined, list(keys))
+    for policy in frames:
+        name, stale = policy.name, f"{policy.name}_stale"
+        if name in joined:
+            age = F.col(f"{name}_age")
+            state = state.withColumn(stale, age.isNull() | (age > frequency_ms(policy.frequency))).drop(f"{name}_age")
+        else:
+            state = state.withColumn(name, F.lit(None).cast("double")).withColumn(stale, F.lit(False))
+    return state
 
 
 def join_calendar(state: DataFrame, calendar: DataFrame | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -73,8 +78,7 @@ def market_state(bars: DataFrame, funding: DataFrame | None = None, open_interes
         if name not in INACTIVE or frame is not None:
             raise ValueError(f"modality {name} is not active")
     state = known_at(bars, keys)
-    state = join_sparse(state, funding, policies[0], keys)
-    state = join_sparse(state, open_interest, policies[1], keys)
+    state = join_sparse(state, {policies[0]: funding, policies[1]: open_interest}, keys)
     return join_calendar(state, calendar, keys)
 
 

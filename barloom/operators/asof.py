@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
-def running_last(frame: DataFrame, keys: list[str], slot: str, order: list[Column], value: Column, out: str) -> DataFrame:
-    """`frame` and `out`: the last value that is not null so far, by `order`, in rows of equal `keys`.
+def running_last(frame: DataFrame, keys: list[str], slot: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """`frame` with, for each of `values`, its last value that is not null so far, by `order`, in rows of equal `keys`.
 
-    `slot` is a column that never falls along the order; rows of one slot should fit a task. Keys must not be null.
+    `slot` is a column that never falls along the order; rows of one slot should fit a task. Keys must not be null. The result is
+    dealt by keys and slot, so another pass over the same slots shuffles none of its rows.
     """
     seen = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    frame = frame.withColumn("_value", value)
-    ends = frame.groupBy(*keys, slot).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))).alias("_end"))
     ahead = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*keys, slot, F.last("_end", ignorenulls=True).over(ahead).alias("_start"))
-    inside = frame.withColumn("_seen", F.last("_value", ignorenulls=True).over(seen)).drop("_value")
-    return inside.join(starts, [*keys, slot]).withColumn(out, F.coalesce("_seen", "_start")).drop("_seen", "_start", slot)
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    ends = frame.groupBy(*keys, slot).agg(*[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_start_{name}") for name, v in values.items()])
+    starts = ends.select(*keys, slot, *[F.last(f"_start_{name}", ignorenulls=True).over(ahead).alias(f"_start_{name}") for name in values])
+    inside = frame.withColumns({f"_seen_{name}": F.last(v, ignorenulls=True).over(seen) for name, v in values.items()})
+    found = inside.join(starts, [*keys, slot])
+    found = found.withColumns({name: F.coalesce(f"_seen_{name}", f"_start_{name}") for name in values})
+    return found.drop(*[f"_{kind}_{name}" for name in values for kind in ("seen", "start")])
+
+
+def time_slot(at: Column, slot_ms: int = DAY_MS) -> Column:
+    """The slot of a time; rows without time have one before all others."""
+    return F.coalesce(F.floor(at / slot_ms), F.lit(-(1 << 62))).cast("long")
+
+
+def first_if_null(at: Column) -> Column:
+    return F.coalesce(at, F.lit(-(1 << 62)))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], time: str = "timestamp", tie: str | None = None, direction: str = "backward", strict: bool = False, tolerance_ms: int | None = None, slot_ms: int = DAY_MS) -> DataFrame:
@@ -43,10 +55,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
     right = right.filter(F.col(time).isNotNull()).select(*keys, F.col(time).cast("long").alias("_at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), match.alias("_match"), F.lit(None).cast(left.select(F.struct(*kept)).schema[0].dataType).alias("_left"))
     rows = left.select(*keys, F.col(time).cast("long").alias("_at"), F.lit(None).cast("long").alias("_tie"), F.lit(None).cast(right.schema["_match"].dataType).alias("_match"), F.struct(*kept).alias("_left"))
     both = rows.withColumn("_side", F.lit(0 if strict else 1)).unionByName(right.withColumn("_side", F.lit(1 if strict else 0)))
-    both = both.withColumn("_slot", F.coalesce(F.floor(F.col("_at") * sign / slot_ms), F.lit(-(1 << 62))).cast("long"))
+    both = both.withColumn("_slot", time_slot(F.col("_at") * sign, slot_ms))
     # Left rows without time come first, so they see nothing.
-    order = [F.coalesce(F.col("_at") * sign, F.lit(-(1 << 62))), F.col("_side"), F.coalesce("_tie", F.lit(0))]
-    found = running_last(both, keys, "_slot", order, F.col("_match"), "_found").filter("_left IS NOT NULL")
+    order = [first_if_null(F.col("_at") * sign), F.col("_side"), F.coalesce("_tie", F.lit(0))]
+    found = running_last(both, keys, "_slot", order, {"_found": F.col("_match")}).filter("_left IS NOT NULL")
     if tolerance_ms is not None:
         found = found.withColumn("_found", F.when(F.abs(F.col("_at") - F.col("_found.at")) <= tolerance_ms, F.col("_found")))
     return found.select(*keys, "_left.*", F.col("_found.at").alias(out[0]), *[F.col(f"_found.{v}").alias(v) for v in values])
@@ -54,8 +66,28 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
 
 def forward_fill(frame: DataFrame, keys: list[str], columns: list[str], time: str = "timestamp", tie: list[str] | None = None, slot_ms: int = DAY_MS) -> DataFrame:
     """Nulls of `columns` take the last value before them in the same keys. Rows without time are not filled from others."""
-    for name in columns:
-        frame = frame.withColumn("_slot", F.coalesce(F.floor(F.col(time) / slot_ms), F.lit(-(1 << 62))).cast("long"))
-        order = [F.coalesce(F.col(time), F.lit(-(1 << 62))), *[F.col(t) for t in tie or []]]
-        frame = running_last(frame, keys, "_slot", order, F.col(name), "_filled").withColumn(name, F.coalesce(F.col(name), "_filled")).drop("_filled")
-    return frame
+    order = [first_if_null(F.col(time)), *[F.col(t) for t in tie or []]]
+    rows = frame.withColumn("_slot", time_slot(F.col(time), slot_ms))
+    filled = running_last(rows, keys, "_slot", order, {f"_filled_{c}": F.col(c) for c in columns})
+    return filled.withColumns({c: F.coalesce(F.col(c), f"_filled_{c}") for c in columns}).drop("_slot", *[f"_filled_{c}" for c in columns])
+
+
+def asof_filled(left: DataFrame, rights: dict[str, DataFrame], keys: list[str], time: str = "timestamp", slot_ms: int = DAY_MS) -> DataFrame:
+    """`left` and, for each name of `rights` (keys, time, a column of that name), `<name>`: the value of the last row at or before
+    the left time, filled forward over left rows where that value is null; and `<name>_age`: the time since that row.
+
+    All sides are joined in one pass, and filled in a second one over the same partitions: each side is shuffled once.
+    """
+    kept = [c for c in left.columns if c not in keys]
+    none = {name: F.lit(None).cast(f"struct<at:bigint,val:{r.schema[name].dataType.simpleString()}>") for name, r in rights.items()}
+    rows = left.select(*keys, F.col(time).cast("long").alias("_at"), F.lit(1).alias("_side"), F.struct(*kept).alias("_left"), *[v.alias(f"_m_{n}") for n, v in none.items()])
+    blank = F.lit(None).cast(rows.schema["_left"].dataType)
+    for name, right in rights.items():
+        match = F.struct(F.col(time).cast("long").alias("at"), F.col(name).alias("val"))
+        side = right.filter(F.col(time).isNotNull()).select(*keys, F.col(time).cast("long").alias("_at"), F.lit(0).alias("_side"), blank.alias("_left"), *[(match if n == name else v).alias(f"_m_{n}") for n, v in none.items()])
+        rows = rows.unionByName(side)
+    order = [first_if_null(F.col("_at")), F.col("_side")]
+    rows = rows.withColumn("_slot", time_slot(F.col("_at"), slot_ms))
+    matched = running_last(rows, keys, "_slot", order, {f"_f_{n}": F.col(f"_m_{n}") for n in rights}).filter("_left IS NOT NULL")
+    filled = running_last(matched, keys, "_slot", order, {f"_v_{n}": F.col(f"_f_{n}.val") for n in rights})
+    return filled.select(*keys, "_left.*", *[x for n in rights for x in (F.col(f"_v_{n}").alias(n), (F.col("_at") - F.col(f"_f_{n}.at")).alias(f"{n}_age"))])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, distance, dot, doubles, norm
+from .windows import with_next
 
 
 def accuracy(frame: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -76,17 +77,22 @@ def retrieval_rates(near: DataFrame, labels: DataFrame, vec_id: str = "vec_id",
     return near.join(a, "query").join(b, "neighbour").agg(F.bround(same, 4).alias("same_rate"), F.bround(1 - same, 4).alias("cross_rate"))
 
 
-def adjacent_cosines(frame: DataFrame, order: list[str], key: str = "symbol", vector: str = "embedding") -> DataFrame:
-    """(key, order columns, cosine) of each row and its next one in the order of all rows, where both have one key."""
-    w = Window.orderBy(*order)
-    rows = frame.select(key, *[c for c in order if c != key], F.col(vector), F.lead(vector).over(w).alias("_next"), F.lead(key).over(w).alias("_key"))
-    return rows.filter(F.col("_key") == F.col(key)).select(key, *[c for c in order if c != key], cosine(F.col(vector), F.col("_next")).alias("cosine"))
+def adjacent_cosines(frame: DataFrame, order: list[str], key: str = "symbol", vector: str = "embedding", mode: str = "global") -> DataFrame:
+    """(key, order columns, cosine) of each row and its next one, where both have one key: next in the order of all rows, or
+    (per_symbol) in the order of the key's own."""
+    if mode == "per_symbol":
+        w = Window.partitionBy(key).orderBy(*order)
+        rows = frame.withColumn(f"next_{vector}", F.lead(vector).over(w)).withColumn(f"next_{key}", F.lead(key).over(w))
+    else:
+        rows = with_next(frame, order, [vector, key])
+    return rows.filter(F.col(f"next_{key}") == F.col(key)).select(key, *[c for c in order if c != key], cosine(F.col(vector), F.col(f"next_{vector}")).alias("cosine"))
 
 
 def random_pairs(frame: DataFrame, limit: int, key: str = "symbol", vec_id: str = "vec_id", seed: int = 0) -> DataFrame:
-    """(a, b): up to `limit` pairs of different rows of one key: neighbours in a seeded hash order of each key."""
+    """(a, b): up to `limit` pairs of different rows of one key: neighbours, within each key, of a seeded sample of 2 * limit rows."""
+    sample = frame.select(key, vec_id).orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id).limit(2 * limit)
     w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id)
-    rows = frame.select(key, F.col(vec_id).alias("a"), F.lead(vec_id).over(w).alias("b")).filter("b IS NOT NULL")
+    rows = sample.select(key, F.col(vec_id).alias("a"), F.lead(vec_id).over(w).alias("b")).filter("b IS NOT NULL")
     return rows.orderBy(F.xxhash64(F.lit(seed + 1), "a", "b"), "a", "b").limit(limit).select("a", "b")
 
 

@@ -93,10 +93,8 @@ def quality_report(state: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Dat
     rows = state.withColumn("_delta", F.col("timestamp") - F.lag("timestamp").over(order))
     report = rows.groupBy(*keys).agg(
         F.count("*").alias("total_records"), _bad(F.col("_delta") > MINUTE_MS).alias("gap_count"), F.coalesce(F.max("_delta"), F.lit(0)).alias("largest_gap_ms"),
-        *[(F.count("*") - F.count(c)).alias(f"missing_{c}") for c in columns],
+        (F.count("*") - F.countDistinct(F.struct(*state.columns))).alias("duplicate_rows"), *[(F.count("*") - F.count(c)).alias(f"missing_{c}") for c in columns],
     )
-    whole = state.groupBy(*keys, F.xxhash64(*[c for c in state.columns if c not in keys]).alias("_h"), F.md5(F.to_json(F.struct(*state.columns)).cast("binary")).alias("_m")).agg((F.count("*") - 1).alias("_more"))
-    report = report.join(whole.groupBy(*keys).agg(F.sum("_more").alias("duplicate_rows")), list(keys))
     total = F.col("total_records")
     report = report.withColumns({f"{c}_observed_pct": F.bround((1 - F.col(f"missing_{c}") / total) * 100, 2) for c in columns})
     report = report.withColumns({f"{c}_coverage": F.bround((total - F.col(f"missing_{c}")) / total, 4) for c in columns if c in ("funding_rate", "open_interest")})

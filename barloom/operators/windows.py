@@ -80,6 +80,12 @@ def create_windows(features: DataFrame, spec: WindowSpec = WindowSpec(), keys: t
     )
 
 
+def items(windows: DataFrame, partitions: bool = True):
+    """Windows one by one as dicts, for a loader: a partition at a time comes to the driver."""
+    for row in windows.toLocalIterator(prefetchPartitions=partitions):
+        yield row.asDict(recursive=True)
+
+
 def window_stats(bars: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",), floor: float = 1e-12) -> DataFrame:
     """keys, start_ts, end_ts and statistics of each accepted window of bars (timestamp, high, low, close, volume): volatility
     (population), range, volume, last_return, abs_return_mean, up_ratio, max_abs_return, return_skew (population; the cubed
@@ -133,11 +139,21 @@ def shared_symbols(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("symbol").intersect(b.select("symbol"))
 
 
-def adjacent(frame: DataFrame, order: list[str], keys: tuple[str, ...] = ("symbol",), mode: str = "global") -> Column:
-    """Whether a row's next row has the same keys: in the order of all rows, or (per_symbol) of the key's own, always."""
-    if mode == "per_symbol":
-        return F.lead(F.lit(True)).over(Window.partitionBy(*keys).orderBy(*order))
-    return F.lead(F.struct(*keys)).over(Window.orderBy(*order)) == F.struct(*keys)
+def with_next(frame: DataFrame, order: list[str], columns: list[str], slots: int = 1024) -> DataFrame:
+    """`frame` and next_<column>: those of the following row in the order of all rows, null for the last.
+
+    `order` begins with a number that is not null. Its range is cut into slots; the last row of a slot takes the first row of
+    the next slot that has any, found on one row for each slot, so no task sorts all rows.
+    """
+    low, high = frame.agg(F.min(order[0]), F.max(order[0])).first()
+    width = max(1.0, (float(high) - float(low) + 1) / slots) if low is not None else 1.0
+    rows = frame.withColumn("_slot", F.floor((F.col(order[0]) - F.lit(low)) / F.lit(width)).cast("long"))
+    following = F.struct(*columns)
+    heads = rows.groupBy("_slot").agg(F.min_by(following, F.struct(*order)).alias("_head"))
+    heads = heads.select("_slot", F.lead("_head").over(Window.orderBy("_slot")).alias("_head"))  # `slots` rows
+    inside = rows.withColumn("_next", F.lead(following).over(Window.partitionBy("_slot").orderBy(*order)))
+    found = inside.join(heads, "_slot").withColumn("_next", F.coalesce("_next", "_head"))
+    return found.select(*frame.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def gap_segments(frame: DataFrame, max_gap_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

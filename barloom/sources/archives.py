@@ -159,6 +159,13 @@ def asset_rows(payload: DataFrame, column: str = "json") -> DataFrame:
     return held.select("symbol", F.col("baseAsset").alias("base_asset"), F.col("quoteAsset").alias("quote_asset"), pick("PRICE_FILTER", "tickSize").alias("tick_size"), pick("LOT_SIZE", "stepSize").alias("step_size"), pick("LOT_SIZE", "minQty").alias("min_qty"), (F.col("status") == "TRADING").alias("is_active"))
 
 
+def history_rows(payload: DataFrame, kind: str, column: str = "json") -> DataFrame:
+    """symbol, timestamp and the value of a document of past funding rates (kind funding) or open interest (open_interest)."""
+    at, value, name = {"funding": ("fundingTime", "fundingRate", "funding_rate"), "open_interest": ("timestamp", "sumOpenInterest", "open_interest")}[kind]
+    rows = payload.select(F.explode(F.from_json(column, "array<map<string,string>>")).alias("r"))
+    return rows.select(F.col("r")["symbol"].alias("symbol"), F.expr(f"try_cast(r['{at}'] AS BIGINT)").alias("timestamp"), F.expr(f"try_cast(r['{value}'] AS DOUBLE)").alias(name))
+
+
 def fetch(urls: DataFrame, folder: str, get, retries: int = 3, wait_s: float = 1.0) -> DataFrame:
     """(url, path, status) of downloads by `get(url) -> bytes | None` on the executors, into a shared folder.
 
@@ -199,4 +206,4 @@ def fetch(urls: DataFrame, folder: str, get, retries: int = 3, wait_s: float = 1
     return urls.select("url").mapInPandas(run, "url string, path string, status string")
 
 
-__all__ = ["SCHEMAS", "RENAMES", "has_header", "read_zipped_csv", "canonical_names", "normalise_times", "convert", "summary", "consolidate_daily", "archive_url", "asset_rows", "fetch"]
+__all__ = ["SCHEMAS", "RENAMES", "has_header", "read_zipped_csv", "canonical_names", "normalise_times", "convert", "summary", "consolidate_daily", "archive_url", "asset_rows", "history_rows", "fetch"]

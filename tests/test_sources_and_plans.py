@@ -129,3 +129,24 @@ def test_manifests(spark, tmp_path):
     assert len(manifests.record_stage(tmp_path / "l.json", "a", {"n": 2})["a"]) == 2
     assert "| f1 |" in manifests.markdown(files, "t") and len(manifests.cache_key({"a": 1})) == 20
     assert io.StringIO(manifests.data_card("c", manifest, files)).readline() == "# c\n"
+
+
+def test_histories(spark):
+    doc = json.dumps([{"symbol": "AB", "fundingTime": 5, "fundingRate": "0.1"}, {"symbol": "AB", "fundingTime": 6}])
+    got = archives.history_rows(spark.createDataFrame([(doc,)], "json string"), "funding").collect()
+    assert [(r.timestamp, r.funding_rate) for r in got] == [(5, 0.1), (6, None)]
+
+
+def test_commands(spark, tmp_path):
+    from barloom.__main__ import main
+
+    bars = spark.range(600).select(F.lit("A").alias("symbol"), (F.col("id") * 60_000).alias("timestamp"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    bars.write.parquet(str(tmp_path / "bars"))
+    assert main(["resample", str(tmp_path / "bars"), str(tmp_path / "hours")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "hours")).count() == 10
+    assert main(["align", str(tmp_path / "bars"), str(tmp_path / "state"), "--end-ms", "5999999"], spark) == 0
+    assert main(["windows", str(tmp_path / "state"), str(tmp_path / "w"), "--length", "50", "--stride", "25"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 3
+    assert main(["validate", str(tmp_path / "bars"), str(tmp_path / "v")], spark) == 0
+    assert main(["report", str(tmp_path / "state"), str(tmp_path / "r")], spark) == 0
+    assert main(["report", str(tmp_path / "none"), str(tmp_path / "r2")], spark) == 1

@@ -59,10 +59,10 @@ def test_ages_count_from_the_matched_row_even_if_null(spark):
 def test_staleness_limits(spark):
     bars = flat_bars(spark, 600).withColumn("close_time", F.col("timestamp"))
     funding = spark.createDataFrame([("A", START + 60 * MINUTE, 0.1)], "symbol string, settlement_time long, funding_rate double")
-    stale = [r.funding_rate_stale for r in align.join_sparse(align.known_at(bars), funding, FUNDING).orderBy("timestamp").collect()]
+    stale = [r.funding_rate_stale for r in align.join_sparse(align.known_at(bars), {FUNDING: funding}).orderBy("timestamp").collect()]
     assert stale == [not 60 <= i <= 540 for i in range(600)]
     interest = spark.createDataFrame([("A", START, 7.0)], "symbol string, timestamp long, open_interest double")
-    stale = [r.open_interest_stale for r in align.join_sparse(align.known_at(flat_bars(spark, 60).withColumn("close_time", F.col("timestamp"))), interest, OPEN_INTEREST).orderBy("timestamp").collect()]
+    stale = [r.open_interest_stale for r in align.join_sparse(align.known_at(flat_bars(spark, 60).withColumn("close_time", F.col("timestamp"))), {OPEN_INTEREST: interest}).orderBy("timestamp").collect()]
     assert stale == [i > 5 for i in range(60)]
 
 
