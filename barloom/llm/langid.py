@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from itertools import islice
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,14 +46,48 @@ def word_runs(text: str | None):
         yield words
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of a word's features: affixes of 1 to 3 letters, n-grams of 2 and 3, the word, and its lexicon."""
-    marked = f"^{word[:40]}$"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)] + [f"w{word}", "bias"]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return [crc32(x.encode()) >> (32 - BITS) for x in names]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of every feature of every word, by arrays over all letters of all words at once.
+
+    A word's features are its n-grams of 2 and 3 letters, its ends being letters too, its first and last 3 letters, the whole
+    word, its language in the lexicon if it has one, and one that all words share. N-grams take 40 letters at most.
+    """
+    marked = [f"^{w[:40]}$" for w in words]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(sizes)
+    begins, number = ends - sizes, np.arange(len(words))
+    owner = np.repeat(number, sizes)
+    place = np.arange(len(letters)) - begins[owner]
+    left = sizes[owner] - place
+    step = np.uint64(1_000_003)
+
+    def bucket(mixed, kind):
+        mixed = (mixed ^ np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    owners, buckets = [number], [np.zeros(len(words), np.int64)]
+    run = letters
+    for n in (2, 3, 4):
+        run = run[:-1] * step + letters[n - 1 :]
+        inside = left[: len(run)] >= n
+        if n == 4:  # the marks make shorter ones of these n-grams of 2 and 3
+            inside &= (place[: len(run)] == 0) | (left[: len(run)] == n)
+        owners.append(owner[: len(run)][inside])
+        buckets.append(bucket(run[inside], n))
+    powers = np.cumprod(np.full(42, step, np.uint64), dtype=np.uint64)
+    owners.append(number)
+    buckets.append(bucket(np.add.reduceat(letters * powers[place], begins), 5))
+    own = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    if own:
+        owners.append(np.array([i for i, _ in own]))
+        buckets.append(bucket(np.array([k for _, k in own], np.uint64), 6))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def summed(owner: np.ndarray, bucket: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Each of n words' weights by language."""
+    return np.stack([np.bincount(owner, weights[bucket, k], n) for k in range(weights.shape[1])], axis=1)
 
 
 @dataclass
@@ -157,9 +190,7 @@ def fit_chain(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Chain:
     sure = (counts.sum(axis=1) >= 5) & (counts.max(axis=1) >= 0.9 * counts.sum(axis=1))
     best = counts.argmax(axis=1)
     lexicon = {w: int(best[i]) for w, i in kinds.items() if sure[i]}
-    each = [features(w, lexicon) for w in kinds]
-    bucket, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-    begins, owner = np.append(0, ends[:-1]), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    owner, bucket = features(list(kinds), lexicon)
     heads = np.zeros(labels)
     np.add.at(heads, y[first], 1)
     moved = np.zeros((labels, labels))
@@ -168,7 +199,7 @@ def fit_chain(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Chain:
     memory = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, start, moves)]
     truth = np.eye(labels)[y]
     for step in range(1, rounds + 1):
-        emit = np.add.reduceat(weights[bucket], begins, axis=0)[ids]
+        emit = summed(owner, bucket, weights, len(kinds))[ids]
         both, pair = posteriors(emit, first, start, moves, pairs=True)
         off = truth - both
         by_word = np.stack([np.bincount(ids, off[:, k], len(kinds)) for k in range(labels)], axis=1)
@@ -194,29 +225,21 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Chain:
     return fit_chain([(r.lang, r.text) for r in sorted(found, key=lambda r: (r.h, r.lang, r.text))])
 
 
-class _Known(dict):
-    """Numbers of words; a new word's weights are put in the table's next row."""
-
-    def __init__(self, chain: Chain):
-        super().__init__()
-        self.chain, self.table = chain, np.zeros((CACHE, len(chain.languages)))
-
-    def __missing__(self, word: str) -> int:
-        self[word] = i = len(self)
-        self.table[i] = self.chain.weights[features(word, self.chain.lexicon)].sum(axis=0)
-        return i
-
-
 class _Labeller:
     """Posterior means of texts; remembers the weights of the words it has seen."""
 
     def __init__(self, chain: Chain):
-        self.chain, self.known = chain, _Known(chain)
+        self.chain, self.known, self.table = chain, {}, np.zeros((CACHE, len(chain.languages)))
 
     def emit(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        return self.known.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        known = self.known
+        if new := [w for w in dict.fromkeys(words) if w not in known]:
+            at = len(known)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.table[at : at + len(new)] = summed(*features(new, self.chain.lexicon), self.chain.weights, len(new))
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def means(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Sums of posteriors and numbers of words, by text."""
