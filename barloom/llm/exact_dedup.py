@@ -8,6 +8,8 @@ a file by one owner task. Entries with equal keys form a chain, told apart by le
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +54,12 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = MOST_DE
     return sorted(done)
 
 
-def bucket_number(buckets: list[tuple[int, int]], depth: int = MOST_DEPTH) -> Column:
-    """Of a key: the place of its bucket, by binary search over the first cells."""
-    cell = F.shiftrightunsigned("key", 64 - depth)
-
-    def search(a: int, b: int) -> Column:
-        if b - a == 1:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(cell < buckets[mid][0], search(a, mid)).otherwise(search(mid, b))
-
-    if len(buckets) <= 64:
-        return search(0, len(buckets))
-    starts = F.array(*[F.lit(first) for first, _ in buckets])
-    return F.size(F.filter(starts, lambda x: x <= cell)) - 1
+def bucketed(entries: DataFrame, buckets: list[tuple[int, int]], depth: int = MOST_DEPTH) -> DataFrame:
+    """`entries` and the number of each one's bucket: cells look it up in the directory, a broadcast of 2**depth rows."""
+    rows = json.dumps([{"first": first, "width": 2 ** (depth - local), "bucket": i} for i, (first, local) in enumerate(buckets)])
+    held = entries.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<first:bigint,width:bigint,bucket:int>>")))
+    cells = held.select(F.explode(F.sequence("first", F.col("first") + F.col("width") - 1)).alias("cell"), "bucket")
+    return entries.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells), "cell").drop("cell")
 
 
 def index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -81,7 +75,7 @@ def index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     entries = durable(lengths.groupBy(*chain).agg(F.sum("n").alias("group_size"), best.alias("best")))
     buckets = directory(entries, capacity)
     where = fresh_dir(keys.sparkSession, "hash-index")
-    owned = entries.select(*chain, "group_size", F.bitwise_not("best.least").alias("keep_id"), F.col("best.n_points").alias("keep_points"), bucket_number(buckets).cast("int").alias("bucket"))
+    owned = bucketed(entries, buckets).select(*chain, "group_size", F.bitwise_not("best.least").alias("keep_id"), F.col("best.n_points").alias("keep_points"), "bucket")
     owned.repartitionById(len(buckets), F.col("bucket")).sortWithinPartitions(*chain).write.parquet(where)
     return keys.sparkSession.read.parquet(where)
 

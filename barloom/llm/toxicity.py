@@ -89,8 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
     buckets = np.array([r.gram for r in best], np.int64)
     order = np.argsort(buckets)
     buckets, scale = buckets[order], np.array([r.ratio for r in best])[order]
-    kept = sample.select("y", F.array_intersect("grams", F.array(*[F.lit(int(b)) for b in buckets])).alias("grams")) if len(buckets) <= 64 else _narrow(sample, buckets)
-    data = kept.collect()  # at most `rows` rows of the kept features
+    data = _narrow(sample, buckets).collect()  # at most `rows` rows of the kept features
     bias, weights = logistic(len(buckets), [np.searchsorted(buckets, np.array(r.grams, np.int64)) for r in data], np.array([r.y for r in data], float), scale)
     return ToxicityModel(bias, buckets, weights)
 

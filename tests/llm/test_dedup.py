@@ -40,8 +40,8 @@ def test_directory_splits_only_what_is_overfull(spark):
     buckets = exact_dedup.directory(keys, 100)
     widths = [2 ** (exact_dedup.MOST_DEPTH - depth) for _, depth in buckets]
     assert sum(widths) == 2**exact_dedup.MOST_DEPTH and [b[0] for b in buckets] == [sum(widths[:i]) for i in range(len(widths))]
-    sizes = keys.groupBy(exact_dedup.bucket_number(buckets).alias("b")).count().collect()
-    assert all(r["count"] <= 100 for r in sizes) and len(buckets) > 8
+    sizes = exact_dedup.bucketed(keys, buckets).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and all(r["count"] <= 100 for r in sizes) and len(buckets) > 8
     assert exact_dedup.directory(keys.limit(0), 100) == [(0, 0)]
 
 

@@ -83,7 +83,7 @@ def test_pipeline_against_its_parts_in_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     chain = langid.fit(docs)
     found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, chain, ["doc_id"]).collect()}
-    rows = {r.doc_id: r for r in docs.collect() if found[r.doc_id][0] != "und" and found[r.doc_id][1] >= 0.5}
+    rows = {r.doc_id: r for r in docs.collect() if found[r.doc_id][0] != "und" and found[r.doc_id][1] >= corpus_pipeline.LEAST_POSTERIOR}
     best = {}
     for d, r in rows.items():
         key = bare(r.text)
