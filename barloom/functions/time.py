@@ -10,7 +10,7 @@ from ..config import UNITS
 
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since 1970, cut, not rounded; a timestamp without zone is taken as UTC."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+    return F.unix_millis(ts.cast("timestamp"))
 
 
 def as_timestamp(ms: Column) -> Column:

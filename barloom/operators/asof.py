@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
-def running_last(frame: DataFrame, keys: list[str], slot: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
+def running_last(frame: DataFrame, keys: list[str], slot: str, order: list[Column], values: dict[str, Column], dealt: bool = False) -> DataFrame:
     """`frame` with, for each of `values`, its last value that is not null so far, by `order`, in rows of equal `keys`.
 
     `slot` is a column that never falls along the order; rows of one slot should fit a task. Keys must not be null. The result is
-    dealt by keys and slot, so another pass over the same slots shuffles none of its rows.
+    dealt by keys and slot; a frame that is already so (`dealt`) is not shuffled again. Rows and summaries are read from one
+    shuffle, so what comes before runs once.
     """
+    frame = frame if dealt else frame.repartition(*keys, slot)
     seen = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
@@ -89,5 +91,5 @@ def asof_filled(left: DataFrame, rights: dict[str, DataFrame], keys: list[str],
     order = [first_if_null(F.col("_at")), F.col("_side")]
     rows = rows.withColumn("_slot", time_slot(F.col("_at"), slot_ms))
     matched = running_last(rows, keys, "_slot", order, {f"_f_{n}": F.col(f"_m_{n}") for n in rights}).filter("_left IS NOT NULL")
-    filled = running_last(matched, keys, "_slot", order, {f"_v_{n}": F.col(f"_f_{n}.val") for n in rights})
+    filled = running_last(matched, keys, "_slot", order, {f"_v_{n}": F.col(f"_f_{n}.val") for n in rights}, dealt=True)
     return filled.select(*keys, "_left.*", *[x for n in rights for x in (F.col(f"_v_{n}").alias(n), (F.col("_at") - F.col(f"_f_{n}.at")).alias(f"{n}_age"))])

@@ -19,12 +19,13 @@ def interval_ms(interval: str) -> int:
 
 
 def bars(ticks: DataFrame, width_ms: int, keys: tuple[str, ...] = ("symbol",), price: str = "price", qty: str = "qty", tie: str = "event_id") -> DataFrame:
-    """Bars of ticks (keys, timestamp, price, qty). Of ticks at one time the smaller `tie` comes first.
+    """Bars of ticks (keys, timestamp, price, qty). Of ticks at one time the smaller `tie`, a whole number, comes first.
 
-    One aggregation with partial sums before its only shuffle: min_by and max_by need no sorting.
+    One hash aggregation with partial sums before its only shuffle. Time within the bucket and tie are one decimal, as hash
+    aggregation updates numbers in place, where a struct would have all ticks sorted first.
     """
-    order = F.struct("timestamp", tie)
     at = bucket(F.col("timestamp"), width_ms)
+    order = (F.col("timestamp") - at).cast("decimal(10,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + F.col(tie).cast("decimal(20,0)")
     rows = ticks.groupBy(*keys, at.alias("timestamp")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
         F.sum(qty).alias("volume"), F.count("*").alias("constituent_count"),
