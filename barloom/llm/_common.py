@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import durable, fresh_dir
 
-__all__ = ["WORD_SEPARATORS", "SPACES", "table", "durable", "fresh_dir", "fresh_name", "bucket_of", "slices", "with_arrow_columns"]
+__all__ = ["WORD_SEPARATORS", "SPACES", "table", "durable", "fresh_dir", "fresh_name", "bucket_of", "slices", "token_runs", "with_arrow_columns"]
 
 #: The character classes that the operators' contracts name.
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +31,21 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bytes of text whose words are held at once.
+RUN_BYTES = 4 << 20
+
+
+def token_runs(data: bytes, size: int | None = None):
+    """Lists of the tokens between spaces in `data`, one for each `size` bytes or so: long texts are never split whole."""
+    size, at = size or RUN_BYTES, 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        if tokens := data[at:end].split():
+            yield tokens
+        at = end
+
+
 #: Texts are worked on in slices of about this many bytes, however many rows an Arrow batch has.
 SLICE_BYTES = 8 << 20
 

@@ -10,7 +10,7 @@ two texts share have a minimiser in common, at the same place of the passage. Su
    words), neighbours of different documents are compared word by word, and matches extended right and left.
 
 A longer passage is found piece by piece, as the next minimiser is within RIGHT words; pieces are joined at the end.
-Sorting deals a gram that very many documents have to as many tasks as it needs; edges of ranges are compared apart.
+Sorting deals a gram that very many documents have to as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, fresh_dir, slices, table
-from .decontaminate import normal_words
+from ._common import durable, fresh_dir, slices, table, token_runs
+from .decontaminate import NORMAL
 
 SHORTEST = 50
 GRAM = 10
@@ -27,12 +27,14 @@ W = SHORTEST - GRAM + 1
 LEFT, RIGHT = W, SHORTEST + 1
 
 
-def _hashes(words: list[bytes]):
+def _hashes(text: str | None):
+    """A hash of each word of a text, in order."""
     import numpy as np
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, 7) for w in words), np.uint64, len(words))
+    runs = [np.fromiter((digest(w, 7) for w in run), np.uint64, len(run)) for run in token_runs(text.encode().translate(NORMAL))] if text else []
+    return np.concatenate(runs) if runs else np.zeros(0, np.uint64)
 
 
 class _Rolling:
@@ -102,11 +104,11 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 columns: list[list] = [[], [], [], [], []]
                 rows = []
                 for row, text in enumerate(part.column("text")):
-                    words = normal_words(text.as_py())
-                    if len(words) < SHORTEST:
+                    hashes = _hashes(text.as_py())
+                    n = len(hashes)
+                    if n < SHORTEST:
                         continue
-                    n = len(words)
-                    sums = rolling.sums(_hashes(words))
+                    sums = rolling.sums(hashes)
                     starts = np.arange(n - GRAM + 1)
                     grams = rolling.of(sums, starts, starts + GRAM)
                     at = minimisers(grams)
@@ -137,7 +139,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch):
                 rows = []
                 for doc, text, places in zip(part.column("doc_id"), part.column("text"), part.column("places"), strict=True):
-                    short = _hashes(normal_words(text.as_py())).astype(np.uint32)
+                    short = _hashes(text.as_py()).astype(np.uint32)
                     for place in places.as_py():
                         at = place["place"]
                         # A repeated doc_id may have come with another text: only places in this one count.
@@ -165,78 +167,140 @@ def shared_words(a: bytes, b: bytes) -> int:
     return low
 
 
-def compare(a: tuple, b: tuple, shortest: int = SHORTEST):
-    """Spans (doc_id, first word, end, other doc_id) of a match of suffixes (gram, following, preceding, doc_id, place)."""
+def shared(a: tuple, b: tuple) -> tuple[int, int]:
+    """Words that suffixes (gram, following, preceding, doc_id, place) share from their places on, and before them."""
     after = shared_words(a[1], b[1])
-    if after < GRAM:
-        return
-    before = shared_words(a[2], b[2])
-    if before + after >= shortest:
-        yield a[3], a[4] - before, a[4] + after, b[3]
-        yield b[3], b[4] - before, b[4] + after, a[3]
+    return (after, shared_words(a[2], b[2])) if after >= GRAM else (0, 0)
 
 
-SPAN_FIELDS = "doc_id long, begin long, end long, other long"
-EDGE_FIELDS = "part int, head boolean, gram long, following binary, preceding binary, at_doc long, at_place int"
+SUFFIX = ("gram", "following", "preceding", "doc_id", "place")
+FOUND = "gram long, doc_id long, place int, most int, sure boolean, begin long, end long, other long"
+
+
+class _Run:
+    """Neighbouring suffixes of one gram and document, with the most that each shares with another document's neighbour."""
+
+    def __init__(self, follows: bool):
+        self.follows, self.rows, self.most, self.sure = follows, [], [], []
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        self.most.append(0)
+        self.sure.append(False)
+
+    def meet(self, i: int, after: int, before: int) -> None:
+        most, sure = after if self.follows else before, after + before >= SHORTEST
+        if most > self.most[i]:
+            self.most[i], self.sure[i] = most, sure
+        elif most == self.most[i]:
+            self.sure[i] |= sure
 
 
 def _neighbours(suffixes: DataFrame, by: str) -> DataFrame:
-    """Spans of matches between neighbours in the order of gram and `by`, read from a written table of suffixes.
+    """What comparing neighbours in the order of gram and `by` gives, of a written table of suffixes.
 
-    Rows are range-sorted. Each task compares every suffix with the last one before it and the first one after it that
-    another document has; its own first and last rows (of two documents each) come back as edges, a few for each task, and
-    are compared on the driver.
+    Rows with `begin` are spans that two documents share. The others tell of each suffix the most words that it shares, on the
+    side of `by`, with any other document, and whether with that one it shares SHORTEST in all (`sure`). Rows are range-sorted;
+    each is compared with the last one before it and the first one after it that another document has. At the ends of a task's
+    range one of these is missing: there `most` is all that a suffix has, and nothing is sure.
     """
-    spark = suffixes.sparkSession
+    follows = by == "following"
+    limit = RIGHT if follows else LEFT
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part, spans, edges = TaskContext.get().partitionId(), [], []
-        last = other = None  # the row before, and the last row before it of another document
-        heads: list[tuple] = []
-        same: list[tuple] = []  # the rows so far of the last row's gram and document
-        schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("other", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("gram", pa.int64()), ("following", pa.binary()), ("preceding", pa.binary()), ("at_doc", pa.int64()), ("at_place", pa.int32())])
+        schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("most", pa.int32()), ("sure", pa.bool_()), ("begin", pa.int64()), ("end", pa.int64()), ("other", pa.int64())])
+        out: list[tuple] = []
+
+        def match(a, b):
+            after, before = shared(a, b)
+            if after + before >= SHORTEST:
+                for x, y in ((a, b), (b, a)):
+                    out.append((None, x[3], None, None, None, x[4] - before, x[4] + after, y[3]))
+            return after, before
+
+        def close(done: _Run, edge: bool):
+            for row, most, sure in zip(done.rows, done.most, done.sure, strict=True):
+                out.append((row[0], row[3], row[4], limit if edge else most, sure and not edge, None, None, None))
 
         def give():
-            rows = [(*s, *[None] * 7) for s in spans] + [(*[None] * 4, part, head, *row) for head, row in edges]
-            spans.clear()
-            edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else None
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            return batch
 
+        now, other, first = None, None, True
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("gram", "following", "preceding", "doc_id", "place")], strict=True):
-                if len(heads) < 2 and row[3] not in [h[3] for h in heads]:
-                    heads.append(row)
-                if last is not None and last[3] != row[3]:
-                    other = last
-                    # The document before ends here: its earlier suffixes of the gram have this row next.
-                    for before in same[:-1] if last[0] == row[0] else ():
-                        spans.extend(compare(before, row))
-                if last is None or last[3] != row[3] or last[0] != row[0]:
-                    same = []
-                same.append(row)
-                if other is not None and other[0] == row[0]:
-                    spans.extend(compare(other, row))
-                last = row
-            if (out := give()) is not None:
-                yield out
-        edges.extend((True, h) for h in heads)
-        edges.extend((False, t) for t in (last, other) if t is not None)
-        if (out := give()) is not None:
-            yield out
+            for row in zip(*[batch.column(c).to_pylist() for c in SUFFIX], strict=True):
+                last = now.rows[-1] if now else None
+                if last is None or last[0] != row[0] or last[3] != row[3]:
+                    then, now = now, _Run(follows)
+                    now.add(row)
+                    other = None
+                    if then:
+                        if last[0] == row[0]:
+                            other = last
+                            for i, before in enumerate(then.rows):
+                                met = match(before, row)
+                                then.meet(i, *met)
+                                now.meet(0, *met)
+                        close(then, first)
+                        first = False
+                else:
+                    now.add(row)
+                    if other is not None:
+                        now.meet(len(now.rows) - 1, *match(other, row))
+                if len(out) > 20_000:
+                    yield give()
+        if now:
+            close(now, True)
+        if out:
+            yield give()
 
     order = ["gram", by, "doc_id", "place"]
-    sorted_ = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = durable(sorted_.mapInArrow(run, f"{SPAN_FIELDS}, {EDGE_FIELDS}"))
-    edges: dict[tuple[int, bool], list[tuple]] = {}
-    for r in found.filter("part IS NOT NULL").select("part", "head", "gram", "following", "preceding", "at_doc", "at_place").collect():
-        edges.setdefault((r.part, r.head), []).append((r.gram, bytes(r.following), bytes(r.preceding), r.at_doc, r.at_place))
-    parts = sorted({p for p, _ in edges})
-    more = [s for p, q in zip(parts, parts[1:], strict=False) for a in edges.get((p, False), []) for b in edges.get((q, True), []) if a[0] == b[0] and a[3] != b[3] for s in compare(a, b)]
-    spans = found.filter("part IS NULL").select("doc_id", "begin", "end", "other")
-    return spans.unionByName(spark.createDataFrame(more, SPAN_FIELDS)) if more else spans
+    return durable(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FOUND))
+
+
+def _windows(suffixes: DataFrame) -> DataFrame:
+    """(window, doc_id, begin): a hash of every run of SHORTEST words that holds a suffix's place and lies within `before` words
+    ahead of it and `after` words from it on."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rolling = _Rolling()
+        for batch in batches:
+            hashes, docs, begins = [], [], []
+            for following, preceding, doc, place, after, before in zip(*[batch.column(c).to_pylist() for c in ("following", "preceding", "doc_id", "place", "after", "before")], strict=True):
+                ahead, behind = np.frombuffer(following, np.uint32)[:after], np.frombuffer(preceding, np.uint32)[:before]
+                words = np.concatenate([behind[::-1], ahead]).astype(np.uint64) + np.uint64(1)
+                starts = np.arange(len(words) - SHORTEST + 1)
+                if len(starts):
+                    hashes.append(rolling.of(rolling.sums(words), starts, starts + SHORTEST).view(np.int64))
+                    docs += [doc] * len(starts)
+                    begins.append(place - len(behind) + starts)
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(docs, pa.int64()), pa.array(np.concatenate(begins), pa.int64())], names=["window", "doc_id", "begin"])
+
+    return suffixes.select("following", "preceding", "doc_id", "place", "after", "before").mapInArrow(run, "window long, doc_id long, begin long")
+
+
+def _hidden(suffixes: DataFrame, follow: DataFrame, precede: DataFrame) -> DataFrame:
+    """Spans that neighbours may hide: where the partner that shares most on one side shares too little in all.
+
+    A suffix that could share SHORTEST words, by the most on either side, but is not sure of both has its gram looked at again: all
+    its suffixes that could, give the hashes of their runs of SHORTEST words, and equal ones of different documents are spans.
+    """
+    key = ["gram", "doc_id", "place"]
+    sides = [f.filter("begin IS NULL").groupBy(*key).agg(F.max("most").alias(name), F.min("sure").alias(f"sure_{name}")) for f, name in ((follow, "after"), (precede, "before"))]
+    could = durable(sides[0].join(sides[1], key).filter(F.col("after") + F.col("before") >= SHORTEST))
+    grams = durable(could.filter("NOT (sure_after AND sure_before)").select("gram").distinct())
+    again = suffixes.join(could.join(grams, "gram").select(*key, "after", "before"), key)
+    runs = durable(_windows(again).distinct())
+    pairs = runs.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    found = runs.join(durable(pairs), "window")
+    return found.select("doc_id", "begin", (F.col("begin") + SHORTEST).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
 
 
 def joined(spans: DataFrame) -> DataFrame:
@@ -255,8 +319,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case, counted from 0. Runs that overlap or touch
     are one row; other_doc_id is the smallest document that was matched in it. Repeats within one document do not count,
     nor do those between rows of one doc_id. Null and short texts have no row, and rows without doc_id are left out, as
-    nothing could name them. Only neighbours in either order are compared: of several partners that a suffix shares
-    less than SHORTEST words with in either direction alone, one that is nearer in both orders can hide another.
+    nothing could name them.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
@@ -266,22 +329,25 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # Counting is combined on the map side. The join's skew, a gram of very many documents, is Spark's to split.
     # For that its other side must be a table, not an aggregation dealt out by the same key.
     common = durable(anchors.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
-    shared = durable(anchors.join(common, "gram"))
+    shared_ = durable(anchors.join(common, "gram"))
     classes = durable(
-        shared.groupBy("gram", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("first"))
+        shared_.groupBy("gram", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
     )
     whole = classes.filter("lo < hi").select("gram", "context", "lo", "hi")
-    equal = shared.filter(F.col("before") + F.col("after") >= SHORTEST).join(whole, ["gram", "context"])
+    equal = shared_.filter(F.col("before") + F.col("after") >= SHORTEST).join(whole, ["gram", "context"])
     spans = equal.select("doc_id", (F.col("place") - F.col("before")).cast("long").alias("begin"), (F.col("place") + F.col("after")).cast("long").alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     mixed = durable(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    # Of a context that several documents have, one suffix stands for all; one document's own are all compared.
-    alone = shared.join(classes.filter("lo = hi").select("gram", "context"), ["gram", "context"]).select("gram", "doc_id", "place")
-    wanted = classes.filter("lo < hi").select("gram", "first.doc_id", "first.place").unionByName(alone).join(mixed, "gram")
+    # Of a context that several documents have, the suffixes of two stand for all; one document's own are all compared.
+    alone = shared_.join(classes.filter("lo = hi").select("gram", "context"), ["gram", "context"]).select("gram", "doc_id", "place")
+    several = classes.filter("lo < hi").select("gram", F.explode(F.array("first", "last")).alias("s")).select("gram", "s.*")
+    wanted = several.unionByName(alone).join(mixed, "gram")
     held = fresh_dir(spark, "suffixes")
     _suffixes(named, wanted).write.parquet(held)
     suffixes = spark.read.parquet(held)
-    spans = spans.unionByName(_neighbours(suffixes, "following")).unionByName(_neighbours(suffixes, "preceding"))
-    return joined(spans)
+    follow, precede = _neighbours(suffixes, "following"), _neighbours(suffixes, "preceding")
+    for found in (follow, precede):
+        spans = spans.unionByName(found.filter("begin IS NOT NULL").select("doc_id", "begin", "end", "other"))
+    return joined(spans.unionByName(_hidden(suffixes, follow, precede)))
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -138,3 +138,33 @@ def test_minimisers_are_in_every_window(spark):
     want = {j for i in range(len(grams) - 8) for j in range(i, i + 9) if grams[j] == grams[i : i + 9].min()}
     assert set(at.tolist()) == want
     assert suffixes.shared_words(b"aaaabbbbcccc", b"aaaabbbbdddd") == 2 and suffixes.shared_words(b"aaaa", b"aaaabbbb") == 1 and suffixes.shared_words(b"", b"a") == 0
+
+
+def test_a_partner_hidden_by_nearer_neighbours_is_found(spark):
+    import random
+
+    rnd = random.Random(8)
+    unique = iter(f"w{i}" for i in range(10**6))
+
+    def noise(n):
+        return [next(unique) for _ in range(n)]
+
+    line = noise(100)
+    texts = [line, noise(30) + line[20:75] + noise(30)]
+    texts += [noise(40) + line[s : s + 46] + noise(40) for s in range(0, 54)]  # each shares more on one side, never enough
+    rnd.shuffle(texts[2:])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.first_word, r.n_words, r.other_doc_id) for r in suffixes.repeated_passages(docs).collect())
+    assert got == [(0, 20, 55, 1), (1, 30, 55, 0)]
+
+
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    import pyarrow as pa
+
+    from barloom.llm import _common
+
+    monkeypatch.setattr(_common, "RUN_BYTES", 20)
+    texts = ["a", "a b", "a b c", "One two\tthree\nfour five six seven eight nine ten " * 20, "x" * 100, " ", None, "a  b   c    d" * 9]
+    got = simhash._fingerprints(3)(pa.record_batch([pa.array(texts)], names=["text"]))[0].to_pylist()
+    assert [g % (1 << 64) for g in got] == [fingerprint(t) for t in texts]
+    assert len(suffixes._hashes("a b " * 100)) == 200 and len(suffixes._hashes(None)) == 0
