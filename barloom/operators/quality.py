@@ -71,12 +71,15 @@ def rule_counts(frame: DataFrame, modality: str, rules: ValidationRules = Valida
 
 
 def validate(frame: DataFrame, modality: str, rules: ValidationRules = ValidationRules(), row_order: str | None = None) -> tuple[bool, list[str]]:
-    """(valid, errors) of a whole frame; an empty one is invalid. Depth needs its two prices if snapshots must be complete."""
+    """(valid, errors) of a whole frame, times being looked at symbol by symbol if there are symbols; an empty frame is invalid.
+    Depth needs its two prices if snapshots must be complete."""
     if frame.isEmpty():
         return False, ["Empty DataFrame"]
     errors = []
     if "timestamp" in frame.columns:
-        errors += [f"{modality} {r.rule}: {r.bad_count}" for r in timestamp_report(frame, modality, rules, row_order=row_order).collect() if r.bad_count]
+        keys = ("symbol",) if "symbol" in frame.columns else ()
+        times = timestamp_report(frame, modality, rules, keys, row_order).groupBy("rule").agg(F.sum("bad_count").alias("bad_count"))
+        errors += [f"{modality} {r.rule}: {r.bad_count}" for r in times.collect() if r.bad_count]
     errors += [f"{modality} {r.rule}: {r.bad_count} rows" for r in rule_counts(frame, modality, rules).collect() if r.bad_count]
     if modality == "depth" and rules.on("depth", "bid_lte_ask") and rules.on("depth", "snapshot_complete"):
         missing = [c for c in ("best_bid", "best_ask") if c not in frame.columns]
