@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, with_arrow_columns
+from ._common import durable, token_runs, with_arrow_columns
 from .components import connected_components
 
 #: A segment with more distinct fingerprints than this is linked through ball centres.
@@ -27,26 +27,31 @@ def _fingerprints(words: int):
     import pyarrow as pa
     import xxhash
 
-    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    # A-Z to lower case, and every kind of space to one.
+    lower = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
     digest = xxhash.xxh64_intdigest
 
-    def one(text) -> int:
-        tokens = text.as_py()
-        tokens = tokens.encode().translate(lower).split() if tokens else []
-        if not tokens:
-            return 0
+    def shingles(tokens: list[bytes]) -> list[int]:
         joined = b" ".join(tokens)
-        if len(tokens) <= words:
-            hashes = [digest(joined, 42)]
-        else:
-            ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-            starts = [0, *ends[:-words].tolist()]
-            hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65536):
-            part = np.array(hashes[at : at + 65536], dtype="<u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+        starts = [0, *ends[:-words].tolist()]
+        return [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+
+    def one(text) -> int:
+        data = text.as_py()
+        counts, n, held = np.zeros(64, np.int64), 0, []
+        for run in token_runs(data.encode().translate(lower)) if data else ():
+            tokens = held + run
+            if len(tokens) >= words:
+                hashes = np.array(shingles(tokens), dtype="<u8")
+                n += len(hashes)
+                for at in range(0, len(hashes), 65536):
+                    counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            held = tokens[len(tokens) - min(words - 1, len(tokens)) :]
+        if not n and held:  # fewer words than a shingle has
+            n, hashes = 1, np.array([digest(b" ".join(held), 42)], dtype="<u8")
+            counts += np.unpackbits(hashes.view(np.uint8), bitorder="little")
+        return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
     def work(batch):
         found = np.fromiter(map(one, batch.column("text")), np.uint64, batch.num_rows)
