@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_SEPARATORS, durable, fresh_name, table, with_arrow_columns
+from ._common import WORD_SEPARATORS, durable, fresh_name, table, token_runs, with_arrow_columns
 
 #: Characters of window patterns that one automaton holds; it needs some 50 bytes for each. More items are scanned in
 #: blocks, each against all documents.
@@ -66,31 +66,48 @@ def _scan(token: str, block, window: int):
     automaton = _automaton(token, items, window)
     word = re.compile(rb"[^ ]+")
 
+    def hits(data: bytes):
+        """The number of words, their marks (None if no window occurs) and the numbers of the items that have them.
+
+        Runs of words are scanned with the last words of the run before them, so no window is cut.
+        """
+        marks, who, total, held = None, set(), 0, []
+        for run in token_runs(data):
+            tokens = held + run
+            first, total = total - len(held), total + len(run)
+            if automaton is not None:
+                line, seen, at = f" {b' '.join(tokens).decode('latin-1')} ", 0, 0
+                for end, (n, owners) in automaton.iter(line):
+                    seen += line.count(" ", at, end)
+                    at = end
+                    marks = bytearray() if marks is None else marks
+                    if len(marks) < total:
+                        marks.extend(bytes(total - len(marks)))
+                    marks[first + seen - n : first + seen] = b"\x01" * n
+                    who.update(owners)
+            held = tokens[len(tokens) - min(window - 1, len(tokens)) :]
+        return total, marks, who
+
     def one(text):
-        words = normal_words(text)
-        if automaton is None or not words:
-            return len(words), [], []
-        line = f" {b' '.join(words).decode('latin-1')} "
-        marks, who, seen, at = None, set(), 0, 0
-        for end, (n, owners) in automaton.iter(line):
-            seen += line.count(" ", at, end)
-            at = end
-            marks = marks or bytearray(len(words))
-            marks[seen - n : seen] = b"\x01" * n
-            who.update(owners)
+        raw = text.encode() if text else b""
+        plain = raw.translate(NORMAL)
+        total, marks, who = hits(plain)
         if marks is None:
-            return len(words), [], []
-        raw = text.encode()
-        places = [m.span() for m in word.finditer(raw.translate(NORMAL))]
-        spans, chars, byte = [], 0, 0
-        for a, b in _runs(marks):
-            ends = []
-            for to in (places[a][0], places[b - 1][1]):
-                chars += len(raw[byte:to].decode())
-                byte = to
-                ends.append(chars)
-            spans.append({"first_word": a, "n_words": b - a, "begin": ends[0], "end": ends[1]})
-        return len(words), spans, [items[i][0] for i in who if items[i][0] is not None]
+            return total, [], []
+        spans, chars, byte, runs = [], 0, 0, iter(_runs(marks))
+        wanted, begin = next(runs), None
+        for i, m in enumerate(word.finditer(plain)):  # to the last hit word
+            if i == wanted[0]:
+                chars += len(raw[byte : m.start()].decode())
+                byte, begin = m.start(), chars
+            if i == wanted[1] - 1:
+                chars += len(raw[byte : m.end()].decode())
+                byte = m.end()
+                spans.append({"first_word": wanted[0], "n_words": wanted[1] - wanted[0], "begin": begin, "end": chars})
+                wanted = next(runs, None)
+                if wanted is None:
+                    break
+        return total, spans, [items[i][0] for i in who if items[i][0] is not None]
 
     span = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
 

@@ -115,3 +115,23 @@ def test_chunk_tables_carry_digests(spark):
     got = warc.chunk_table(pages(spark, [(1, "u", "abcdefgh", "c"), (2, "u", None, "c")]), chunk=3).orderBy("page_id", "chunk_no").collect()
     assert [(r.page_id, bytes(r.data), r.last) for r in got] == [(1, b"abc", False), (1, b"def", False), (1, b"gh", True), (2, b"", True)]
     assert got[1].sha256 == hashlib.sha256(b"abcdef").hexdigest()
+
+
+def test_windows_across_runs_of_a_long_text(monkeypatch):
+    import uuid
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from barloom.llm import _common
+
+    monkeypatch.setattr(_common, "RUN_BYTES", 15)
+    items = [("1", "a b c d e f g h i j k l"), ("2", "Ünï x")]
+    texts = ["z " * 30 + "A b-c d e f g h i j k, l " + "z " * 30 + "ünï x", "a b c d e f g h i", "ÜnÏ x ünï X Ünï x", None]
+    work = decontaminate._scan(uuid.uuid4().hex, SimpleNamespace(value=items), 10)
+    n, spans, who = (c.to_pylist() for c in work(pa.record_batch([pa.array(texts)], names=["text"])))
+    for i, (_, total, hit, names) in enumerate(brute(list(enumerate(texts)), items)):
+        assert n[i] == total and who[i] == names
+        assert sorted(j for s in spans[i] for j in range(s["first_word"], s["first_word"] + s["n_words"])) == hit
+        for s in spans[i]:
+            assert tokens(texts[i][s["begin"] : s["end"]]) == tokens(texts[i])[s["first_word"] : s["first_word"] + s["n_words"]]
