@@ -4,7 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import canonical
+from helpers import canonical
 
 from barloom import queries
 
