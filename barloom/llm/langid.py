@@ -30,11 +30,13 @@ ROUNDS = 30
 RUN = 100_000
 #: Words whose weights a worker remembers.
 CACHE = 250_000
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of more letters than this is no word: it is read in pieces of so many, one after another, each labelled as a word.
+PIECE = 100
+WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 
 def word_runs(text: str | None):
-    """Lists of a text's words in lower case, RUN at most in each."""
+    """Lists of a text's words, or pieces of longer runs of letters, in lower case, RUN at most in each."""
     if not text:
         return
     if len(text) <= 4 * RUN:
@@ -50,9 +52,9 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     """(owner, bucket) of every feature of every word, by arrays over all letters of all words at once.
 
     A word's features are its n-grams of 2 and 3 letters, its ends being letters too, its first and last 3 letters, the whole
-    word, its language in the lexicon if it has one, and one that all words share. N-grams take 40 letters at most.
+    word, its language in the lexicon if it has one, and one that all words share. All letters count.
     """
-    marked = [f"^{w[:40]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(sizes)
@@ -75,7 +77,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
             inside &= (place[: len(run)] == 0) | (left[: len(run)] == n)
         owners.append(owner[: len(run)][inside])
         buckets.append(bucket(run[inside], n))
-    powers = np.cumprod(np.full(42, step, np.uint64), dtype=np.uint64)
+    powers = np.cumprod(np.full(sizes.max(initial=0), step, np.uint64), dtype=np.uint64)
     owners.append(number)
     buckets.append(bucket(np.add.reduceat(letters * powers[place], begins), 5))
     own = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
