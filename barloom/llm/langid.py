@@ -11,41 +11,57 @@ vectors. That is exact, and costs numpy calls for each step of a block, not for
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, table, with_arrow_columns
+from ._common import bucket_of, fresh_name, table, with_arrow_columns
 
 BITS = 16
 STEPS = 64
-#: The fit takes about so many texts of each language, chosen by a hash of doc_id, none longer than TRAIN_CHARS.
+#: The fit takes about so many texts of each language, chosen by a hash of doc_id and text, none longer than TRAIN_CHARS,
+#: and at most MOST_TEXTS in all, those with the smallest hashes.
 TRAIN_TEXTS = 120
 TRAIN_CHARS = 50_000
+MOST_TEXTS = 1_000
 ROUNDS = 30
-#: Words that are labelled at once; longer texts are labelled in runs of this many.
-RUN = 100_000
+#: Words that are labelled at once, whole blocks of STEPS. The chain of a longer text is carried from run to run.
+RUN = 1_500 * STEPS
 #: Words whose weights a worker remembers.
 CACHE = 250_000
 #: A run of more letters than this is no word: it is read in pieces of so many, one after another, each labelled as a word.
 PIECE = 100
-WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
+
+
+def _unlettered() -> str:
+    """Ranges, for a character class, of what Python's word class takes besides letters, digits and _: numerals such as ½ or ⅷ."""
+    odd = (c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal())
+    runs = ([c for _, c in g] for _, g in groupby(enumerate(odd), lambda p: p[1] - p[0]))
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+WORD = re.compile(rf"[^\W\d_{_unlettered()}]{{1,{PIECE}}}")
 
 
 def word_runs(text: str | None):
-    """Lists of a text's words, or pieces of longer runs of letters, in lower case, RUN at most in each."""
+    """Lists of a text's words, or pieces of longer runs of letters, RUN at most in each.
+
+    Words are found in the text as it is, then put in lower case, each by itself.
+    """
     if not text:
         return
-    if len(text) <= 4 * RUN:
-        if words := WORD.findall(text.lower()):
-            yield words
+    # No word has a line feed, so lowering words joined by it is lowering each.
+    if len(text) <= RUN:
+        if words := WORD.findall(text):
+            yield "\n".join(words).lower().split("\n")
         return
     found = WORD.finditer(text)
-    while words := [m[0].lower() for m in islice(found, RUN)]:
-        yield words
+    while words := [m[0] for m in islice(found, RUN)]:
+        yield "\n".join(words).lower().split("\n")
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +119,27 @@ class Chain:
     lexicon: dict[str, int]
 
 
-def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False):
-    """Posterior of each label for each word, and with `pairs` the expected number of each move.
+@dataclass
+class _Blocks:
+    """Words in blocks of STEPS that are side by side: weights, which steps begin chains, each block's transition product."""
 
-    emit: (words, labels), log scale. first: whether a word begins a chain. start, moves: log weights.
-    """
+    weights: np.ndarray
+    fresh: np.ndarray
+    resets: list[np.ndarray]
+    begin: np.ndarray
+    move: np.ndarray
+    whole: np.ndarray
+
+    def product(self) -> np.ndarray:
+        """The transition product of all blocks, scaled: rows are labels to, columns labels from."""
+        found = np.eye(self.whole.shape[1])
+        for block in self.whole:
+            found = block @ found
+            found /= found.sum()
+        return found
+
+
+def _blocks(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray) -> _Blocks:
     n, labels = emit.shape
     blocks = -(-n // STEPS)
     size = blocks * STEPS
@@ -115,12 +147,10 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np
     e[:n] = np.exp(emit - emit.max(axis=1, keepdims=True))
     fresh = np.zeros(size, bool)
     fresh[:n] = first
-    fresh[n : n + 1] = True
-    fresh[0] = True
+    fresh[n : n + 1] = True  # what fills the last block is a chain of its own
     begin, move = np.exp(start - start.max()), np.exp(moves - moves.max())
     e = np.ascontiguousarray(e.reshape(blocks, STEPS, labels).transpose(1, 2, 0))  # step, label, block
     resets = [np.flatnonzero(r) for r in fresh.reshape(blocks, STEPS).T]
-
     product = np.repeat(np.eye(labels)[:, :, None], blocks, axis=2)  # to label, from label, block
     for t in range(STEPS):
         step = (move.T @ product.reshape(labels, -1)).reshape(labels, labels, blocks)
@@ -128,14 +158,31 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np
             step[:, :, resets[t]] = product[:, :, resets[t]].sum(axis=0) * begin[:, None, None]
         step *= e[t][:, None, :]
         product = step / step.sum(axis=(0, 1)) if t % 8 == 7 else step
+    return _Blocks(e, fresh, resets, begin, move, np.ascontiguousarray(product.transpose(2, 0, 1)))
+
+
+def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False, ahead_of: np.ndarray | None = None, behind_of: np.ndarray | None = None):
+    """Posterior of each label for each word, and with `pairs` the expected number of each move.
+
+    emit: (words, labels), log scale. first: whether a word begins a chain. start, moves: log weights. ahead_of is the
+    forward vector of the words before these, of which the first word's chain is then a part; behind_of the backward one of
+    those after these. Without them the words are all there are.
+    """
+    n, labels = emit.shape
+    if ahead_of is None:
+        first = first.copy()
+        first[0] = True
+    own = _blocks(emit, first, start, moves)
+    e, fresh, resets, begin, move, whole = own.weights, own.fresh, own.resets, own.begin, own.move, own.whole
+    blocks = len(whole)
+    size = blocks * STEPS
     into, back = np.empty((labels, blocks)), np.empty((labels, blocks))
-    whole = np.ascontiguousarray(product.transpose(2, 0, 1))
-    vector = np.full(labels, 1 / labels)
+    vector = np.full(labels, 1 / labels) if ahead_of is None else ahead_of
     for b in range(blocks):
         into[:, b] = vector
         vector = whole[b] @ vector
         vector /= vector.sum()
-    vector = np.ones(labels)
+    vector = np.ones(labels) if behind_of is None else behind_of
     for b in range(blocks - 1, -1, -1):
         back[:, b] = vector
         vector = vector @ whole[b]
@@ -216,15 +263,19 @@ def fit_chain(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Chain:
     return Chain(languages, weights.astype(np.float32), start, moves, lexicon)
 
 
-def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Chain:
-    """The chain of a sample of `docs` (doc_id, text, lang) that are not held out; rows without text or lang are skipped."""
+def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, most: int = MOST_TEXTS) -> Chain:
+    """The chain of a sample of `docs` (doc_id, text, lang) that are not held out; rows without text or lang are skipped.
+
+    At most `most` texts, of TRAIN_CHARS characters at most, reach the driver, however many languages there are and however
+    often a row is repeated. A language without a text in the sample is not learned.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of("doc_id", 3) != 1)).select("doc_id", "text", "lang")
-    rows = rows.filter(F.char_length("text") <= TRAIN_CHARS)
+    rows = rows.filter(F.char_length("text") <= TRAIN_CHARS).withColumn("h", F.xxhash64(F.lit("langid"), "doc_id", "text"))
     share = rows.groupBy("lang").agg((F.lit(float(texts)) / F.count("*")).alias("share"))
-    chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(F.broadcast(share), "lang").filter(chance < F.col("share"))  # a row for each language
-    found = sample.select("lang", "text", F.xxhash64("doc_id", "lang").alias("h")).collect()
-    return fit_chain([(r.lang, r.text) for r in sorted(found, key=lambda r: (r.h, r.lang, r.text))])
+    chance = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.join(share, "lang").filter(chance < F.col("share"))  # one row for each language: small, or split by Spark
+    found = sample.orderBy("h", "lang", "text").limit(most).select("lang", "text").collect()
+    return fit_chain([(r.lang, r.text) for r in found])
 
 
 class _Labeller:
@@ -243,8 +294,38 @@ class _Labeller:
             self.table[at : at + len(new)] = summed(*features(new, self.chain.lexicon), self.chain.weights, len(new))
         return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
+    def runs(self, text: str | None):
+        """(words, posteriors) of each run of a text's words: one chain, however long.
+
+        A long text's runs are walked twice. First each run's transition product is taken; from these come the forward
+        vector before each run and the backward one after it, a few numbers each.
+        """
+        chain = self.chain
+        runs = word_runs(text)
+        head = list(islice(runs, 2))
+        if len(head) < 2:
+            for words in head:
+                yield words, posteriors(self.emit(words), np.zeros(len(words), bool), chain.start, chain.moves)
+            return
+
+        def begun(number: int, words: list[str]) -> np.ndarray:
+            first = np.zeros(len(words), bool)
+            first[0] = number == 0
+            return first
+
+        products = [_blocks(self.emit(w), begun(i, w), chain.start, chain.moves).product() for i, w in enumerate(word_runs(text))]
+        ahead, behind = [np.full(len(chain.languages), 1 / len(chain.languages))], [np.ones(len(chain.languages))]
+        for product in products[:-1]:
+            ahead.append(product @ ahead[-1])
+            ahead[-1] /= ahead[-1].sum()
+        for product in reversed(products[1:]):
+            behind.append(behind[-1] @ product)
+            behind[-1] /= behind[-1].sum()
+        for i, (words, before, after) in enumerate(zip(word_runs(text), ahead, reversed(behind), strict=True)):
+            yield words, posteriors(self.emit(words), begun(i, words), chain.start, chain.moves, ahead_of=before, behind_of=after)
+
     def means(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of posteriors and numbers of words, by text."""
+        """Sums of posteriors and numbers of words, by text. Short texts are labelled together."""
         texts = list(texts)
         sums, counts = np.zeros((len(texts), len(self.chain.languages))), np.zeros(len(texts), np.int64)
         emit, first, owners, held = [], [], [], 0
@@ -255,11 +336,17 @@ class _Labeller:
                 begins = np.zeros(held, bool)
                 begins[first] = True
                 both = posteriors(np.concatenate(emit), begins, self.chain.start, self.chain.moves)
-                np.add.at(sums, owners, np.add.reduceat(both, first, axis=0))
+                sums[owners] = np.add.reduceat(both, first, axis=0)
             emit, first, owners, held = [], [], [], 0
 
         for i, text in enumerate(texts):
-            for words in word_runs(text.as_py()):
+            own = text.as_py()
+            if own and len(own) > RUN:
+                for words, both in self.runs(own):
+                    sums[i] += both.sum(axis=0)
+                    counts[i] += len(words)
+                continue
+            for words in word_runs(own):  # one run, or none
                 if held + len(words) > RUN:
                     flush()
                 emit.append(self.emit(words))
@@ -271,11 +358,12 @@ class _Labeller:
         return sums, counts
 
 
-def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """`docs` (with `text`) and lang_pred, score: the language with the highest mean posterior over a text's words.
 
-    Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned from.
-    Columns of `docs` with these names are replaced. A text of more than RUN words is a chain for each RUN words.
+    Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned from. Of
+    languages with equal means the first by code points is taken. Each row is labelled by itself, repeated ones alike; an
+    empty table gives an empty result. `names` are the new columns' names; columns of `docs` with these are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -295,28 +383,26 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> Dat
 
         return work
 
-    return with_arrow_columns(docs, "lang_pred string, score double", make, keep)
+    return with_arrow_columns(docs, f"`{names[0]}` string, `{names[1]}` double", make, keep)
 
 
 def word_labels(text: str, chain: Chain) -> list[tuple[str, str, float]]:
     """(word, language, posterior) of each word of one text: the operator's own view of code-switched text."""
-    labeller, found = _Labeller(chain), []
-    for words in word_runs(text):
-        begins = np.zeros(len(words), bool)
-        begins[0] = True
-        both = posteriors(labeller.emit(words), begins, chain.start, chain.moves)
+    found = []
+    for words, both in _Labeller(chain).runs(text):
         found += [(w, chain.languages[k], float(p[k])) for w, p, k in zip(words, both, both.argmax(axis=1), strict=True)]
     return found
 
 
 def keep_identified(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns kept, whose language is known with a mean posterior of `least` or more."""
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    found = predict(docs, chain)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*own)
+    """The rows of `docs`, in all their columns, whose language is known with a mean posterior of `least` or more."""
+    lang, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "lang_score")
+    found = predict(docs, chain, names=(lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out; nulls, ties and the like as in `predict`."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select("doc_id", "text"), fit(docs), ["doc_id"])
     return found.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
