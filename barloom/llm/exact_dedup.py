@@ -1,135 +1,197 @@
 """Exact dedup on an extendible-hash index kept in the shared folder. DataFrame operations only.
 
-Keys are 64-bit hashes of normalised texts. Copies are combined before anything is shuffled, so an index entry is one
-distinct text, however many rows have it. The directory starts with one bucket; while a bucket holds more entries than
-CAPACITY, the directory doubles and the bucket is split by its next hash bit. Buckets are ranges of keys, each written as
-a file by one owner task. Entries with equal keys form a chain, told apart by length, digest and, in the end, bytes.
+Keys are 64-bit hashes of normalised texts. The directory starts with a bucket for each core; while a bucket holds more
+distinct keys than CAPACITY, the directory doubles and the bucket is split by its next hash bit. A bucket is a range of
+keys with one owner task. What is dealt to owners is an entry for each text and original length, combined where rows lie
+before it is shuffled, and the bytes of texts whose key several rows have. The owner chains entries of equal keys, tells
+them apart by length and digest, compares their bytes, decides which row stays and writes its bucket as a file. Rows look
+their entry up in the bucket that the directory names.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, durable, fresh_dir, table
+from ._common import SPACES, durable, fresh_dir, fresh_name, table
 
-#: Entries (distinct texts) of a bucket; an entry has about 100 bytes.
+#: Distinct keys of a bucket; an entry has about 150 bytes, and the bytes of a text that has copies.
 CAPACITY = 200_000
-#: Bits of the key by which the directory may grow. The histogram behind it has at most 2**MOST_DEPTH cells.
-MOST_DEPTH = 16
 #: Keys of 8 bytes that may be broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Rows of about 100 bytes that may be broadcast: rows that go, cells of a directory.
+BROADCAST_ROWS = 100_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def key_of(bare: Column) -> Column:
+    return F.xxhash64(bare)
+
+
+def digest_of(bare: Column) -> Column:
+    return F.sha2(bare.cast("binary"), 256)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_points (code points of the original), key, n_bytes and text_sha256 of the normalised text."""
+    """doc_id, n_points (code points of the original), key, n_bytes and text_sha256 of the normalised text, row (a number)."""
     bare = docs.select(F.col(doc_id).alias("doc_id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_points"), normalised(F.col(text)).alias("bare"))
-    return bare.select("doc_id", "n_points", F.xxhash64("bare").alias("key"), F.octet_length("bare").cast("long").alias("n_bytes"), F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"))
+    return bare.select("doc_id", "n_points", key_of(F.col("bare")).alias("key"), F.octet_length("bare").cast("long").alias("n_bytes"), digest_of(F.col("bare")).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = MOST_DEPTH) -> list[tuple[int, int]]:
-    """Buckets as (first cell, local depth), cells being the 2**depth highest ranges of keys, in the order of keys.
+@dataclass
+class Directory:
+    """buckets: (prefix, local depth) in the order of keys; a bucket has the keys whose first `local depth` bits are prefix.
 
-    Counted cells alone reach the driver, 2**depth at most. A bucket of one cell is not split further: its chains grow.
+    Its rows number the buckets, which are few: one for each core, or each CAPACITY / 2 keys or so.
     """
-    cell = F.shiftrightunsigned("key", 64 - depth)
-    counts = dict(entries.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect())
-    filled = [0] * (2**depth + 1)
-    for i in range(2**depth):
-        filled[i + 1] = filled[i] + counts.get(i, 0)
-    open_, done = [(0, 0)], []
-    while open_:
-        first, local = open_.pop()
-        wide = 2 ** (depth - local)
-        if filled[first + wide] - filled[first] <= capacity or local == depth:
-            done.append((first, local))
-        else:
-            open_ += [(first, local + 1), (first + wide // 2, local + 1)]
-    return sorted(done)
 
+    buckets: list[tuple[int, int]]
+
+    @property
+    def depth(self) -> int:
+        return max(local for _, local in self.buckets)
 
-def bucketed(entries: DataFrame, buckets: list[tuple[int, int]], depth: int = MOST_DEPTH) -> DataFrame:
-    """`entries` and the number of each one's bucket: cells look it up in the directory, a broadcast of 2**depth rows."""
-    rows = json.dumps([{"first": first, "width": 2 ** (depth - local), "bucket": i} for i, (first, local) in enumerate(buckets)])
-    held = entries.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<first:bigint,width:bigint,bucket:int>>")))
-    cells = held.select(F.explode(F.sequence("first", F.col("first") + F.col("width") - 1)).alias("cell"), "bucket")
-    return entries.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells), "cell").drop("cell")
+    def cells(self, spark: SparkSession) -> DataFrame:
+        """(cell, bucket): the directory's 2**depth slots, made by tasks."""
+        depth = self.depth
+        rows = json.dumps([{"first": prefix << (depth - local), "width": 1 << (depth - local), "bucket": i} for i, (prefix, local) in enumerate(self.buckets)])
+        held = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<first:bigint,width:bigint,bucket:int>>")))
+        found = held.select(F.explode(F.sequence("first", F.col("first") + F.col("width") - 1)).alias("cell"), "bucket")
+        return F.broadcast(found) if 1 << depth <= BROADCAST_ROWS else found
 
+    def place(self, rows: DataFrame) -> DataFrame:
+        """`rows` (with `key`) and `bucket`, looked up by the key's first bits."""
+        return rows.withColumn("cell", cell_of("key", self.depth)).join(self.cells(rows.sparkSession), "cell").drop("cell")
 
-def index(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index of `keys` (see keyed), written and read back: key, n_bytes, text_sha256, group_size, keep_id, bucket.
 
-    keep_id is the row with the most code points, then the smallest doc_id (a null doc_id comes last). Copies are
-    combined on the map side, so a hot text costs a row for each task and length.
+def cell_of(key: str, depth: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def grown(keys: DataFrame, capacity: int = CAPACITY, depth: int = 0) -> Directory:
+    """The directory of distinct `keys`, begun with 2**depth buckets and doubled while one holds more than `capacity`.
+
+    In each round the cells' counts reach the driver, a number for each slot of the directory. Buckets within their capacity
+    keep their local depth. One key is never split: what shares it is a chain.
     """
-    chain = ["key", "n_bytes", "text_sha256"]
-    lengths = keys.groupBy(*chain, "n_points").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    # ~x falls as x grows, and the largest struct is wanted: most code points, then the smallest doc_id.
-    best = F.max(F.struct("n_points", F.bitwise_not("least").alias("least")))
-    entries = durable(lengths.groupBy(*chain).agg(F.sum("n").alias("group_size"), best.alias("best")))
-    buckets = directory(entries, capacity)
-    where = fresh_dir(keys.sparkSession, "hash-index")
-    owned = bucketed(entries, buckets).select(*chain, "group_size", F.bitwise_not("best.least").alias("keep_id"), F.col("best.n_points").alias("keep_points"), "bucket")
-    owned.repartitionById(len(buckets), F.col("bucket")).sortWithinPartitions(*chain).write.parquet(where)
-    return keys.sparkSession.read.parquet(where)
-
-
-def verify_bytes(docs: DataFrame, entries: DataFrame, text: str = "text") -> None:
-    """Compares the bytes of all texts of each chain entry that has copies; raises if an entry holds different texts.
-
-    A group's smallest and largest text are equal if all are. Both are found with map-side combining, so only texts that
-    have copies move, once for each task. Keys of such texts are broadcast if they number BROADCAST_KEYS or fewer; else
-    texts are shuffled by key, and it is Spark's to split a key that very many have.
+    open_, done = list(range(1 << depth)), []
+    while open_:
+        counts = {r.cell: r.n for r in keys.groupBy(cell_of("key", depth).alias("cell")).agg(F.count("*").alias("n")).collect()}
+        over = [p for p in open_ if counts.get(p, 0) > capacity and depth < 64]
+        done += [(p, depth) for p in set(open_) - set(over)]
+        open_ = [half for p in over for half in (2 * p, 2 * p + 1)]
+        depth += 1
+    return Directory(sorted(done, key=lambda b: b[0] << (64 - b[1])))
+
+
+def _copies(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+    """key, n_bytes, text_sha256, and the smallest and largest text (a, b) of those, of texts whose key several rows have.
+
+    Both are found with map-side combining: only texts that have copies move, once for each task. Keys of such texts are
+    broadcast if they number BROADCAST_KEYS or fewer; else texts are shuffled by key, and it is Spark's to split a key that
+    very many have.
     """
-    copies = durable(entries.filter("group_size > 1").select("key").distinct())
-    if copies.count() <= BROADCAST_KEYS:
-        copies = F.broadcast(copies)
+    shared = durable(keys.filter("n > 1").select("key"))
+    if shared.count() <= BROADCAST_KEYS:
+        shared = F.broadcast(shared)
     bare = docs.select(normalised(F.col(text)).alias("bare"))
-    rows = bare.select(F.xxhash64("bare").alias("key"), "bare").join(copies, "key", "left_semi")
-    rows = rows.select("key", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"), "bare")
-    spread = rows.groupBy("key", "text_sha256").agg(F.min("bare").alias("a"), F.max("bare").alias("b"))
-    if not spread.filter("a != b").isEmpty():
-        raise RuntimeError("two texts share key and SHA-256 digest but not their bytes")
+    rows = bare.select(key_of(F.col("bare")).alias("key"), "bare").join(shared, "key", "left_semi")
+    rows = rows.select("key", F.octet_length("bare").cast("long").alias("n_bytes"), digest_of(F.col("bare")).alias("text_sha256"), "bare")
+    return rows.groupBy("key", "n_bytes", "text_sha256").agg(F.min("bare").alias("a"), F.max("bare").alias("b"))
+
+
+CHAIN = ["key", "n_bytes", "text_sha256"]
+
+
+@dataclass
+class Index:
+    """rows: see keyed. directory. path: the bucket files, with a row for each entry of each chain:
+    bucket, key, n_bytes, text_sha256, group_size, best (of the row that stays: less, no_id, doc_id, row)."""
 
+    rows: DataFrame
+    directory: Directory
+    path: str
 
-def _resolved(docs: DataFrame, doc_id: str, text: str, capacity: int) -> DataFrame:
-    keys = durable(keyed(docs, doc_id, text))
-    entries = index(keys, capacity)
-    verify_bytes(docs, entries, text)
-    rows = keys.join(entries, ["key", "n_bytes", "text_sha256"])
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
+    def entries(self) -> DataFrame:
+        return self.rows.sparkSession.read.parquet(self.path)
+
+    def lookup(self) -> DataFrame:
+        """The rows with keep_id, keep_points, group_size, kept: each row's entry in the bucket of its key."""
+        entries = self.entries().select("bucket", *CHAIN, "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), F.col("best.row").alias("keep_row"))
+        found = self.directory.place(self.rows).join(entries, ["bucket", *CHAIN])
+        return found.withColumn("kept", F.col("row") == F.col("keep_row"))
+
+
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> Index:
+    """The index of all rows of `docs`. Fails if two texts of one digest and length differ in bytes: they cannot be told apart."""
+    spark = docs.sparkSession
+    rows = durable(keyed(docs, doc_id, text))
+    best = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    entries = durable(rows.groupBy(*CHAIN, "n_points").agg(F.count("*").alias("n"), F.min(best).alias("best")))
+    keys = durable(entries.groupBy("key").agg(F.sum("n").alias("n")))
+    directory = grown(keys, capacity, (spark.sparkContext.defaultParallelism - 1).bit_length())
+    dealt = entries.select(*CHAIN, "n", "best").unionByName(_copies(docs, keys, text), allowMissingColumns=True)
+    # One partition for each bucket, kept by the aggregation: an owner sees its whole range of keys.
+    owned = directory.place(dealt).repartitionById(len(directory.buckets), F.col("bucket"))
+    chains = owned.groupBy("bucket", *CHAIN).agg(F.sum("n").alias("group_size"), F.min("best").alias("best"), F.min("a").alias("a"), F.max("b").alias("b"))
+    where = fresh_dir(spark, "hash-index")
+    chains.withColumn("same", F.col("a").eqNullSafe(F.col("b"))).drop("a", "b").sortWithinPartitions("bucket", *CHAIN).write.parquet(where)
+    index = Index(rows, directory, where)
+    if not index.entries().filter("NOT same").isEmpty():
+        raise RuntimeError("two texts share key, length and SHA-256 digest but not their bytes")
+    return index
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so without spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns;
-    null counts as empty, and all empty texts are one group. Rows that repeat both the doc_id and the length of the row
-    that stays are kept with it. Null doc_ids come last and leave keep_id null only in groups that have no other.
+    null counts as empty, and all empty texts are one group. Exactly one row of a group is kept: that of the most code
+    points, then of the smallest doc_id (null last); of rows that repeat both, one. keep_id is null only in groups without
+    any doc_id. doc_id may be of any type that can be ordered. Other columns are not read. An empty table gives an empty
+    result. Very long texts are values of single rows and stay so.
     """
-    return _resolved(docs, doc_id, text, capacity).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return build(docs, doc_id, text, capacity).lookup().select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of `docs` that stay, in all their columns."""
-    gone = _resolved(docs, doc_id, text, capacity).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("n_points").alias("_gone_points"), F.col("key").alias("_gone_key")).distinct()
-    same = docs[doc_id].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(normalised(docs[text])) == F.col("_gone_key"))
-    same &= F.char_length(F.coalesce(docs[text], F.lit(""))) == F.col("_gone_points")
-    return docs.join(durable(gone), same, "left_anti")
+    """The rows of `docs` that stay, one of each group of equal texts, in all their columns, whatever these are called.
+
+    Of rows that repeat doc_id, length and text of the one that stays, any one stays, with its own other columns.
+    """
+    names = [fresh_name(docs, n) for n in ("own_id", "own_points", "own_digest")]
+    own = docs.withColumns(dict(zip(names, (F.col(doc_id), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long"), digest_of(normalised(F.col(text)))), strict=True)))
+    marks = [f"{n}_gone" for n in names]
+    lost = durable(build(docs, doc_id, text, capacity).lookup().filter("NOT kept").withColumn("tied", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).select("tied", *[F.col(c).alias(m) for c, m in zip(("doc_id", "n_points", "text_sha256"), marks, strict=True)]).distinct())
+    same = F.lit(True)
+    for n, m in zip(names, marks, strict=True):
+        same = same & F.col(n).eqNullSafe(F.col(m))
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    gone, tied = lost.filter("NOT tied"), lost.filter("tied")
+    left = own.join(small(gone), same, "left_anti")
+    if not tied.isEmpty():
+        tied = small(tied)
+        once = left.join(tied, same, "left_semi").dropDuplicates(names)
+        left = left.join(tied, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; nulls, ties, repeated rows and the like as in `exact_groups`."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 OP6_SQL = f"""
-WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g')) AS h FROM documents),
-g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, max(n) OVER (PARTITION BY h) AS most FROM d)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, h AS text_sha256 FROM g
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER g = 1 AS kept, h AS text_sha256
+FROM d WINDOW g AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)
 """

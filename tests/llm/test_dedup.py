@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from fixtures import documents, empty
 from pyspark.sql import functions as F
@@ -15,34 +16,78 @@ def bare(t):
     return re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
 
-def test_exact_groups_against_a_dictionary(spark):
-    docs = documents(spark)
-    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+def exact_rows(rows):
+    """What exact_groups should give of (doc_id, text) rows."""
     groups = defaultdict(list)
-    for d, t in rows:
-        groups[bare(t)].append((-len(t), d is None, d or 0))
+    for i, (d, t) in enumerate(rows):
+        groups[bare(t)].append((-len(t or ""), d is None, d or 0, i))
     want = Counter()
-    for d, t in rows:
+    for i, (d, t) in enumerate(rows):
         best = min(groups[bare(t)])
         keep = None if best[1] else best[2]
-        want[(d, keep, len(groups[bare(t)]), d == keep and -len(t) == best[0], hashlib.sha256(bare(t).encode()).hexdigest())] += 1
+        want[(d, keep, len(groups[bare(t)]), best[3] == i, hashlib.sha256(bare(t).encode()).hexdigest())] += 1
+    return want
+
+
+def test_exact_groups_against_a_dictionary(spark):
+    docs = documents(spark).unionByName(spark.createDataFrame([(2000, "a b", "x", None, "1"), (2000, "a b", "y", None, "2"), (2000, " ab", "z", None, "3")], "doc_id long, text string, lang string, source string, size string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = exact_rows(rows)
     for capacity in (1, 3, 1000):
         got = exact_dedup.exact_groups(docs, capacity=capacity)
         assert Counter(tuple(r) for r in got.collect()) == want
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
-    assert {bare(r.text) for r in kept.collect()} == {bare(t) for _, t in rows}
+    texts = [bare(r.text) for r in kept.collect()]
+    assert sorted(texts) == sorted({bare(t) for _, t in rows})  # one row of each group, repeats of doc_id and text too
     assert exact_dedup.exact_groups(empty(spark)).count() == 0 == exact_dedup.drop_copies(empty(spark)).count()
 
 
-def test_directory_splits_only_what_is_overfull(spark):
+def test_kept_rows_keep_clashing_columns(spark):
+    rows = [(str(i), t, i, i, i, i) for i, t in enumerate(["x y", "xy", "z", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, own_id int, own_digest int, own_id_gone int, row int")
+    got = sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect())
+    assert got == [rows[0], rows[2], rows[3]]
+
+
+def test_colliding_keys_are_chained_and_told_apart(spark, monkeypatch):
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(exact_dedup, "key_of", lambda bare: F.shiftleft(F.char_length(bare).cast("long") % 2, 63))
+    index = exact_dedup.build(docs, capacity=1)
+    assert index.directory.depth >= 1 and index.entries().select("key").distinct().count() == 2
+    assert index.entries().groupBy("key").count().agg(F.max("count")).first()[0] > 5
+    assert Counter(tuple(r) for r in exact_dedup.exact_groups(docs, capacity=1).collect()) == exact_rows(rows)
+
+
+def test_equal_digests_of_different_bytes_are_noticed(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab"), (2, "cd")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "key_of", lambda bare: F.lit(5).cast("long"))
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda bare: F.lit("same"))
+    with pytest.raises(RuntimeError, match="bytes"):
+        exact_dedup.build(docs)
+
+
+def test_directory_doubles_and_splits_only_what_is_overfull(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
-    buckets = exact_dedup.directory(keys, 100)
-    widths = [2 ** (exact_dedup.MOST_DEPTH - depth) for _, depth in buckets]
-    assert sum(widths) == 2**exact_dedup.MOST_DEPTH and [b[0] for b in buckets] == [sum(widths[:i]) for i in range(len(widths))]
-    sizes = exact_dedup.bucketed(keys, buckets).groupBy("bucket").count().collect()
-    assert sum(r["count"] for r in sizes) == 1000 and all(r["count"] <= 100 for r in sizes) and len(buckets) > 8
-    assert exact_dedup.directory(keys.limit(0), 100) == [(0, 0)]
+    found = exact_dedup.grown(keys, 100)
+    assert sum(2.0**-local for _, local in found.buckets) == 1 and len(found.buckets) > 8
+    sizes = found.place(keys).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and all(r["count"] <= 100 for r in sizes)
+    low = keys.select((F.shiftrightunsigned("key", 8)).alias("key"))  # all in the first of 256 ranges: one side is split
+    one = exact_dedup.grown(low, 600)
+    assert [local for _, local in one.buckets] == [9, 9, *range(8, 0, -1)]
+    assert exact_dedup.grown(keys.limit(0), 100).buckets == [(0, 0)]
+
+
+def test_results_are_looked_up_through_the_directory(spark):
+    docs = documents(spark)
+    index = exact_dedup.build(docs, capacity=4)
+    files = index.entries().groupBy(F.input_file_name().alias("f")).agg(F.countDistinct("bucket").alias("n"), F.countDistinct("key").alias("keys")).collect()
+    assert len(files) > 4 and all(f.n == 1 and f.keys <= 4 for f in files)  # an owner's file is one bucket
+    assert index.lookup().count() == docs.count()
+    index.directory = exact_dedup.Directory([(0, 0)])  # without the directory most rows do not find their bucket
+    assert index.lookup().count() < docs.count()
 
 
 def fingerprint(text):
