@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ._common import WORD_SEPARATORS, durable, fresh_name, table, token_runs, with_arrow_columns
 
-#: Characters of window patterns that one automaton holds; it needs some 50 bytes for each. More items are scanned in
-#: blocks, each against all documents.
+#: Characters of distinct windows that one automaton holds; it needs some 50 bytes for each. Of a benchmark with more, each
+#: block of windows is an automaton, and each scans all documents: one that does not fit a worker could not be sent to it.
 BLOCK_CHARS = 4_000_000
 
 #: Fixed: what the contract calls a word keeps digits, letters and every byte from 0x80 on.
@@ -27,23 +27,34 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
 
-def _automaton(token: str, items: list, window: int):
-    """Patterns are windows between spaces; a value is (words of the pattern, numbers of the items that have it)."""
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """(pattern, owners) of the distinct windows of all items: words between spaces, as Latin-1; sorted item ids as strings."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text"), strict=True):
+                words = normal_words(text.as_py())
+                found = {b" ".join(words[at : at + window]).decode("latin-1") for at in range(max(1, len(words) - window + 1) if words else 0)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([item.as_py()] * len(found), pa.string())], names=["pattern", "owner"])
+
+    return items.mapInArrow(run, "pattern string, owner string").groupBy("pattern").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+
+
+def _automaton(token: str, windows: list):
+    """Patterns are windows between spaces; a value is (words of the pattern, ids of the items that have it)."""
     if token not in _built:
         import ahocorasick
 
-        owners: dict[str, set[int]] = {}
-        for number, (_, text) in enumerate(items):
-            words = normal_words(text)
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(b" ".join(words[at : at + window]).decode("latin-1"), set()).add(number)
         found = ahocorasick.Automaton()
-        for pattern, who in owners.items():
-            found.add_word(f" {pattern} ", (pattern.count(" ") + 1, tuple(who)))
-        if owners:
+        for pattern, owners in windows:
+            found.add_word(f" {pattern} ", (pattern.count(" ") + 1, tuple(owners)))
+        if windows:
             found.make_automaton()
         _built.clear()
-        _built[token] = found if owners else None
+        _built[token] = found if windows else None
     return _built[token]
 
 
@@ -62,12 +73,11 @@ def _scan(token: str, block, window: int):
 
     import pyarrow as pa
 
-    items = block.value
-    automaton = _automaton(token, items, window)
+    automaton = _automaton(token, block.value)
     word = re.compile(rb"[^ ]+")
 
     def hits(data: bytes):
-        """The number of words, their marks (None if no window occurs) and the numbers of the items that have them.
+        """The number of words, their marks (None if no window occurs) and the ids of the items that have them.
 
         Runs of words are scanned with the last words of the run before them, so no window is cut.
         """
@@ -107,7 +117,7 @@ def _scan(token: str, block, window: int):
                 wanted = next(runs, None)
                 if wanted is None:
                     break
-        return total, spans, [items[i][0] for i in who if items[i][0] is not None]
+        return total, spans, who
 
     span = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -118,39 +128,42 @@ def _scan(token: str, block, window: int):
     return work
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+FOUND = ("n_words", "spans", "items")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS, names: tuple[str, str, str] = FOUND) -> DataFrame:
     """`docs` (with `text`) and n_words, spans, items: what of each text stands in an item's window of `window` words.
 
     A shorter item is one window; a wordless or null one has none. spans lists the maximal runs of hit words (first_word,
     n_words; begin and end in the original text's characters); items lists the ids, as distinct sorted strings, of the
-    items with an occurring window. Items without an id mark words but are not listed. Null texts have no words.
-    Columns of `docs` with these names are replaced. The items are measured first: those that one automaton of
-    `block_chars` can hold are scanned at once, more of them in blocks by a hash of the text.
+    items with an occurring window. Items without an id mark words but are not listed. Null texts have no words. Rows are
+    scanned each by itself, long ones in runs; an empty table gives an empty result. `names` are the new columns' names;
+    columns of `docs` with these are replaced. The items' distinct windows are counted first: those that one automaton of
+    `block_chars` can hold are scanned at once, more of them in blocks by a hash of the window.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size * window // block_chars))
-    names = docs.columns if keep is None else keep
-    kept = [c for c in names if c.lower() not in ("n_words", "spans", "items")]
-    number = fresh_name(docs, "scan_row")
-    if blocks > 1:  # the same row's finds are brought together by a number that must not change between scans
-        docs = durable(docs.withColumn(number, F.monotonically_increasing_id()))
-    parts = []
-    for i in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i) if blocks > 1 else items
-        block = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
-        token = uuid.uuid4().hex
-        carried = [number, "text"] if blocks > 1 else kept
-        source = docs.select(*{*carried, "text"}) if "text" in docs.columns else docs
-        fields = "n_words long, spans array<struct<first_word:long,n_words:long,begin:long,end:long>>, items array<string>"
-        parts.append(with_arrow_columns(source, fields, lambda token=token, block=block: _scan(token, block, window), [c for c in carried if blocks == 1 or c == number]))
+    patterns = durable(windows_of(benchmark, window))
+    size = patterns.agg(F.sum(F.char_length("pattern") + 2)).first()[0] or 0
+    blocks = max(1, -(-size // block_chars))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
+    n_words, spans, items = names
+    fields = f"`{n_words}` long, `{spans}` array<struct<first_word:long,n_words:long,begin:long,end:long>>, `{items}` array<string>"
+
+    def parts(source: DataFrame, carried: list[str]):
+        for i in range(blocks):
+            mine = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i) if blocks > 1 else patterns
+            # `block_chars` and the ids of the windows' items bound what is collected and broadcast.
+            block = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+            yield with_arrow_columns(source, fields, lambda token=uuid.uuid4().hex, block=block: _scan(token, block, window), carried)
+
     if blocks == 1:
-        return parts[0]
-    united = parts[0]
-    for p in parts[1:]:
-        united = united.unionByName(p)
-    united = durable(united)
+        return next(parts(docs.select(*{*kept, "text"}), kept))
+    number = fresh_name(docs, "scan_row")  # the same row's finds are brought together by a number that must not change between scans
+    docs = durable(docs.select(*{*kept, "text"}).withColumn(number, F.monotonically_increasing_id()))
+    united = None
+    for part in parts(docs.select(number, "text"), [number]):
+        united = part if united is None else united.unionByName(part)
+    united = durable(united.toDF(number, *FOUND))
     # Few rows have finds; a row's finds number at most its own words.
     found = united.groupBy(number).agg(
         F.max("n_words").alias("n_words"),
@@ -171,16 +184,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
         ).otherwise(F.concat(acc, F.array(x))),
     )
     found = found.select(number, "n_words", F.when(F.size("raw") > 0, merged).otherwise(F.col("raw")).alias("spans"), "items")
-    return docs.select(*kept, number).join(found, number).drop(number)
+    return docs.select(*kept, number).join(found.toDF(number, *names), number).drop(number)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of `docs`, all columns kept, in which no word is part of an item's window."""
-    found = scan(docs, benchmark, window)
-    return found.filter(F.size("spans") == 0).select(*[c for c in docs.columns if c in found.columns])
+    """The rows of `docs`, in all their columns, in which no word is part of an item's window."""
+    names = tuple(fresh_name(docs, n) for n in FOUND)
+    return scan(docs, benchmark, window, names=names).filter(F.size(names[1]) == 0).select(*docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Hits of every document against the whole benchmark; nulls, repeats, long texts and the like as in `scan`."""
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n_words"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))

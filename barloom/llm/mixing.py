@@ -51,13 +51,13 @@ def mix(docs: DataFrame, keep: tuple = ("doc_id",), seed: str = "mix", weights:
     md5(seed:doc_id), so reruns agree, and taken in full as often as its target allows; the last, partial epoch ends at
     the exact word: with the target cut to whole words, the taken words of a source sum to it. Rows of equal doc_id are
     taken in the order of their sizes; which of two equal rows comes first makes no difference. Null doc_ids count as the
-    text 'null'. Null sources are one source. Rows without words take none. Columns of `keep` with the new names are
-    replaced. An empty table gives an empty result.
+    text 'null'. Null sources are one source. Rows without words take none. A new column whose name is one of `keep` gets an
+    underscore before it. Only what is kept moves with the rows. An empty table gives an empty result.
     """
-    new = ("size", "source_size", "target", "taken")
-    kept = [c for c in keep if c.lower() not in new]
+    taken = {c.lower() for c in keep}
+    names = {n: next(x for x in (n, "_" + n, "__" + n, "___" + n) if x not in taken) for n in ("size", "source_size", "target", "taken")}
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    row = F.struct(*[F.col(c) for c in kept]).alias("row")
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
     # Only what is kept goes to the shared folder: a few bytes for each text, read three times below.
     sized = durable(docs.select(row, "source", F.col("doc_id").alias("id"), key.alias("rank"), words_in("text").alias("size")))
     per = durable(targets(sized, weights, share, most))
@@ -76,10 +76,11 @@ def mix(docs: DataFrame, keep: tuple = ("doc_id",), seed: str = "mix", weights:
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     last = F.least(F.greatest(budget - epochs * F.col("source_size") - F.col("before") - F.col("inside"), F.lit(0)), F.col("size"))
-    return rows.select("row.*", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return rows.withColumn("taken", (epochs * F.col("size") + last).cast("long")).select("row.*", *[F.col(n).alias(own) for n, own in names.items()])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents; nulls, ties, repeats and the like as in `mix`."""
     return mix(table(spark, sf_dir, "documents"))
 
 

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, token_runs, with_arrow_columns
+from ._common import durable, fresh_name, table, token_runs, with_arrow_columns
 from .components import connected_components
 
 #: A segment with more distinct fingerprints than this is linked through ball centres.
@@ -146,11 +146,11 @@ def drop_near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     Rows are named by doc_id: those that share one go if one of them does, and rows without one stay.
     """
-    gone = near_duplicates(docs, bucket=bucket).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(durable(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    mark = fresh_name(docs, "gone")
+    gone = near_duplicates(docs, bucket=bucket).filter("doc_id != component_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(durable(gone), F.col("doc_id") == F.col(mark), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    from ._common import table
-
+    """Fingerprints and components of all documents; nulls, repeats and the like as in `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -47,8 +47,9 @@ def test_mix_against_rounds(spark):
     docs = documents(spark)
     want = Counter(brute([(r.doc_id, r.source, count(r.text)) for r in docs.collect()]))
     got = mixing.mix(docs, keep=("doc_id", "size"))
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
-    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got.collect()) == want
+    assert got.columns == ["doc_id", "size", "_size", "source_size", "target", "taken"]
+    assert {r["size"] for r in got.collect()} == {"clash", None}
+    assert Counter((r.doc_id, r["_size"], r.source_size, round(r.target, 6), r.taken) for r in got.collect()) == want
     by_source = mixing.mix(docs, keep=("source",)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
     assert all(r.t == int(r.g) for r in by_source)
     assert mixing.mix(docs).filter("taken > 2 * size").count() == 0
@@ -101,7 +102,19 @@ def test_pipeline_against_its_parts_in_plain_python(spark, sf):
     assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == want and len(want) > 20
 
 
-def test_stages_keep_columns(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("spans", F.lit("clash")).limit(60)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
+def test_stages_keep_columns_and_their_values(spark, sf):
+    names = ("spans", "items", "n_words", "lang_pred", "score", "lang_score", "own_id", "own_id_gone", "gone", "row", "at", "s", "size", "target", "taken", "bucket", "key", "scan_row")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names}).persist()
+    assert docs.count() == 60
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.select(*docs.columns)
+        assert rows.count() > 20 and rows.exceptAll(docs).isEmpty()
+
+
+def test_the_pipeline_gives_whole_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mixing.mix(docs, keep=tuple(docs.columns))
+    assert got.select(*docs.columns).exceptAll(docs).isEmpty() and docs.exceptAll(got.select(*docs.columns)).isEmpty()
