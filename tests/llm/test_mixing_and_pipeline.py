@@ -78,8 +78,9 @@ def test_same_as_sql(spark, sf, duck, name):
 
 
 def test_pipeline_against_its_parts_in_plain_python(spark, sf):
-    from test_dedup import bare, components, fingerprint
+    from test_dedup import bare
     from test_scans import brute as hits
+    from test_shingles import jaccard_groups
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     chain = langid.fit(docs)
@@ -90,11 +91,7 @@ def test_pipeline_against_its_parts_in_plain_python(spark, sf):
         key = bare(r.text)
         best[key] = min(best.get(key, (0, 1 << 62)), (-len(r.text or ""), d))
     rows = {d: rows[d] for _, d in best.values()}
-    prints = {d: fingerprint(r.text) for d, r in rows.items()}
-    root, least = components(set(prints.values())), {}
-    for d, f in prints.items():
-        least[root[f]] = min(d, least.get(root[f], d))
-    rows = {d: rows[d] for d in least.values()}
+    rows = {d: rows[d] for d in map(min, jaccard_groups({d: r.text for d, r in rows.items()}))}  # doc_ids are unique here
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = {d: rows[d] for d, _, hit, _ in hits([(d, r.text) for d, r in rows.items()], items) if not hit}
     want = Counter(r for r in brute([(d, r.source, count(r.text)) for d, r in rows.items()]) if r[4])
