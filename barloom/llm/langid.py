@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, fresh_name, table, with_arrow_columns
+from ._common import bucket_of, durable, fresh_name, table, with_arrow_columns
 
 BITS = 16
 STEPS = 64
@@ -28,6 +28,8 @@ STEPS = 64
 TRAIN_TEXTS = 120
 TRAIN_CHARS = 50_000
 MOST_TEXTS = 1_000
+#: Rows of a language and a number that may be broadcast.
+BROADCAST_LANGUAGES = 10_000
 ROUNDS = 30
 #: Words that are labelled at once, whole blocks of STEPS. The chain of a longer text is carried from run to run.
 RUN = 1_500 * STEPS
@@ -271,9 +273,11 @@ def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, most: int = MOST_TEXTS) -> Ch
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of("doc_id", 3) != 1)).select("doc_id", "text", "lang")
     rows = rows.filter(F.char_length("text") <= TRAIN_CHARS).withColumn("h", F.xxhash64(F.lit("langid"), "doc_id", "text"))
-    share = rows.groupBy("lang").agg((F.lit(float(texts)) / F.count("*")).alias("share"))
+    share = durable(rows.groupBy("lang").agg((F.lit(float(texts)) / F.count("*")).alias("share")))
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
     chance = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(share, "lang").filter(chance < F.col("share"))  # one row for each language: small, or split by Spark
+    sample = rows.join(share, "lang").filter(chance < F.col("share"))
     found = sample.orderBy("h", "lang", "text").limit(most).select("lang", "text").collect()
     return fit_chain([(r.lang, r.text) for r in found])
 
