@@ -6,12 +6,13 @@ logistic regression with an L1 penalty weighs the rules, most to zero. What is l
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, durable, table, with_arrow_columns
+from ._common import RUN_BYTES, bucket_of, durable, table, token_runs, with_arrow_columns
 from .toxicity import labelled
 
 #: The fit takes at most so many labelled rows, those with the smallest hashes of doc_id.
@@ -21,6 +22,20 @@ PENALTY = 0.002
 STATISTICS = ("n_words", "word_len", "distinct", "upper", "digit", "symbol", "punct", "pipe", "non_ascii", "line_len", "line_repeats", "end_marks", "top_word", "short_lines", "capital_words")
 
 
+#: Every kind of space as one.
+BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def _lines(raw: bytes):
+    """Lines of a text, one at a time."""
+    at = 0
+    while at <= len(raw):
+        end = raw.find(b"\n", at)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end + 1
+
+
 def _statistics():
     import numpy as np
     import pyarrow as pa
@@ -33,17 +48,29 @@ def _statistics():
         raw = (text.as_py() or "").encode()
         if not raw:
             return (0.0,) * len(STATISTICS)
-        counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        words = raw.split()
-        lines = [x for x in raw.split(b"\n") if x.strip()]
-        n, m = max(len(words), 1), max(len(lines), 1)
+        counts, letters, n_words, capital = np.zeros(256), 0, 0, 0
+        seen: dict[bytes, int] = {}  # words, by digest if long
+        for at in range(0, len(raw), RUN_BYTES):
+            counts += np.bincount(np.frombuffer(raw, np.uint8, min(RUN_BYTES, len(raw) - at), at), minlength=256)
+        for words in token_runs(raw.translate(BLANKS)):
+            n_words += len(words)
+            letters += sum(map(len, words))
+            capital += sum(w[:1].isupper() for w in words)
+            for w in words:
+                w = w if len(w) <= 16 else hashlib.blake2b(w, digest_size=16).digest()
+                seen[w] = seen.get(w, 0) + 1
+        lines, ends, short, n_lines = set(), 0, 0, 0
+        for x in _lines(raw):
+            if bare := x.rstrip():
+                n_lines += 1
+                ends += bare[-1:] in b".!?"
+                short += len(x) < 30
+                lines.add(x if len(x) <= 16 else hashlib.blake2b(x, digest_size=16).digest())
+        n, m = max(n_words, 1), max(n_lines, 1)
         upper, digit, symbol, punct, pipe, wide = (counts @ kinds) / len(raw)
-        seen: dict[bytes, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
         return (
-            float(len(words)), sum(map(len, words)) / n, len(seen) / n, upper, digit, symbol, punct, pipe, wide, len(raw) / m, 1 - len(set(lines)) / m,
-            sum(x.rstrip()[-1:] in b".!?" for x in lines) / m, max(seen.values(), default=0) / n, sum(len(x) < 30 for x in lines) / m, sum(w[:1].isupper() for w in words) / n,
+            float(n_words), letters / n, len(seen) / n, upper, digit, symbol, punct, pipe, wide, len(raw) / m, 1 - len(lines) / m,
+            ends / m, max(seen.values(), default=0) / n, short / m, capital / n,
         )
 
     def work(batch):
@@ -54,7 +81,10 @@ def _statistics():
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The `keep` columns of `docs` and STATISTICS of its whole `text`s; all are 0 for null and empty ones."""
+    """The `keep` columns of `docs` and STATISTICS of its whole `text`s; all are 0 for null and empty ones.
+
+    Long texts are walked in runs of words and line by line; 16 bytes of each distinct word and line are held.
+    """
     return with_arrow_columns(docs, ", ".join(f"`{s}` double" for s in STATISTICS), _statistics, keep)
 
 
@@ -120,12 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """The `keep` columns and `score`, 0 to 1; those of `keep` named as a statistic or `score` are replaced."""
+    """The `keep` columns and `score`, 0 to 1; those of `keep` named as a statistic or `score` are replaced.
+
+    Null and empty texts get the score of statistics that are all 0. Rows are scored each by itself, repeated ones alike; an
+    empty table gives an empty result.
+    """
     counted = statistics(docs, keep)
     return counted.select(*[c for c in keep if c.lower() not in {*STATISTICS, "score"}], model.column().alias("score"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels that are not held out; nulls, repeats and the like as in `score`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

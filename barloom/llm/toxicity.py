@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, durable, table, with_arrow_columns
+from ._common import bucket_of, durable, table, token_runs, with_arrow_columns
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -25,9 +25,20 @@ ROUNDS = 150
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def ngrams(text: str | None) -> np.ndarray:
-    """Hashed n-grams of a text, repeats included."""
-    folded = b" " + b" ".join((text or "").encode().translate(FOLD).split()) + b" "
+def ngrams(text: str | None):
+    """Arrays of the hashed n-grams of a text, repeats included, one array for each run of its words.
+
+    A run begins with the last bytes of the one before it, so every n-gram is in one, and some short ones in two.
+    """
+    tail, last = b"", b" "
+    for run in token_runs((text or "").encode().translate(FOLD)):
+        folded = tail + b" " + b" ".join(run)
+        tail, last = folded[1 - max(ORDERS) :], b""
+        yield _hashed(folded)
+    yield _hashed(tail + b" " + last)
+
+
+def _hashed(folded: bytes) -> np.ndarray:
     letters = np.frombuffer(folded, np.uint8).astype(np.uint32)
     found = []
     for n in ORDERS:
@@ -46,17 +57,27 @@ class ToxicityModel:
     weights: np.ndarray
 
 
+def present(text: str | None, used: np.ndarray | None = None) -> np.ndarray:
+    """The distinct hashed n-grams of a text, in order; with `used`, a mark for each hash, only those marked."""
+    parts = [np.unique(x if used is None else x[used[x]]) for x in ngrams(text)]
+    return np.unique(np.concatenate(parts)).astype(np.int32)
+
+
 def _presence():
     import pyarrow as pa
 
-    return lambda batch: [pa.array([np.unique(ngrams(t.as_py())).astype(np.int32) for t in batch.column("text")], pa.list_(pa.int32()))]
+    return lambda batch: [pa.array([present(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int, held_out: int, rows: int) -> DataFrame:
-    """text and y of at most `rows` labelled rows that are not held out. Of repeated labels the largest counts."""
+    """text and y of at most `rows` labelled rows that are not held out, those with the smallest hashes of doc_id.
+
+    Of repeated labels the largest counts. Rows that share a doc_id count each, ordered by their texts.
+    """
     picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (bucket_of("doc_id", held_out_mod) != held_out))
     picked = picked.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")  # at most `rows` rows of two numbers
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `rows` rows of two numbers
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "y")
 
 
 def logistic(n: int, rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-4) -> tuple[float, np.ndarray]:
@@ -111,7 +132,11 @@ def _narrow(sample: DataFrame, buckets: np.ndarray) -> DataFrame:
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """`docs` (with `text`) and `score`, 0 to 1. Null and empty texts get the score of no n-grams at all."""
+    """`docs` (with `text`) and `score`, 0 to 1. Null and empty texts get the score of no words at all.
+
+    Rows are scored each by itself, repeated ones alike, long texts in runs of their words. A column named `score` is
+    replaced. An empty table gives an empty result.
+    """
 
     def make():
         import pyarrow as pa
@@ -121,8 +146,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
         used = weights != 0
 
         def one(text) -> float:
-            grams = ngrams(text.as_py())
-            total = model.bias + weights[np.unique(grams[used[grams]])].sum()
+            total = model.bias + weights[present(text.as_py(), used)].sum()
             return 1 / (1 + float(np.exp(-np.clip(total, -50, 50))))
 
         return lambda batch: [pa.array([one(t) for t in batch.column("text")], pa.float64())]
@@ -131,6 +155,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels that are not held out; nulls, repeats and the like as in `score`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

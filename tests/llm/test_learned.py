@@ -151,3 +151,97 @@ def test_long_texts_are_labelled_in_runs(chain, monkeypatch):
     monkeypatch.setattr(langid, "RUN", 64)
     runs = list(langid.word_runs(text))
     assert len(whole) == 1 and len(runs) > 10 and sum(runs, []) == whole[0]
+
+
+def plain_ngrams(text):
+    folded = " " + " ".join("".join(chr(b) for b in (text or "").encode().translate(toxicity.FOLD)).split()) + " "
+    found = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(folded) - n + 1):
+            mixed = n
+            for c in folded[i : i + n]:
+                mixed = (mixed * 16777619 % 2**32) ^ ord(c)
+            found.add((mixed ^ mixed >> 15) * 2654435761 % 2**32 >> 32 - toxicity.BITS)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("run", [7, 1 << 22])
+def test_ngrams_against_plain_loops(run, monkeypatch):
+    from barloom.llm import _common
+
+    monkeypatch.setattr(_common, "RUN_BYTES", run)
+    for text in ("You IDIOT, you!", "a b", "", None, "x", "ünï 123 --- é" * 5, " ".join(f"word{i}" for i in range(40))):
+        assert toxicity.present(text).tolist() == plain_ngrams(text)
+
+
+def test_toxicity_model_against_plain_counts(spark, toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels, features=50)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = {}
+    for r in labels.collect():
+        if r.doc_id in texts and r.toxic is not None and not held(r.doc_id, 4, 2):
+            y[r.doc_id] = max(r.toxic, y.get(r.doc_id, 0))
+    grams = {d: set(plain_ngrams(texts[d])) for d in y}
+    p, n = sum(y.values()), len(y) - sum(y.values())
+    count = [[sum(g in grams[d] for d in y if y[d] == k) for k in (1, 0)] for g in model.buckets]
+    ratios = [np.log((a + 1) / (p + 2)) - np.log((b + 1) / (n + 2)) for a, b in count]
+    bias, weights = toxicity.logistic(50, [np.flatnonzero([g in grams[d] for g in model.buckets]) for d in sorted(y)], np.array([y[d] for d in sorted(y)], float), np.array(ratios))
+    assert np.allclose(weights, model.weights, atol=1e-6) and abs(bias - model.bias) < 1e-6
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for d, t in texts.items():
+        total = model.bias + sum(w for g, w in zip(model.buckets, model.weights, strict=True) if g in set(plain_ngrams(t)))
+        assert abs(got[d] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 15
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, m = max(len(words), 1), max(len(lines), 1)
+
+    def share(letters):
+        return sum(c in letters for c in raw) / len(raw)
+
+    top = max((words.count(w) for w in set(words)), default=0)
+    return [
+        len(words), sum(map(len, words)) / n, len(set(words)) / n, share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*+<=>@^_~{}[]\\/`!"), share(b".,;:?'\"()-"), share(b"|"), share(bytes(range(128, 256))),
+        len(raw) / m, 1 - len(set(lines)) / m, sum(x.rstrip()[-1:] in b".!?" for x in lines) / m, top / n, sum(len(x) < 30 for x in lines) / m, sum(w[:1].isupper() for w in words) / n,
+    ]
+
+
+def test_statistics_against_plain_counts(spark, monkeypatch):
+    from barloom.llm import _common
+
+    texts = ["A b, C!\n\nA b, C!\nlast line without an end " + "x" * 40, " \n\t\n", "", None, "é|É #1\r\n" * 9, "one\x0btwo\x0cthree", "same " * 30 + "\n" + "a long line of more than sixteen bytes.\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.statistics(docs, ["doc_id"]).collect():
+        assert np.allclose([r[s] for s in quality.STATISTICS], plain_statistics(texts[r.doc_id])), texts[r.doc_id]
+    import pyarrow as pa
+
+    monkeypatch.setattr(_common, "RUN_BYTES", 10)
+    monkeypatch.setattr(quality, "RUN_BYTES", 10)
+    rows = quality._statistics()(pa.record_batch([pa.array(texts)], names=["text"]))
+    assert np.allclose(np.array([c.to_pylist() for c in rows]).T, [plain_statistics(t) for t in texts])
+
+
+def test_rules_are_tree_paths_and_weights_are_sparse(spark):
+    rnd = random.Random(5)
+    rows = [(i, words(rnd, rnd.randint(5, 60)) + (" !!! ###" * 9 if i % 2 else ""), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    names = set(quality.STATISTICS)
+    assert all(w for _, w in model.rules) and all(0 < len(r) <= quality.DEPTH and {n for n, _, _ in r} <= names for r, _ in model.rules)
+    got = {r.doc_id: r.score for r in quality.score(docs, model, ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        own = dict(zip(quality.STATISTICS, plain_statistics(t), strict=True))
+        total = model.bias + sum(w for rule, w in model.rules if all((own[n] > x) == above for n, above, x in rule))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_fits_are_bounded_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(400)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
+    found = toxicity.labelled(docs, labels, "toxic", 4, 9, 5)
+    assert found.count() == 5 and {r.y for r in found.collect()} <= {0, 1}
