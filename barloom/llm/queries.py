@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_licenses": licenses.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -17,7 +18,7 @@ def tokens(t):
 
 
 def test_licences_against_every_place(spark):
-    extra = ["GNU General Public License gnu general public license; Apache  LICENSE", "cc-by cc by by cc by", "mit license mit license mit", "license mit", "public license", "Permission is hereby granted, free of charge, to anyone", "general public license", "x GNU GENERAL PUBLIC LICENSE, version 3"]
+    extra = ["GNU General Public License gnu general public license; Apache  LICENSE", "cc-by cc by by cc by", "mit license mit license mit", "license mit", "public license", "Permission is hereby granted, free of charge, to anyone", "general public license", "x GNU GENERAL PUBLIC LICENSE, version 3", f"Copyright 2020 X\n\n{licenses.MIT}", licenses.BSD_HEAD + licenses.BSD_NAMES + licenses.BSD_TAIL, licenses.MIT.replace("NO EVENT", "ANY EVENT"), licenses.GPL]
     docs = documents(spark, extra=extra)
     index = licenses.build_index(licenses.document_frequencies(docs))
     want = Counter()
@@ -32,11 +33,45 @@ def test_licences_against_every_place(spark):
     first = docs.count() - 2 - len(extra)
     assert by_text[first + 5].labels == "mit" and by_text[first + 5].base_labels == "" and 0 < by_text[first + 5].score <= 1
     assert by_text[first + 7].labels == "gpl,gpl-3.0"
-    assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in got)
+    assert by_text[first + 8].labels == "mit" and by_text[first + 8].score == 1.0
+    assert by_text[first + 9].labels == "bsd,bsd-3-clause" and by_text[first + 11].labels == "gpl,gpl-3.0"
     assert licenses.scan(empty(spark), licenses.build_index(licenses.document_frequencies(empty(spark)))).count() == 0
     assert licenses.scan(docs.withColumnRenamed("size", "score"), index, keep=("doc_id", "score")).columns.count("score") == 1
 
 
+def judged(texts, templates=licenses.TEMPLATES):
+    """(labels, score) of each text, every template being laid on every place of it."""
+    n = len(texts)
+    split = [tokens(t) for t in texts]
+    seen = [set(w) for w in split]
+    weight = {x: math.log((n + 1) / (sum(x in s for s in seen) + 1)) + 1 for t in templates for x in t.words()}
+    for w in split:
+        labels, best = set(), 0.0
+        for t in templates:
+            own, keys = t.words(), t.key_places()
+            rare = sorted({x for _, k in keys for x in k}, key=lambda x: (-weight[x], x))[:2]
+            place = {x: min(at + i for at, k in keys for i, y in enumerate(k) if x == y) for x in rare}
+            for start in range(len(w)):
+                here = w[start : start + len(own)]
+                if all(w[start + at : start + at + 1] == [x] for x, at in place.items()):
+                    share = sum(weight[x] for x, y in zip(own, here, strict=False) if x == y) / sum(weight[x] for x in own)
+                    sure = all(w[start + at : start + at + len(k)] == k for at, k in keys)
+                    best = max(best, share * (1 if sure else licenses.PARTIAL))
+                    labels |= {t.label} if sure else set()
+        yield ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_against_every_template_at_every_place(spark):
+    extra = [licenses.MIT, f"x {licenses.ISC} y", licenses.APACHE.upper(), licenses.GPL + licenses.ZLIB, licenses.UNLICENSE[:90], "mozilla public license cc by sa", "Licensed under CC BY-NC 4.0", licenses.BSD_HEAD + licenses.BSD_TAIL.replace("POSSIBILITY", "chance")]
+    docs = documents(spark, extra=extra)
+    rows = [r for r in docs.collect() if len(r.text or "") < 50_000]
+    docs = spark.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.build_index(licenses.document_frequencies(docs))).collect()}
+    for i, (labels, score) in enumerate(judged([r.text for r in rows])):
+        assert got[i].labels == labels and abs(got[i].score - min(score, 1.0)) < 1e-6, (i, labels, score, got[i])
+    assert sum(bool(r.labels) for r in got.values()) >= 6
+
+
 def brute(docs, items, window=10):
     windows = []
     for item, text in items:
