@@ -34,8 +34,9 @@ class AlignmentPolicy:
     value_columns: tuple[str, ...] = ()
 
 
-FUNDING = AlignmentPolicy("funding_rate", "8h", time_columns=("settlement_time", "timestamp", "calc_time"), value_columns=("funding_rate", "last_funding_rate"))
-OPEN_INTEREST = AlignmentPolicy("open_interest", "5m", time_columns=("timestamp", "create_time"), value_columns=("open_interest", "sum_open_interest"))
+#: The columns in which a modality's time and value are looked for, in this order.
+FUNDING = AlignmentPolicy("funding_rate", "8h", time_columns=("settlement_time", "timestamp", "calc_time"), value_columns=("funding_rate", "last_funding_rate", "fundingRate"))
+OPEN_INTEREST = AlignmentPolicy("open_interest", "5m", time_columns=("timestamp", "create_time", "calc_time", "time", "transact_time"), value_columns=("open_interest", "sum_open_interest", "sumOpenInterest", "sum_open_interest_value", "open_interest_value"))
 
 
 @dataclass(frozen=True)

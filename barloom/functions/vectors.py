@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,14 +68,24 @@ def minute_positions(times: Column, offset: int = 1) -> Column:
 
 def gaussian_projection(v: Column, width: int, dims: int = 256, seed: int = 0) -> Column:
     """A seeded random projection to `dims` dimensions, over the root of `dims`. The matrix is made of the seed, so it is the
-    same in each task; it has width * dims numbers."""
+    same in each task, and drawn once there; it has width * dims numbers. Null vectors stay null."""
     import numpy as np
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<double>")
     def project(x):
-        matrix = np.random.default_rng(seed).standard_normal((width, dims)) / np.sqrt(dims)
-        return pd.Series(list(np.stack(x.to_list()) @ matrix)) if len(x) else pd.Series([], dtype=object)
+        found, held = pd.Series([None] * len(x), dtype=object), x.notna().to_numpy()
+        if held.any():
+            rows = np.stack(x[held].to_list()) @ _matrix(width, dims, seed)
+            found[held] = pd.Series(list(rows), index=np.flatnonzero(held), dtype=object)
+        return found
 
     return project(doubles(v))
+
+
+@lru_cache(maxsize=4)
+def _matrix(width: int, dims: int, seed: int):
+    import numpy as np
+
+    return np.random.default_rng(seed).standard_normal((width, dims)) / np.sqrt(dims)

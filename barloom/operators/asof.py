@@ -32,6 +32,20 @@ def running_last(frame: DataFrame, keys: list[str], slot: str, order: list[Colum
     return found.drop(*[f"_{kind}_{name}" for name in values for kind in ("seen", "start")])
 
 
+def lagged(frame: DataFrame, keys: list[str], slot: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """`frame` with, for each of `values`, its value in the row before, by `order`, in rows of equal `keys`; null in the first.
+
+    `slot` is as in running_last: windows are over (key, slot), and a slot's first row takes the last row of the slot before.
+    """
+    frame = frame.repartition(*keys, slot)
+    row, place = F.struct(*[v.alias(n) for n, v in values.items()]), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    ends = frame.groupBy(*keys, slot).agg(F.max_by(row, place).alias("_end"))
+    starts = ends.select(*keys, slot, F.lag("_end").over(Window.partitionBy(*keys).orderBy(slot)).alias("_start"))
+    inside = frame.withColumn("_before", F.lag(row).over(Window.partitionBy(*keys, slot).orderBy(*order)))
+    found = inside.join(starts, [*keys, slot]).withColumn("_before", F.coalesce("_before", "_start"))
+    return found.withColumns({n: F.col(f"_before.{n}") for n in values}).drop("_before", "_start")
+
+
 def time_slot(at: Column, slot_ms: int = DAY_MS) -> Column:
     """The slot of a time; rows without time have one before all others."""
     return F.coalesce(F.floor(at / slot_ms), F.lit(-(1 << 62))).cast("long")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, distance, dot, doubles, norm
+from .ranks import ranged
+from .stats import threshold_values
 from .windows import with_next
 
 
@@ -27,9 +29,7 @@ def roc_auc(frame: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     Rows are first counted by score, so ranks run over distinct scores, in slots of their range: no window holds them all.
     """
     counts = frame.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("n"))
-    ends = counts.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    slot = F.coalesce(F.floor((F.col("s") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * 1024), F.lit(0)).cast("long")
-    rows = counts.join(F.broadcast(ends)).withColumn("slot", slot)  # one row
+    rows = ranged(counts, "s", slot="slot")
     ahead = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = rows.groupBy("slot").agg(F.sum("n").alias("n")).select("slot", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("slot").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +114,8 @@ def temporal_consistency(frame: DataFrame, order: list[str], key: str = "symbol"
 def norm_regime(frame: DataFrame, vector: str = "embedding") -> DataFrame:
     """`frame` with norm, and regime: whether it is at or above the median norm."""
     rows = frame.withColumn("norm", norm(F.col(vector)))
-    return rows.join(F.broadcast(rows.agg(F.median("norm").alias("_median")))).withColumn("regime", (F.col("norm") >= F.col("_median")).cast("int")).drop("_median")  # one row
+    limit = threshold_values(rows, ["norm"])["norm"]
+    return rows.withColumn("regime", (F.col("norm") >= F.lit(limit).cast("double")).cast("int"))
 
 
 def contingency(frame: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ValidationRules
 from .align import first_column
+from .asof import DAY_MS, first_if_null, lagged, time_slot
 
 CORE = ("open", "high", "low", "close", "volume", "funding_rate", "open_interest")
 MINUTE_MS = 60_000
@@ -49,13 +50,14 @@ def first_column_or_none(columns: list[str], names: tuple[str, ...]) -> str | No
 def timestamp_report(frame: DataFrame, modality: str, rules: ValidationRules = ValidationRules(), keys: tuple[str, ...] = (), row_order: str | None = None) -> DataFrame:
     """(keys, rule, bad_count): times out of order, repeated, and gaps over the limit, all by the rows' own order.
 
-    `row_order` is a column of that order (say, a row number given on reading); without it rows are taken in the order of their
-    times, in which none is out of order.
+    `row_order` is a column of that order (a row number given on reading); without it rows are taken in the order of their
+    times, in which none is out of order. Rows are looked at in slots of a day, or of a million row numbers.
     """
     limit = rules.gap_seconds.get(modality, rules.max_gap_seconds) * 1000
-    order = Window.partitionBy(*keys).orderBy(row_order or "timestamp")
-    delta = F.col("timestamp") - F.lag("timestamp").over(order)
-    rows = frame.select(*keys, "timestamp", delta.alias("delta"))
+    by = F.col(row_order or "timestamp")
+    rows = frame.withColumn("_slot", time_slot(by, 1_000_000 if row_order else DAY_MS)).select(*keys, "timestamp", by.alias("_by"), "_slot")
+    rows = lagged(rows, list(keys), "_slot", [first_if_null(F.col("_by"))], {"_last": F.col("timestamp")})
+    rows = rows.select(*keys, "timestamp", (F.col("timestamp") - F.col("_last")).alias("delta"))
     counts = rows.groupBy(*keys).agg(_bad(F.col("delta") < 0).alias("not_monotonic"), (F.count("timestamp") - F.countDistinct("timestamp")).alias("duplicate_timestamps"), _bad(F.col("delta") > limit).alias("gaps"))
     names = ["not_monotonic", *([] if rules.allow_duplicates else ["duplicate_timestamps"]), "gaps"]
     return counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("bad_count")) for n in names])).alias("r")).select(*keys, "r.*")

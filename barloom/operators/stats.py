@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import numbers as N
+from .ranks import order_statistics
 
 
 def numeric_columns(frame: DataFrame) -> list[str]:
@@ -38,15 +39,15 @@ def zscore_fit(frame: DataFrame, columns: list[str]) -> DataFrame:
 def robust_fit(frame: DataFrame, columns: list[str]) -> DataFrame:
     """(column, median, iqr): the lower median and interpolated quartiles of observed values. An iqr of 0 becomes 1; fewer than
     two values give (0, 1)."""
-    def lower_median(c: str) -> Column:
-        return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))")
+    found = order_statistics(frame, columns, [0.25, 0.5, 0.75])
 
-    aggs = [F.struct(lower_median(c).alias("median"), F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(c).alias("n")).alias(f"c{i}") for i, c in enumerate(columns)]
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("s")) for i, c in enumerate(columns)])
-    rows = frame.agg(*aggs).select(F.explode(entries).alias("e")).select("e.column", "e.s.*")
-    iqr = F.element_at("q", 2) - F.element_at("q", 1)
-    few = F.col("n") < 2
-    return rows.select("column", F.when(few, 0.0).otherwise(F.col("median")).alias("median"), F.when(few | (iqr == 0), 1.0).otherwise(iqr).alias("iqr"))
+    def at(share: float, kind: str) -> Column:
+        return F.max(F.when(F.col("share") == share, F.col(kind)))
+
+    found = found.groupBy("column").agg(at(0.5, "disc").alias("median"), (at(0.75, "cont") - at(0.25, "cont")).alias("iqr"), F.max("n").alias("n"))
+    names = frame.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    few = F.coalesce(F.col("n"), F.lit(0)) < 2
+    return names.join(found, "column", "left").select("column", F.when(few, 0.0).otherwise(F.col("median")).alias("median"), F.when(few | (F.col("iqr") == 0), 1.0).otherwise(F.col("iqr")).alias("iqr"))
 
 
 class Normalizer:
@@ -90,9 +91,17 @@ class Normalizer:
 
 
 def thresholds(frame: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Exact medians (the mean of the middle two) of each column: `<column>_threshold`."""
-    grouped = frame.groupBy(*keys) if keys else frame
-    return grouped.agg(*[F.median(c).alias(f"{c}_threshold") for c in columns])
+    """Exact medians (the mean of the middle two) of each column: `<column>_threshold`. One row, or one for each of `keys`, of
+    which each is then a task's."""
+    if keys:
+        return frame.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_threshold") for c in columns])
+    found = order_statistics(frame, columns, [0.5])
+    return found.agg(*[F.max(F.when(F.col("column") == c, F.col("cont"))).alias(f"{c}_threshold") for c in columns])
+
+
+def threshold_values(frame: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The medians as numbers on the driver, one for each column."""
+    return {c: v for c, v in zip(columns, thresholds(frame, columns).first(), strict=True)}
 
 
 def majority(frame: DataFrame, label: str = "y") -> DataFrame:

@@ -1,8 +1,7 @@
 """Fixed-length windows over ordered rows, their statistics and labels.
 
 Windows start at every `stride`-th row of a key's series, are never re-based after a gap, and are left out if a gap
-within is too long. Valid starts come from frame aggregates alone; rows are gathered by slicing one array of each key, or
-by frames when a key's series is too long for an array.
+within is too long. Valid starts come from frame aggregates alone; then each row goes to the windows that hold it.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import WindowSpec
 from ..functions.numbers import future_return_label
-from .asof import asof
+from .asof import DAY_MS, asof, first_if_null, lagged, time_slot
+from .ranks import ranged
 
 MINUTE_MS = 60_000
 
@@ -59,17 +59,20 @@ def position_mask(times: Column, feature_mask: Column) -> Column:
     return F.when(F.size(times) > 1, F.zip_with(seen, wide, lambda s, w: s & ~w)).otherwise(seen)
 
 
-def create_windows(features: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",), gather: str = "slice") -> DataFrame:
+def create_windows(features: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",), gather: str = "frames") -> DataFrame:
     """One row for each window: keys, features, feature_mask, timestamps, mask and metadata (see window_starts).
 
-    gather: slice (one array of each key's rows) or frames (collects each window's own rows, for keys whose rows are too many
-    for an array).
+    gather: frames (each accepted window collects its own rows) or slice (one array of each key's rows, for short series).
     """
     starts = window_starts(features, spec, keys)
     if gather == "frames":
-        order = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(0, spec.length - 1)
-        rows = features.select(*keys, F.col("timestamp").alias("start_ts"), F.collect_list(F.struct("timestamp", "features", "feature_mask")).over(order).alias("rows"))
-        found = starts.join(rows, [*keys, "start_ts"])
+        # A row is in the windows that start at stride places up to length - 1 rows before it: it goes to each of them.
+        place = (F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")) - 1).cast("long")
+        rows = features.select(*keys, place.alias("_i"), F.struct("timestamp", "features", "feature_mask").alias("_row"))
+        least = F.greatest(F.ceil((F.col("_i") - spec.length + 1) / spec.stride), F.lit(0))
+        dealt = rows.filter(least <= F.floor(F.col("_i") / spec.stride)).select(*keys, "_row", F.explode(F.sequence(least, F.floor(F.col("_i") / spec.stride))).alias("_w"))
+        dealt = dealt.withColumn("start_index", F.col("_w") * spec.stride).groupBy(*keys, "start_index").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+        found = starts.join(dealt, [*keys, "start_index"])
     else:
         series = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("timestamp", "features", "feature_mask"))).alias("series"))
         found = starts.join(series, list(keys)).withColumn("rows", F.slice("series", F.col("start_index").cast("int") + 1, spec.length)).drop("series")
@@ -139,28 +142,34 @@ def shared_symbols(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("symbol").intersect(b.select("symbol"))
 
 
-def with_next(frame: DataFrame, order: list[str], columns: list[str], slots: int = 1024) -> DataFrame:
+def with_next(frame: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """`frame` and next_<column>: those of the following row in the order of all rows, null for the last.
 
-    `order` begins with a number that is not null. Its range is cut into slots; the last row of a slot takes the first row of
-    the next slot that has any, found on one row for each slot, so no task sorts all rows.
+    Rows are dealt by range; the last row of a slot takes the first row of the next slot that has any, found on one row for
+    each slot, so no task sorts all rows.
     """
-    low, high = frame.agg(F.min(order[0]), F.max(order[0])).first()
-    width = max(1.0, (float(high) - float(low) + 1) / slots) if low is not None else 1.0
-    rows = frame.withColumn("_slot", F.floor((F.col(order[0]) - F.lit(low)) / F.lit(width)).cast("long"))
+    rows = ranged(frame, *order)
     following = F.struct(*columns)
     heads = rows.groupBy("_slot").agg(F.min_by(following, F.struct(*order)).alias("_head"))
-    heads = heads.select("_slot", F.lead("_head").over(Window.orderBy("_slot")).alias("_head"))  # `slots` rows
+    heads = heads.select("_slot", F.lead("_head").over(Window.orderBy("_slot")).alias("_head"))  # a row for each partition
     inside = rows.withColumn("_next", F.lead(following).over(Window.partitionBy("_slot").orderBy(*order)))
     found = inside.join(heads, "_slot").withColumn("_next", F.coalesce("_next", "_head"))
     return found.select(*frame.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def gap_segments(frame: DataFrame, max_gap_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """keys, segment, start_ts, end_ts, n_rows: runs of rows without a longer gap."""
-    order = Window.partitionBy(*keys).orderBy("timestamp")
-    cut = F.coalesce(((F.col("timestamp") - F.lag("timestamp").over(order)) > max_gap_ms).cast("int"), F.lit(0))
-    rows = frame.select(*keys, "timestamp", cut.alias("cut")).withColumn("segment", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def gap_segments(frame: DataFrame, max_gap_ms: int, keys: tuple[str, ...] = ("symbol",), slot_ms: int = DAY_MS) -> DataFrame:
+    """keys, segment, start_ts, end_ts, n_rows: runs of rows without a longer gap. Gaps are counted up within slots of time, and
+    over the slots' sums, so a key's rows are as many tasks as it has slots."""
+    keys = list(keys)
+    rows = frame.select(*keys, "timestamp").withColumn("_slot", time_slot(F.col("timestamp"), slot_ms))
+    rows = lagged(rows, keys, "_slot", [first_if_null(F.col("timestamp"))], {"_last": F.col("timestamp")})
+    rows = rows.withColumn("cut", F.coalesce(((F.col("timestamp") - F.col("_last")) > max_gap_ms).cast("long"), F.lit(0)))
+    cuts = rows.groupBy(*keys, "_slot").agg(F.sum("cut").alias("cuts"))
+    ahead = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(*keys, "_slot", F.coalesce(F.sum("cuts").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_inside", F.sum("cut").over(inside)).join(cuts, [*keys, "_slot"])
+    rows = rows.withColumn("segment", F.col("_ahead") + F.col("_inside"))
     return rows.groupBy(*keys, "segment").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), F.count("*").alias("n_rows"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import FUNDING, OPEN_INTEREST, ValidationRules, WindowSpec
@@ -77,11 +77,12 @@ def trades_to_minute(spark, sf_dir):
     return align.trades_to_minute(ticks(spark, sf_dir)).withColumn("quote_volume", F.round("quote_volume", 6))
 
 
-@register(f"WITH {TICKS}, m AS (SELECT (timestamp // 60000) * 60000 AS timestamp, sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) AS v, count(*) AS n FROM t WHERE symbol = 'click' GROUP BY 1), g AS (SELECT unnest(generate_series(1704067200000, 1704153540000, 60000)) AS timestamp) SELECT 'click' AS symbol, g.timestamp, coalesce(v, 0) AS taker_buy_volume, coalesce(n, 0) AS trade_count FROM g LEFT JOIN m USING (timestamp)")
+@register(f"WITH {TICKS}, m AS (SELECT symbol, (timestamp // 60000) * 60000 AS timestamp, sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) AS v, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT symbol, unnest(generate_series((SELECT min(timestamp) FROM m), (SELECT max(timestamp) FROM m), 60000)) AS timestamp FROM (SELECT DISTINCT symbol FROM m)) SELECT g.symbol, g.timestamp, coalesce(v, 0) AS taker_buy_volume, coalesce(n, 0) AS trade_count FROM g LEFT JOIN m USING (symbol, timestamp)")
 def taker_volume_zero_filled(spark, sf_dir):
-    day = grid(spark, 1_704_067_200_000, 1_704_153_540_000).withColumn("symbol", F.lit("click"))
-    rows = align.trades_to_minute(align.between(ticks(spark, sf_dir).filter("symbol = 'click'"), 1_704_067_200_000, 1_704_153_599_999))
-    return align.on_grid(rows, day).select("symbol", "timestamp", "taker_buy_volume", "trade_count")
+    t = ticks(spark, sf_dir)
+    low, high = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+    minutes = grid(spark, low // 60_000 * 60_000, high // 60_000 * 60_000).withColumn("symbol", F.explode(symbols(t)))
+    return align.on_grid(align.trades_to_minute(t), minutes).select("symbol", "timestamp", "taker_buy_volume", "trade_count")
 
 
 def _two_sides(spark, sf_dir, injected: bool = False):
@@ -129,20 +130,24 @@ def ffill_after_match(spark, sf_dir):
     return asof.forward_fill(found, ["symbol"], ["value"], tie=["event_id"]).select("event_id", "timestamp", "value")
 
 
+def symbols(rows: DataFrame) -> Column:
+    """The symbols of `rows` as an array, a constant of the plan: a text for each event type."""
+    return F.array(*[F.lit(r.symbol) for r in rows.select("symbol").distinct().orderBy("symbol").collect()])
+
+
 def _state(spark, sf_dir) -> DataFrame:
-    """Hourly bars of clicks and views with searches as funding and purchases as open interest of every symbol."""
+    """Hourly bars of all symbols, with errors as funding and purchases as open interest of every symbol."""
     t, b = ticks(spark, sf_dir), hourly(spark, sf_dir)
-    symbols = t.select("symbol").distinct().filter("symbol IN ('click', 'view')")
+    names = symbols(t)
 
     def side(kind: str, value: str) -> DataFrame:
         rows = t.filter(F.col("symbol") == kind).groupBy("timestamp").agg(F.max_by("price", "event_id").alias(value))
-        return rows.join(symbols)
+        return rows.withColumn("symbol", F.explode(names))
 
-    b = b.filter("symbol IN ('click', 'view')").drop("constituent_count")
-    return align.market_state(b, side("error", "funding_rate"), side("purchase", "open_interest"), policies=(FUNDING, OPEN_INTEREST))
+    return align.market_state(b.drop("constituent_count"), side("error", "funding_rate"), side("purchase", "open_interest"), policies=(FUNDING, OPEN_INTEREST))
 
 
-STATE = f"""WITH {TICKS}, {bars_sql(HOUR)}, s AS (SELECT symbol, close_time AS timestamp, open, high, low, close, volume, close_time FROM b WHERE symbol IN ('click', 'view')),
+STATE = f"""WITH {TICKS}, {bars_sql(HOUR)}, s AS (SELECT symbol, close_time AS timestamp, open, high, low, close, volume, close_time FROM b),
 f AS (SELECT timestamp AS ft, arg_max(price, event_id) AS funding_rate FROM t WHERE symbol = 'error' GROUP BY 1), o AS (SELECT timestamp AS ot, arg_max(price, event_id) AS open_interest FROM t WHERE symbol = 'purchase' GROUP BY 1),
 sf AS (SELECT s.*, ft, funding_rate FROM s ASOF LEFT JOIN f ON s.timestamp >= f.ft), so AS (SELECT sf.*, ot, open_interest FROM sf ASOF LEFT JOIN o ON sf.timestamp >= o.ot),
 state AS (SELECT symbol, timestamp, open, high, low, close, volume, close_time, funding_rate, ft IS NULL OR timestamp - ft > 28800000 AS funding_rate_stale, open_interest, ot IS NULL OR timestamp - ot > 300000 AS open_interest_stale,
@@ -317,8 +322,8 @@ def log_transform(spark, sf_dir):
 @register("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice > (SELECT median(l_extendedprice) FROM lineitem) THEN 1 ELSE 0 END AS y FROM lineitem")
 def thresholds_binarize(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    limit = F.broadcast(stats.thresholds(rows, ["l_extendedprice"]))  # one row
-    return rows.join(limit).select("l_orderkey", "l_linenumber", N.above(F.col("l_extendedprice"), F.col("l_extendedprice_threshold")).alias("y"))
+    limit = stats.threshold_values(rows, ["l_extendedprice"])["l_extendedprice"]
+    return rows.select("l_orderkey", "l_linenumber", N.above(F.col("l_extendedprice"), F.lit(limit).cast("double")).alias("y"))
 
 
 @register(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS std FROM {t}" for t, cs in (("lineitem", LINE), ("orders", ("o_totalprice", "o_custkey"))) for c in cs))
@@ -364,9 +369,9 @@ def dedupe_keep_first(spark, sf_dir):
 
 @register(f"WITH {TICKS}, d AS (SELECT symbol, timestamp - lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp, event_id) AS gap FROM t) SELECT symbol, max(gap) AS largest, CAST(sum(CASE WHEN gap > 3600000 THEN 1 ELSE 0 END) AS BIGINT) AS over_an_hour FROM d GROUP BY symbol")
 def gap_report(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("timestamp", "event_id")
-    gap = F.col("timestamp") - F.lag("timestamp").over(w)
-    return ticks(spark, sf_dir).select("symbol", gap.alias("gap")).groupBy("symbol").agg(F.max("gap").alias("largest"), F.sum(F.coalesce((F.col("gap") > HOUR).cast("long"), F.lit(0))).alias("over_an_hour"))
+    t = ticks(spark, sf_dir).withColumn("day", asof.time_slot(F.col("timestamp")))
+    rows = asof.lagged(t, ["symbol"], "day", [F.col("timestamp"), F.col("event_id")], {"before": F.col("timestamp")})
+    return rows.select("symbol", (F.col("timestamp") - F.col("before")).alias("gap")).groupBy("symbol").agg(F.max("gap").alias("largest"), F.sum(F.coalesce((F.col("gap") > HOUR).cast("long"), F.lit(0))).alias("over_an_hour"))
 
 
 @register(f"WITH {TICKS}, d AS (SELECT symbol, timestamp, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) > 3600000 THEN 1 ELSE 0 END AS cut FROM t), s AS (SELECT symbol, timestamp, sum(cut) OVER (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS segment FROM d) SELECT symbol, CAST(segment AS BIGINT) AS segment, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS n_rows FROM s GROUP BY ALL")
@@ -569,8 +574,12 @@ def stream_bars_available_now(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import source_queries  # noqa: F401  registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import source_queries  # noqa: F401  registers its queries
+
     return dict(_sql)

@@ -10,17 +10,22 @@ from pyspark.sql.types import NumericType, StringType, StructField, StructType
 SCHEMAS = {
     "klines": ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "count", "taker_buy_volume", "taker_buy_quote_volume", "ignore"),
     "aggTrades": ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "transact_time", "is_buyer_maker"),
+    "trades": ("trade_id", "price", "qty", "quote_qty", "time", "is_buyer_maker"),
     "funding": ("calc_time", "funding_interval_hours", "last_funding_rate"),
+    "open_interest": ("create_time", "symbol", "sum_open_interest", "sum_open_interest_value"),
 }
 RENAMES = {
     "klines": {"open_time": "timestamp"},
     "aggTrades": {"transact_time": "timestamp"},
+    "trades": {"time": "timestamp"},
     "funding": {"calc_time": "timestamp", "last_funding_rate": "funding_rate"},
-    "open_interest": {"create_time": "timestamp", "sum_open_interest": "open_interest", "sum_open_interest_value": "open_interest_value"},
+    "open_interest": {"create_time": "timestamp", "symbol": "base_symbol", "sum_open_interest": "open_interest", "sum_open_interest_value": "open_interest_value"},
 }
 TIME_NAMES = ("open_time", "openTime", "transact_time", "time", "calc_time", "fundingTime", "settlement_time")
 #: Folder of each dataset type at the archive site.
-REMOTE = {"klines": "klines", "funding": "fundingRate", "open_interest": "metrics", "aggTrades": "aggTrades", "depth": "bookDepth", "liquidations": "liquidationSnapshot"}
+REMOTE = {"klines": "klines", "funding": "fundingRate", "open_interest": "metrics", "aggTrades": "aggTrades", "trades": "trades", "depth": "depth", "liquidations": "liquidations"}
+#: Fixed value: the types that have an archive for each month; others have one for each day.
+MONTHLY = ("klines", "funding", "aggTrades", "trades")
 
 
 def has_header(line: str) -> bool:
@@ -136,14 +141,26 @@ def consolidate_daily(frames: list[DataFrame], keep: tuple[str, ...] = ("timesta
     return rows.select(*[c for c in keep if c in rows.columns]).sortWithinPartitions(*keys)
 
 
-def archive_url(base: str, market: str, dataset_type: str, symbol: Column, year: Column, month: Column, interval: str = "1m") -> Column:
-    """URLs of monthly archives. Futures lie under futures/um; bars have an interval folder."""
+def archive_url(base: str, market: str, dataset_type: str, symbol: Column, year: Column, month: Column, interval: str = "1m", day: Column | None = None) -> Column:
+    """URLs of monthly archives, or with `day` of daily ones. Futures lie under futures/um; bars have an interval folder."""
     remote = REMOTE[dataset_type]
     folder = "futures/um" if market == "futures" else market
-    parts = [F.lit(f"{base}/{folder}/monthly/{remote}/"), symbol]
+    parts = [F.lit(f"{base}/{folder}/{'monthly' if day is None else 'daily'}/{remote}/"), symbol]
     middle = f"/{interval}/" if dataset_type == "klines" else "/"
     name = interval if dataset_type == "klines" else remote
-    return F.concat(*parts, F.lit(middle), symbol, F.lit(f"-{name}-"), year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit(".zip"))
+    date = [year.cast("string"), F.lpad(month.cast("string"), 2, "0"), *([] if day is None else [F.lpad(day.cast("string"), 2, "0")])]
+    return F.concat(*parts, F.lit(middle), symbol, F.lit(f"-{name}-"), F.concat_ws("-", *date), F.lit(".zip"))
+
+
+def period_urls(spark: SparkSession, base: str, market: str, dataset_type: str, symbols: list[str], start: str, end: str, interval: str = "1m") -> DataFrame:
+    """symbol, year, month, day (null for monthly archives), url of every archive of a closed range of dates."""
+    monthly = dataset_type in MONTHLY
+    step = F.expr("INTERVAL 1 MONTH" if monthly else "INTERVAL 1 DAY")
+    first = F.trunc(F.lit(start).cast("date"), "month") if monthly else F.lit(start).cast("date")
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, symbols))).alias("symbol")).withColumn("d", F.explode(F.sequence(first, F.lit(end).cast("date"), step)))
+    day = None if monthly else F.dayofmonth("d")
+    url = archive_url(base, market, dataset_type, F.col("symbol"), F.year("d"), F.month("d"), interval, day)
+    return rows.select("symbol", F.year("d").alias("year"), F.month("d").alias("month"), (F.lit(None).cast("int") if monthly else day).alias("day"), url.alias("url"))
 
 
 def asset_rows(payload: DataFrame, column: str = "json") -> DataFrame:

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from barloom import queries
-from barloom.operators import align, asof, resample
+from barloom.config import WindowSpec
+from barloom.operators import align, asof, ranks, resample, stats, windows
 from barloom.sources import canonical
 
 
@@ -47,3 +48,34 @@ def test_filling_reuses_the_partitions_of_matching(spark):
 def test_range_filters_reach_the_events(spark, sf):
     p = plan(align.between(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id"), 5, 9, "user_id"))
     assert "GreaterThanOrEqual(user_id,5)" in p and "ReadSchema: struct<event_id:bigint,user_id:bigint>" in p
+
+
+def test_exact_quantiles_are_counted_by_range(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 100).cast("double").alias("x"), F.when(F.col("id") > 996, F.col("id") * 1.0).alias("few"), F.lit(None).cast("double").alias("none"))
+    found = ranks.order_statistics(rows, ["x", "few", "none"], [0.25, 0.5, 0.75])
+    p = plan(found)
+    assert "percentile" not in p and "SinglePartition" not in p
+    got = {(r["column"], r.share): (r.n, r.disc, r.cont) for r in found.collect()}
+    assert got[("x", 0.5)] == (1000, 49.0, 49.5) and got[("x", 0.25)] == (1000, 24.0, 24.75) and got[("few", 0.75)] == (3, 999.0, 998.5)
+    assert not [k for k in got if k[0] == "none"]
+    fit = {r["column"]: (r.median, r.iqr) for r in stats.robust_fit(rows, ["few", "none"]).collect()}
+    assert fit == {"few": (998.0, 1.0), "none": (0.0, 1.0)}
+
+
+def test_windows_gather_their_own_rows(spark):
+    rows = spark.range(100).select(F.lit("k").alias("symbol"), (F.col("id") * 60_000).alias("timestamp"), F.array(F.col("id").cast("float")).alias("features"), F.array(F.lit(True)).alias("feature_mask"))
+    spec = WindowSpec(length=5, stride=3)
+    a, b = (windows.create_windows(rows, spec, gather=g) for g in ("frames", "slice"))
+    assert "collect_list" in plan(a) and "start_index" in re.search(r"ObjectHashAggregate\(keys=\[([^\]]*)\]", plan(a))[1]
+    assert a.count() == 32 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_lags_run_in_slots_of_time(spark):
+    rows = spark.range(50).select((F.col("id") % 1).cast("string").alias("symbol"), (F.col("id") * 7_000_000).alias("timestamp"), F.col("id"))
+    found = asof.lagged(rows.withColumn("day", asof.time_slot(F.col("timestamp"))), ["symbol"], "day", [F.col("timestamp")], {"before": F.col("id")})
+    assert sorted((r.id, r.before) for r in found.collect()) == [(i, i - 1 if i else None) for i in range(50)]
+    assert re.search(r"lag\(struct.*?windowspecdefinition\(symbol#\d+, day#\d+L, ", plan(found))
+
+
+def test_market_state_has_no_nested_loop(spark, sf):
+    assert "NestedLoop" not in plan(queries.queries()["market_state"](spark, sf)) and "Cartesian" not in plan(queries.queries()["market_state"](spark, sf))
