@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, filter_audit, langid, licenses, mixing, quality, simhash, spelling, suffixes, toxicity, warc
+from . import decontaminate, exact_dedup, filter_audit, langid, licenses, maxent, mixing, quality, simhash, spelling, suffixes, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.op8_langid,
         "op9_simhash": simhash.op9_simhash,
         "op10_mixing": mixing.op10_mixing,
+        "op11_lm_score": maxent.op11_lm_score,
         "op12_spelling": spelling.op12_spelling,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
