@@ -4,8 +4,8 @@ Candidates come from a prefix filter on bigrams. One edit breaks at most two big
 ordered from the globally rarest on, two words at one edit share a bigram among the three rarest of each (and further places
 of the third), at places that differ by no more than the lengths do. What is left of such a bigram or what is right of it
 is the same in both words, as the edit lies on one side. So each of the three rarest files its word twice: under the letters
-up to its end, and under those from its start on. Words meet by equal halves and fitting lengths only, and the distance is
-verified within the join: what comes out of it are links.
+up to its end, and under those from its start on. Words meet by equal halves and fitting lengths only; those with letters that
+one edit does not explain are passed over, and the distance is verified within the join: what comes out of it are links.
 """
 
 from __future__ import annotations
@@ -79,32 +79,82 @@ def count_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
-def prefixes(words: DataFrame) -> DataFrame:
-    """(word, p): the places, from 1, of a word's PREFIX rarest bigrams, and of others equal to the last of these.
+def bigram_order(words: DataFrame) -> dict[str, int]:
+    """Each bigram of `words` (word) and its place from the globally rarest on. There are at most the square of the alphabet, some
+    8,000, in each task and on the driver."""
 
-    Bigrams are ordered by how many places in all `words` they have. There are at most the square of the alphabet, some 8,000
-    rows, which are broadcast.
-    """
-    grams = words.select("word", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("p", "gram"))
-    order = grams.groupBy("gram").agg(F.count("*").alias("places"))
-    ranked = grams.join(F.broadcast(order), "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("places", "gram", (F.col("p") + 1).alias("p")))).alias("grams"))
-    last = F.col("grams")[F.least(F.size("grams"), F.lit(PREFIX)) - 1]
-    kept = F.filter("grams", lambda g: F.struct(g["places"], g["gram"]) <= F.struct(last["places"], last["gram"]))
-    return ranked.select("word", F.explode(kept["p"]).alias("p"))
+    def run(batches):
+        import pyarrow as pa
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                counts.update(map(str.__add__, word, word[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+    found = words.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return {r.gram: i for i, r in enumerate(sorted(found, key=lambda r: (r.n, r.gram)))}
+
+
+def prefix(word: str, order: dict[str, int]) -> list[int]:
+    """The places, from 0, of a word's PREFIX rarest bigrams, and of others equal to the last of these."""
+    ranked = sorted((order[gram], p) for p, gram in enumerate(map(str.__add__, word, word[1:])))
+    last = ranked[min(len(ranked), PREFIX) - 1][0]
+    return [p for rank, p in ranked if rank <= last]
+
+
+def letters_of(word: str) -> int:
+    """64 bits: which letters a word has, and which an odd number of times, both modulo 32. One edit changes at most four."""
+    have = odd = 0
+    for c in map(ord, word):
+        have |= 1 << c % 32
+        odd ^= 1 << c % 32
+    return have | odd << 32
+
+
+def _filed(order: dict[str, int]):
+    """For a function over Arrow batches: the halves beside each of a word's rarest bigrams, by hash, with the word's letters."""
+
+    def halves(word: str, ends: list[int], seed: int):
+        """Hashes of the first `end` letters for each of `ends`, each letter read once."""
+        import xxhash
+
+        state, at = xxhash.xxh64(seed=seed), 0
+        for end in sorted(ends):
+            state.update(word[at:end].encode())
+            at = end
+            yield state.intdigest()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            words, keys, letters = [], [], []
+            for word in batch.column("word").to_pylist():
+                places, back = prefix(word, order), len(word)
+                own = {*halves(word, [p + 2 for p in places], 0), *halves(word[::-1], [back - p for p in places], 1)}
+                keys += own
+                words += [word] * len(own)
+                letters += [letters_of(word)] * len(own)
+            arrays = [pa.array([x - (x >> 63 << 64) for x in found], pa.int64()) for found in (keys, letters)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *arrays], names=["word", "key", "letters"])
+
+    return run
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of `words` (word, n), distinct words of four letters or more, that are one inserted, deleted or
     replaced letter apart. With both counts, na and nb. Each pair once: the shorter is a, of equal lengths the smaller.
 
-    No pair that is farther apart leaves the join, however many words meet under one key. Bounded by the links themselves.
+    No pair that is farther apart leaves the join, however many words meet under one key; those whose letters differ in too many
+    ways are not even compared. Bounded by the links themselves.
     """
-    halves = F.array(F.xxhash64(F.lit(0), F.substr("word", F.lit(1), F.col("p") + 1)), F.xxhash64(F.lit(1), F.substr("word", F.col("p"))))
-    filed = durable(prefixes(words).select("word", F.explode(halves).alias("key")).distinct())
-    longer = filed.select(F.col("key").alias("half"), F.length("word").alias("letters"), F.col("word").alias("b"))
-    asked = filed.select("key", F.explode(F.array(F.length("word"), F.length("word") + 1)).alias("size"), F.col("word").alias("a"))
-    same = (F.col("size") > F.length("a")) | (F.col("a") < F.col("b"))
-    met = asked.join(longer, (F.col("key") == F.col("half")) & (F.col("size") == F.col("letters")) & same & (F.levenshtein("a", "b", 1) == 1))
+    filed = durable(words.select("word").mapInArrow(_filed(bigram_order(words)), "word string, key long, letters long"))
+    longer = filed.select(F.col("key").alias("half"), F.length("word").alias("length"), F.col("word").alias("b"), F.col("letters").alias("others"))
+    asked = filed.select("key", F.explode(F.array(F.length("word"), F.length("word") + 1)).alias("size"), F.col("word").alias("a"), "letters")
+    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("others"))) <= 4
+    once = (F.col("size") > F.length("a")) | (F.col("a") < F.col("b"))
+    met = asked.join(longer, (F.col("key") == F.col("half")) & (F.col("size") == F.col("length")) & alike & once & (F.levenshtein("a", "b", 1) == 1))
     pairs = met.select("a", "b").distinct()
     a, b = (words.select(F.col("word").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b")
