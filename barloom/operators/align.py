@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FUNDING, OPEN_INTEREST, AlignmentPolicy, frequency_ms
 from ..functions.time import bucket, calendar_fields
 from .asof import DAY_MS, asof, asof_filled, forward_fill, running_last
+from .stats import thresholds
 
 MINUTE_MS = 60_000
 #: Modalities that a contract may name but that this alignment does not take.
@@ -30,7 +31,8 @@ def known_at(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     if "close_time" in bars.columns:
         return bars.withColumn("timestamp", F.col("close_time").cast("long"))
     gap = F.col("timestamp") - F.lag("timestamp").over(Window.partitionBy(*keys).orderBy("timestamp"))
-    gaps = bars.select(*keys, gap.alias("_gap")).groupBy(*keys).agg(F.greatest(F.coalesce(F.floor(F.percentile("_gap", F.lit(0.5))), F.lit(0)), F.lit(MINUTE_MS)).cast("long").alias("_gap"))
+    medians = thresholds(bars.select(*keys, gap.alias("gap")), ["gap"], list(keys))
+    gaps = medians.select(*keys, F.greatest(F.coalesce(F.floor("gap_threshold"), F.lit(0)), F.lit(MINUTE_MS)).cast("long").alias("_gap"))
     return bars.join(gaps, list(keys)).withColumn("timestamp", F.col("timestamp") + F.col("_gap") - 1).drop("_gap")
 
 

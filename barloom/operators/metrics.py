@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, distance, dot, doubles, norm
-from .ranks import ranged
+from ..storage import durable
+from .ranks import numbered, ranged
 from .stats import threshold_values
 from .windows import with_next
 
@@ -51,24 +51,6 @@ def evaluate_task(frame: DataFrame, label: str, majority_class: int, with_persis
     return recall.groupBy("baseline").agg(F.avg("recall").alias("balanced_accuracy"))
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
-    """(query, neighbour, similarity, rank): for each query the k nearest of `base` by cosine, itself left out; ties go to the
-    smaller id.
-
-    `base` is dealt into blocks, each met by all queries; each block keeps k for each query before any are brought together,
-    so what is shuffled is k rows for each query and block. Queries are a stated set: give a part of the rows for more.
-    """
-    unit = F.transform(doubles(F.col(vector)), lambda x: x / (norm(F.col(vector)) + 1e-12))
-    q = queries.select(F.col(vec_id).alias("query"), unit.alias("q"))
-    b = base.select(F.col(vec_id).alias("neighbour"), unit.alias("v"), F.pmod(F.xxhash64(vec_id), F.lit(blocks)).alias("block"))
-    met = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(b, "block").filter("query != neighbour")
-    scored = met.select("query", "block", "neighbour", F.round(dot(F.col("q"), F.col("v")), 12).alias("similarity"))
-    near = F.row_number().over(Window.partitionBy("query", "block").orderBy(F.desc("similarity"), "neighbour"))
-    best = scored.withColumn("r", near).filter(F.col("r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "neighbour", "similarity", "rank")
-
-
 def retrieval_rates(near: DataFrame, labels: DataFrame, vec_id: str = "vec_id", label: str = "label") -> DataFrame:
     """One row: the shares of neighbours with the query's label and with another, to 4 places."""
     a = labels.select(F.col(vec_id).alias("query"), F.col(label).alias("own"))
@@ -88,27 +70,45 @@ def adjacent_cosines(frame: DataFrame, order: list[str], key: str = "symbol", ve
     return rows.filter(F.col(f"next_{key}") == F.col(key)).select(key, *[c for c in order if c != key], cosine(F.col(vector), F.col(f"next_{vector}")).alias("cosine"))
 
 
-def random_pairs(frame: DataFrame, limit: int, key: str = "symbol", vec_id: str = "vec_id", seed: int = 0) -> DataFrame:
-    """(a, b): up to `limit` pairs of different rows of one key: neighbours, within each key, of a seeded sample of 2 * limit rows."""
-    sample = frame.select(key, vec_id).orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id).limit(2 * limit)
-    w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id)
-    rows = sample.select(key, F.col(vec_id).alias("a"), F.lead(vec_id).over(w).alias("b")).filter("b IS NOT NULL")
-    return rows.orderBy(F.xxhash64(F.lit(seed + 1), "a", "b"), "a", "b").limit(limit).select("a", "b")
+#: Random pairs wanted for each row and in all, and draws for them.
+PAIRS_EACH, MOST_PAIRS, DRAWS = 10, 10_000, 100_000
+
+
+def drawn(n: int, draw: Column, side: str, seed: int) -> Column:
+    """A number below `n` from the md5 of seed, draw and side, so that any engine draws alike."""
+    text = F.concat(F.lit(f"{seed}:"), draw.cast("string"), F.lit(f":{side}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % n
+
+
+def random_pairs(frame: DataFrame, key: str = "symbol", vec_id: str = "vec_id", vector: str = "embedding", seed: int = 0, draws: int = DRAWS) -> DataFrame:
+    """(draw, a, b, va, vb): ids and vectors of pairs of different rows of one key. Both rows of each of `draws` draws are any of all
+    rows; those of two keys, or twice one row, are passed over, and of the others the first PAIRS_EACH for each row, MOST_PAIRS
+    in all, are kept.
+
+    Rows are numbered in the order of vec_id, in slots; the drawn numbers, twice `draws` at most, are looked up by a broadcast.
+    """
+    rows = durable(numbered(frame.select(F.col(key).alias("key"), F.col(vec_id).alias("id"), F.col(vector).alias("v")), "id"))
+    n = rows.count()
+    made = frame.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    made = made.select("draw", drawn(n, F.col("draw"), "a", seed).alias("ia"), drawn(n, F.col("draw"), "b", seed).alias("ib")).filter("ia != ib")
+    wanted = made.select(F.explode(F.array("ia", "ib")).alias("_n")).distinct()
+    own = durable(rows.join(F.broadcast(wanted), "_n"))
+    a, b = (own.select(F.col("_n").alias(f"i{x}"), F.col("id").alias(x), F.col("v").alias(f"v{x}"), F.col("key").alias(f"k{x}")) for x in "ab")
+    same = made.join(a, "ia").join(b, "ib").filter("ka = kb")
+    return same.orderBy("draw").limit(min(MOST_PAIRS, PAIRS_EACH * n)).select("draw", "a", "b", "va", "vb")
 
 
 def temporal_consistency(frame: DataFrame, order: list[str], key: str = "symbol", vector: str = "embedding", vec_id: str = "vec_id", seed: int = 0, least_rows: int = 100) -> DataFrame:
     """One row: adjacent and random mean cosine, the adjacent ones' population deviation, and the AUC that separates them (0.5
     if either side is missing). Fewer than `least_rows` rows are a ValueError."""
-    n = frame.count()
-    if n < least_rows:
+    if (n := frame.count()) < least_rows:
         raise ValueError(f"{n} rows, {least_rows} needed")
     near = adjacent_cosines(frame, order, key, vector).select("cosine", F.lit(1).alias("y"))
-    rows = frame.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"))
-    far = random_pairs(frame, min(10_000, 10 * n), key, vec_id, seed)
-    far = far.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select(cosine(F.col("va"), F.col("vb")).alias("cosine"), F.lit(0).alias("y"))
-    both = near.unionByName(far)
-    mean = both.agg(F.avg(F.when(F.col("y") == 1, F.col("cosine"))).alias("adjacent_mean"), F.stddev_pop(F.when(F.col("y") == 1, F.col("cosine"))).alias("adjacent_std"), F.avg(F.when(F.col("y") == 0, F.col("cosine"))).alias("random_mean"))
-    return mean.join(roc_auc(both, "y", "cosine").select(F.coalesce("auc", F.lit(0.5)).alias("separation_auc")))
+    far = random_pairs(frame, key, vec_id, vector, seed).select(cosine(F.col("va"), F.col("vb")).alias("cosine"), F.lit(0).alias("y"))
+    both = durable(near.unionByName(far))
+    auc = roc_auc(both, "y", "cosine").first().auc
+    of = {y: F.when(F.col("y") == y, F.col("cosine")) for y in (0, 1)}
+    return both.agg(F.avg(of[1]).alias("adjacent_mean"), F.stddev_pop(of[1]).alias("adjacent_std"), F.avg(of[0]).alias("random_mean"), F.lit(0.5 if auc is None else auc).alias("separation_auc"))
 
 
 def norm_regime(frame: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -123,43 +123,65 @@ def contingency(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mutual_information(table: DataFrame) -> DataFrame:
-    """One row: MI and both entropies (nats) of a contingency table (a, b, n)."""
-    def entropy(c: str, name: str) -> DataFrame:
-        sums = table.groupBy(c).agg(F.sum("n").alias("s"))
-        return sums.agg((F.log(F.sum("s")) - F.sum(F.col("s") * F.log("s")) / F.sum("s")).alias(name))
-
-    joint = table.agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("hab"))
-    both = entropy("a", "h_a").join(entropy("b", "h_b")).join(joint)
-    return both.select((F.col("h_a") + F.col("h_b") - F.col("hab")).alias("mi"), "h_a", "h_b")
-
-
-def adjusted_mutual_info(table: DataFrame, most_cells: int = 1_000_000) -> float:
-    """AMI, with the arithmetic mean of entropies, of a contingency table. It comes to the driver, its size checked."""
-    cells = table.limit(most_cells + 1).collect()
-    if len(cells) > most_cells:
-        raise ValueError(f"more than {most_cells} cells")
-    rows: dict = {}
-    columns: dict = {}
-    for c in cells:
-        rows[c["a"]] = rows.get(c["a"], 0) + c["n"]
-        columns[c["b"]] = columns.get(c["b"], 0) + c["n"]
-    total = sum(rows.values())
-    if not total or (len(rows) == len(columns) == 1) or (len(rows) == len(columns) == total):
-        return 1.0
+    """One row: mi and both entropies (nats), h_a and h_b, of a contingency table (a, b, n)."""
+    sums = table.groupBy("a").agg(F.sum("n").alias("s")).select(F.lit("a").alias("of"), "s")
+    sums = sums.unionByName(table.groupBy("b").agg(F.sum("n").alias("s")).select(F.lit("b").alias("of"), "s")).unionByName(table.select(F.lit("ab").alias("of"), F.col("n").alias("s")))
+    entropies = sums.groupBy("of").agg((F.log(F.sum("s")) - F.sum(F.col("s") * F.log("s")) / F.sum("s")).alias("h"))
+    both = entropies.agg(*[F.max(F.when(F.col("of") == of, F.col("h"))).alias(f"h_{of}") for of in ("a", "b", "ab")])
+    return both.select((F.col("h_a") + F.col("h_b") - F.col("h_ab")).alias("mi"), "h_a", "h_b")
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of numbers of 1 and more: Stirling's series eight places on, to some 1e-12."""
+    y, shift = x + 8, x
+    for i in range(1, 8):
+        shift = shift * (x + i)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - F.log(shift)
+
 
-    def entropy(sums) -> float:
-        return -sum(s / total * log(s / total) for s in sums)
+#: Different sums of rows or columns of a contingency table: they come to the driver.
+MOST_SUMS = 10_000
+#: Counts that are tried at once for two sums.
+COUNTS = 10_000
 
-    mi = sum(c["n"] / total * log(total * c["n"] / (rows[c["a"]] * columns[c["b"]])) for c in cells)
-    expected = 0.0
-    for a in rows.values():
-        for b in columns.values():
-            fixed = lgamma(a + 1) + lgamma(b + 1) + lgamma(total - a + 1) + lgamma(total - b + 1) - lgamma(total + 1)
-            for n in range(max(1, a + b - total), min(a, b) + 1):
-                chance = exp(fixed - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(total - a - b + n + 1))
-                expected += n / total * log(total * n / (a * b)) * chance
-    mean = (entropy(rows.values()) + entropy(columns.values())) / 2
-    return (mi - expected) / (mean - expected) if mean != expected else 1.0
+
+def expected_mutual_information(table: DataFrame) -> float:
+    """The mean mutual information (nats) of contingency tables with the row and column sums of `table` (a, b, n).
+
+    Equal sums are worked out once. Each pair of sums is rows of COUNTS possible counts; those beyond 40 and a dozen deviations from the
+    mean, which have no weight that a double could show, are not tried.
+    """
+    sums = {}
+    for of in ("a", "b"):
+        per = table.groupBy(of).agg(F.sum("n").cast("double").alias("s")).groupBy("s").agg(F.count("*").alias("k"))
+        sums[of] = per.limit(MOST_SUMS + 1).collect()
+        if len(sums[of]) > MOST_SUMS:
+            raise ValueError(f"more than {MOST_SUMS} different sums")
+    total = sum(r.s * r.k for r in sums["a"])
+    a, b = (F.from_json(F.lit(json.dumps([{"s": r.s, "k": r.k} for r in sums[of]])), "array<struct<s:double,k:long>>") for of in ("a", "b"))
+    n = F.lit(float(total))
+    rows = table.sparkSession.range(1).select(F.explode(a).alias("a")).repartition(max(1, min(len(sums["a"]), 200))).select("a", F.explode(b).alias("b"))
+    rows = rows.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), (F.col("a.k") * F.col("b.k")).alias("k"))
+    mean = F.col("a") * F.col("b") / n
+    around = 40 + 12 * F.sqrt(mean * (1 - F.col("a") / n) * (1 - F.col("b") / n))
+    rows = rows.withColumns({"low": F.ceil(F.greatest(F.lit(1.0), F.col("a") + F.col("b") - n, mean - around)), "high": F.floor(F.least("a", "b", mean + around))}).filter("low <= high")
+    rows = rows.withColumn("from", F.explode(F.sequence("low", "high", F.lit(COUNTS).cast("long"))))
+    rows = rows.withColumn("n", F.explode(F.sequence("from", F.least(F.col("from") + COUNTS - 1, "high"))))
+    x = F.col("n").cast("double")
+    chance = F.exp(log_gamma(F.col("a") + 1) + log_gamma(F.col("b") + 1) + log_gamma(n - F.col("a") + 1) + log_gamma(n - F.col("b") + 1) - log_gamma(n + 1) - log_gamma(x + 1) - log_gamma(F.col("a") - x + 1) - log_gamma(F.col("b") - x + 1) - log_gamma(n - F.col("a") - F.col("b") + x + 1))
+    return rows.agg(F.sum(F.col("k") * x / n * F.log(n * x / (F.col("a") * F.col("b"))) * chance)).first()[0] or 0.0
+
+
+def adjusted_mutual_info(table: DataFrame) -> float:
+    """AMI, with the arithmetic mean of entropies, of a contingency table (a, b, n). 1 of no rows, of one class on both sides, and of
+    classes that are all single rows."""
+    table = durable(table)
+    total, cells, rows, columns = table.agg(F.sum("n"), F.count("*"), F.countDistinct("a"), F.countDistinct("b")).first()
+    if not total or rows == columns == 1 or rows == columns == total:
+        return 1.0
+    held = mutual_information(table).first()
+    expected, mean = expected_mutual_information(table), (held.h_a + held.h_b) / 2
+    return (held.mi - expected) / (mean - expected) if mean != expected else 1.0
 
 
 def silhouette(frame: DataFrame, cluster: str = "cluster", vector: str = "embedding", vec_id: str = "vec_id", rows: int = 8000, seed: int = 0) -> DataFrame:
@@ -240,9 +262,11 @@ def probe(fit: DataFrame, frame: DataFrame, label: str = "y", vector: str = "emb
     """One row: balanced accuracy and accuracy of an unscaled linear probe, and the accuracy of the fit rows' majority class."""
     from .stats import majority
 
-    pred = logistic(fit, frame, label, vector, scale=False)
     top = majority(fit, label).first()["majority"]
-    return balanced_accuracy(pred, label, "pred").join(accuracy(pred, label, "pred")).join(frame.agg(F.avg((F.col(label) == top).cast("double")).alias("majority_accuracy")))
+    hit = (F.col(label) == F.col("pred")).cast("long")
+    by_class = logistic(fit, frame, label, vector, scale=False).groupBy(label).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    n = F.sum("n")
+    return by_class.agg(F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy"), (F.sum("hits") / n).alias("accuracy"), (F.sum(F.when(F.col(label) == top, F.col("n")).otherwise(0)) / n).alias("majority_accuracy"))
 
 
 def masked_loss(frame: DataFrame, loss: str = "loss", mask: str = "mask", keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def subsample(frame: DataFrame, n: int, ids: list[str], keys: list[str] | None = None, seed: int = 0) -> DataFrame:
     """At most n rows (for each key), all subsets being as likely; the rows' own order is that of `ids`."""
@@ -19,23 +21,13 @@ def epoch_order(frame: DataFrame, ids: list[str], seed: int, epoch: int) -> Data
     return frame.orderBy(F.xxhash64(F.lit(seed + epoch), *ids), *ids)
 
 
-def batches(frame: DataFrame, size: int, order: list, drop_last: bool = False, slots: int = 256) -> DataFrame:
-    """`frame` with batch, numbered in `order`; drop_last leaves out a last batch that is not full.
-
-    `order` begins with an integer column or hash expression; its slots are numbered first, so no window holds all rows.
-    """
-    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    rows = frame.withColumn("_o", first.cast("long"))
-    low, high, total = rows.agg(F.min("_o"), F.max("_o"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // slots))
-    rows = rows.withColumn("_slot", F.floor((F.col("_o").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("int"))
-    ahead = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_slot").orderBy("_o", *order[1:])) - 1
-    rows = rows.withColumn("_at", place).join(F.broadcast(starts), "_slot").withColumn("batch", F.floor((F.col("_at") + F.col("_before")) / size).cast("long"))
+def batches(frame: DataFrame, size: int, order: list, drop_last: bool = False) -> DataFrame:
+    """`frame` with batch, numbered in `order` (names, or a column first); drop_last leaves out a last batch that is not full."""
+    rows = frame.withColumn("_o", order[0] if isinstance(order[0], Column) else F.col(order[0]))
+    rows = numbered(rows, "_o", *order[1:]).withColumn("batch", F.floor(F.col("_n") / size).cast("long"))
     if drop_last:
-        rows = rows.filter(F.col("batch") < total // size)
-    return rows.drop("_o", "_slot", "_before", "_at")
+        rows = rows.filter(F.col("batch") < rows.count() // size)
+    return rows.drop("_o", "_n")
 
 
 def random_mask(length: Column, ratio: float, key: Column, seed: int = 0) -> Column:

@@ -91,12 +91,16 @@ class Normalizer:
 
 
 def thresholds(frame: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Exact medians (the mean of the middle two) of each column: `<column>_threshold`. One row, or one for each of `keys`, of
-    which each is then a task's."""
-    if keys:
-        return frame.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_threshold") for c in columns])
-    found = order_statistics(frame, columns, [0.5])
-    return found.agg(*[F.max(F.when(F.col("column") == c, F.col("cont"))).alias(f"{c}_threshold") for c in columns])
+    """Exact medians (the mean of the middle two) of each column: `<column>_threshold`. One row, or one for each of `keys`, null
+    keys included."""
+    medians = [F.max(F.when(F.col("column") == c, F.col("cont"))).alias(f"{c}_threshold") for c in columns]
+    found = order_statistics(frame, columns, [0.5], tuple(keys or ()))
+    if not keys:
+        return found.agg(*medians)
+    names = [f"_{k}" for k in keys]
+    held = frame.select(*keys).distinct().toDF(*names)
+    same = F.struct(*keys) == F.struct(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)])
+    return held.join(found.groupBy(*keys).agg(*medians), same, "left").select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[f"{c}_threshold" for c in columns])
 
 
 def threshold_values(frame: DataFrame, columns: list[str]) -> dict[str, float | None]:

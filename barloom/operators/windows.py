@@ -17,14 +17,14 @@ from .ranks import ranged
 MINUTE_MS = 60_000
 
 
-def check_increasing(frame: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> None:
-    """Raises ValueError, with the first ten places, if times of a key do not strictly increase in the order of `timestamp`:
-    that is, if any repeats or is null."""
-    order = Window.partitionBy(*keys).orderBy("timestamp")
-    rows = frame.select(*keys, "timestamp", (F.row_number().over(order) - 1).alias("at"), (F.col("timestamp") - F.lag("timestamp").over(order)).alias("delta"))
-    bad = rows.filter("delta <= 0 OR timestamp IS NULL").orderBy(*keys, "at").limit(10).collect()
+def check_increasing(frame: DataFrame, keys: tuple[str, ...] = ("symbol",), slot_ms: int = DAY_MS) -> None:
+    """Raises ValueError, with the first ten such times, if times of a key do not strictly increase in the order of `timestamp`: that
+    is, if any repeats or is null. Lags run in slots of time, so a key's rows are as many tasks as it has slots."""
+    rows = frame.select(*keys, "timestamp").withColumn("_slot", time_slot(F.col("timestamp"), slot_ms))
+    rows = lagged(rows, list(keys), "_slot", [first_if_null(F.col("timestamp"))], {"_last": F.col("timestamp")})
+    bad = rows.filter("timestamp - _last <= 0 OR timestamp IS NULL").orderBy(*keys, "timestamp").limit(10).collect()
     if bad:
-        raise ValueError("non-positive delta at " + ", ".join(f"{tuple(r[k] for k in keys)}:{r['at']}" for r in bad))
+        raise ValueError("non-positive delta at " + ", ".join(f"{tuple(r[k] for k in keys)}:{r['timestamp']}" for r in bad))
 
 
 def window_starts(frame: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -59,23 +59,16 @@ def position_mask(times: Column, feature_mask: Column) -> Column:
     return F.when(F.size(times) > 1, F.zip_with(seen, wide, lambda s, w: s & ~w)).otherwise(seen)
 
 
-def create_windows(features: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",), gather: str = "frames") -> DataFrame:
-    """One row for each window: keys, features, feature_mask, timestamps, mask and metadata (see window_starts).
-
-    gather: frames (each accepted window collects its own rows) or slice (one array of each key's rows, for short series).
-    """
+def create_windows(features: DataFrame, spec: WindowSpec = WindowSpec(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row for each window: keys, features, feature_mask, timestamps, mask and metadata (see window_starts)."""
     starts = window_starts(features, spec, keys)
-    if gather == "frames":
-        # A row is in the windows that start at stride places up to length - 1 rows before it: it goes to each of them.
-        place = (F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")) - 1).cast("long")
-        rows = features.select(*keys, place.alias("_i"), F.struct("timestamp", "features", "feature_mask").alias("_row"))
-        least = F.greatest(F.ceil((F.col("_i") - spec.length + 1) / spec.stride), F.lit(0))
-        dealt = rows.filter(least <= F.floor(F.col("_i") / spec.stride)).select(*keys, "_row", F.explode(F.sequence(least, F.floor(F.col("_i") / spec.stride))).alias("_w"))
-        dealt = dealt.withColumn("start_index", F.col("_w") * spec.stride).groupBy(*keys, "start_index").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
-        found = starts.join(dealt, [*keys, "start_index"])
-    else:
-        series = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("timestamp", "features", "feature_mask"))).alias("series"))
-        found = starts.join(series, list(keys)).withColumn("rows", F.slice("series", F.col("start_index").cast("int") + 1, spec.length)).drop("series")
+    # A row is in the windows that start at stride places up to length - 1 rows before it: it goes to each of them.
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")) - 1).cast("long")
+    rows = features.select(*keys, place.alias("_i"), F.struct("timestamp", "features", "feature_mask").alias("_row"))
+    least = F.greatest(F.ceil((F.col("_i") - spec.length + 1) / spec.stride), F.lit(0))
+    dealt = rows.filter(least <= F.floor(F.col("_i") / spec.stride)).select(*keys, "_row", F.explode(F.sequence(least, F.floor(F.col("_i") / spec.stride))).alias("_w"))
+    dealt = dealt.withColumn("start_index", F.col("_w") * spec.stride).groupBy(*keys, "start_index").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+    found = starts.join(dealt, [*keys, "start_index"])
     meta = F.struct("start_index", "start_ts", "end_ts", "span_ms", "max_gap_ms", "min_gap_ms", "contiguous")
     return found.select(
         *keys, F.col("rows.features").alias("features"), F.col("rows.feature_mask").alias("feature_mask"), F.col("rows.timestamp").alias("timestamps"),

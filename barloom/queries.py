@@ -14,13 +14,15 @@ from .config import FUNDING, OPEN_INTEREST, ValidationRules, WindowSpec
 from .functions import numbers as N
 from .functions import vectors as V
 from .functions.time import calendar_fields, epoch_ms
-from .operators import align, asof, features, metrics, quality, resample, sampling, stats, windows
+from .operators import align, asof, features, metrics, nearest, quality, resample, sampling, stats, windows
 from .plans import catalog
 from .sources.calendar import calendar, grid
 
 HOUR = 3_600_000
 #: Ticks are about 22 minutes apart for each symbol at sf0.01, so windows are of hourly bars.
 SPEC = WindowSpec(length=8, stride=4, max_gap_ms=2 * HOUR)
+#: Cells that the index's queries meet first; the given vectors are random, and lie in no cells to speak of.
+INDEX_PROBES = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -86,18 +88,19 @@ def taker_volume_zero_filled(spark, sf_dir):
 
 
 def _two_sides(spark, sf_dir, injected: bool = False):
-    """Clicks, and errors as a sparse modality, all of one key; injected: every third error has a null value."""
+    """All symbols' ticks of even ids, and those of odd ids as a sparse modality of the same symbol; injected: every third of these
+    has a null value."""
     t = ticks(spark, sf_dir)
-    left = t.filter("symbol = 'click'").select(F.lit("k").alias("symbol"), "event_id", "timestamp", "price")
+    left = t.filter("event_id % 2 = 0").select("symbol", "event_id", "timestamp", "price")
     value = F.when(F.col("event_id") % 3 != 0, F.col("price")) if injected else F.col("price")
-    right = t.filter("symbol = 'error'").select(F.lit("k").alias("symbol"), F.col("event_id").alias("right_id"), "timestamp", value.alias("value"))
+    right = t.filter("event_id % 2 = 1").select("symbol", F.col("event_id").alias("right_id"), "timestamp", value.alias("value"))
     return left, right
 
 
-SIDES = f"WITH {TICKS}, l AS (SELECT event_id, timestamp, price FROM t WHERE symbol = 'click'), r AS (SELECT event_id AS right_id, timestamp AS rt, price AS value FROM t WHERE symbol = 'error')"
+SIDES = f"WITH {TICKS}, l AS (SELECT symbol, event_id, timestamp, price FROM t WHERE event_id % 2 = 0), r AS (SELECT symbol, max(event_id) AS right_id, timestamp AS rt, arg_max(price, event_id) AS value FROM t WHERE event_id % 2 = 1 GROUP BY symbol, timestamp)"
 
 
-@register(f"{SIDES} SELECT event_id, timestamp, rt AS match_timestamp, value, rt IS NULL OR timestamp - rt > 300000 AS stale FROM l ASOF LEFT JOIN r ON l.timestamp >= r.rt")
+@register(f"{SIDES} SELECT event_id, timestamp, rt AS match_timestamp, value, rt IS NULL OR timestamp - rt > 300000 AS stale FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.timestamp >= r.rt")
 def asof_backward_stale(spark, sf_dir):
     left, right = _two_sides(spark, sf_dir)
     found = asof.asof(left, right, ["symbol"], ["value"], tie="right_id")
@@ -105,25 +108,25 @@ def asof_backward_stale(spark, sf_dir):
     return found.select("event_id", "timestamp", "match_timestamp", "value", (age.isNull() | (age > 300_000)).alias("stale"))
 
 
-@register(f"{SIDES} SELECT event_id, timestamp, rt AS match_timestamp, value FROM l ASOF LEFT JOIN r ON l.timestamp <= r.rt")
+@register(f"{SIDES} SELECT event_id, timestamp, rt AS match_timestamp, value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.timestamp <= r.rt")
 def asof_forward(spark, sf_dir):
     left, right = _two_sides(spark, sf_dir)
     return asof.asof(left, right, ["symbol"], ["value"], tie="right_id", direction="forward").select("event_id", "timestamp", "match_timestamp", "value")
 
 
-@register(f"{SIDES} SELECT event_id, timestamp, CASE WHEN timestamp - rt <= 600000 THEN rt END AS match_timestamp, CASE WHEN timestamp - rt <= 600000 THEN value END AS value FROM l ASOF LEFT JOIN r ON l.timestamp >= r.rt")
+@register(f"{SIDES} SELECT event_id, timestamp, CASE WHEN timestamp - rt <= 600000 THEN rt END AS match_timestamp, CASE WHEN timestamp - rt <= 600000 THEN value END AS value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.timestamp >= r.rt")
 def asof_tolerance(spark, sf_dir):
     left, right = _two_sides(spark, sf_dir)
     return asof.asof(left, right, ["symbol"], ["value"], tie="right_id", tolerance_ms=600_000).select("event_id", "timestamp", "match_timestamp", "value")
 
 
-@register(f"{SIDES} SELECT event_id, rt AS match_timestamp, value FROM l ASOF LEFT JOIN r ON l.timestamp > r.rt")
+@register(f"{SIDES} SELECT event_id, rt AS match_timestamp, value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.timestamp > r.rt")
 def asof_strict_snapshot(spark, sf_dir):
     left, right = _two_sides(spark, sf_dir)
     return asof.asof(left, right, ["symbol"], ["value"], tie="right_id", strict=True).select("event_id", "match_timestamp", "value")
 
 
-@register(f"{SIDES}, m AS (SELECT event_id, timestamp, CASE WHEN right_id % 3 <> 0 THEN value END AS value FROM l ASOF LEFT JOIN r ON l.timestamp >= r.rt) SELECT event_id, timestamp, last_value(value IGNORE NULLS) OVER (ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM m")
+@register(f"{SIDES}, m AS (SELECT l.symbol, event_id, timestamp, CASE WHEN right_id % 3 <> 0 THEN value END AS value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.timestamp >= r.rt) SELECT event_id, timestamp, last_value(value IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM m")
 def ffill_after_match(spark, sf_dir):
     left, right = _two_sides(spark, sf_dir, injected=True)
     found = asof.asof(left, right, ["symbol"], ["value"], tie="right_id")
@@ -171,9 +174,16 @@ def calendar_fields_orders(spark, sf_dir):
     return o.select("o_orderkey", *[v.alias(k) for k, v in calendar_fields(epoch_ms(F.col("o_orderdate"))).items()])
 
 
-@register("SELECT count(*) AS n, min(timestamp) AS lo, max(timestamp) AS hi, CAST(sum(CASE WHEN isodow(d) >= 6 THEN 1 ELSE 0 END) AS BIGINT) AS weekend_minutes, CAST(sum(quarter(d)) AS BIGINT) AS quarters FROM (SELECT timestamp, make_timestamp(timestamp * 1000) AS d FROM (SELECT unnest(generate_series(1704067200000, 1735689540000, 60000)) AS timestamp))")
+@register("SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS quarter, CAST(CASE WHEN isodow(o_orderdate) >= 6 THEN 1 ELSE 0 END AS TINYINT) AS is_weekend, count(*) AS orders, CAST(sum(isodow(o_orderdate) - 1) AS BIGINT) AS days FROM orders GROUP BY ALL")
 def calendar_grid(spark, sf_dir):
-    return calendar(spark, 2024).agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.sum(F.col("is_weekend").cast("long")).alias("weekend_minutes"), F.sum(F.col("quarter").cast("long")).alias("quarters"))
+    """All orders on the minutes of their years' calendars."""
+    o = table(spark, sf_dir, "orders").select(epoch_ms(F.col("o_orderdate")).alias("at"))
+    low, high = o.agg(*[F.year(F.timestamp_millis(f("at"))) for f in (F.min, F.max)]).first()
+    minutes = None
+    for year in range(low, high + 1):
+        minutes = calendar(spark, year) if minutes is None else minutes.unionByName(calendar(spark, year))
+    on = o.withColumn("timestamp", F.floor(F.col("at") / 60_000) * 60_000).join(minutes, "timestamp")
+    return on.groupBy("year", "quarter", "is_weekend").agg(F.count("*").alias("orders"), F.sum(F.col("day_of_week").cast("long")).alias("days"))
 
 
 def _exploded(packed: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -220,9 +230,9 @@ def windows_gap_rejects(spark, sf_dir):
     return windows.rejected(hourly(spark, sf_dir), SPEC)
 
 
-def _windows(spark, sf_dir, gather: str = "slice") -> DataFrame:
+def _windows(spark, sf_dir) -> DataFrame:
     b = hourly(spark, sf_dir).withColumn("volume", F.when(F.col("volume") > 20, F.col("volume")))
-    return windows.create_windows(features.raw_features(b.select("symbol", "timestamp", "volume"), order=("volume",)), SPEC, gather=gather)
+    return windows.create_windows(features.raw_features(b.select("symbol", "timestamp", "volume"), order=("volume",)), SPEC)
 
 
 @register(f"{WINDOWS}, x AS (SELECT w.symbol, w.start_ts, r.timestamp, r.gap, r.i - w.i AS pos, r.volume > 20 AS seen FROM win w JOIN g r ON r.symbol = w.symbol AND r.i BETWEEN w.i AND w.i + 7), m AS (SELECT symbol, start_ts, median(gap) AS med FROM x WHERE pos < 7 GROUP BY ALL) SELECT x.symbol, x.start_ts, CAST(sum(CASE WHEN coalesce(seen, false) AND (pos = 7 OR gap <= 2 * floor(med)) THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS BIGINT) AS seen FROM x JOIN m USING (symbol, start_ts) GROUP BY ALL")
@@ -233,7 +243,7 @@ def window_position_mask(spark, sf_dir):
 
 @register(f"{WINDOWS} SELECT w.symbol, w.start_ts, list(r.timestamp ORDER BY r.timestamp) AS timestamps, CAST(max((r.timestamp - w.start_ts) // 60000) + 1 AS BIGINT) AS last_position FROM win w JOIN g r ON r.symbol = w.symbol AND r.i BETWEEN w.i AND w.i + 7 GROUP BY w.symbol, w.start_ts")
 def positions_minute(spark, sf_dir):
-    w = _windows(spark, sf_dir, "frames")
+    w = _windows(spark, sf_dir)
     return w.select("symbol", F.col("metadata.start_ts").alias("start_ts"), "timestamps", F.array_max(V.minute_positions(F.col("timestamps"))).alias("last_position"))
 
 
@@ -326,6 +336,12 @@ def thresholds_binarize(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", N.above(F.col("l_extendedprice"), F.lit(limit).cast("double")).alias("y"))
 
 
+@register("SELECT l_suppkey, round(median(l_extendedprice), 6) AS l_extendedprice_threshold, round(median(l_quantity), 6) AS l_quantity_threshold FROM lineitem GROUP BY l_suppkey")
+def medians_by_key(spark, sf_dir):
+    found = stats.thresholds(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], ["l_suppkey"])
+    return found.select("l_suppkey", *[F.round(c, 6).alias(c) for c in found.columns if c != "l_suppkey"])
+
+
 @register(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS std FROM {t}" for t, cs in (("lineitem", LINE), ("orders", ("o_totalprice", "o_custkey"))) for c in cs))
 def describe_numeric(spark, sf_dir):
     a = stats.describe(table(spark, sf_dir, "lineitem"), list(LINE))
@@ -424,13 +440,13 @@ def orphan_antijoin(spark, sf_dir):
     return catalog.orphans(files, files.filter("o_orderkey % 7 <> 0").select("path")).select("o_orderkey")
 
 
-KNN = "q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
+KNN = "q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
 
 
 def _near(spark, sf_dir) -> DataFrame:
-    """Queries are every tenth vector, against all: the operator's stated query set."""
+    """Queries are the vectors whose id is divisible by 50, against all: the operator's stated query set."""
     e = table(spark, sf_dir, "embeddings")
-    return metrics.neighbours(e.filter("vec_id % 10 = 0"), e)
+    return nearest.neighbours(e.filter("vec_id % 50 = 0"), e)
 
 
 @register(f"WITH {KNN} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
@@ -438,6 +454,22 @@ def topk_neighbors(spark, sf_dir):
     return _near(spark, sf_dir).select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
+@register(f"WITH {KNN} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
+def topk_neighbors_indexed(spark, sf_dir):
+    """The same through cells: a query meets the nearest ones, then those that may hold something nearer."""
+    e = table(spark, sf_dir, "embeddings")
+    found = nearest.search(nearest.build_index(e), e.filter("vec_id % 50 = 0"), exact=True)
+    return found.select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
+@register("SELECT 10 * count(*) AS pairs, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark, sf_dir):
+    """Of the exact neighbours, at least nine in ten are in the cells that are met first."""
+    e = table(spark, sf_dir, "embeddings")
+    found = nearest.search(nearest.build_index(e), e.filter("vec_id % 50 = 0"), probes=INDEX_PROBES)
+    return nearest.recall(found, _near(spark, sf_dir)).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @register(f"WITH {KNN} SELECT round(avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS same_rate, round(1 - avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS cross_rate FROM k")
 def knn_same_label_rate(spark, sf_dir):
     return metrics.retrieval_rates(_near(spark, sf_dir), table(spark, sf_dir, "embeddings"))
@@ -527,10 +559,19 @@ def random_projection(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.gaussian_projection(F.col("embedding"), 64).alias("projected"))
 
 
-@register()
+COSINE = "list_dot_product({0}, {1}) / ((sqrt(list_dot_product({0}, {0})) + 1e-8) * (sqrt(list_dot_product({1}, {1})) + 1e-8))"
+
+
+@register(f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings), n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT t, ('0x' || substr(md5('0:' || t || ':a'), 1, 15))::BIGINT % n AS ia, ('0x' || substr(md5('0:' || t || ':b'), 1, 15))::BIGINT % n AS ib FROM (SELECT unnest(range(100000)) AS t), n),
+f AS (SELECT {COSINE.format('a.v', 'b.v')} AS c FROM d JOIN e a ON a.i = ia JOIN e b ON b.i = ib WHERE ia <> ib AND a.label = b.label ORDER BY t LIMIT (SELECT least(10000, 10 * n) FROM n)),
+g AS (SELECT {COSINE.format('v', 'w')} AS c FROM (SELECT v, label, lead(v) OVER o AS w, lead(label) OVER o AS other FROM e WINDOW o AS (ORDER BY vec_id)) WHERE label = other)
+SELECT round((SELECT avg(c) FROM g), 6) AS adjacent_mean, round((SELECT stddev_pop(c) FROM g), 6) AS adjacent_std, round((SELECT avg(c) FROM f), 6) AS random_mean, round((SELECT avg(CASE WHEN g.c > f.c THEN 1.0 WHEN g.c = f.c THEN 0.5 ELSE 0.0 END) FROM f, g), 5) AS separation_auc""")
 def temporal_consistency(spark, sf_dir):
+    """Adjacent rows against random pairs of all rows, drawn by md5."""
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "symbol")
-    return metrics.temporal_consistency(e, ["vec_id"])
+    found = metrics.temporal_consistency(e, ["vec_id"])
+    return found.select(*[F.round(c, 5 if c == "separation_auc" else 6).alias(c) for c in found.columns])
 
 
 @register()
@@ -573,6 +614,37 @@ def stream_bars_available_now(spark, sf_dir):
     return available_now(spark, sf_dir, "events", lambda e: stream_bars(shape(e), "1 hour", None), "complete")
 
 
+LATE = "(SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 FROM events)"
+
+
+@register(f"WITH e AS (SELECT event_type AS symbol, event_id AS id, epoch_us(ts) AS us, value FROM events), l AS (SELECT * FROM e WHERE id % 2 = 0 AND us < {LATE}), r AS (SELECT symbol, us AS rus, arg_max(value, id) AS value FROM e WHERE id % 2 = 1 GROUP BY symbol, us) SELECT l.symbol, l.id, us, rus AS match_us, r.value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.us >= r.rus")
+def stream_asof_available_now(spark, sf_dir):
+    """Ticks of even ids as bars and those of odd ids as the sparse side, as one stream: what the watermark has passed."""
+    from .plans.streams import available_now
+    from .streaming.bars import stream_asof
+
+    def shape(e: DataFrame) -> DataFrame:
+        return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "bar").otherwise("sparse").alias("side"), F.col("event_id").alias("id"), "value")
+
+    found = available_now(spark, sf_dir, "events", lambda e: stream_asof(shape(e)))
+    return found.select("symbol", "id", F.unix_micros("ts").alias("us"), F.unix_micros("match_ts").alias("match_us"), "value")
+
+
+@register(f"""WITH e AS (SELECT event_type AS symbol, event_id AS id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, value FROM events), g AS (SELECT *, row_number() OVER w - 1 AS i, lead(ms) OVER w - ms AS gap FROM e WINDOW w AS (PARTITION BY symbol ORDER BY us, id)),
+x AS (SELECT symbol, i, ms AS start_ts, last_value(ms) OVER a AS end_ts, last_value(us) OVER a AS end_us, count(*) OVER a AS n, max(gap) OVER s AS max_gap, sum(value) OVER a AS total FROM g WINDOW a AS (PARTITION BY symbol ORDER BY us, id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), s AS (PARTITION BY symbol ORDER BY us, id ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
+SELECT symbol, i AS start_index, start_ts, end_ts, round(total, 6) AS total FROM x WHERE n = 8 AND i % 4 = 0 AND max_gap <= {2 * HOUR} AND end_us < {LATE}""")
+def stream_windows_available_now(spark, sf_dir):
+    """Windows over the stream of all ticks: those whose last tick the watermark has passed."""
+    from .plans.streams import available_now
+    from .streaming.bars import stream_windows
+
+    def shape(e: DataFrame) -> DataFrame:
+        return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
+
+    found = available_now(spark, sf_dir, "events", lambda e: stream_windows(shape(e), SPEC))
+    return found.select("symbol", "start_index", "start_ts", "end_ts", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 def queries() -> dict[str, Query]:
     from . import source_queries  # noqa: F401  registers its queries
 

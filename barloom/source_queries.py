@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .operators import align, features, metrics, quality, sampling, stats, windows
 from .plans import catalog
+from .queries import _windows as volume_windows
 from .queries import BUDGET, HOUR, LINE, NORMS, SCORED, SPEC, STATE, TICKS, WINDOWS, _files, _scored, _state, bars_sql, hourly, register, table, ticks
 from .sources import archives, canonical
 from .storage import fresh_dir
@@ -60,15 +61,19 @@ def canonical_range(spark, sf_dir):
     return found.select("symbol", "timestamp", *[F.round(c, 6).alias(c) for c in BARS])
 
 
-@register("SELECT 2 * count(*) AS files, true AS whole FROM (SELECT 1)")
+@register("SELECT n_nationkey AS nation, sha256(n_name || ': ' || n_regionkey || chr(10)) AS sha256, true AS ok, false AS other_ok FROM nation")
 def checksums(spark, sf_dir):
-    """Digests of two tables' files, compared with themselves in another writing."""
-    found = None
-    for name in ("region", "nation"):
-        own = canonical.file_hashes(spark, f"{sf_dir}/{name}.parquet")
-        found = own if found is None else found.unionByName(own)
-    matches = canonical.checksum_matches(found, found.select("path", F.concat(F.lit("sha256:"), F.upper("sha256")).alias("sha256")))
-    return matches.agg(F.count("*").alias("files"), F.min("ok").alias("whole"))
+    """Digests of a file for each nation, held against those that SQL gives of the text, and against another's."""
+    folder = fresh_dir(spark, "texts")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(": "), F.col("n_regionkey").cast("string")).alias("value"))
+    rows.repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    found = canonical.file_hashes(spark, f"{folder}/*/part-*")
+    nation = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int")
+    texts = rows.select(F.col("n_nationkey").cast("int").alias("nation"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("want"))
+    known = found.select("path", nation.alias("nation")).join(texts, "nation")
+    right = canonical.checksum_matches(found, known.select("path", F.concat(F.lit("sha256:"), F.upper("want")).alias("sha256"))).select("path", "ok")
+    wrong = canonical.checksum_matches(found, known.select("path", F.sha2("want", 256).alias("sha256"))).select("path", F.col("ok").alias("other_ok"))
+    return found.join(right, "path").join(wrong, "path").select(nation.alias("nation"), "sha256", "ok", "other_ok")
 
 
 @register("SELECT symbol, year, month, day, 'http://x/futures/um/daily/metrics/' || symbol || '/' || symbol || '-metrics-' || strftime(d, '%Y-%m-%d') || '.zip' AS url FROM (SELECT symbol, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(day(d) AS INT) AS day, d FROM (SELECT DISTINCT event_type AS symbol FROM events), (SELECT unnest(generate_series(DATE '2024-01-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS d))")
@@ -196,9 +201,12 @@ def robust_apply(spark, sf_dir):
     return stats.Normalizer("robust").fit(rows, ["l_extendedprice"]).transform(rows).withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
-@register("SELECT count(*) AS columns FROM (VALUES " + ", ".join(f"('{c}')" for c in (*LINE, "l_tax", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")) + ")")
+@register(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(sum(CAST({c} AS DOUBLE)), 2) AS total FROM lineitem" for c in (*LINE, "l_tax", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
 def numeric_columns(spark, sf_dir):
-    return spark.createDataFrame([(len(stats.numeric_columns(table(spark, sf_dir, "lineitem"))),)], "columns long")
+    """Counts and sums of whatever columns of lineitem are numeric."""
+    rows = table(spark, sf_dir, "lineitem")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in stats.numeric_columns(rows)])
+    return rows.select(F.explode(each).alias("e")).groupBy("e.column").agg(F.count("e.x").alias("n"), F.round(F.sum("e.x"), 2).alias("total"))
 
 
 @register(f"{WINDOWS} SELECT CAST(count(*) // 8 AS BIGINT) AS batches, CASE WHEN count(*) >= 8 THEN 8 END AS smallest, CASE WHEN count(*) >= 8 THEN 8 END AS largest, CAST(count(*) // 8 * 8 AS BIGINT) AS windows FROM win")
@@ -218,3 +226,73 @@ def pca_properties(spark, sf_dir):
     total = sum(s * s for s in metrics.scaling(e)[1])
     x, y = F.var_pop("x"), F.var_pop("y")
     return found.agg(F.count("*").alias("vectors"), (F.abs(F.covar_pop("x", "y")) < 1e-6 * x).alias("uncorrelated"), (x >= y).alias("ordered"), (x + y <= F.lit(total * (1 + 1e-9))).alias("within"))
+
+
+def _doubled(frame: DataFrame) -> DataFrame:
+    """A fixed model: twice the first two places of a vector."""
+    from .plans.pipeline import embed
+
+    return embed(frame.select("vec_id", F.col("embedding").alias("features")), lambda vs: [[2.0 * v[0], 2.0 * v[1]] for v in vs], 2)
+
+
+@register("SELECT label, count(*) AS n, round(sum(2.0 * CAST(embedding[1] AS DOUBLE)), 4) AS first, round(sum(2.0 * CAST(embedding[2] AS DOUBLE)), 4) AS second, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) AS computed_first, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1) AS computed_then, 0 AS computed_last, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS computed_changed FROM embeddings GROUP BY label")
+def cached_embeddings(spark, sf_dir):
+    """A part of the vectors, then all, then all again, then with a tenth of them changed: only what is not held is computed."""
+    from .plans.cache import EmbeddingCache
+
+    e = table(spark, sf_dir, "embeddings")
+    cache = EmbeddingCache(spark, fresh_dir(spark, "cache"), {"model": "doubled", "version": 1})
+    changed = e.withColumn("embedding", F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: x + F.lit(1).cast("float"))).otherwise(F.col("embedding")))
+    (_, first), (_, then), (found, last), (_, more) = (cache.through(x.select("vec_id", F.col("embedding").alias("vector"), "label"), ["vec_id"], ["vector"], lambda x: _doubled(x.withColumnRenamed("vector", "embedding")).select("vec_id", "embedding")) for x in (e.filter("vec_id % 2 = 0"), e, e, changed))
+    counts = {"computed_first": first, "computed_then": then, "computed_last": last, "computed_changed": more}
+    return found.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.sum(F.col("embedding")[i]), 4).alias(name) for i, name in enumerate(("first", "second"))]).withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
+
+
+def _linear(features, mask):
+    """A fixed linear encoder: (x, 1 - x / 50) of each step, and of the whole window (first x, number of steps that count)."""
+    import numpy as np
+
+    x = features[:, :, 0]
+    steps = np.stack([x, 1 - x / 50], axis=2)
+    whole = np.stack([x[:, 0], mask.sum(axis=1)], axis=1)[:, None, :]
+    return np.concatenate([whole, steps], axis=1)
+
+
+@register(f"""{WINDOWS}, x AS (SELECT w.symbol, w.start_ts, w.end_ts, r.gap, r.i - w.i AS pos, coalesce(CASE WHEN r.volume > 20 THEN r.volume END, 0) AS x, coalesce(r.volume > 20, false) AS seen FROM win w JOIN g r ON r.symbol = w.symbol AND r.i BETWEEN w.i AND w.i + 7), m AS (SELECT symbol, start_ts, median(gap) AS med FROM x WHERE pos < 7 GROUP BY ALL),
+k AS (SELECT x.*, seen AND (pos = 7 OR gap <= 2 * floor(med)) AS kept, (x + 1 - x / 50) / sqrt(2) AS score FROM x JOIN m USING (symbol, start_ts)), s AS (SELECT *, max(CASE WHEN kept THEN score END) OVER (PARTITION BY symbol, start_ts) AS top FROM k),
+pe AS (SELECT symbol, start_ts, CASE WHEN any_value(end_ts) < {BUDGET} THEN 'train' WHEN start_ts >= {BUDGET} THEN 'test' ELSE 'between' END AS split, arg_min(x, pos) AS c0, CAST(count(CASE WHEN kept THEN 1 END) AS DOUBLE) AS c1, coalesce(avg(CASE WHEN kept THEN x END), 0) AS m0, coalesce(avg(CASE WHEN kept THEN 1 - x / 50 END), 0) AS m1,
+ coalesce(sum(CASE WHEN kept THEN exp(score - top) * x END) / sum(CASE WHEN kept THEN exp(score - top) END), 0) AS a0, coalesce(sum(CASE WHEN kept THEN exp(score - top) * (1 - x / 50) END) / sum(CASE WHEN kept THEN exp(score - top) END), 0) AS a1 FROM s GROUP BY symbol, start_ts)
+SELECT symbol, start_ts, split, pooling, round(e0, 4) AS e0, round(e1, 4) AS e1 FROM (SELECT symbol, start_ts, split, unnest(['cls', 'mean', 'attention']) AS pooling, unnest([c0, m0, a0]) AS e0, unnest([c1, m1, a1]) AS e1 FROM pe)""")
+def pooled_embeddings(spark, sf_dir):
+    """All poolings of all windows from one run of a fixed linear encoder, by split."""
+    from .plans.embeddings import pooled_embeddings as pooled
+
+    start, end = F.col("metadata.start_ts"), F.col("metadata.end_ts")
+    w = volume_windows(spark, sf_dir).select("symbol", start.alias("start_ts"), F.when(end < BUDGET, "train").when(start >= BUDGET, "test").otherwise("between").alias("split"), "features", "mask")
+    found = pooled(w, _linear, keep=("symbol", "start_ts", "split"))
+    return found.select("symbol", "start_ts", "split", "pooling", *[F.round(F.col("embedding")[i], 4).alias(f"e{i}") for i in range(2)])
+
+
+@register("""WITH e AS (SELECT vec_id, label, CASE WHEN vec_id % 4 = 0 THEN 'validation' ELSE 'train' END AS split, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, label, split, 'cls' AS pooling, v[1:16] AS v FROM e UNION ALL SELECT vec_id, label, split, 'mean', v FROM e),
+c AS (SELECT a.split, a.pooling, a.vec_id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.split, a.pooling, a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM p a JOIN p b ON a.split = b.split AND a.pooling = b.pooling AND a.vec_id <> b.vec_id)
+SELECT split, pooling, 10 AS k, count(DISTINCT vec_id) AS n_samples, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS same_rate, round(1 - avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS cross_rate, true AS valid FROM c WHERE rank <= 10 GROUP BY split, pooling""")
+def retrieval_reports(spark, sf_dir):
+    """A document for each split and pooling, written as files and read back. Splits and two poolings of the vectors, all against all of their own."""
+    from .plans import reports
+
+    e = table(spark, sf_dir, "embeddings").withColumn("split", F.when(F.col("vec_id") % 4 == 0, "validation").otherwise("train"))
+    both = e.withColumn("pooling", F.lit("mean")).unionByName(e.withColumn("pooling", F.lit("cls")).withColumn("embedding", F.slice("embedding", 1, 16)))
+    folder = fresh_dir(spark, "reports")
+    reports.write_reports(reports.retrieval_report(both, label="label"), folder, "retrieval")
+    found = reports.read_reports(spark, folder, "retrieval", "split string, pooling string, k long, n_samples long, same_rate double, cross_rate double, valid boolean")
+    return found.withColumns({c: F.bround(c, 3) for c in ("same_rate", "cross_rate")})
+
+
+@register("SELECT 12 AS batches, 12 * 64 AS samples, 12 * 64 * 3 * 4 AS bytes, (count(*) + 63) // 64 AS all_batches, count(*) AS all_samples FROM lineitem")
+def loader_benchmark(spark, sf_dir):
+    """A dozen batches of all rows from tasks that stop early, and a pass over all of them in one task; times are left out."""
+    from .plans.throughput import benchmark
+
+    rows = table(spark, sf_dir, "lineitem").select(*LINE)
+    some, every = benchmark(rows.repartition(4), len(LINE), 64, 12), benchmark(rows.coalesce(1), len(LINE), 64, None)
+    return spark.createDataFrame([(*(int(some[c]) for c in ("batches", "samples", "bytes")), int(every["batches"]), int(every["samples"]))], "batches long, samples long, bytes long, all_batches long, all_samples long")

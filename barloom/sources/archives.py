@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
+from ..operators.stats import thresholds
+
 #: Column orders of headerless files, and the canonical names of raw columns.
 SCHEMAS = {
     "klines": ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "count", "taker_buy_volume", "taker_buy_quote_volume", "ignore"),
@@ -107,7 +109,7 @@ def normalise_times(frame: DataFrame, keys: tuple[str, ...] = ("file",), column:
     else:
         number = F.expr(f"try_cast(`{column}` AS DOUBLE)")
     frame = frame.withColumn("_number", number)
-    medians = frame.groupBy(*keys).agg(F.percentile("_number", F.lit(0.5)).alias("_median"))
+    medians = thresholds(frame, ["_number"], list(keys)).withColumnRenamed("_number_threshold", "_median")
     iso = F.unix_millis(F.try_to_timestamp(F.col(column).cast("string")))
     exact = F.col(column).cast("long") if isinstance(frame.schema[column].dataType, NumericType) else F.coalesce(F.expr(f"try_cast(`{column}` AS BIGINT)"), F.col("_number").cast("long"))
     value = F.when(F.col("_number").isNotNull(), in_milliseconds(exact, F.col("_median"))).otherwise(iso)

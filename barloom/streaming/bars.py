@@ -1,10 +1,12 @@
-"""Structured Streaming forms of bars, as-of alignment and sessions."""
+"""Structured Streaming forms of bars, as-of alignment, windows and sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import WindowSpec
+
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", late: str | None = "10 minutes", key: str = "symbol", tie: str = "event_id") -> DataFrame:
     """Bars of a stream of ticks (symbol, ts, price, qty, tie). With a watermark a bar is given once, when it can no longer
@@ -56,7 +58,47 @@ def stream_asof(both: DataFrame, key: str = "symbol", late: str = "10 minutes")
                 last_ts, last_value = t, v
         held.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest], last_ts, last_value))
         if rest:
-            held.setTimeoutTimestamp(max(rest[-1][0] // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+            held.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=[key, "id", "ts", "match_ts", "value"])
 
     return both.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
+
+
+def stream_windows(rows: DataFrame, spec: WindowSpec = WindowSpec(), key: str = "symbol", late: str = "10 minutes") -> DataFrame:
+    """Windows of a stream of rows (symbol, ts, id, value), as windows.create_windows makes of a table: key, start_index, start_ts, end_ts
+    (in ms) and values of each full window at a stride place without too long a gap, in the order of ts and id.
+
+    A window is given, once, when the watermark has passed its last row. State is, for each key, the rows that it has not passed, the
+    ring of the last `length` rows before them, and how many there were.
+    """
+    state = "times array<bigint>, ids array<bigint>, vals array<double>, ring_times array<bigint>, ring_vals array<double>, passed_rows bigint"
+    out = f"{key} string, start_index long, start_ts long, end_ts long, values array<double>"
+    length, stride, max_gap = spec.length, spec.stride, spec.max_gap_ms
+
+    def step(k, frames, held):
+        from collections import deque
+
+        import pandas as pd
+
+        times, ids, vals, ring_times, ring_vals, n = held.get if held.exists else ([], [], [], [], [], 0)
+        rest = list(zip(times, ids, vals, strict=True))
+        for pdf in frames:
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            rest += [(int(t), int(i), None if pd.isna(v) else float(v)) for t, i, v in zip(micros, pdf["id"], pdf["value"], strict=True)]
+        rest.sort(key=lambda r: r[:2])
+        passed = held.getCurrentWatermarkMs() * 1000
+        ring, found, at = deque(zip(ring_times, ring_vals, strict=True), length), [], 0
+        while at < len(rest) and rest[at][0] < passed:
+            ring.append((rest[at][0] // 1000, rest[at][2]))
+            n, at = n + 1, at + 1
+            if n >= length and (n - length) % stride == 0:
+                own = [t for t, _ in ring]
+                if all(b - a <= max_gap for a, b in zip(own, own[1:], strict=False)):
+                    found.append((k[0], n - length, own[0], own[-1], [v for _, v in ring]))
+        rest = rest[at:]
+        held.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [t for t, _ in ring], [v for _, v in ring], n))
+        if rest:
+            held.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=[key, "start_index", "start_ts", "end_ts", "values"])
+
+    return rows.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")

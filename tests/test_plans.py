@@ -65,9 +65,35 @@ def test_exact_quantiles_are_counted_by_range(spark):
 def test_windows_gather_their_own_rows(spark):
     rows = spark.range(100).select(F.lit("k").alias("symbol"), (F.col("id") * 60_000).alias("timestamp"), F.array(F.col("id").cast("float")).alias("features"), F.array(F.lit(True)).alias("feature_mask"))
     spec = WindowSpec(length=5, stride=3)
-    a, b = (windows.create_windows(rows, spec, gather=g) for g in ("frames", "slice"))
-    assert "collect_list" in plan(a) and "start_index" in re.search(r"ObjectHashAggregate\(keys=\[([^\]]*)\]", plan(a))[1]
-    assert a.count() == 32 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    found = windows.create_windows(rows, spec)
+    assert "collect_list" in plan(found) and "start_index" in re.search(r"ObjectHashAggregate\(keys=\[([^\]]*)\]", plan(found))[1]
+    assert sorted([int(x[0]) for x in r.features] for r in found.collect()) == [list(range(i, i + 5)) for i in range(0, 96, 3)]
+
+
+def test_medians_by_key_are_counted_by_range(spark):
+    """A key with most rows, very many small ones and a null one; none has a task of its own."""
+    import random
+    from statistics import median
+
+    rnd = random.Random(5)
+    rows = [("big", float(rnd.randrange(500)), None) for _ in range(3000)] + [(rnd.choice([None, *map(str, range(300))]), rnd.random(), 1.0 * (i % 7)) for i in range(3000)] + [("none", None, None)]
+    frame = spark.createDataFrame(rows, "symbol string, x double, y double")
+    found = stats.thresholds(frame, ["x", "y"], ["symbol"])
+    assert "percentile" not in plan(found) and "median" not in plan(found) and "SinglePartition" not in plan(found)
+
+    def of(key, at):
+        own = [r[at] for r in rows if r[0] == key and r[at] is not None]
+        return median(own) if own else None
+
+    assert {r.symbol: (r.x_threshold, r.y_threshold) for r in found.collect()} == {k: (of(k, 1), of(k, 2)) for k in {r[0] for r in rows}}
+    assert found.count() == len({r[0] for r in rows})
+
+
+def test_rows_are_numbered_without_one_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"))
+    found = ranks.numbered(rows, "id")
+    assert all(r.id == r._n for r in found.collect()) and found.count() == 1000
+    assert plan(found).split("== Initial Plan ==")[-1].count("SinglePartition") == 1  # the slots' counts alone
 
 
 def test_lags_run_in_slots_of_time(spark):

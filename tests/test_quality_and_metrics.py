@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import ValidationRules
 from barloom.functions import vectors as V
-from barloom.operators import metrics, quality, sampling, stats
+from barloom.operators import metrics, nearest, quality, sampling, stats
 
 
 def test_rules(spark):
@@ -78,17 +78,63 @@ def test_separable_probe_and_clusters(spark):
         metrics.kmeans(frame.limit(1), 2)
 
 
-def test_neighbours_against_all_pairs(spark):
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_neighbours_against_all_pairs(spark, block_rows):
+    """Repeated vectors, so that similarities tie; null ids and vectors, and a vector of zeros."""
     import numpy as np
 
     rnd = np.random.default_rng(3)
-    v = rnd.normal(size=(60, 5))
-    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    s = unit @ unit.T
+    v = np.concatenate([rnd.normal(size=(40, 5)), np.zeros((1, 5))])
+    v = np.concatenate([v, v[:19]])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 5), (99, None)], "vec_id long, embedding array<double>")
+    unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    s = np.round(unit @ unit.T, 12)
     np.fill_diagonal(s, -2)
-    got = {(r.query, r["rank"]): r.neighbour for r in metrics.neighbours(frame, frame, 3, blocks=4).collect()}
-    assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(-s[i])[:3])}
+    want = {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.lexsort((np.arange(60), -s[i]))[:3])}
+    exact = nearest.neighbours(frame, frame, 3, block_rows=block_rows)
+    assert {(r.query, r["rank"]): r.neighbour for r in exact.collect()} == want
+    index = nearest.build_index(frame, cells=6)
+    assert index.rows.count() == 60
+    found = nearest.search(index, frame, 3, probes=2, exact=True, block_rows=block_rows)
+    assert {(r.query, r["rank"]): r.neighbour for r in found.collect()} == want
+    some = nearest.recall(nearest.search(index, frame, 3, probes=2), exact).first()
+    assert some.pairs == 180 and 0.3 < some.recall < 1
+    assert nearest.recall(nearest.search(index, frame, 3, probes=6), exact).first().recall == 1
+    few = {(r.query, r.neighbour) for r in nearest.search(nearest.build_index(frame.filter("vec_id < 2")), frame.filter("vec_id < 3"), 3, exact=True).collect()}
+    assert few == {(0, 1), (1, 0), (2, 0), (2, 1)}
+
+
+def test_neighbours_make_no_row_for_a_pair(spark):
+    frame = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * i) for i in range(1, 9)]).alias("embedding"))
+    plan = nearest.neighbours(frame, frame, 5, block_rows=50)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    empty = frame.filter("vec_id < 0")
+    assert nearest.neighbours(empty, frame).count() == nearest.neighbours(frame, empty).count() == nearest.search(nearest.build_index(empty), frame).count() == 0
+
+
+def test_random_pairs_are_of_all_rows_of_a_key(spark):
+    frame = spark.range(400).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("symbol"), F.array(F.col("id").cast("double")).alias("embedding"))
+    rows = metrics.random_pairs(frame, draws=5000).collect()
+    assert 1400 < len(rows) < 1900 and all(r.a % 3 == r.b % 3 and r.a != r.b and r.va == [r.a] for r in rows)
+    assert len({r.a for r in rows}) > 380 and rows == metrics.random_pairs(frame.repartition(5), draws=5000).collect()
+
+
+def test_adjusted_mutual_information_against_sums_of_all_counts(spark):
+    from math import exp, lgamma, log
+
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(6), rnd.randrange(3)) for _ in range(500)] + [(9, 9)] * 700
+    table = metrics.contingency(spark.createDataFrame(pairs, "x int, y int"), "x", "y")
+    n, a, b, cells = len(pairs), {}, {}, {}
+    for x, y in pairs:
+        a[x], b[y], cells[x, y] = a.get(x, 0) + 1, b.get(y, 0) + 1, cells.get((x, y), 0) + 1
+    g = lambda k: lgamma(k + 1)
+    expected = sum(k / n * log(n * k / (p * q)) * exp(g(p) + g(q) + g(n - p) + g(n - q) - g(n) - g(k) - g(p - k) - g(q - k) - g(n - p - q + k)) for p in a.values() for q in b.values() for k in range(max(1, p + q - n), min(p, q) + 1))
+    assert metrics.expected_mutual_information(table) == pytest.approx(expected, abs=1e-9)
+    mean = -sum(s / n * log(s / n) for side in (a, b) for s in side.values()) / 2
+    mi = sum(k / n * log(n * k / (a[x] * b[y])) for (x, y), k in cells.items())
+    assert metrics.adjusted_mutual_info(table) == pytest.approx((mi - expected) / (mean - expected), abs=1e-9)
+    assert metrics.adjusted_mutual_info(table.filter("false")) == 1.0
 
 
 def test_pooling(spark):

@@ -104,12 +104,11 @@ def test_returns(spark):
     assert abs(got[1].features[0] - 0.6931) < 1e-3
 
 
-@pytest.mark.parametrize("gather", ["slice", "frames"])
-def test_windows(spark, gather):
+def test_windows(spark):
     frame = features.raw_features(flat_bars(spark, 10).select("symbol", "timestamp", "close"), order=("close",))
-    got = windows.create_windows(frame, WindowSpec(5, 1), gather=gather).collect()
+    got = windows.create_windows(frame, WindowSpec(5, 1)).collect()
     assert len(got) == 6 and all(len(r.features) == 5 and r.mask == [True] * 5 and r.metadata.contiguous for r in got)
-    assert windows.max_position(windows.create_windows(frame, WindowSpec(5, 1), gather=gather)).first()[0] == 5
+    assert windows.max_position(windows.create_windows(frame, WindowSpec(5, 1))).first()[0] == 5
 
 
 def test_windows_skip_gaps_and_are_not_rebased(spark):
