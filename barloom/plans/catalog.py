@@ -126,6 +126,24 @@ def current_assets(assets: DataFrame, market_type: str | None = None, is_active:
     return found.orderBy("symbol")
 
 
+def requested_assets(assets: DataFrame, symbols: DataFrame | list[str], market_type: str | None = None) -> DataFrame:
+    """Current versions of the assets whose symbols are asked for (a list, or a frame with symbol); a listed symbol that is not there has no
+    row."""
+    if not isinstance(symbols, DataFrame):
+        return current_assets(assets, market_type).filter(F.col("symbol").isin(symbols))
+    return current_assets(assets, market_type).join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def log_experiments(table: Table, rows: DataFrame) -> None:
+    """Appends rows, with any of the table's columns, as one version; ids that are there already, or twice among `rows`, are a ValueError."""
+    held = table.read()
+    new = rows.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()) if "created_at" in rows.columns else F.current_timestamp())
+    ids = held.select("experiment_id").unionByName(new.select("experiment_id")).groupBy("experiment_id").count().filter("count > 1")
+    if twice := [r.experiment_id for r in ids.orderBy("experiment_id").limit(10).collect()]:
+        raise ValueError(f"experiments {', '.join(twice)} exist")
+    table.write(held.unionByName(new, allowMissingColumns=True))
+
+
 def log_experiment(table: Table, row: dict) -> None:
     """Appends a row; an experiment_id that is there already is a ValueError. Metrics are kept as JSON."""
     row = {"created_at": None, **row}

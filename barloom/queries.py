@@ -554,6 +554,35 @@ def pca_2d(spark, sf_dir):
     return metrics.pca(table(spark, sf_dir, "embeddings")).select("vec_id", "pca")
 
 
+@register("""WITH e AS (SELECT vec_id, label AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, a.c, b.c AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT vec_id, min(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s""")
+def label_silhouette(spark, sf_dir):
+    """Of the given labels; tables of more rows than the measure's own limit are sampled, as the measure has it."""
+    found = metrics.silhouette(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster"))
+    return found.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("SELECT count(*) AS vectors, 8 AS clusters, true AS nearest FROM embeddings")
+def kmeans_properties(spark, sf_dir):
+    """Every vector is in one of eight clusters, and nearer to the mean of its own than to the other means, but for a few on borders
+    that had not settled."""
+    found, _ = metrics.kmeans(table(spark, sf_dir, "embeddings"))
+    rows = found.select("vec_id", "cluster", V.doubles(F.col("embedding")).alias("v"))
+    means = rows.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("m"))
+    every = F.from_json(F.lit(means.agg(F.to_json(F.collect_list(F.struct("cluster", "m")))).first()[0]), "array<struct<cluster:int,m:array<double>>>")  # eight rows
+    near = F.array_min(F.transform(every, lambda c: F.struct(V.distance(F.col("v"), c["m"]).alias("d"), c["cluster"].alias("cluster"))))["cluster"]
+    return rows.agg(F.count("*").alias("vectors"), F.countDistinct("cluster").alias("clusters"), (F.avg((near == F.col("cluster")).cast("double")) > 0.9).alias("nearest"))
+
+
+@register("SELECT count(*) AS vectors, true AS linear, true AS keeps_lengths FROM embeddings")
+def projection_properties(spark, sf_dir):
+    """The projection of a multiple is the multiple of the projection, and squared lengths stay as they are on average."""
+    v = V.doubles(F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select("embedding", V.gaussian_projection(v, 64).alias("p"), V.gaussian_projection(F.transform(v, lambda x: 3 * x), 64).alias("q"))
+    apart = V.distance(F.transform("p", lambda x: 3 * x), F.col("q"))
+    return rows.agg(F.count("*").alias("vectors"), (F.max(apart) < 1e-9).alias("linear"), F.avg(V.dot(F.col("p"), F.col("p")) / V.dot(v, v)).between(0.8, 1.2).alias("keeps_lengths"))
+
+
 @register()
 def random_projection(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.gaussian_projection(F.col("embedding"), 64).alias("projected"))
@@ -583,22 +612,31 @@ def baseline_evaluation(spark, sf_dir):
     return evaluate(windows.split(rows, "train", BUDGET), windows.split(rows, "test", BUDGET))
 
 
-@register()
+def chance_sql(seed: int, *of: str) -> str:
+    """sampling.chance in SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(of)})), 1, 15))::BIGINT"
+
+
+@register(f"{WINDOWS}, o AS (SELECT symbol, start_ts, row_number() OVER (ORDER BY {chance_sql(7, 'symbol', 'start_ts')}, symbol, start_ts) - 1 AS r FROM (SELECT symbol, start_ts FROM win)) SELECT symbol, start_ts, r // 32 AS batch FROM o WHERE r // 32 < (SELECT count(*) // 32 FROM o)")
 def epoch_shuffle(spark, sf_dir):
     w = windows.window_starts(hourly(spark, sf_dir), SPEC)
-    key = F.xxhash64(F.lit(7), "symbol", "start_ts")
-    return sampling.batches(w, 32, [key, "symbol", "start_ts"], drop_last=True).select("symbol", "start_ts", "batch")
+    return sampling.batches(w, 32, [sampling.chance(7, "symbol", "start_ts"), "symbol", "start_ts"], drop_last=True).select("symbol", "start_ts", "batch")
 
 
-@register()
+@register(f"{WINDOWS} SELECT symbol, start_index, start_ts FROM (SELECT symbol, i AS start_index, start_ts, row_number() OVER (PARTITION BY symbol ORDER BY {chance_sql(0, 'start_ts')}, start_ts) AS r FROM win) WHERE r <= 20")
 def window_subsample(spark, sf_dir):
-    return sampling.subsample(windows.window_starts(hourly(spark, sf_dir), SPEC), 20, ["start_ts"], ["symbol"])
+    return sampling.subsample(windows.window_starts(hourly(spark, sf_dir), SPEC), 20, ["start_ts"], ["symbol"]).select("symbol", "start_index", "start_ts")
 
 
-@register()
+KEY = "symbol || '/' || start_ts"
+
+
+@register(f"""{WINDOWS}, q AS (SELECT symbol, start_ts, unnest(range(8)) AS place FROM win), h AS (SELECT *, {chance_sql(0, KEY, 'place')} AS h FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_ts ORDER BY h) <= 3 AS picked FROM h),
+m AS (SELECT symbol, start_ts, list(picked ORDER BY place) AS random_mask FROM r GROUP BY symbol, start_ts), z AS (SELECT symbol, start_ts, 0 + {chance_sql(0, KEY, '0')} % 3 AS a, 4 + {chance_sql(0, KEY, '1')} % 3 AS b FROM win)
+SELECT symbol, start_ts, random_mask, list_transform(range(8), lambda p: p = a OR p = a + 1 OR p = b OR p = b + 1) AS span_mask FROM m JOIN z USING (symbol, start_ts)""")
 def reconstruction_masks(spark, sf_dir):
     w = windows.window_starts(hourly(spark, sf_dir), SPEC)
-    key = F.xxhash64("symbol", "start_ts")
+    key = F.concat_ws("/", "symbol", F.col("start_ts").cast("string"))
     return w.select("symbol", "start_ts", sampling.random_mask(F.lit(8), 0.25, key).alias("random_mask"), sampling.span_mask(F.lit(8), 0.5, 2, key).alias("span_mask"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .operators import align, features, metrics, quality, sampling, stats, windows
+from .operators.ranks import numbered
 from .plans import catalog
 from .queries import _windows as volume_windows
 from .queries import BUDGET, HOUR, LINE, NORMS, SCORED, SPEC, STATE, TICKS, WINDOWS, _files, _scored, _state, bars_sql, hourly, register, table, ticks
@@ -213,7 +214,7 @@ def numeric_columns(spark, sf_dir):
 def epoch_batches(spark, sf_dir):
     """A shuffled epoch without its last, partial batch: sizes of batches, and that no window comes twice."""
     w = windows.window_starts(hourly(spark, sf_dir), SPEC)
-    rows = sampling.batches(w, 8, [F.xxhash64(F.lit(7), "symbol", "start_ts"), "symbol", "start_ts"], drop_last=True)
+    rows = sampling.batches(w, 8, [sampling.chance(7, "symbol", "start_ts"), "symbol", "start_ts"], drop_last=True)
     sizes = rows.groupBy("batch").agg(F.countDistinct("symbol", "start_ts").alias("n"))
     return sizes.agg(F.count("*").alias("batches"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.coalesce(F.sum("n"), F.lit(0)).alias("windows"))
 
@@ -296,3 +297,63 @@ def loader_benchmark(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(*LINE)
     some, every = benchmark(rows.repartition(4), len(LINE), 64, 12), benchmark(rows.coalesce(1), len(LINE), 64, None)
     return spark.createDataFrame([(*(int(some[c]) for c in ("batches", "samples", "bytes")), int(every["batches"]), int(every["samples"]))], "batches long, samples long, bytes long, all_batches long, all_samples long")
+
+
+@register("SELECT c_custkey AS symbol, c_mktsegment AS market_type, CAST(max(o_orderdate) AS TIMESTAMP) AS valid_from FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 3 = 0 GROUP BY ALL")
+def requested_assets(spark, sf_dir):
+    """Current versions of the assets that are asked for, from a catalogue table that is written in two goes and read back."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    rows = c.join(o, c["c_custkey"] == o["o_custkey"]).select(F.col("c_custkey").cast("string").alias("symbol"), F.col("c_mktsegment").alias("market_type"), F.col("o_orderdate").cast("timestamp").alias("valid_from"), F.lit(True).alias("is_active")).distinct()
+    rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in catalog.ASSETS])
+    held = catalog.Table(spark, fresh_dir(spark, "assets"), catalog.ASSETS)
+    catalog.register_assets(held, rows.filter("valid_from < '1995-06-01'"))
+    catalog.register_assets(held, rows.filter("valid_from >= '1995-06-01'"))
+    asked = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("symbol"))
+    found = catalog.requested_assets(held.read(), asked)
+    return found.select(F.col("symbol").cast("long").alias("symbol"), "market_type", "valid_from")
+
+
+@register("SELECT o_orderkey, round(CASE WHEN step < 20 THEN step / 20.0 ELSE 0.5 * (1 + cos(pi() * least(greatest((step - 20) / 80.0, 0), 1))) END, 9) AS rate FROM (SELECT o_orderkey, o_orderkey % 120 AS step FROM orders)")
+def learning_rates(spark, sf_dir):
+    from .functions.numbers import learning_rate
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(learning_rate(F.col("o_orderkey") % 120, 20, 100), 9).alias("rate"))
+
+
+@register(f"WITH {TICKS} SELECT symbol, timestamp, price FROM t")
+def time_aliases(spark, sf_dir):
+    """Ticks whose time has another name, in microseconds for some symbols and milliseconds for others, and as ISO text for the rest."""
+    t = ticks(spark, sf_dir).select("symbol", "timestamp", "price")
+    parts = [t.filter("symbol < 'e'").select("symbol", (F.col("timestamp") * 1_000).cast("string").alias("transact_time"), "price"), t.filter("symbol >= 'e' AND symbol < 's'").select("symbol", F.col("timestamp").cast("string").alias("transact_time"), "price"), t.filter("symbol >= 's'").select("symbol", F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("transact_time"), "price")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return archives.convert(rows, "aggTrades", ("symbol",)).select("symbol", "timestamp", "price")
+
+
+@register(f"WITH {TICKS}, f AS (SELECT 'f' || CAST(event_id AS VARCHAR) AS file_id, symbol FROM t), s AS (SELECT file_id, sha256(file_id || '!') AS sha FROM f WHERE symbol IN ('click', 'view')) SELECT count(*) AS files, sha256('{{' || string_agg('\"' || file_id || '\": \"' || sha || '\"', ', ' ORDER BY file_id) || '}}|{{\"alignment_version\": \"alignment_v1.yaml\", \"canonical_schema_version\": \"v1\", \"feature_builder_version\": \"v1\", \"market_state_schema_version\": \"v1\", \"modality_registry\": \"modalities_v1.yaml\", \"snapshot\": \"s1\", \"windowing_version\": \"windowing_v1.yaml\"}}') AS fingerprint FROM s")
+def dataset_fingerprint(spark, sf_dir):
+    """Of a manifest whose ledger has a file for each tick of two symbols."""
+    from .plans import manifests
+
+    files = ticks(spark, sf_dir).select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_id"), "symbol")
+    manifest = manifests.build_manifest("s1", ["click"], ["view"], [], "2024-01-15", files=files.withColumn("sha256", F.sha2(F.concat("file_id", F.lit("!")), 256)))
+    found = manifests.fingerprint(manifest)
+    return spark.createDataFrame([(found["file_count"], found["fingerprint"])], "files long, fingerprint string")
+
+
+@register("SELECT * FROM (SELECT 'run' || CAST(o_orderkey AS VARCHAR) AS experiment_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place, round(o_totalprice, 2) AS loss FROM orders)")
+def experiment_log(spark, sf_dir):
+    """A run for each order, logged as one set, one more that is refused, newest first."""
+    o = table(spark, sf_dir, "orders")
+    held = catalog.Table(spark, fresh_dir(spark, "experiments"), catalog.EXPERIMENTS)
+    at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey"))
+    rows = o.select(F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("experiment_id"), F.to_json(F.struct(F.round("o_totalprice", 2).alias("loss"))).alias("metrics"), at.alias("created_at"))
+    catalog.log_experiments(held, rows)
+    first = rows.first()["experiment_id"]
+    try:
+        catalog.log_experiment(held, {"experiment_id": first})
+    except ValueError:
+        pass
+    else:
+        raise RuntimeError("an experiment was logged twice")
+    found = numbered(catalog.experiments(held).withColumn("age", -F.unix_micros("created_at")), "age", name="place")
+    return found.select("experiment_id", (F.col("place") + 1).alias("place"), F.get_json_object("metrics", "$.loss").cast("double").alias("loss"))
