@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, pi
+from math import pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,9 +56,3 @@ def learning_rate(step: Column, warm_up: int, total: int) -> Column:
     """Factor of a schedule: linear warm-up, then a cosine down to 0."""
     done = F.least(F.greatest((step - warm_up) / float(max(1, total - warm_up)), F.lit(0.0)), F.lit(1.0))
     return F.when(step < warm_up, step / float(max(1, warm_up))).otherwise(0.5 * (1 + F.cos(done * pi)))
-
-
-def learning_rate_at(step: int, warm_up: int, total: int) -> float:
-    if step < warm_up:
-        return step / max(1, warm_up)
-    return 0.5 * (1 + cos(pi * min(max((step - warm_up) / max(1, total - warm_up), 0.0), 1.0)))

@@ -51,6 +51,22 @@ def time_slot(at: Column, slot_ms: int = DAY_MS) -> Column:
     return F.coalesce(F.floor(at / slot_ms), F.lit(-(1 << 62))).cast("long")
 
 
+def slot_width(*frames: DataFrame, keys: list[str], time: str = "timestamp", most: int = 5_000_000, widest: int = DAY_MS) -> int:
+    """The widest slot, of a day halved as often as need be, in which no key has more than some `most` rows of all `frames`, by their
+    counts of quarter hours: what `slot_ms` should be where keys are that busy. A quarter of an hour at least."""
+    quarter = 900_000
+    counts = None
+    for frame in frames:
+        own = frame.groupBy(*keys, F.floor(F.col(time) / quarter).alias("_q")).agg(F.count("*").alias("n"))
+        counts = own if counts is None else counts.unionByName(own)
+    widths = [widest]
+    while widths[-1] >= 2 * quarter:
+        widths.append(widths[-1] // 2)
+    counts = counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.floor(F.col("_q") * quarter / w).alias("slot")) for w in widths])).alias("s"), "n")
+    fits = counts.groupBy(*keys, "s").agg(F.sum("n").alias("n")).groupBy("s.width").agg(F.max("n").alias("n")).filter(F.col("n") <= most)
+    return fits.agg(F.max("width")).first()[0] or widths[-1]
+
+
 def first_if_null(at: Column) -> Column:
     return F.coalesce(at, F.lit(-(1 << 62)))
 

@@ -126,9 +126,11 @@ def keep_first(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def nulls_after_first(frame: DataFrame, column: str, keys: tuple[str, ...] = ("symbol",), time: str = "timestamp") -> DataFrame:
     """For each key: the first time that `column` has a value, and the nulls after it."""
-    first = F.min(F.when(F.col(column).isNotNull(), F.col(time))).over(Window.partitionBy(*keys))
-    rows = frame.select(*keys, time, column, first.alias("first_valid"))
-    return rows.groupBy(*keys).agg(F.max("first_valid").alias("first_valid"), _bad(F.col(column).isNull() & (F.col(time) > F.col("first_valid"))).alias("nulls_after"))
+    seen = F.col(column).isNotNull()
+    rows = frame.select(*keys, time, seen.alias("_seen"))
+    first = rows.groupBy(*keys).agg(F.min(F.when(F.col("_seen"), F.col(time))).alias("first_valid"))  # a row for each key
+    counted = rows.join(first, list(keys)).groupBy(*keys)
+    return counted.agg(F.max("first_valid").alias("first_valid"), _bad(~F.col("_seen") & (F.col(time) > F.col("first_valid"))).alias("nulls_after"))
 
 
 def interval_ratio(fine: DataFrame, coarse: DataFrame, low: float = 4.0, high: float = 6.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

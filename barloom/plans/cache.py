@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import put_text
 from .manifests import cache_key
-from .reports import put_text
 
 
 class EmbeddingCache:

@@ -1,7 +1,7 @@
 """Catalogues of files, assets and experiments as tables that are read, merged and written as new versions.
 
-A version is a folder; the pointer file names the current one and is swapped last, so readers see whole versions. One writer
-at a time is assumed.
+A version is a folder; the pointer file names the current one and is put in place last, whole, so readers see whole versions. One
+writer at a time is assumed. Old versions stay for readers that have begun, until `vacuum` removes them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from .files import put_text
+
 _TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
 
 
@@ -48,10 +50,17 @@ class Table:
     def write(self, frame: DataFrame) -> None:
         version = f"v{time.time_ns()}"
         frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.path}/{version}")
-        fs, at = self._pointer()
-        stream = fs.create(at, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
+        put_text(self.spark, f"{self.path}/current", version)
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Removes all but the last `keep` versions, never the current one; the names of what went."""
+        fs, _ = self._pointer()
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*")
+        found = sorted((f.getPath() for f in fs.globStatus(at) or []), key=lambda p: int(p.getName()[1:]))
+        gone = [p for p in found[: max(0, len(found) - keep)] if p.getName() != self.version()]
+        for path in gone:
+            fs.delete(path, True)
+        return [p.getName() for p in gone]
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -34,6 +34,7 @@ def ledger(files: DataFrame, symbols: list[str]) -> dict[str, str]:
 
 
 def build_manifest(snapshot: str, train: list[str], validation: list[str], test: list[str], train_end: str, seed: int = 42, files: DataFrame | None = None) -> dict[str, Any]:
+    """A manifest. The names of its entries, as fingerprints of other tools are taken of them."""
     symbols = sorted({*train, *validation, *test})
     return {
         "training_manifest": {

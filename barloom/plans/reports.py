@@ -9,32 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, nearest
 from ..storage import durable
+from .files import at_path, swap
 
 KEYS = ("split", "pooling")
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that is whole as soon as it has its name; one of that name is replaced."""
-    fs, draft = _files(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    stream = fs.create(draft, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    _swap(spark, fs, draft, path)
-
-
-def _swap(spark: SparkSession, fs, draft, path: str) -> None:
-    _, at = _files(spark, path)
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(draft, at):
-        raise OSError(f"{path} could not be put in place")
-
-
 def write_reports(reports: DataFrame, folder: str, name: str, keys: tuple[str, ...] = KEYS) -> list[str]:
     """Writes each row of `reports` (keys and any results) as <folder>/<name>_<key>_<key>.json, and gives the paths.
 
@@ -52,11 +31,11 @@ def write_reports(reports: DataFrame, folder: str, name: str, keys: tuple[str, .
     rows.repartition("label").write.partitionBy("label").text(draft)
     paths = []
     for label in sorted(r.label for r in rows.select("label").collect()):  # a file for each key
-        fs, at = _files(spark, f"{draft}/label={label}/part-*")
+        fs, at = at_path(spark, f"{draft}/label={label}/part-*")
         path = f"{folder}/{name}_{label}.json"
-        _swap(spark, fs, fs.globStatus(at)[0].getPath(), path)
+        swap(spark, fs, fs.globStatus(at)[0].getPath(), path)
         paths.append(path)
-    fs, at = _files(spark, draft)
+    fs, at = at_path(spark, draft)
     fs.delete(at, True)
     return paths
 

@@ -298,10 +298,11 @@ def split_train_test(spark, sf_dir):
     return both.groupBy("symbol").agg(F.sum((F.col("which") == "train").cast("long")).alias("train"), F.sum((F.col("which") == "test").cast("long")).alias("test"))
 
 
-@register("SELECT DISTINCT event_type AS symbol FROM events WHERE event_type IN ('click', 'view') INTERSECT SELECT DISTINCT event_type FROM events WHERE event_type IN ('view', 'error')")
+@register(f"WITH {TICKS} SELECT symbol FROM t GROUP BY symbol HAVING min(timestamp) < {BUDGET} AND max(timestamp) >= {BUDGET} + 86400000")
 def split_disjoint(spark, sf_dir):
+    """Symbols of both splits when these are of time alone: all that trade throughout."""
     t = ticks(spark, sf_dir)
-    return windows.shared_symbols(t.filter(F.col("symbol").isin("click", "view")), t.filter(F.col("symbol").isin("view", "error")))
+    return windows.shared_symbols(t.filter(F.col("timestamp") < BUDGET), t.filter(F.col("timestamp") >= BUDGET + 86_400_000))
 
 
 LINE = ("l_quantity", "l_extendedprice", "l_discount")

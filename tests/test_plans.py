@@ -105,3 +105,13 @@ def test_lags_run_in_slots_of_time(spark):
 
 def test_market_state_has_no_nested_loop(spark, sf):
     assert "NestedLoop" not in plan(queries.queries()["market_state"](spark, sf)) and "Cartesian" not in plan(queries.queries()["market_state"](spark, sf))
+
+
+def test_slots_follow_the_busiest_key(spark):
+    day = 86_400_000
+    rows = spark.range(4800).select(F.lit("busy").alias("symbol"), (F.col("id") * (day // 4800)).alias("timestamp")).unionByName(spark.range(9).select(F.lit("calm").alias("symbol"), (F.col("id") * day).alias("timestamp")))
+    assert asof.slot_width(rows, keys=["symbol"], most=5000) == day
+    assert asof.slot_width(rows, keys=["symbol"], most=1300) == day // 4
+    assert asof.slot_width(rows, rows, keys=["symbol"], most=1300) == day // 8
+    assert asof.slot_width(rows, keys=["symbol"], most=1) == day // 64
+    assert asof.slot_width(rows.filter("timestamp < 0"), keys=["symbol"]) == day // 64

@@ -150,3 +150,22 @@ def test_commands(spark, tmp_path):
     assert main(["validate", str(tmp_path / "bars"), str(tmp_path / "v")], spark) == 0
     assert main(["report", str(tmp_path / "state"), str(tmp_path / "r")], spark) == 0
     assert main(["report", str(tmp_path / "none"), str(tmp_path / "r2")], spark) == 1
+
+
+def test_old_versions_go_when_asked(spark, tmp_path):
+    held = catalog.Table(spark, str(tmp_path / "t"), catalog.ASSETS)
+    rows = spark.createDataFrame([("A", "spot")], "symbol string, market_type string")
+    for _ in range(4):
+        catalog.register_assets(held, rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in catalog.ASSETS if f.name != "valid_from"]))
+    assert len(held.vacuum()) == 2 and held.vacuum() == [] and held.read().count() == 4
+    assert [r.symbol for r in catalog.requested_assets(held.read(), ["A", "Z"]).collect()] == ["A"]
+
+
+def test_experiments_are_logged_once(spark, tmp_path):
+    held = catalog.Table(spark, str(tmp_path / "e"), catalog.EXPERIMENTS)
+    two = spark.createDataFrame([("a", "{}"), ("b", None)], "experiment_id string, metrics string")
+    catalog.log_experiments(held, two)
+    for again in (two.limit(1), spark.createDataFrame([("c",), ("c",)], "experiment_id string")):
+        with pytest.raises(ValueError, match="exist"):
+            catalog.log_experiments(held, again)
+    assert sorted(r.experiment_id for r in catalog.experiments(held).collect()) == ["a", "b"]
