@@ -6,6 +6,10 @@ with their places, and all places of such words in a file are looked up. Each po
 being where the template would begin. Starts on which the postings of both words agree are kept, compared word by word with
 the template, and given its label if all its mandatory key phrases stand in their places.
 
+Real files add names, leave out list numbers or change a word. So each key phrase of a longer template is filed, looked up and
+verified in the same way by itself, and a template's label is given, too, where all its phrases follow each other in
+order, as far apart as in the template but for some slack.
+
 A row is worked on by itself: no shuffle, no join. What is sent along is the index, whose size is that of TEMPLATES.
 """
 
@@ -101,7 +105,7 @@ TEMPLATES = (
     Template("mit", MIT, ("permission is hereby granted free of charge", "this permission notice shall be included", "the software is provided as is without warranty", "in no event shall the authors or copyright holders be liable")),
     Template("isc", ISC, ("permission to use copy modify and or distribute", "this permission notice appear in all copies", "in no event shall the author be liable")),
     Template("bsd-2-clause", BSD_HEAD + BSD_TAIL, (*BSD_KEYS, "this software is provided by the copyright holders", "even if advised of the possibility")),
-    Template("bsd-3-clause", BSD_HEAD + BSD_NAMES + BSD_TAIL, (*BSD_KEYS, "neither the name of the copyright holder", "even if advised of the possibility")),
+    Template("bsd-3-clause", BSD_HEAD + BSD_NAMES + BSD_TAIL, (*BSD_KEYS, "neither the name of", "nor the names of its contributors", "even if advised of the possibility")),
     Template("apache-2.0", APACHE, ("licensed under the apache license version 2 0", "except in compliance with the license", "unless required by applicable law", "limitations under the license")),
     Template("gpl-3.0", GPL, ("you can redistribute it and or modify it", "published by the free software foundation", "either version 3 of the license", "in the hope that it will be useful")),
     Template("zlib", ZLIB, ("in no event will the authors be held liable", "the origin of this software must not be misrepresented", "altered source versions must be plainly marked", "this notice may not be removed")),
@@ -127,6 +131,8 @@ PARTIAL = 0.5
 DIGITS = 6
 #: A (template, start) is one long: the template's number above so many bits.
 START_BITS = 40
+#: Words that the way from one key phrase to the next may have more or less than in the template: so many, and this share of it.
+SLACK, SLACK_SHARE = 12, 0.15
 
 
 def tokens(text: str) -> Column:
@@ -150,12 +156,41 @@ def document_frequencies(docs: DataFrame, text: str = "text", templates=TEMPLATE
 
 @dataclass
 class Index:
-    """first and second: of the two rarest words of each template's key phrases, word -> [(template, place)]. idf: by word."""
+    """templates: those asked for, of which there are `asked`, then the key phrases of longer ones, each as a template.
+
+    first and second: of the two rarest words of each template's key phrases, word -> [(template, place)]. idf: by word. chains: for
+    each longer template its number and its phrases' (number, place), in order.
+    """
 
     templates: tuple[Template, ...]
+    asked: int
     first: dict[str, list[tuple[int, int]]]
     second: dict[str, list[tuple[int, int]]]
     idf: dict[str, float]
+    chains: list[tuple[int, list[tuple[int, int]]]]
+
+
+def with_phrases(templates=TEMPLATES) -> tuple[tuple[Template, ...], list[tuple[int, list[tuple[int, int]]]]]:
+    """The templates and the key phrases of those that have several, and the chains of an Index."""
+    every, numbers, chains = list(templates), {}, []
+    for number, template in enumerate(templates):
+        if len(template.keys) > 1:
+            chain = []
+            for at, words in template.key_places():
+                phrase = " ".join(words)
+                if phrase not in numbers:
+                    numbers[phrase] = len(every)
+                    every.append(Template("", phrase, (phrase,)))
+                chain.append((numbers[phrase], at))
+            chains.append((number, chain))
+    return tuple(every), chains
+
+
+def way(chain: list[tuple[int, int]], k: int) -> tuple[int, int]:
+    """The least and the most words from the start of a chain's k-th phrase to that of the next."""
+    apart = chain[k + 1][1] - chain[k][1]
+    slack = SLACK + int(SLACK_SHARE * apart)
+    return max(1, apart - slack), apart + slack
 
 
 def build_index(frequencies: dict[str, int], templates=TEMPLATES) -> Index:
@@ -163,13 +198,14 @@ def build_index(frequencies: dict[str, int], templates=TEMPLATES) -> Index:
     idf = {w: log((frequencies[""] + 1) / (frequencies.get(w, 0) + 1)) + 1 for t in templates for w in t.words()}
     first: dict[str, list[tuple[int, int]]] = {}
     second: dict[str, list[tuple[int, int]]] = {}
-    for number, template in enumerate(templates):
+    every, chains = with_phrases(templates)
+    for number, template in enumerate(every):
         # Of the key phrases only: a place where these stand cannot be missed for want of another word.
         place = {w: at + i for at, words in reversed(template.key_places()) for i, w in reversed(list(enumerate(words)))}
         ranked = sorted(place, key=lambda w: (-idf[w], w))
         for filed, word in ((first, ranked[0]), (second, ranked[min(1, len(ranked) - 1)])):
             filed.setdefault(word, []).append((number, place[word]))
-    return Index(templates, first, second, idf)
+    return Index(every, len(templates), first, second, idf, chains)
 
 
 def _starts(words: Column, filed: dict[str, list[tuple[int, int]]]) -> Column:
@@ -182,7 +218,7 @@ def _starts(words: Column, filed: dict[str, list[tuple[int, int]]]) -> Column:
 
 
 def matches(words: Column, index: Index) -> Column:
-    """Array of struct(template, start, share, verified): every place where both rarest words of a template agree.
+    """Array of struct(template, start, share, verified): every place where both rarest words of a template, or of a phrase, agree.
 
     share is the part of the template's IDF whose words stand in place; verified says that its key phrases do.
     """
@@ -215,11 +251,46 @@ def matches(words: Column, index: Index) -> Column:
     return F.transform(found, judge)
 
 
+def chained(words: Column, found: Column, index: Index) -> Column:
+    """Array of the same structs for places where all phrases of a longer template follow each other, of what `matches` found.
+
+    start is where the template would begin, counted back from the first phrase; share is the part of the IDF of the template's
+    distinct words that occur from there to where it would end. Such places are verified.
+    """
+    def starts(phrase: int) -> Column:
+        return F.transform(F.filter(found, lambda m: (m["template"] == phrase) & m["verified"]), lambda m: m["start"])
+
+    def onward(ways: Column, phrase: int, low: int, high: int) -> Column:
+        def from_here(w):
+            return F.transform(F.filter(starts(phrase), lambda s: (s - w["at"]).between(low, high)), lambda s: F.struct(w["first"].alias("first"), s.alias("at")))
+
+        return F.flatten(F.transform(ways, from_here))
+
+    def places(number: int, chain: list[tuple[int, int]]) -> Column:
+        ways = F.transform(starts(chain[0][0]), lambda s: F.struct(s.alias("first"), s.alias("at")))
+        for k in range(len(chain) - 1):
+            ways = onward(ways, chain[k + 1][0], *way(chain, k))
+        own = sorted(set(index.templates[number].words()))
+        vocabulary, weight = _listed(own), _listed(index.idf[w] for w in own).cast("array<double>")
+        whole, last = sum(index.idf[w] for w in own), len(index.templates[number].words()) - chain[-1][1]
+
+        def judge(w):
+            start = F.greatest(w["first"] - chain[0][1], F.lit(0))
+            here = F.slice(words, start.cast("int") + 1, (w["at"] - start).cast("int") + last)
+            got = F.aggregate(F.zip_with(vocabulary, weight, lambda x, idf: F.when(F.array_contains(here, x), idf).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
+            return F.struct(F.lit(number).alias("template"), start.cast("long").alias("start"), F.least(got / whole, F.lit(1.0)).alias("share"), F.lit(True).alias("verified"))
+
+        return F.transform(ways, judge)
+
+    every = [places(*x) for x in index.chains]
+    return F.concat(*every) if every else F.filter(found, lambda m: F.lit(False))
+
+
 def scan(docs: DataFrame, index: Index, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The `keep` columns and n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start, null if
-    there is none. labels are those of all verified templates, base ones among them. score is the highest share found, of
+    there is none. labels are those of all templates verified in place or by their chained phrases, base ones among them. score is the highest share found, of
     unverified templates by PARTIAL, to DIGITS places; 0 without any. places has the verified (label, start). Null and empty
     texts have no words. Rows are scanned each by itself, repeated ones alike, and whole, however long. Columns of `keep`
     with these names are replaced. An empty table gives an empty result.
@@ -227,7 +298,15 @@ def scan(docs: DataFrame, index: Index, text: str = "text", keep: tuple = ("doc_
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
     kept = [c for c in keep if c.lower() not in new]
     rows = docs.select(F.struct(*kept).alias("row"), tokens(text).alias("words"))
-    rows = rows.select("row", F.size("words").cast("long").alias("n_words"), matches(F.col("words"), index).alias("found"))
+    rows = rows.select("row", F.size("words").cast("long").alias("n_words"), "words", matches(F.col("words"), index).alias("met"))
+    # Few texts have any phrase: the others make no chains.
+    phrases = F.exists("met", lambda m: m["template"] >= index.asked)
+    none = F.filter("met", lambda m: F.lit(False))
+    rows = rows.select("row", "n_words", "met", F.when(phrases, chained(F.col("words"), F.col("met"), index)).otherwise(none).alias("far"))
+    # Phrases have done; a chain that stands where its template does is no second place.
+    exact = F.filter("met", lambda m: m["template"] < index.asked)
+    more = F.filter("far", lambda c: ~F.exists("met", lambda m: m["verified"] & (m["template"] == c["template"]) & (m["start"] == c["start"])))
+    rows = rows.select("row", "n_words", F.concat(exact, F.array_distinct(more)).alias("found"))
     names = F.array(*[F.lit(t.label) for t in index.templates])
     base = F.array(*[F.lit(t.base) for t in index.templates])
     sure = F.filter("found", lambda m: m["verified"])
@@ -259,20 +338,29 @@ def op1_licenses(spark, sf_dir: str) -> DataFrame:
 
 def _op1_sql(templates=TEMPLATES) -> str:
     """The same by joins of words and places."""
-    rows = []
-    for number, t in enumerate(templates):
+    every, chains = with_phrases(templates)
+    rows, steps = [], []
+    for number, t in enumerate(every):
         keys = sorted({at + i for at, words in t.key_places() for i in range(len(words))})
         rows.append(f"({number}, '{t.label}', {t.base}, '{' '.join(t.words())}', {keys})")
+    for number, chain in chains:
+        for k, (phrase, place) in enumerate(chain):
+            low, high = way(chain, k - 1) if k else (0, 0)
+            steps.append(f"({number}, {k}, {phrase}, {low}, {high}, {len(chain) - 1}, {len(every[number].words()) - place}, {chain[0][1]})")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 tt(t, label, base, words, keys) AS (VALUES {", ".join(rows)}),
+cc(t, k, phrase, low, high, last, n, place) AS (VALUES {", ".join(steps)}),
 tw AS (SELECT t, place, word, list_contains(keys, place) AS key FROM (SELECT t, keys, unnest(range(len(string_split(words, ' ')))) AS place, unnest(string_split(words, ' ')) AS word FROM tt)),
 p AS (SELECT r, i, word FROM (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM tw)),
 idf AS (SELECT v.word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN (SELECT word, count(DISTINCT r) AS n FROM p GROUP BY word) f ON f.word = v.word),
 ranked AS (SELECT t, word, place, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS rank, count(*) OVER (PARTITION BY t) AS n FROM (SELECT t, word, min(place) AS place FROM tw WHERE key GROUP BY t, word) JOIN idf USING (word)),
 m AS (SELECT r, t, i - place AS start FROM p JOIN ranked USING (word) WHERE rank = 1 AND i >= place INTERSECT SELECT r, t, i - place FROM p JOIN ranked USING (word) WHERE rank = least(2, n) AND i >= place),
 judged AS (SELECT r, t, start, least(sum(CASE WHEN w[CAST(start + place + 1 AS INT)] = word THEN idf ELSE 0 END) / sum(idf), 1.0) AS share, bool_and(NOT key OR coalesce(w[CAST(start + place + 1 AS INT)] = word, false)) AS verified FROM m JOIN tw USING (t) JOIN idf USING (word) JOIN d USING (r) GROUP BY r, t, start),
-s AS (SELECT r, count(*) FILTER (verified AND base) AS n_base, min(start) FILTER (verified AND base) AS first_word, max(start) FILTER (verified AND base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share * CASE WHEN verified THEN 1.0 ELSE {PARTIAL} END) AS score FROM judged JOIN tt USING (t) GROUP BY r)
+ways AS (SELECT r, cc.t, 0 AS k, greatest(start - place, 0) AS head, start AS spot, last, n FROM judged JOIN cc ON phrase = judged.t AND k = 0 WHERE verified UNION SELECT ways.r, ways.t, ways.k + 1, ways.head, judged.start, ways.last, cc.n FROM ways JOIN cc ON cc.t = ways.t AND cc.k = ways.k + 1 JOIN judged ON judged.r = ways.r AND judged.t = cc.phrase AND judged.verified AND judged.start - ways.spot BETWEEN cc.low AND cc.high),
+far AS (SELECT ways.r, ways.t, least(sum(CASE WHEN list_contains(d.w[CAST(head + 1 AS INT) : CAST(spot + ways.n AS INT)], v.word) THEN idf ELSE 0 END) / sum(idf), 1.0) AS share FROM ways JOIN d USING (r) JOIN (SELECT DISTINCT t, word FROM tw) v ON v.t = ways.t JOIN idf ON idf.word = v.word WHERE k = last GROUP BY ways.r, ways.t, head, spot),
+every AS (SELECT r, t, start, share, verified FROM judged WHERE t < {len(templates)} UNION ALL SELECT r, t, NULL, share, true FROM far),
+s AS (SELECT r, count(*) FILTER (verified AND base) AS n_base, min(start) FILTER (verified AND base) AS first_word, max(start) FILTER (verified AND base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share * CASE WHEN verified THEN 1.0 ELSE {PARTIAL} END) AS score FROM every JOIN tt USING (t) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), {DIGITS}) AS score
 FROM d LEFT JOIN s USING (r)
 """
