@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from barloom.streaming.bars import stream_asof, stream_sessions
+from barloom.config import WindowSpec
+from barloom.streaming.bars import stream_asof, stream_sessions, stream_windows
 
 
 def run(spark, frame, plan, tmp_path, batches):
@@ -30,3 +31,15 @@ def test_sessions(spark, tmp_path):
     schema = "symbol string, ms long"
     got = run(spark, schema, lambda s: stream_sessions(s, "5 minutes", "1 minute"), tmp_path, [[("A", 0), ("A", 2 * minute), ("A", 20 * minute)], [("A", 200 * minute)]])
     assert sorted(r.n_rows for r in got) == [1, 2]
+
+
+def test_windows_are_given_once_and_as_from_a_table(spark, tmp_path):
+    """Rows out of order within batches, a gap, and windows that span batches; the last rows are still open."""
+    minute = 60_000
+    times = [10**6 + t for t in (*range(0, 20), *range(40, 60), 200)]
+    rows = [("A", i, t * minute, float(i)) for i, t in enumerate(times)] + [("B", 99, times[5] * minute, None)]
+    batches = [rows[:9][::-1] + rows[-1:], rows[9:25], rows[25:-2], rows[-2:-1]]
+    spec = WindowSpec(length=4, stride=3, max_gap_ms=5 * minute)
+    got = run(spark, "symbol string, id long, ms long, value double", lambda s: stream_windows(s, spec, late="30 minutes"), tmp_path, batches)
+    want = [(i, times[i] * minute, times[i + 3] * minute, [float(j) for j in range(i, i + 4)]) for i in range(0, 37, 3) if all(times[j + 1] - times[j] <= 5 for j in range(i, i + 3))]
+    assert sorted((r.start_index, r.start_ts, r.end_ts, r["values"]) for r in got) == want and len(want) == 12
