@@ -351,4 +351,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Passages of all documents that repeat, by document; doc_ids are whole numbers, null texts have no words, repeated rows are copies of
+    each other. An empty table gives an empty result."""
     return repeated_passages(table(spark, sf_dir, "documents"))
