@@ -563,7 +563,7 @@ def label_silhouette(spark, sf_dir):
     return found.select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@register("SELECT count(*) AS vectors, 8 AS clusters, true AS nearest FROM embeddings")
+@register("SELECT count(*) AS vectors, CAST(8 AS BIGINT) AS clusters, true AS nearest FROM embeddings")
 def kmeans_properties(spark, sf_dir):
     """Every vector is in one of eight clusters, and nearer to the mean of its own than to the other means, but for a few on borders
     that had not settled."""

@@ -62,15 +62,15 @@ def canonical_range(spark, sf_dir):
     return found.select("symbol", "timestamp", *[F.round(c, 6).alias(c) for c in BARS])
 
 
-@register("SELECT n_nationkey AS nation, sha256(n_name || ': ' || n_regionkey || chr(10)) AS sha256, true AS ok, false AS other_ok FROM nation")
+@register("SELECT CAST(n_nationkey AS BIGINT) AS nation, sha256(n_name || ': ' || n_regionkey || chr(10)) AS sha256, true AS ok, false AS other_ok FROM nation")
 def checksums(spark, sf_dir):
     """Digests of a file for each nation, held against those that SQL gives of the text, and against another's."""
     folder = fresh_dir(spark, "texts")
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(": "), F.col("n_regionkey").cast("string")).alias("value"))
     rows.repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
     found = canonical.file_hashes(spark, f"{folder}/*/part-*")
-    nation = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int")
-    texts = rows.select(F.col("n_nationkey").cast("int").alias("nation"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("want"))
+    nation = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("long")
+    texts = rows.select(F.col("n_nationkey").cast("long").alias("nation"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("want"))
     known = found.select("path", nation.alias("nation")).join(texts, "nation")
     right = canonical.checksum_matches(found, known.select("path", F.concat(F.lit("sha256:"), F.upper("want")).alias("sha256"))).select("path", "ok")
     wrong = canonical.checksum_matches(found, known.select("path", F.sha2("want", 256).alias("sha256"))).select("path", F.col("ok").alias("other_ok"))
@@ -236,7 +236,7 @@ def _doubled(frame: DataFrame) -> DataFrame:
     return embed(frame.select("vec_id", F.col("embedding").alias("features")), lambda vs: [[2.0 * v[0], 2.0 * v[1]] for v in vs], 2)
 
 
-@register("SELECT label, count(*) AS n, round(sum(2.0 * CAST(embedding[1] AS DOUBLE)), 4) AS first, round(sum(2.0 * CAST(embedding[2] AS DOUBLE)), 4) AS second, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) AS computed_first, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1) AS computed_then, 0 AS computed_last, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS computed_changed FROM embeddings GROUP BY label")
+@register("SELECT label, count(*) AS n, round(sum(2.0 * CAST(embedding[1] AS DOUBLE)), 4) AS first, round(sum(2.0 * CAST(embedding[2] AS DOUBLE)), 4) AS second, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) AS computed_first, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1) AS computed_then, CAST(0 AS BIGINT) AS computed_last, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS computed_changed FROM embeddings GROUP BY label")
 def cached_embeddings(spark, sf_dir):
     """A part of the vectors, then all, then all again, then with a tenth of them changed: only what is not held is computed."""
     from .plans.cache import EmbeddingCache
@@ -276,7 +276,7 @@ def pooled_embeddings(spark, sf_dir):
 
 @register("""WITH e AS (SELECT vec_id, label, CASE WHEN vec_id % 4 = 0 THEN 'validation' ELSE 'train' END AS split, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, label, split, 'cls' AS pooling, v[1:16] AS v FROM e UNION ALL SELECT vec_id, label, split, 'mean', v FROM e),
 c AS (SELECT a.split, a.pooling, a.vec_id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.split, a.pooling, a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM p a JOIN p b ON a.split = b.split AND a.pooling = b.pooling AND a.vec_id <> b.vec_id)
-SELECT split, pooling, 10 AS k, count(DISTINCT vec_id) AS n_samples, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS same_rate, round(1 - avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS cross_rate, true AS valid FROM c WHERE rank <= 10 GROUP BY split, pooling""")
+SELECT split, pooling, CAST(10 AS BIGINT) AS k, count(DISTINCT vec_id) AS n_samples, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS same_rate, round(1 - avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 3) AS cross_rate, true AS valid FROM c WHERE rank <= 10 GROUP BY split, pooling""")
 def retrieval_reports(spark, sf_dir):
     """A document for each split and pooling, written as files and read back. Splits and two poolings of the vectors, all against all of their own."""
     from .plans import reports
@@ -289,7 +289,7 @@ def retrieval_reports(spark, sf_dir):
     return found.withColumns({c: F.bround(c, 3) for c in ("same_rate", "cross_rate")})
 
 
-@register("SELECT 12 AS batches, 12 * 64 AS samples, 12 * 64 * 3 * 4 AS bytes, (count(*) + 63) // 64 AS all_batches, count(*) AS all_samples FROM lineitem")
+@register("SELECT CAST(12 AS BIGINT) AS batches, CAST(12 * 64 AS BIGINT) AS samples, CAST(12 * 64 * 3 * 4 AS BIGINT) AS bytes, (count(*) + 63) // 64 AS all_batches, count(*) AS all_samples FROM lineitem")
 def loader_benchmark(spark, sf_dir):
     """A dozen batches of all rows from tasks that stop early, and a pass over all of them in one task; times are left out."""
     from .plans.throughput import benchmark
@@ -299,7 +299,7 @@ def loader_benchmark(spark, sf_dir):
     return spark.createDataFrame([(*(int(some[c]) for c in ("batches", "samples", "bytes")), int(every["batches"]), int(every["samples"]))], "batches long, samples long, bytes long, all_batches long, all_samples long")
 
 
-@register("SELECT c_custkey AS symbol, c_mktsegment AS market_type, CAST(max(o_orderdate) AS TIMESTAMP) AS valid_from FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 3 = 0 GROUP BY ALL")
+@register("SELECT c_custkey AS symbol, c_mktsegment AS market_type, max(o_orderdate) AS valid_from FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 3 = 0 GROUP BY ALL")
 def requested_assets(spark, sf_dir):
     """Current versions of the assets that are asked for, from a catalogue table that is written in two goes and read back."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -310,7 +310,7 @@ def requested_assets(spark, sf_dir):
     catalog.register_assets(held, rows.filter("valid_from >= '1995-06-01'"))
     asked = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("symbol"))
     found = catalog.requested_assets(held.read(), asked)
-    return found.select(F.col("symbol").cast("long").alias("symbol"), "market_type", "valid_from")
+    return found.select(F.col("symbol").cast("long").alias("symbol"), "market_type", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"))
 
 
 @register("SELECT o_orderkey, round(CASE WHEN step < 20 THEN step / 20.0 ELSE 0.5 * (1 + cos(pi() * least(greatest((step - 20) / 80.0, 0), 1))) END, 9) AS rate FROM (SELECT o_orderkey, o_orderkey % 120 AS step FROM orders)")
