@@ -324,7 +324,7 @@ def learning_rates(spark, sf_dir):
 def time_aliases(spark, sf_dir):
     """Ticks whose time has another name, in microseconds for some symbols and milliseconds for others, and as ISO text for the rest."""
     t = ticks(spark, sf_dir).select("symbol", "timestamp", "price")
-    parts = [t.filter("symbol < 'e'").select("symbol", (F.col("timestamp") * 1_000).cast("string").alias("transact_time"), "price"), t.filter("symbol >= 'e' AND symbol < 's'").select("symbol", F.col("timestamp").cast("string").alias("transact_time"), "price"), t.filter("symbol >= 's'").select("symbol", F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("transact_time"), "price")]
+    parts = [t.filter("symbol < 'e'").select("symbol", (F.col("timestamp") * 1_000).cast("string").alias("transact_time"), "price"), t.filter("symbol >= 'e' AND symbol < 's'").select("symbol", F.col("timestamp").cast("string").alias("transact_time"), "price"), t.filter("symbol >= 's'").select("symbol", F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("transact_time"), "price")]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return archives.convert(rows, "aggTrades", ("symbol",)).select("symbol", "timestamp", "price")
 
