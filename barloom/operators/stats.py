@@ -79,12 +79,19 @@ class Normalizer:
     def transform(self, frame: DataFrame) -> DataFrame:
         return frame.withColumns({c: self.column(c) for c in self._fitted() if c in frame.columns})
 
+    def dumps(self) -> str:
+        return json.dumps({"mode": self.mode, "stats": self._fitted()}, indent=2)
+
     def save(self, path: str | Path) -> None:
-        Path(path).write_text(json.dumps({"mode": self.mode, "stats": self._fitted()}, indent=2))
+        Path(path).write_text(self.dumps())
 
     @classmethod
     def load(cls, path: str | Path) -> Normalizer:
-        held = json.loads(Path(path).read_text())
+        return cls.loads(Path(path).read_text())
+
+    @classmethod
+    def loads(cls, text: str) -> Normalizer:
+        held = json.loads(text)
         found = cls(held.get("mode", "zscore"))
         found.stats = held["stats"]
         return found

@@ -27,3 +27,9 @@ def swap(spark: SparkSession, fs, draft, path: str) -> None:
         fs.delete(at, False)
     if not fs.rename(draft, at):
         raise OSError(f"{path} could not be put in place")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it is not there."""
+    fs, at = at_path(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(at) else None

@@ -1,4 +1,7 @@
-"""Manifests, fingerprints, snapshots, lineage and reports: small documents made of small frames on the driver."""
+"""Manifests, fingerprints, snapshots, lineage and reports: small documents made of small frames on the driver.
+
+Documents go to local paths, or, where a session is given, to any path that Spark's file systems reach.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,11 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import at_path, get_text, put_text
+
 #: The versions that a manifest pins.
 VERSIONS = {
     "alignment_version": "alignment_v1.yaml",
@@ -22,9 +27,22 @@ VERSIONS = {
 }
 
 
-def save_json(document: dict, path: str | Path) -> None:
+def save_json(document: dict, path: str | Path, spark: SparkSession | None = None) -> None:
+    text = json.dumps(document, indent=2)
+    if spark:
+        put_text(spark, str(path), text)
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(document, indent=2))
+    Path(path).write_text(text)
+
+
+def load_json(path: str | Path, spark: SparkSession | None = None) -> dict | None:
+    """A document; None if it is not there."""
+    if spark:
+        text = get_text(spark, str(path))
+    else:
+        text = Path(path).read_text() if Path(path).exists() else None
+    return None if text is None else json.loads(text)
 
 
 def ledger(files: DataFrame, symbols: list[str]) -> dict[str, str]:
@@ -54,29 +72,28 @@ def fingerprint(manifest: dict) -> dict[str, Any]:
     return {"fingerprint": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(files), "dataset_versions": versions}
 
 
-def create_snapshot(folder: str | Path, name: str, manifest: dict, checksums: dict | None = None, statistics: dict | None = None) -> Path:
-    """Writes an immutable snapshot and its content hash; one of that name is a FileExistsError. Checksums are the manifest's ledger
-    if none are given, or only a status."""
-    target = Path(folder) / name
-    if target.exists():
+def create_snapshot(folder: str | Path, name: str, manifest: dict, checksums: dict | None = None, statistics: dict | None = None, spark: SparkSession | None = None) -> str | Path:
+    """Writes an immutable snapshot and its content hash, which comes last; one of that name is a FileExistsError. Checksums are the
+    manifest's ledger if none are given, or only a status."""
+    target = f"{folder}/{name}" if spark else Path(folder) / name
+    fs, at = at_path(spark, target) if spark else (None, None)
+    if fs.exists(at) if spark else target.exists():
         raise FileExistsError(target)
     if checksums is None or "status" in checksums:
         checksums = manifest.get("training_manifest", {}).get("file_ledger", {})
     content = {"manifest": manifest, "checksums": checksums, "statistics": statistics or {}}
     digest = hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()
-    target.mkdir(parents=True)
     for part, value in content.items():
-        save_json(value, target / f"{part}.json")
-    save_json({"name": name, "sha256": digest, "created_at": datetime.now(UTC).isoformat()}, target / "snapshot.json")
+        save_json(value, f"{target}/{part}.json", spark)
+    save_json({"name": name, "sha256": digest, "created_at": datetime.now(UTC).isoformat()}, f"{target}/snapshot.json", spark)
     return target
 
 
-def record_stage(path: str | Path, stage: str, entry: dict) -> dict[str, list]:
+def record_stage(path: str | Path, stage: str, entry: dict, spark: SparkSession | None = None) -> dict[str, list]:
     """Adds an entry to a stage of a lineage document."""
-    path = Path(path)
-    held = json.loads(path.read_text()) if path.exists() else {}
+    held = load_json(path, spark) or {}
     held.setdefault(stage, []).append({"recorded_at": datetime.now(UTC).isoformat(), **entry})
-    save_json(held, path)
+    save_json(held, path, spark)
     return held
 
 

@@ -685,12 +685,12 @@ def stream_windows_available_now(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import source_queries  # noqa: F401  registers its queries
+    from . import record_queries, source_queries  # noqa: F401  these register their queries
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import source_queries  # noqa: F401  registers its queries
+    from . import record_queries, source_queries  # noqa: F401  these register their queries
 
     return dict(_sql)

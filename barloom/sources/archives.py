@@ -186,41 +186,45 @@ def history_rows(payload: DataFrame, kind: str, column: str = "json") -> DataFra
 
 
 def fetch(urls: DataFrame, folder: str, get, retries: int = 3, wait_s: float = 1.0) -> DataFrame:
-    """(url, path, status) of downloads by `get(url) -> bytes | None` on the executors, into a shared folder.
+    """(url, path, status) of downloads by `get(url) -> bytes | None` on the executors, into a shared folder (an absolute path or a URI).
 
     A file that is there and not empty is skipped; None is absent; errors are tried again after a growing wait, then failed. Files
     appear under their names only when whole. `urls` should have as many partitions as downloads may run at once.
     """
 
     def run(batches):
-        import os
         import time
         import uuid
 
         import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+
+        def attempt(url: str, name: str) -> str:
+            held = store.get_file_info(f"{root}/{name}")
+            if held.is_file and held.size:
+                return "skipped"
+            for wait in range(1, retries + 1):
+                try:
+                    content = get(url)
+                    if content is None:
+                        return "absent"
+                    draft = f"{root}/{name}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(draft) as out:
+                        out.write(content)
+                    store.move(draft, f"{root}/{name}")
+                    return "downloaded"
+                except OSError:
+                    time.sleep(wait_s * wait)
+            return "failed"
 
-        os.makedirs(folder, exist_ok=True)
         for frame in batches:
-            rows = []
-            for url in frame["url"]:
-                path, status = os.path.join(folder, url.rsplit("/", 1)[-1]), "failed"
-                if os.path.exists(path) and os.path.getsize(path):
-                    rows.append((url, path, "skipped"))
-                    continue
-                for attempt in range(retries):
-                    try:
-                        content = get(url)
-                        status = "absent" if content is None else "downloaded"
-                        if content is not None:
-                            part = f"{path}.{uuid.uuid4().hex}"
-                            with open(part, "wb") as f:
-                                f.write(content)
-                            os.replace(part, path)
-                        break
-                    except OSError:
-                        time.sleep(wait_s * (attempt + 1))
-                rows.append((url, path if status == "downloaded" else None, status))
-            yield pd.DataFrame(rows, columns=["url", "path", "status"])
+            names = [url.rsplit("/", 1)[-1] for url in frame["url"]]
+            status = [attempt(url, name) for url, name in zip(frame["url"], names, strict=True)]
+            paths = [f"{folder}/{name}" if s in ("downloaded", "skipped") else None for name, s in zip(names, status, strict=True)]
+            yield pd.DataFrame({"url": frame["url"], "path": paths, "status": status})
 
     return urls.select("url").mapInPandas(run, "url string, path string, status string")
 
