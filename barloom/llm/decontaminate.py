@@ -27,8 +27,12 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
 
-def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """(pattern, owners) of the distinct windows of all items: words between spaces, as Latin-1; sorted item ids as strings."""
+def windows_of(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows of all items as (pattern, owners), and (owners, owner): who they are.
+
+    A pattern is words between spaces, as Latin-1. Windows of the same items share a set of owners, which is named by how many
+    they are and 128 bits of their ids' hashes; null if no owner has an id. No list of owners is made, however many a window has.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
 
     def run(batches):
@@ -40,17 +44,24 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
                 found = {b" ".join(words[at : at + window]).decode("latin-1") for at in range(max(1, len(words) - window + 1) if words else 0)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([item.as_py()] * len(found), pa.string())], names=["pattern", "owner"])
 
-    return items.mapInArrow(run, "pattern string, owner string").groupBy("pattern").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    pairs = durable(items.mapInArrow(run, "pattern string, owner string").distinct())
+    halves = [F.lpad(F.hex(F.bit_xor(F.xxhash64(F.lit(i), "owner"))), 16, "0") for i in (1, 2)]
+    named = F.when(F.count("owner") > 0, F.concat_ws("-", F.count("owner"), *halves))
+    # A null owner hashes like its seed: it is left out, not mixed in.
+    known = pairs.filter("owner IS NOT NULL").groupBy("pattern").agg(named.alias("owners"))
+    patterns = durable(pairs.select("pattern").distinct().join(known, "pattern", "left"))
+    first = patterns.filter("owners IS NOT NULL").groupBy("owners").agg(F.min("pattern").alias("pattern"))
+    return patterns, pairs.filter("owner IS NOT NULL").join(first, "pattern").select("owners", "owner")
 
 
 def _automaton(token: str, windows: list):
-    """Patterns are windows between spaces; a value is (words of the pattern, ids of the items that have it)."""
+    """Patterns are windows between spaces; a value is (words of the pattern, name of the set of items that have it)."""
     if token not in _built:
         import ahocorasick
 
         found = ahocorasick.Automaton()
         for pattern, owners in windows:
-            found.add_word(f" {pattern} ", (pattern.count(" ") + 1, tuple(owners)))
+            found.add_word(f" {pattern} ", (pattern.count(" ") + 1, owners))
         if windows:
             found.make_automaton()
         _built.clear()
@@ -77,7 +88,7 @@ def _scan(token: str, block, window: int):
     word = re.compile(rb"[^ ]+")
 
     def hits(data: bytes):
-        """The number of words, their marks (None if no window occurs) and the ids of the items that have them.
+        """The number of words, their marks (None if no window occurs) and the sets of items that have them.
 
         Runs of words are scanned with the last words of the run before them, so no window is cut.
         """
@@ -94,7 +105,7 @@ def _scan(token: str, block, window: int):
                     if len(marks) < total:
                         marks.extend(bytes(total - len(marks)))
                     marks[first + seen - n : first + seen] = b"\x01" * n
-                    who.update(owners)
+                    who.add(owners)
             held = tokens[len(tokens) - min(window - 1, len(tokens)) :]
         return total, marks, who
 
@@ -123,7 +134,7 @@ def _scan(token: str, block, window: int):
 
     def work(batch):
         rows = [one(x.as_py()) for x in batch.column("text")]
-        return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span), pa.array([sorted(set(r[2])) for r in rows], pa.list_(pa.string()))]
+        return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span), pa.array([sorted(x for x in r[2] if x) for r in rows], pa.list_(pa.string()))]
 
     return work
 
@@ -131,33 +142,50 @@ def _scan(token: str, block, window: int):
 FOUND = ("n_words", "spans", "items")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS, names: tuple[str, str, str] = FOUND) -> DataFrame:
+def _with_items(found: DataFrame, owners: DataFrame, sets: str, items: str) -> DataFrame:
+    """`found` with `items`, the sorted ids of all owners of its `sets`: looked up once for all rows that have the same sets."""
+    found = durable(found)
+    hit = F.size(sets) > 0
+    each = found.filter(hit).select(sets).distinct().withColumn("owners", F.explode(sets))
+    lists = each.join(owners, "owners").groupBy(sets).agg(F.array_sort(F.collect_set("owner")).alias(items))
+    none = F.array().cast("array<string>")
+    return found.filter(hit).join(lists, sets).unionByName(found.filter(~hit).withColumn(items, none)).drop(sets)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS, names: tuple[str, ...] = FOUND) -> DataFrame:
     """`docs` (with `text`) and n_words, spans, items: what of each text stands in an item's window of `window` words.
 
     A shorter item is one window; a wordless or null one has none. spans lists the maximal runs of hit words (first_word,
     n_words; begin and end in the original text's characters); items lists the ids, as distinct sorted strings, of the
     items with an occurring window. Items without an id mark words but are not listed. Null texts have no words. Rows are
     scanned each by itself, long ones in runs; an empty table gives an empty result. `names` are the new columns' names;
-    columns of `docs` with these are replaced. The items' distinct windows are counted first: those that one automaton of
-    `block_chars` can hold are scanned at once, more of them in blocks by a hash of the window.
+    columns of `docs` with these are replaced. Without a third name, items are not looked up and rows are not written. The
+    items' distinct windows are counted first: those that one automaton of `block_chars` can hold are scanned at once, more of
+    them in blocks by a hash of the window. Who owns them stays in a table, in which the sets of items that texts hit are looked up.
     """
     spark = docs.sparkSession
-    patterns = durable(windows_of(benchmark, window))
+    patterns, owners = windows_of(benchmark, window)
     size = patterns.agg(F.sum(F.char_length("pattern") + 2)).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
-    n_words, spans, items = names
-    fields = f"`{n_words}` long, `{spans}` array<struct<first_word:long,n_words:long,begin:long,end:long>>, `{items}` array<string>"
+    sets = "owner_sets"
+    while sets in {c.lower() for c in (*kept, *names)}:
+        sets = f"_{sets}"
+    columns = (*names[:2], sets)
+    fields = f"`{names[0]}` long, `{names[1]}` array<struct<first_word:long,n_words:long,begin:long,end:long>>, `{sets}` array<string>"
+
+    def finish(found: DataFrame) -> DataFrame:
+        return _with_items(found, owners, sets, names[2]).select(*kept, *names) if len(names) > 2 else found.select(*kept, *names)
 
     def parts(source: DataFrame, carried: list[str]):
         for i in range(blocks):
             mine = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i) if blocks > 1 else patterns
-            # `block_chars` and the ids of the windows' items bound what is collected and broadcast.
-            block = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+            # `block_chars` bounds what is collected and broadcast: of a window's owners there is one short name.
+            block = spark.sparkContext.broadcast([tuple(r) for r in mine.select("pattern", "owners").collect()])
             yield with_arrow_columns(source, fields, lambda token=uuid.uuid4().hex, block=block: _scan(token, block, window), carried)
 
     if blocks == 1:
-        return next(parts(docs.select(*{*kept, "text"}), kept))
+        return finish(next(parts(docs.select(*{*kept, "text"}), kept)))
     number = fresh_name(docs, "scan_row")  # the same row's finds are brought together by a number that must not change between scans
     docs = durable(docs.select(*{*kept, "text"}).withColumn(number, F.monotonically_increasing_id()))
     united = None
@@ -184,12 +212,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
         ).otherwise(F.concat(acc, F.array(x))),
     )
     found = found.select(number, "n_words", F.when(F.size("raw") > 0, merged).otherwise(F.col("raw")).alias("spans"), "items")
-    return docs.select(*kept, number).join(found.toDF(number, *names), number).drop(number)
+    return finish(docs.select(*kept, number).join(found.toDF(number, *columns), number).drop(number))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs`, in all their columns, in which no word is part of an item's window."""
-    names = tuple(fresh_name(docs, n) for n in FOUND)
+    names = tuple(fresh_name(docs, n) for n in FOUND[:2])
     return scan(docs, benchmark, window, names=names).filter(F.size(names[1]) == 0).select(*docs.columns)
 
 

@@ -144,6 +144,24 @@ def test_decontamination_against_every_window(spark):
     assert decontaminate.scan(empty(spark), benchmark).count() == 0
 
 
+def test_a_window_of_very_many_items(spark):
+    from pyspark.sql import functions as F
+
+    shared, own = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(10))
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("item_id"), F.when(F.col("id") % 2 == 0, f"{shared} {own}").otherwise(shared).alias("text"))
+    patterns, owners = decontaminate.windows_of(many.unionByName(spark.createDataFrame([(None, "nobody knows")], "item_id string, text string")), 10)
+    held = {r.pattern: r.owners for r in patterns.collect()}
+    assert held["nobody knows"] is None and len(set(held.values())) == 3  # all items, the even ones, no one
+    assert all(len(name) < 45 for name in held.values() if name)
+    assert owners.groupBy("owners").count().agg(F.sum("count")).first()[0] == 150_000
+    docs = spark.createDataFrame([(1, f"x {shared} y"), (2, own), (3, f"{own} {shared}"), (4, "nobody knows"), (5, "clean"), (6, f"x {shared} z"), (7, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.scan(docs, many.unionByName(spark.createDataFrame([(None, "nobody knows")], "item_id string, text string"))).collect()}
+    every, even = sorted(map(str, range(100_000))), sorted(map(str, range(0, 100_000, 2)))
+    assert [found[i]["items"] == want for i, want in ((1, every), (2, even), (3, every), (4, []), (5, []), (6, every), (7, []))] == [True] * 7
+    assert [len(found[i].spans) for i in range(1, 8)] == [1, 1, 1, 1, 0, 1, 0]
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, many).collect()} == {4, 5, 7}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes string")
 
@@ -215,7 +233,7 @@ def test_windows_across_runs_of_a_long_text(monkeypatch):
     for item, text in items:
         w = [x.encode().decode("latin-1") for x in tokens(text)]
         for i in range(max(1, len(w) - 9)):
-            windows.setdefault(" ".join(w[i : i + 10]), []).append(item)
+            windows[" ".join(w[i : i + 10])] = item  # each is of one item: the set's name may be its id
     work = decontaminate._scan(uuid.uuid4().hex, SimpleNamespace(value=list(windows.items())), 10)
     n, spans, who = (c.to_pylist() for c in work(pa.record_batch([pa.array(texts)], names=["text"])))
     for i, (_, total, hit, names) in enumerate(brute(list(enumerate(texts)), items)):
