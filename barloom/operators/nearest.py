@@ -1,8 +1,9 @@
 """Nearest neighbours by cosine, exactly and through an inverted file of cells.
 
-Rows meet in blocks: a key has at most some BLOCK_ROWS queries and as many rows, whose products are one matrix product; each
+Rows meet in blocks: a key has some queries and some rows, whose products are matrix products of a few queries at a time; each
 query keeps its k best of a block, so what leaves a block is k rows for each query and no row for each pair. How many blocks
-there are follows from counts. Without an index all rows are one cell; with one, queries meet the cells that are nearest
+there are follows from counts: blocks grow with the rows, so that each row is sent SIDES times and what is moved grows as the
+rows do, until a block has BLOCK_ROWS * MOST_BLOCKS of them. Without an index all rows are one cell; with one, queries meet the cells that are nearest
 to them, and, for an exact answer, every other cell that may hold something nearer than what was found.
 """
 
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles
 from ..storage import durable
 
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
+#: More than BLOCK_ROWS rows are so many blocks on each side, or BLOCKS in all for few queries; a block has BLOCK_ROWS times MOST_BLOCKS at most.
+SIDES, BLOCKS, MOST_BLOCKS = 8, 64, 64
+#: Products that are held at once.
+PRODUCTS = 1 << 22
 #: Cells are fitted on at most so many rows, those with the smallest hashes of their ids, and every row is filed.
 SAMPLE_ROWS, MOST_CELLS, ROUNDS = 32_768, 4_096, 8
 #: Similarities are compared to so many places, so that products of another order of sums tie alike.
@@ -35,6 +40,23 @@ def _rows(frame: DataFrame, vec_id: str, vector: str, name: str, *more: Column)
     return frame.select(F.col(vec_id).alias(name), doubles(F.col(vector)).alias("v"), *more).filter(F.col(name).isNotNull() & F.col("v").isNotNull())
 
 
+def _bounds(near: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k largest values reach and few others do: the k-th largest of what groups of columns have as their
+    largest."""
+    n = near.shape[1]
+    if n <= k:
+        return np.full(len(near), -2.0)
+    width = max(1, n // (8 * k))
+    tops = near[:, : n - n % width].reshape(len(near), -1, width).max(axis=2)
+    return np.partition(tops, -k, axis=1)[:, -k]
+
+
+def parts_of(rows: Column, block_rows: int, most: Column | int = SIDES) -> Column:
+    """Into how many parts so many rows are cut: of `block_rows` each, but `most` in all while parts are not too large."""
+    held = F.least(F.ceil(rows / block_rows), F.lit(most) if isinstance(most, int) else most)
+    return F.greatest(held, F.ceil(rows / (block_rows * MOST_BLOCKS))).cast("long")
+
+
 def _best(k: int):
     """For queries and rows of one key: each query's k best rows."""
 
@@ -44,18 +66,19 @@ def _best(k: int):
         right = right.sort_by("neighbour")  # then an earlier column of the product is a smaller id
         base = _units(right["v"]).T if len(right) else None
         found = []
-        for at in range(0, len(left) if len(right) else 0, 512):
-            part = left.slice(at, 512)
-            near = np.round(_units(part["v"]) @ base, PLACES)
+        step = max(1, min(512, PRODUCTS // max(len(right), 1)))
+        for at in range(0, len(left) if len(right) else 0, step):
+            part = left.slice(at, step)
+            near = _units(part["v"]) @ base
             own = np.asarray(pa.compute.index_in(part["query"], right["neighbour"]).fill_null(-1))
             near[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
-            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
-            row, col = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
-            order = np.lexsort((col, -near[row, col], row))
-            row, col = row[order], col[order]
+            row, col = np.nonzero(near >= np.maximum(_bounds(near, k) - 2 * 10.0**-PLACES, -2.0)[:, None])
+            values = np.round(near[row, col], PLACES)
+            order = np.lexsort((col, -values, row))
+            row, col, values = row[order], col[order], values[order]
             kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[kept], col[kept]
-            found.append(pa.table([pa.array([key[0].as_py()] * len(row), key[0].type), part["query"].take(pa.array(row)), right["neighbour"].take(pa.array(col)), pa.array(near[row, col])], names=["cell", "query", "neighbour", "similarity"]))
+            row, col, values = row[kept], col[kept], values[kept]
+            found.append(pa.table([pa.array([key[0].as_py()] * len(row), key[0].type), part["query"].take(pa.array(row)), right["neighbour"].take(pa.array(col)), pa.array(values)], names=["cell", "query", "neighbour", "similarity"]))
         return pa.concat_tables(found) if found else pa.table({"cell": pa.array([], key[0].type), "query": left["query"].slice(0, 0), "neighbour": right["neighbour"].slice(0, 0), "similarity": pa.array([], pa.float64())})
 
     return meet
@@ -67,7 +90,9 @@ def _met(asked: DataFrame, filed: DataFrame, k: int, block_rows: int) -> DataFra
     A cell with many rows, or asked by many queries, is as many blocks as it needs. Cells are few: their counts are broadcast.
     """
     counts = asked.select("cell", F.lit(1).alias("q"), F.lit(0).alias("b")).unionByName(filed.select("cell", F.lit(0).alias("q"), F.lit(1).alias("b"))).groupBy("cell").agg(F.sum("q").alias("q"), F.sum("b").alias("b")).filter("q > 0 AND b > 0")
-    counts = F.broadcast(durable(counts.select("cell", *[F.ceil(F.col(c) / block_rows).cast("long").alias(f"{c}s") for c in "qb"])))
+    counts = counts.withColumn("qs", parts_of(F.col("q"), block_rows))
+    counts = counts.withColumn("bs", parts_of(F.col("b"), block_rows, F.greatest(F.lit(SIDES), F.floor(F.lit(BLOCKS) / F.col("qs")))))
+    counts = F.broadcast(durable(counts.select("cell", "qs", "bs")))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -203,6 +228,41 @@ def search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, e
     return _ranked(found, k)
 
 
+#: Rows whose true neighbours are looked for in the cells, to learn how many cells must be met, and the share of neighbours to be found.
+TRIAL_ROWS, TRIAL_SHARE = 1_024, 0.95
+
+
+def enough_probes(index: CellIndex, k: int = 10, share: float = TRIAL_SHARE, rows: int = TRIAL_ROWS, seed: int = 0) -> int:
+    """How many cells a query must meet first for `share` of its k nearest rows, as learned from at most `rows` rows of the index, those
+    with the smallest hashes of their ids: their exact neighbours' cells are counted in the order in which a query meets cells.
+
+    Vectors without clusters need most cells, however many there are; a count that is fixed finds fewer neighbours in a larger table.
+    """
+    if not len(index.centres):
+        return 1
+    held = index.rows.select(F.col("neighbour").alias("id"), "v", "cell")
+    trial = durable(held.drop("cell").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows))
+    near = neighbours(trial, held, k, "id", "v").select("query", "neighbour").join(held.select(F.col("id").alias("neighbour"), "cell"), "neighbour")
+    asked = near.groupBy("query").agg(F.collect_list("cell").alias("at")).join(trial.withColumnRenamed("id", "query"), "query")
+
+    def places(cosines, part):
+        import pyarrow as pa
+
+        rank = np.argsort(np.argsort(-cosines, axis=1, kind="stable"), axis=1)
+        at = part["at"]
+        row = np.repeat(np.arange(len(at)), np.diff(np.asarray(at.offsets)))
+        return [pa.ListArray.from_arrays(pa.array(np.asarray(at.offsets) - at.offsets[0].as_py(), pa.int32()), pa.array(rank[row, np.asarray(at.flatten())] + 1, pa.int32()))]
+
+    met = _with_cells(asked, index.centres, "places array<int>", places).select(F.explode("places").alias("place"))
+    counts = sorted((r.place, r["count"]) for r in met.groupBy("place").count().collect())  # a row for each cell at most
+    wanted, held_by = share * sum(n for _, n in counts), 0
+    for place, n in counts:
+        held_by += n
+        if held_by >= wanted:
+            return place
+    return 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: recall, the share of the pairs of `exact` (query, neighbour) that `found` has, and pairs, how many there are."""
     both = exact.select("query", "neighbour").join(found.select("query", "neighbour", F.lit(1).alias("hit")), ["query", "neighbour"], "left")

@@ -122,3 +122,10 @@ def test_batches_are_capped_within_tasks(spark):
     found = benchmark(rows, 5, 100, 6)
     assert (found["batches"], found["samples"], found["bytes"]) == (6, 600, 12_000) and found["samples_per_sec"] > 0
     assert set(benchmark(rows.filter("id < 0"), 5).values()) == {0}
+
+
+def test_rows_are_sent_as_often_in_larger_tables(spark):
+    from barloom.operators.nearest import BLOCK_ROWS, MOST_BLOCKS, parts_of
+
+    parts = [r.p for r in spark.createDataFrame([(n,) for n in (0, 1, BLOCK_ROWS, 10_000, 100_000, 500_000, 5_000_000)], "n long").select(parts_of(F.col("n"), BLOCK_ROWS).alias("p")).collect()]
+    assert parts[:6] == [0, 1, 1, 8, 8, 8] and parts[6] == -(-5_000_000 // (BLOCK_ROWS * MOST_BLOCKS))
