@@ -184,15 +184,65 @@ def adjusted_mutual_info(table: DataFrame) -> float:
     return (held.mi - expected) / (mean - expected) if mean != expected else 1.0
 
 
-def silhouette(frame: DataFrame, cluster: str = "cluster", vector: str = "embedding", vec_id: str = "vec_id", rows: int = 8000, seed: int = 0) -> DataFrame:
-    """One row: the mean Euclidean silhouette of a seeded sample of `rows` rows (the metric's own limit), singletons counting 0."""
-    sample = frame.orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id).limit(rows).select(F.col(vec_id).alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
-    blocks = 8
-    other = sample.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("v").alias("v2"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    met = sample.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(other, "block").filter("id != id2")
-    mean = met.groupBy("id", "c", "c2").agg(F.avg(distance(F.col("v"), F.col("v2"))).alias("d"))
+def _distances(left, right):
+    """For two blocks of rows (id, c, v) and (id2, c2, v2): the sum and number of distances of each left row to the rows of each cluster on
+    the right, itself left out. Distances are roots of products; those of near copies, which products cannot tell, are of differences."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from .nearest import PRODUCTS
+
+    right = right.sort_by("c2")
+    if not len(left) or not len(right):
+        return pa.table({"id": left["id"].slice(0, 0), "c": left["c"].slice(0, 0), "c2": right["c2"].slice(0, 0), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+    x, y = (np.asarray(t[c].combine_chunks().flatten(), np.float64).reshape(len(t), -1) for t, c in ((left, "v"), (right, "v2")))
+    xx, yy = (np.einsum("ij,ij->i", z, z) for z in (x, y))
+    clusters = right["c2"].to_pandas()
+    first = np.flatnonzero((clusters != clusters.shift()).to_numpy())
+    own = pd.DataFrame({"id": left["id"].to_pandas()}).rename_axis("i").reset_index().merge(pd.DataFrame({"id": right["id2"].to_pandas()}).rename_axis("j").reset_index(), "inner", "id").sort_values("i")
+    i, j = own["i"].to_numpy(), own["j"].to_numpy()
+    sums, step = np.empty((len(x), len(first))), max(1, PRODUCTS // len(y))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        both = xx[at : at + step, None] + yy
+        d = both - 2 * (part @ y.T)
+        row, col = np.nonzero(d <= 1e-6 * both)
+        for some in range(0, len(row), 65_536):
+            r, c = row[some : some + 65_536], col[some : some + 65_536]
+            d[r, c] = ((part[r] - y[c]) ** 2).sum(axis=1)
+        d = np.sqrt(d, out=d)
+        same = slice(*np.searchsorted(i, [at, at + len(part)]))
+        d[i[same] - at, j[same]] = 0
+        sums[at : at + step] = np.add.reduceat(d, first, axis=1)
+    n = np.tile(np.diff(np.append(first, len(y))), (len(x), 1))
+    np.subtract.at(n, (i, np.searchsorted(first, j, side="right") - 1), 1)
+    row, col = np.nonzero(n)
+    return pa.table({"id": left["id"].take(pa.array(row)), "c": left["c"].take(pa.array(row)), "c2": right["c2"].take(pa.array(first[col])), "d": pa.array(sums[row, col]), "n": pa.array(n[row, col])})
+
+
+def silhouette(frame: DataFrame, cluster: str = "cluster", vector: str = "embedding", vec_id: str = "vec_id", rows: int | None = None, seed: int = 0) -> DataFrame:
+    """One row: the mean Euclidean silhouette, singletons counting 0; of a seeded sample of `rows` rows if that is given, else of all.
+
+    Every row meets every row, in the blocks of `nearest`, out of which come sums for each row and cluster and no row for each pair.
+    Rows without an id take no part; those without a cluster or a vector count 0.
+    """
+    from .nearest import BLOCK_ROWS, parts_of
+
+    if rows is not None:
+        frame = frame.orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id).limit(rows)
+    held = durable(frame.select(F.col(vec_id).alias("id"), F.col(cluster).alias("c"), doubles(F.col(vector)).alias("v")).filter("id IS NOT NULL"))
+    whole = held.filter(F.col("c").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    ids, n, sides = held.agg(F.count_distinct("id"), F.count("*"), parts_of(F.count("*"), BLOCK_ROWS)).first()
+    part, every = F.pmod(F.xxhash64("id"), F.lit(sides)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1)))
+    left = whole.withColumn("qp", part).withColumn("bp", every)
+    right = whole.withColumn("bp", part).withColumn("qp", every).toDF("id2", "c2", "v2", "bp", "qp")
+    kinds = {f.name: f.dataType.simpleString() for f in whole.schema}
+    sums = left.groupBy("qp", "bp").cogroup(right.groupBy("qp", "bp")).applyInArrow(_distances, f"id {kinds['id']}, c {kinds['c']}, c2 {kinds['c']}, d double, n long")
+    mean = sums.groupBy("id", "c", "c2").agg((F.sum("d") / F.sum("n")).alias("d"))
     ab = mean.groupBy("id").agg(F.min(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
-    return ab.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    one = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return ab.agg((F.sum(one) / F.lit(ids if ids > 1 else None).cast("double")).alias("silhouette"))
 
 
 def _vectors(frame: DataFrame, vector: str) -> DataFrame:

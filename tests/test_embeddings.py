@@ -129,3 +129,33 @@ def test_rows_are_sent_as_often_in_larger_tables(spark):
 
     parts = [r.p for r in spark.createDataFrame([(n,) for n in (0, 1, BLOCK_ROWS, 10_000, 100_000, 500_000, 5_000_000)], "n long").select(parts_of(F.col("n"), BLOCK_ROWS).alias("p")).collect()]
     assert parts[:6] == [0, 1, 1, 8, 8, 8] and parts[6] == -(-5_000_000 // (BLOCK_ROWS * MOST_BLOCKS))
+
+
+def random_vectors(spark, folder, n, seed=3):
+    rnd = np.random.default_rng(seed)
+    rows = [(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(rnd.integers(0, 4, n), rnd.standard_normal((n, 64)), strict=True))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return np.array([r[2] for r in rows], np.float32).astype(float), np.array([r[1] for r in rows])
+
+
+def test_silhouettes_of_odd_rows(spark):
+    from barloom.operators import metrics
+
+    def of(*rows):
+        return metrics.silhouette(spark.createDataFrame(list(rows), "vec_id long, cluster int, embedding array<double>")).first().silhouette
+
+    assert of() is None and of((1, 0, [1.0])) is None
+    assert of((1, 0, [1.0]), (2, 1, [1.0]), (3, 1, [1.0])) == 0.0  # all at one place
+    assert of((1, 0, [0.0]), (2, 0, [0.0]), (3, 1, [2.0]), (4, None, [9.0]), (5, 1, None)) == pytest.approx(2 / 5)
+
+
+def test_kmeans_silhouette_takes_all_rows(spark, tmp_path):
+    from barloom import queries
+    from barloom.operators import metrics
+
+    random_vectors(spark, tmp_path, 8_100)
+    seen, real = [], metrics.silhouette
+    found, _ = metrics.kmeans(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))
+    for rows in (None, 8_000):
+        seen.append(real(found, rows=rows).first().silhouette)
+    assert queries.kmeans_silhouette(spark, str(tmp_path)).first().silhouette == pytest.approx(seen[0], abs=1e-9) != seen[1]
