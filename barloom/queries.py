@@ -558,7 +558,7 @@ def pca_2d(spark, sf_dir):
 @register("""WITH e AS (SELECT vec_id, label AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, a.c, b.c AS c2, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, min(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s""")
 def label_silhouette(spark, sf_dir):
-    """Of the given labels; tables of more rows than the measure's own limit are sampled, as the measure has it."""
+    """Of the given labels, every vector against every other."""
     found = metrics.silhouette(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster"))
     return found.select(F.round("silhouette", 6).alias("silhouette"))
 

@@ -138,6 +138,27 @@ def random_vectors(spark, folder, n, seed=3):
     return np.array([r[2] for r in rows], np.float32).astype(float), np.array([r[1] for r in rows])
 
 
+def test_silhouettes_are_of_all_rows(spark, tmp_path):
+    """More rows than any sample of the measure had, copies among them."""
+    from barloom import queries
+
+    v, c = random_vectors(spark, tmp_path, 8_200)
+    v[8_000:], c[8_000:] = v[0], 7
+    spark.createDataFrame([(i, int(c[i]), v[i].tolist()) for i in range(len(v))], "vec_id long, label int, embedding array<float>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    xx = (v**2).sum(axis=1)
+    d = np.sqrt(np.maximum(xx[:, None] + xx - 2 * v @ v.T, 0))
+    d[8_000:, 8_000:] = 0
+    sums = np.stack([d[:, c == k].sum(axis=1) for k in (0, 1, 2, 3, 7)], axis=1)
+    n = np.array([(c == k).sum() for k in (0, 1, 2, 3, 7)])
+    own = np.searchsorted([0, 1, 2, 3, 7], c)
+    a = sums[np.arange(len(v)), own] / (n[own] - 1)
+    other = sums / n
+    other[np.arange(len(v)), own] = np.inf
+    b = other.min(axis=1)
+    want = ((b - a) / np.maximum(a, b)).mean()
+    assert queries.label_silhouette(spark, str(tmp_path)).first().silhouette == pytest.approx(want, abs=2e-6)
+
+
 def test_silhouettes_of_odd_rows(spark):
     from barloom.operators import metrics
 
