@@ -21,8 +21,6 @@ from .sources.calendar import calendar, grid
 HOUR = 3_600_000
 #: Ticks are about 22 minutes apart for each symbol at sf0.01, so windows are of hourly bars.
 SPEC = WindowSpec(length=8, stride=4, max_gap_ms=2 * HOUR)
-#: Cells that the index's queries meet first; the given vectors are random, and lie in no cells to speak of.
-INDEX_PROBES = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -467,7 +465,8 @@ def topk_neighbors_indexed(spark, sf_dir):
 def index_recall(spark, sf_dir):
     """Of the exact neighbours, at least nine in ten are in the cells that are met first."""
     e = table(spark, sf_dir, "embeddings")
-    found = nearest.search(nearest.build_index(e), e.filter("vec_id % 50 = 0"), probes=INDEX_PROBES)
+    index = nearest.build_index(e)
+    found = nearest.search(index, e.filter("vec_id % 50 = 0"), probes=nearest.enough_probes(index))
     return nearest.recall(found, _near(spark, sf_dir)).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 

@@ -138,6 +138,14 @@ def random_vectors(spark, folder, n, seed=3):
     return np.array([r[2] for r in rows], np.float32).astype(float), np.array([r[1] for r in rows])
 
 
+def test_cells_met_first_are_enough_in_a_larger_table(spark, tmp_path):
+    from barloom import queries
+
+    random_vectors(spark, tmp_path, 9_000)
+    row = queries.index_recall(spark, str(tmp_path)).first()
+    assert (row.pairs, row.enough) == (1_800, True)
+
+
 def test_silhouettes_are_of_all_rows(spark, tmp_path):
     """More rows than any sample of the measure had, copies among them."""
     from barloom import queries
