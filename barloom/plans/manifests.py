@@ -1,4 +1,5 @@
-"""Manifests, fingerprints, snapshots, lineage and reports: small documents made of small frames on the driver.
+"""Manifests, fingerprints, snapshots, lineage and reports: small documents made of small frames on the driver. A ledger of many
+files stays a table, of which `fingerprint_of_table` takes the digest.
 
 Documents go to local paths, or, where a session is given, to any path that Spark's file systems reach.
 """
@@ -14,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from .files import at_path, get_text, put_text
 
 #: The versions that a manifest pins.
@@ -72,6 +74,39 @@ def fingerprint(manifest: dict) -> dict[str, Any]:
     return {"fingerprint": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(files), "dataset_versions": versions}
 
 
+#: Files whose names and digests are one piece of the text that a fingerprint is taken of.
+PIECE_FILES = 50_000
+
+
+def fingerprint_of_table(manifest: dict, files: DataFrame) -> dict[str, Any]:
+    """As `fingerprint`, of a manifest whose ledger is the table `files` (symbol, file_id, sha256): those of the manifest's symbols.
+
+    A SHA-256 is a chain, so its text must pass one place in order. Tasks sort the files by range and write the text of each range;
+    the driver takes these one after another, and holds one of some PIECE_FILES files at a time. File ids are not null; of
+    several digests of one file the largest counts.
+    """
+    held = manifest["training_manifest"]
+    symbols = sorted({s for split in held["splits"].values() for s in split.get("symbols", ())})
+    rows = durable(files.filter(F.col("symbol").isin(symbols)).groupBy("file_id").agg(F.max("sha256").alias("sha256")))
+    count = rows.count()
+
+    def written(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            items = zip(batch.column("file_id").to_pylist(), batch.column("sha256").to_pylist(), strict=True)
+            text = ", ".join(f"{json.dumps(name)}: {json.dumps(sha)}" for name, sha in items)
+            yield pa.RecordBatch.from_arrays([pa.array([text.encode()], pa.binary())], names=["text"])
+
+    texts = durable(rows.repartitionByRange(max(1, -(-count // PIECE_FILES)), "file_id").sortWithinPartitions("file_id").mapInArrow(written, "text binary").filter(F.octet_length("text") > 0))
+    digest, between = hashlib.sha256(b"{"), b""
+    for row in texts.toLocalIterator():
+        digest.update(between + bytes(row.text))
+        between = b", "
+    digest.update(f"}}|{json.dumps(held['dataset'], sort_keys=True)}".encode())
+    return {"fingerprint": digest.hexdigest(), "file_count": count, "dataset_versions": held["dataset"]}
+
+
 def create_snapshot(folder: str | Path, name: str, manifest: dict, checksums: dict | None = None, statistics: dict | None = None, spark: SparkSession | None = None) -> str | Path:
     """Writes an immutable snapshot and its content hash, which comes last; one of that name is a FileExistsError. Checksums are the
     manifest's ledger if none are given, or only a status."""

@@ -331,12 +331,12 @@ def time_aliases(spark, sf_dir):
 
 @register(f"WITH {TICKS}, f AS (SELECT 'f' || CAST(event_id AS VARCHAR) AS file_id, symbol FROM t), s AS (SELECT file_id, sha256(file_id || '!') AS sha FROM f WHERE symbol IN ('click', 'view')) SELECT count(*) AS files, sha256('{{' || string_agg('\"' || file_id || '\": \"' || sha || '\"', ', ' ORDER BY file_id) || '}}|{{\"alignment_version\": \"alignment_v1.yaml\", \"canonical_schema_version\": \"v1\", \"feature_builder_version\": \"v1\", \"market_state_schema_version\": \"v1\", \"modality_registry\": \"modalities_v1.yaml\", \"snapshot\": \"s1\", \"windowing_version\": \"windowing_v1.yaml\"}}') AS fingerprint FROM s")
 def dataset_fingerprint(spark, sf_dir):
-    """Of a manifest whose ledger has a file for each tick of two symbols."""
+    """Of a manifest whose ledger has a file for each tick of two symbols; the ledger stays a table."""
     from .plans import manifests
 
     files = ticks(spark, sf_dir).select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_id"), "symbol")
-    manifest = manifests.build_manifest("s1", ["click"], ["view"], [], "2024-01-15", files=files.withColumn("sha256", F.sha2(F.concat("file_id", F.lit("!")), 256)))
-    found = manifests.fingerprint(manifest)
+    manifest = manifests.build_manifest("s1", ["click"], ["view"], [], "2024-01-15")
+    found = manifests.fingerprint_of_table(manifest, files.withColumn("sha256", F.sha2(F.concat("file_id", F.lit("!")), 256)))
     return spark.createDataFrame([(found["file_count"], found["fingerprint"])], "files long, fingerprint string")
 
 

@@ -169,3 +169,16 @@ def test_experiments_are_logged_once(spark, tmp_path):
         with pytest.raises(ValueError, match="exist"):
             catalog.log_experiments(held, again)
     assert sorted(r.experiment_id for r in catalog.experiments(held).collect()) == ["a", "b"]
+
+
+def test_fingerprint_of_a_ledger_that_stays_a_table(spark, monkeypatch):
+    """The same as of a ledger on the driver, in many pieces, none of which is collected as rows of the ledger."""
+    monkeypatch.setattr(manifests, "PIECE_FILES", 40)
+    rows = [(f"{'é' if i % 7 == 0 else 'f'}\"{i}", "AB"[i % 2] if i % 5 else "C", f"{i:x}" if i % 11 else None) for i in range(500)]
+    files = spark.createDataFrame(rows, "file_id string, symbol string, sha256 string")
+    small = manifests.fingerprint(manifests.build_manifest("s", ["A"], ["B"], [], "2024-11-30", files=files))
+    monkeypatch.setattr(manifests, "ledger", None)
+    bare = manifests.build_manifest("s", ["A"], ["B"], [], "2024-11-30")
+    assert manifests.fingerprint_of_table(bare, files) == small
+    none = manifests.fingerprint_of_table(bare, files.filter("false"))
+    assert none == manifests.fingerprint(bare)
