@@ -43,9 +43,15 @@ def capped_batches(frame: DataFrame, size: int, most: int | None = None) -> Data
 
 def benchmark(frame: DataFrame, width: int, size: int = 32, most: int | None = 100, bytes_each: int = 4) -> dict[str, float]:
     """Samples, batches and bytes (of `width` numbers of `bytes_each` in each row) of one pass over `frame`, and their rates. Counts are
-    an observation of the plan as it runs; nothing is collected. Of no rows all are 0."""
+    an observation of the plan as it runs; nothing is collected. Of no rows all are 0.
+
+    In a whole pass (no `most`) what tasks have left of fewer than `size` rows is counted as batches together, so there are as
+    many as if one task had read all rows, however many tasks read them.
+    """
     seen = Observation()
-    counted = capped_batches(frame, size, most).observe(seen, F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
+    whole = F.count_if(F.col("n") == size)
+    batches = F.count("*") if most is not None else whole + F.ceil((F.coalesce(F.sum("n"), F.lit(0)) - whole * size) / size)
+    counted = capped_batches(frame, size, most).observe(seen, batches.alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
     begun = time.perf_counter()
     counted.write.format("noop").mode("overwrite").save()
     seconds = max(time.perf_counter() - begun, 1e-4)

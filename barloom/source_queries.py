@@ -291,11 +291,11 @@ def retrieval_reports(spark, sf_dir):
 
 @register("SELECT CAST(12 AS BIGINT) AS batches, CAST(12 * 64 AS BIGINT) AS samples, CAST(12 * 64 * 3 * 4 AS BIGINT) AS bytes, (count(*) + 63) // 64 AS all_batches, count(*) AS all_samples FROM lineitem")
 def loader_benchmark(spark, sf_dir):
-    """A dozen batches of all rows from tasks that stop early, and a pass over all of them in one task; times are left out."""
+    """A dozen batches of all rows from tasks that stop early, and a pass over all of them in as many tasks as read them; times are left out."""
     from .plans.throughput import benchmark
 
     rows = table(spark, sf_dir, "lineitem").select(*LINE)
-    some, every = benchmark(rows.repartition(4), len(LINE), 64, 12), benchmark(rows.coalesce(1), len(LINE), 64, None)
+    some, every = benchmark(rows.repartition(4), len(LINE), 64, 12), benchmark(rows, len(LINE), 64, None)
     return spark.createDataFrame([(*(int(some[c]) for c in ("batches", "samples", "bytes")), int(every["batches"]), int(every["samples"]))], "batches long, samples long, bytes long, all_batches long, all_samples long")
 
 

@@ -182,3 +182,21 @@ def test_fingerprint_of_a_ledger_that_stays_a_table(spark, monkeypatch):
     assert manifests.fingerprint_of_table(bare, files) == small
     none = manifests.fingerprint_of_table(bare, files.filter("false"))
     assert none == manifests.fingerprint(bare)
+
+
+def test_whole_pass_of_the_loader_is_of_many_tasks(spark):
+    from barloom.plans.throughput import benchmark
+
+    for n, tasks in ((1000, 7), (640, 4), (3, 3), (64, 1)):
+        found = benchmark(spark.range(0, n, 1, tasks), 3, 64, None)
+        assert (found["batches"], found["samples"]) == (-(-n // 64), n)
+
+
+def test_loader_benchmark_reads_rows_in_the_tasks_that_hold_them(spark, sf, monkeypatch):
+    from barloom import queries
+    from barloom.plans import throughput
+
+    seen, real = [], throughput.benchmark
+    monkeypatch.setattr(throughput, "benchmark", lambda frame, *more: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or real(frame, *more))
+    queries.queries()["loader_benchmark"](spark, sf)
+    assert len(seen) == 2 and "Repartition 1," not in seen[1]
