@@ -5,19 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..storage import fresh_dir
+from ..storage import durable, fresh_dir
 
+#: Rows of a batch of a stream that is fed in the order of time.
+FEED_ROWS = 250_000
 
-def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+
+def in_time_order(rows: DataFrame, time: str, out: str, feed_rows: int | None = None) -> int:
+    """Writes `rows` under `out` as files of some FEED_ROWS rows, each later in `time` than the one before and written after it, which is
+    how a stream of files orders them. How many there are. Rows of one time share a file."""
+    n = max(1, -(-rows.count() // (feed_rows or FEED_ROWS)))
+    dealt = durable(rows.repartitionByRange(n, time).withColumn("_file", F.spark_partition_id())) if n > 1 else rows.withColumn("_file", F.lit(0))
+    for i in range(n):
+        dealt.filter(F.col("_file") == i).drop("_file").coalesce(1).write.parquet(f"{out}/part={i:06}")
+    return n
+
+
+def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None) -> DataFrame:
     """The result of `plan` on a stream of the table's files, as a batch frame.
 
+    With `time` the table is fed in the order of that column, a file of bounded size for each batch: the watermark follows, so plans
+    that hold rows until it has passed them hold two batches' rows and not the table's, and no row is late.
+
     Result and checkpoint lie in the shared folder that spark.checkpoint.dir names. In complete mode the last batch is whole; in
     append mode batches are added, each under its own number, so a batch that runs again replaces itself.
     """
     out = fresh_dir(spark, "stream")
     static = spark.read.parquet(f"{folder}/{name}.parquet")
-    source = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
+    reader = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet")
+    if time:
+        in_time_order(static, time, f"{out}-feed")
+        source = reader.option("maxFilesPerTrigger", 1).parquet(f"{out}-feed/part=*")
+    else:
+        source = reader.parquet(f"{folder}/{name}.parquet*")
     result = plan(source)
 
     def keep(batch: DataFrame, number: int) -> None:
