@@ -664,7 +664,7 @@ def stream_asof_available_now(spark, sf_dir):
     def shape(e: DataFrame) -> DataFrame:
         return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "bar").otherwise("sparse").alias("side"), F.col("event_id").alias("id"), "value")
 
-    found = available_now(spark, sf_dir, "events", lambda e: stream_asof(shape(e)))
+    found = available_now(spark, sf_dir, "events", lambda e: stream_asof(shape(e)), time="ts")
     return found.select("symbol", "id", F.unix_micros("ts").alias("us"), F.unix_micros("match_ts").alias("match_us"), "value")
 
 

@@ -43,3 +43,21 @@ def test_windows_are_given_once_and_as_from_a_table(spark, tmp_path):
     got = run(spark, "symbol string, id long, ms long, value double", lambda s: stream_windows(s, spec, late="30 minutes"), tmp_path, batches)
     want = [(i, times[i] * minute, times[i + 3] * minute, [float(j) for j in range(i, i + 4)]) for i in range(0, 37, 3) if all(times[j + 1] - times[j] <= 5 for j in range(i, i + 3))]
     assert sorted((r.start_index, r.start_ts, r.end_ts, r["values"]) for r in got) == want and len(want) == 12
+
+
+def test_a_table_is_fed_in_batches_in_the_order_of_time(spark, duck, sf, monkeypatch):
+    """In many batches the same comes out as SQL has of the whole table, and no batch has more rows than are asked for."""
+    from helpers import canonical
+
+    from barloom import queries
+    from barloom.plans import streams
+
+    monkeypatch.setattr(streams, "FEED_ROWS", 250)
+    fed, real = [], streams.in_time_order
+    monkeypatch.setattr(streams, "in_time_order", lambda *args: fed.append(real(*args)) or fed[-1])
+    for name in ("stream_asof_available_now", "stream_windows_available_now"):
+        got = [r.asDict() for r in queries.queries()[name](spark, sf).collect()]
+        cursor = duck.execute(queries.oracle_sql()[name])
+        columns = [c[0] for c in cursor.description]
+        assert canonical(got) == canonical([dict(zip(columns, r, strict=True)) for r in cursor.fetchall()])
+    assert fed == [4, 4]
