@@ -5,7 +5,7 @@ classes of CLASS_WORDS by frequency; every other token is of one of REST classes
 its smoothed share of all counts. Contexts are features: the token before, the one before that (a skip), both, and
 their classes, each hashed into a row of weights for all outcomes. With no weights the model is that of the counts.
 
-Counts cover all training texts. Weights are fitted on every STRIDE-th token of every training text: tasks send what they
+Counts cover all training texts. Weights are fitted on every token of every training text: tasks send what they
 observe of each feature and outcome and what the model expects of it, and the driver, which has the two tables of weights and
 nothing else, moves the weights by the gradient of the likelihood taken in logarithms, as iterative scaling does.
 
@@ -30,8 +30,8 @@ CLASS_WORDS, REST = 64, 32
 BUCKETS = 8_192
 #: The model's features: token before, token before that, both, and their classes.
 FEATURES = 4
-#: One token in STRIDE is fitted on, a part of them in each of ROUNDS.
-STRIDE, ROUNDS = 16, 4
+#: One token in STRIDE is fitted on, which is every token, a part of them in each of ROUNDS.
+STRIDE, ROUNDS = 1, 4
 RATE, DAMPING = 0.5, 3.0
 #: Tokens that are worked on at once, and tokens besides the head whose hashes a task keeps.
 BLOCK, HELD_TOKENS = 16_384, 400_000
@@ -253,7 +253,7 @@ def head_of(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
 
 
 def _fit_rows(model: MaxentModel):
-    """For a function over Arrow batches: contexts and outcomes of every STRIDE-th token, as bytes of 16-bit numbers, by round."""
+    """For a function over Arrow batches: contexts and outcomes of every token (every STRIDE-th, if that is not 1), as bytes of 16-bit numbers, by round."""
 
     def run(batches):
         from zlib import crc32

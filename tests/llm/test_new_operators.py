@@ -270,3 +270,12 @@ def test_later_copies_are_found_across_tasks_and_shared_fingerprints(spark, monk
 
 def test_audit_of_nothing(spark):
     assert filter_audit.audit(empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_every_token_is_fitted_on_once():
+    texts = ["one two three four five six seven " * 9, None, "a b", ""]
+    wanted = [len(tokens(t)) for t in texts]
+    model = maxent.of_counts([(b"one", 9), (maxent.END, 4)], {})
+    batch = pa.record_batch([pa.array([1, 2, 3, 4], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = sum(len(d) for out in maxent._fit_rows(model)([batch]) for d in out.column("data").to_pylist())
+    assert got == sum(wanted) * 2 * (maxent.FEATURES + 2)
