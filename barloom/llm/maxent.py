@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, durable, fresh_dir, fresh_name, slices, table, token_runs, with_arrow_columns
+from ._common import bucket_of, durable, fresh_dir, fresh_name, remove, slices, table, token_runs, with_arrow_columns
 
 #: Tokens whose counts every task holds, and tokens that the model has as words.
 HEAD, WORDS = 131_072, 4_096
@@ -37,8 +37,10 @@ RATE, DAMPING = 0.5, 3.0
 BLOCK, HELD_TOKENS = 16_384, 400_000
 #: Rows of outcomes that are worked out at once: they stay in a core's cache.
 ROWS = 4_096
-#: Bytes of fitted tokens that a task takes, and pieces in which it sends its sums.
-FIT_BYTES, PIECES = 16 << 20, 32
+#: Bytes of fitted tokens that a task takes, at least and at most, those that it works on at once, and pieces in which it sends its sums.
+FIT_BYTES, MOST_FIT_BYTES, FIT_TOKENS, PIECES = 16 << 20, 128 << 20, 1 << 19, 32
+#: More rows than this for one place are summed as a product of matrices.
+FEW = 8
 #: No word has a space in it.
 END, START = b" ", b"  "
 #: A-Z to lower case, and every kind of space to one.
@@ -182,30 +184,59 @@ def word_rows(buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (buckets * 31 + classes[:, None] * 1_009) % BUCKETS
 
 
-def shares(base: np.ndarray, weights: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all outcomes in each context, a row for each row of `buckets`, and the logs of their sums.
+def unscaled(base: np.ndarray, factors: np.ndarray, buckets) -> np.ndarray:
+    """Powers of the logits of all outcomes in each context, a row for each of `buckets`: shares times the powers of a few weights.
 
     Logits are logs of shares and a few weights, so their powers need no shift.
     """
-    z = np.take(weights, buckets[:, 0], axis=0)
-    z += base
-    for k in range(1, FEATURES):
-        z += np.take(weights, buckets[:, k], axis=0)
-    return z, np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))
+    p = np.take(factors, buckets[0], axis=0)
+    p *= base
+    for own in buckets[1:]:
+        p *= np.take(factors, own, axis=0)
+    return p
+
+
+def powers_of(model: MaxentModel) -> tuple[np.ndarray, ...]:
+    """Shares of classes and of words within them, and the powers of both tables of weights."""
+    return tuple(np.exp(x) for x in (model.class_logs, model.word_logs, model.class_weights, model.word_weights))
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of `rows` to the row of `table` that `at` names. Rows of one place are summed first: many at once, a few in turns."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+    n = np.diff(np.append(first, len(at)))
+    if len(at) > 16 * len(first):
+        table[at[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
+        return
+    by = np.argsort(-np.minimum(n, FEW + 1), kind="stable")
+    first, n = first[by], n[by]
+    many = int((n > FEW).sum())
+    for a, m in zip(first[:many], n[:many], strict=True):
+        table[at[order[a]]] += np.ones(m, np.float32) @ rows[order[a : a + m]]
+    first, n = first[many:], n[many:]
+    sums = rows[order[first]]
+    for turn in range(1, FEW):
+        k = int((n > turn).sum())
+        if not k:
+            break
+        sums[:k] += rows[order[first[:k] + turn]]
+    table[at[order[first]]] += sums
 
 
-def log_probabilities(model: MaxentModel, buckets: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Natural logs of P(class | context), times P(word | class, context) for tokens that are words of the model."""
+def log_probabilities(powers: tuple[np.ndarray, ...], buckets: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Natural logs of P(class | context), times P(word | class, context) for tokens that are words of the model (`powers_of`)."""
+    of_classes, of_words, class_factors, word_factors = powers
     out = np.empty(len(classes))
     for a in range(0, len(classes), ROWS):
         f, c, w = buckets[a : a + ROWS], classes[a : a + ROWS], places[a : a + ROWS]
-        z, total = shares(model.class_logs, model.class_weights, f)
-        found = z[np.arange(len(c)), c] - total
+        p = unscaled(of_classes, class_factors, f.T)
+        found = p[np.arange(len(c)), c] / (p @ np.ones(p.shape[1], np.float32))
         own = np.flatnonzero(w != NO_WORD)
         if len(own):
-            z, total = shares(model.word_logs[c[own]], model.word_weights, word_rows(f[own], c[own]))
-            found[own] += z[np.arange(len(own)), w[own]] - total
-        out[a : a + ROWS] = found
+            p = unscaled(of_words[c[own]], word_factors, word_rows(f[own], c[own]).T)
+            found[own] *= p[np.arange(len(own)), w[own]] / (p @ np.ones(p.shape[1], np.float32))
+        out[a : a + ROWS] = np.log(found)
     return out
 
 
@@ -253,7 +284,7 @@ def head_of(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
 
 
 def _fit_rows(model: MaxentModel):
-    """For a function over Arrow batches: contexts and outcomes of every token (every STRIDE-th, if that is not 1), as bytes of 16-bit numbers, by round."""
+    """For a function over Arrow batches: contexts and outcomes of every token (every STRIDE-th, if that is not 1), as bytes of 16-bit numbers, one column after the other, by round."""
 
     def run(batches):
         from zlib import crc32
@@ -269,39 +300,80 @@ def _fit_rows(model: MaxentModel):
                     took = np.flatnonzero(turn % STRIDE == 0)
                     own = numbers[at[took]]
                     found = np.column_stack([features(numbers, at[took], lexicon), lexicon.classes[own], lexicon.places[own]]).astype("<u2")
-                    data = [found[turn[took] == r * STRIDE].tobytes() for r in range(ROUNDS)]
+                    data = [found[turn[took] == r * STRIDE].T.tobytes() for r in range(ROUNDS)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(ROUNDS), pa.int32()), pa.array(data, pa.binary())], names=["round", "data"])
 
     return run
 
 
 def _moments(model: MaxentModel):
-    """For a function over rows with data: pieces of four tables in one, of what is observed and expected of classes and of words."""
+    """For a function over rows with data: pieces of four tables in one, of what is observed and expected of classes and of words.
 
-    def add(seen, expected, z, total, rows, outcomes):
-        z = np.exp(z - total[:, None])
-        for k in range(FEATURES):
-            np.add.at(seen.reshape(-1), rows[:, k] * seen.shape[1] + outcomes, 1)
-            order = np.argsort(rows[:, k], kind="stable")
-            own = rows[order, k]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            expected[own[first]] += np.add.reduceat(z[order], first, axis=0)
+    Tokens of one context have one expectation, which is worked out once and counts as often as there are tokens. Without weights
+    it is the shares, whatever the context.
+    """
+    plain = not (model.class_weights.any() or model.word_weights.any())
+    n_words, sizes = model.n_words, (len(model.class_logs), CLASS_WORDS)
+
+    def gathered(rows):
+        held, n = [], 0
+        for row in rows:
+            held.append(np.frombuffer(row.data, "<u2").reshape(FEATURES + 2, -1))
+            n += held[-1].shape[1]
+            if n >= FIT_TOKENS:
+                yield np.concatenate(held, axis=1).astype(np.int64)
+                held, n = [], 0
+        if held:
+            yield np.concatenate(held, axis=1).astype(np.int64)
+
+    def observe(seen, rows, outcomes):
+        for own in rows:
+            seen += np.bincount(own * seen.shape[1] + outcomes, minlength=seen.size).reshape(seen.shape)
+
+    def expect(expected, base, factors, rows, n):
+        p = unscaled(base, factors, rows)
+        p *= (n / (p @ np.ones(p.shape[1], np.float32))).astype(np.float32)[:, None]
+        for own in rows:
+            add_rows(expected, own, p)
+
+    def contexts(f, c):
+        """Buckets of the distinct contexts and how many tokens have each; and those of contexts with a class of words."""
+        key = f[0]
+        for x in (*f[1:], c):
+            key = key * BUCKETS + x if x is not c else key * (NO_WORD + 1) + x
+        key, n = np.unique(key, return_counts=True)
+        classes, key = key % (NO_WORD + 1), key // (NO_WORD + 1)
+        own = np.stack([key // BUCKETS ** (FEATURES - 1 - k) % BUCKETS for k in range(FEATURES)])
+        first = np.flatnonzero(np.append(True, np.diff(key) != 0))
+        is_word = classes < n_words
+        return (own[:, first], np.add.reduceat(n, first)), (own[:, is_word], classes[is_word], n[is_word])
 
     def run(rows):
-        sums = [np.zeros_like(model.class_weights) for _ in range(2)] + [np.zeros_like(model.word_weights) for _ in range(2)]
+        seen, expected = ([np.zeros((BUCKETS, k), np.float32) for k in sizes] for _ in range(2))
+        of_classes, of_words, class_factors, word_factors = powers_of(model)
+        of_classes, of_words = of_classes / of_classes.sum(), of_words / of_words.sum(axis=1, keepdims=True)
         some = False
-        for row in rows:
-            data = np.frombuffer(row.data, "<u2").reshape(-1, FEATURES + 2).astype(np.int64)
-            for a in range(0, len(data), ROWS):
-                some = True
-                f, c, w = data[a : a + ROWS, :FEATURES], data[a : a + ROWS, FEATURES], data[a : a + ROWS, FEATURES + 1]
-                add(*sums[:2], *shares(model.class_logs, model.class_weights, f), f, c)
-                own = np.flatnonzero(w != NO_WORD)
-                if len(own):
-                    places = word_rows(f[own], c[own])
-                    add(*sums[2:], *shares(model.word_logs[c[own]], model.word_weights, places), places, w[own])
+        for data in gathered(rows):
+            some = True
+            f, c, w = data[:FEATURES], data[FEATURES], data[FEATURES + 1]
+            own = np.flatnonzero(w != NO_WORD)
+            places = word_rows(f[:, own].T, c[own]).T
+            observe(seen[0], f, c)
+            observe(seen[1], places, w[own])
+            if plain:
+                expected[0] += np.bincount(f.ravel(), minlength=BUCKETS)[:, None] * of_classes
+                by_class = np.zeros((BUCKETS, n_words), np.float32)
+                observe(by_class, places, c[own])
+                expected[1] += by_class @ of_words
+                continue
+            (f, n), (g, c, m) = contexts(f, c)
+            for a in range(0, len(n), ROWS):
+                expect(expected[0], of_classes, class_factors, f[:, a : a + ROWS], n[a : a + ROWS])
+            for a in range(0, len(m), ROWS):
+                x = c[a : a + ROWS]
+                expect(expected[1], of_words[x], word_factors, word_rows(g[:, a : a + ROWS].T, x).T, m[a : a + ROWS])
         if some:
-            yield from enumerate(np.array_split(np.concatenate([s.reshape(-1) for s in sums]), PIECES))
+            yield from enumerate(np.array_split(np.concatenate([s.reshape(-1) for pair in zip(seen, expected) for s in pair]), PIECES))
 
     return run
 
@@ -319,12 +391,15 @@ def fit(docs: DataFrame) -> tuple[MaxentModel, DataFrame]:
     if not model.total:
         return model, counts
     out = fresh_dir(spark, "maxent")
-    docs.select("doc_id", "text").mapInArrow(_fit_rows(model), "round int, data binary").filter(F.length("data") > 0).write.partitionBy("round").parquet(out)
+    docs.select("doc_id", "text").mapInArrow(_fit_rows(model), "round int, data binary").filter(F.length("data") > 0).write.partitionBy("round").option("compression", "zstd").parquet(out)
     taken = spark.read.schema("data binary, round int").parquet(out)
     n_bytes = {r["round"]: r.n for r in taken.groupBy("round").agg(F.sum(F.length("data")).alias("n")).collect()}
     for turn in sorted(n_bytes):
-        rows = taken.filter(F.col("round") == turn).select("data").coalesce(-(-n_bytes[turn] // FIT_BYTES))
+        # Each task sends two tables twice, so tasks grow once there are some for each core.
+        tasks = min(-(-n_bytes[turn] // FIT_BYTES), max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes[turn] // MOST_FIT_BYTES)))
+        rows = taken.filter(F.col("round") == turn).select("data").coalesce(tasks)
         pieces = dict(rows.rdd.mapPartitions(_moments(model)).reduceByKey(np.add, PIECES).collect())
+        remove(spark, f"{out}/round={turn}")
         sums = np.concatenate([pieces[i] for i in range(PIECES)])
         at = np.cumsum([model.class_weights.size] * 2 + [model.word_weights.size])
         seen, expected, seen_words, expected_words = np.split(sums, at)
@@ -336,7 +411,7 @@ def fit(docs: DataFrame) -> tuple[MaxentModel, DataFrame]:
 def _scores(model: MaxentModel):
     import pyarrow as pa
 
-    lexicon = Lexicon(model)
+    lexicon, powers = Lexicon(model), powers_of(model)
     rest = np.concatenate([np.zeros(model.n_words), model.rest_logs])
 
     def work(batch):
@@ -345,13 +420,13 @@ def _scores(model: MaxentModel):
         for numbers, at, rows, _ in blocks(batch.column("text"), lexicon):
             own = numbers[at]
             classes, places, logs = lexicon.classes[own].astype(np.int64), lexicon.places[own], lexicon.logs[own]
-            found = log_probabilities(model, features(numbers, at, lexicon), classes, places) / np.log(10)
+            found = log_probabilities(powers, features(numbers, at, lexicon), classes, places) / np.log(10)
             found += np.where(places == NO_WORD, logs - rest[classes], 0)
             known = own < lexicon.start
             for i, weights in enumerate((np.ones(len(own)), known, logs, found)):
                 sums[i] += np.bincount(rows, weights, n)
-            pairs, k = np.unique(np.stack([rows[~known], own[~known]]), axis=1, return_counts=True)
-            tail.append([pairs[0], lexicon.hashes[pairs[1]], k])
+            pairs, k = np.unique(rows[~known] * len(lexicon.hashes) + own[~known], return_counts=True)
+            tail.append([pairs // len(lexicon.hashes), lexicon.hashes[pairs % len(lexicon.hashes)], k])
         row, token, k = (np.concatenate(x) for x in zip(*tail, strict=True))
         ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=n))), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(k, pa.int32()))]

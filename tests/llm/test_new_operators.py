@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import documents, empty
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from barloom.llm import filter_audit, maxent, spelling
@@ -279,3 +280,60 @@ def test_every_token_is_fitted_on_once():
     batch = pa.record_batch([pa.array([1, 2, 3, 4], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
     got = sum(len(d) for out in maxent._fit_rows(model)([batch]) for d in out.column("data").to_pylist())
     assert got == sum(wanted) * 2 * (maxent.FEATURES + 2)
+
+
+def test_fitted_tokens_are_removed_and_tasks_are_bounded(spark, monkeypatch):
+    """Nothing of the table of fitted tokens is left once each round has used its part, and tasks stay few, as each sends whole tables."""
+    import glob
+
+    from barloom.storage import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark)}/maxent-*/**/*.parquet", recursive=True))
+    monkeypatch.setattr(maxent, "FIT_BYTES", 64)
+    sent, real = spark.sparkContext.accumulator(0), maxent._moments
+
+    def counted(model):
+        work = real(model)
+
+        def run(rows):
+            sent.add(1)
+            yield from work(rows)
+
+        return run
+
+    monkeypatch.setattr(maxent, "_moments", counted)
+    docs = spark.createDataFrame([(i, f"one two three w{i % 5} " * 40) for i in range(200)], "doc_id long, text string").repartition(40)
+    model, _ = maxent.fit(docs)
+    assert model.total == 200 * 161 and model.class_weights.any()
+    assert set(glob.glob(f"{shared_dir(spark)}/maxent-*/**/*.parquet", recursive=True)) <= before
+    assert 0 < sent.value <= maxent.ROUNDS * 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_moments_against_sums_token_by_token(weighted):
+    rnd = np.random.default_rng(5)
+    names = [f"t{i}".encode() for i in range(150)]
+    model = maxent.of_counts([(t, 200 - i) for i, t in enumerate(names)], {e: (100_000, 900) for e in range(maxent.REST)})
+    if weighted:
+        model.class_weights[:], model.word_weights[:] = (rnd.normal(0, 0.4, w.shape) for w in (model.class_weights, model.word_weights))
+    n = 300
+    f = rnd.choice([3, 5, 8, 4000, 8191], (n, maxent.FEATURES))
+    f[:200] = f[0]  # one context of many tokens
+    rank = rnd.integers(0, 250, n)  # those from 150 on are of other classes
+    c = np.where(rank < 150, rank // 64, model.n_words + rank % maxent.REST)
+    w = np.where(rank < 150, rank % 64, maxent.NO_WORD)
+    want = [np.zeros(x.shape) for x in (model.class_weights, model.class_weights, model.word_weights, model.word_weights)]
+    for b, k, place in zip(f, c, w, strict=True):
+        z = np.exp(model.class_logs + model.class_weights[b].sum(axis=0))
+        for own in b:
+            want[0][own, k] += 1
+            want[1][own] += z / z.sum()
+        if place != maxent.NO_WORD:
+            own = (b * 31 + k * 1009) % maxent.BUCKETS
+            z = np.exp(model.word_logs[k] + model.word_weights[own].sum(axis=0))
+            for x in own:
+                want[2][x, place] += 1
+                want[3][x] += z / z.sum()
+    rows = [Row(data=np.column_stack([f, c, w])[a : a + 100].astype("<u2").T.tobytes()) for a in range(0, n, 100)]
+    got = np.concatenate([x for _, x in sorted(maxent._moments(model)(rows), key=lambda p: p[0])])
+    assert np.allclose(got, np.concatenate([x.ravel() for x in want]), rtol=1e-3, atol=1e-3)
