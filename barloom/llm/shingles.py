@@ -1,8 +1,9 @@
 """Near copies by the share of word shingles that two texts have in common.
 
-Candidates are texts that agree in a band of MinHash values; each is verified by the exact Jaccard similarity of the two
-sets of shingles. Two texts of similarity s agree in a band with chance 1 - (1 - s**ROWS)**BANDS: 0.9995 at 0.8, more above.
-SimHash cannot give these candidates: at similarity 0.8 fingerprints of 64 bits differ in about ten bits (the angle of sets
+Texts that SimHash finds (`simhash.py`, operator 9's own method) are linked by it where that is asked for. It cannot find all, so
+further candidates are texts that agree in a band of MinHash values; each is verified by the exact Jaccard similarity of the
+two sets of shingles. Two texts of similarity s agree in a band with chance 1 - (1 - s**ROWS)**BANDS: 0.9995 at 0.8, more above.
+SimHash cannot give all these candidates: at similarity 0.8 fingerprints of 64 bits differ in about ten bits (the angle of sets
 with cosine 0.89), and segments that let so many differ are too short to tell texts apart.
 
 What is wanted are the components of all links, so two sets that are known to be in one component need not be compared. All pairs
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import durable, fresh_name, token_runs, with_arrow_columns
 from .components import connected_components
 
@@ -109,6 +111,12 @@ def _signatures(words: int):
     return work
 
 
+def _printed(words: int):
+    """Operator 9's fingerprints before what _signatures gives."""
+    prints, signatures = simhash._fingerprints(), _signatures(words)
+    return lambda batch: [*prints(batch), *signatures(batch)]
+
+
 def _sets(words: int):
     import pyarrow as pa
 
@@ -264,13 +272,21 @@ def _roots(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: fl
     return roots if made.isEmpty() else connected_components(edges.unionByName(made))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+def _alike(signed: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of texts whose fingerprints are of one component of operator 9: a star for each component."""
+    sets = durable(signed.select("fp", "s").distinct())
+    named = simhash.fingerprint_components(sets.groupBy("fp").agg(F.min("s").alias("least")))
+    return sets.join(named, "fp").filter("s != component_id").select(F.col("s").alias("a"), F.col("component_id").alias("b")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int = BUCKET, fingerprints: bool = False) -> DataFrame:
     """The rows of `docs` (doc_id, text and any others) that stay, in all columns.
 
     Texts are linked if the sets of their shingles of `words` words have a Jaccard similarity of `least` or more. Words are
     those of simhash.fingerprint, a shorter text is one shingle, and wordless texts are one group. Of each group of rows that
     links between texts with a common band join, directly or by way of others, the one of the smallest doc_id stays (null is
-    last). `bucket` changes how groups are found, not which. Long texts are hashed in runs; 8 bytes for each distinct
+    last). `bucket` changes how groups are found, not which. With `fingerprints`, texts are linked by SimHash too, as operator 9
+    has it (`simhash.fingerprint`, 3 or fewer bits), and groups are those of both kinds of links. Long texts are hashed in runs; 8 bytes for each distinct
     shingle are held. Other columns may have any names. An empty table gives an empty result.
 
     `docs` is read several times, so it should be a table or a checkpoint. Rows are told apart by doc_id and a 64-bit hash of
@@ -279,11 +295,18 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket
     own, taken = fresh_name(docs, "at"), F.col("at")
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
     rows = docs.select(at.alias("at"), "text")
-    signed = durable(with_arrow_columns(rows, "s long, n long, bands array<long>, sketch array<long>", lambda: _signatures(words), ["at"]))
+    fields, make = "s long, n long, bands array<long>, sketch array<long>", lambda: _signatures(words)
+    if fingerprints:  # in the same worker
+        fields, make = f"fp long, {fields}", lambda: _printed(words)
+    signed = durable(with_arrow_columns(rows, fields, make, ["at"]))
     repeated = durable(signed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1").select("at"))
     once = repeated.isEmpty()
     classes = signed.groupBy("s").agg(F.min("at").alias("at")).withColumn("root", F.col("s"))
-    if (roots := _roots(signed, rows, once, words, least, bucket)) is not None:
+    roots = _roots(signed, rows, once, words, least, bucket)
+    if fingerprints:
+        alike = _alike(signed)
+        roots = connected_components(alike if roots is None else alike.unionByName(roots.toDF("a", "b")))
+    if roots is not None:
         classes = durable(classes.drop("root").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")))
     heads = classes.groupBy("root").agg(F.min("at").alias("head"))
     gone = signed.select("s", "at").join(classes.select("s", "root").join(heads, "root"), "s").filter(taken != F.col("head"))

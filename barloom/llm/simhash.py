@@ -22,7 +22,7 @@ BUCKET = 64
 LOW32 = 0xFFFFFFFF
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int = 3):
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -121,6 +121,15 @@ def _hubs(rows: DataFrame) -> DataFrame:
     return at.join(heads, ["seg", "key", "centre"]).filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
 
 
+def fingerprint_components(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(fp, component_id) for distinct fingerprints (fp, least): the smallest `least` of all that links of 3 or fewer bits reach."""
+    roots = connected_components(links(fps.select("fp"), bucket))
+    # Only fingerprints with a link have a root: a broadcast or a join of small rows, that skew handling may split.
+    classes = durable(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named_roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return classes.join(named_roots, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -130,13 +139,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     printed = durable(fingerprint(named, keep=["doc_id"]))
-    fps = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(fps.select("fp"), bucket))
-    # Only fingerprints with a link have a root: a broadcast or a join of small rows, that skew handling may split.
-    classes = durable(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named_roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = fingerprint_components(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), bucket)
     return (
-        printed.join(classes.join(named_roots, "root").select("fp", "component_id"), "fp")
+        printed.join(named, "fp")
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
 

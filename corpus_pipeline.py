@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by four fifths of their five-word shingles the smallest doc_id stays."""
-    return shingles.drop_near_copies(docs)
+    """Of each group of texts linked by SimHash, as operator 9 links them, or by four fifths of their five-word shingles the smallest doc_id stays."""
+    return shingles.drop_near_copies(docs, fingerprints=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

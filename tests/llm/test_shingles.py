@@ -86,3 +86,18 @@ def test_recall_of_pairs_just_above_the_limit(spark):
     kept = {r.doc_id for r in shingles.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     missed = [i for i in near if i + 1 in kept]
     assert len(near) > 150 and len(missed) <= len(near) // 200
+
+
+def test_near_stage_links_by_simhash_too(spark, sf):
+    """Pairs below the limit whose fingerprints differ in 3 or fewer bits; a third text is linked to the second by shingles alone."""
+    from test_dedup import fingerprint
+
+    rnd = random.Random(13)
+    texts = [t for _ in range(600) for t in copies(rnd, 300, 13, 2)]
+    pairs = [(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True) if (fingerprint(a) ^ fingerprint(b)).bit_count() <= 3 and jaccard(a, b) < 0.8]
+    assert len(pairs) >= 3
+    rows = [t for a, b in pairs for t in (a, b, " ".join(b.split()[:-40]))]
+    assert all(jaccard(b, c) >= 0.8 > jaccard(a, c) and (fingerprint(a) ^ fingerprint(c)).bit_count() > 3 for a, b, c in zip(*[rows[i::3] for i in range(3)], strict=True))
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, sf).collect()}
+    assert kept == {1, *range(3, len(rows), 3)}  # null is last
