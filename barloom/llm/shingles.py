@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from ._common import durable, fresh_name, token_runs, with_arrow_columns
-from .components import connected_components
+from .components import connected_components, tasks_for
 
 BANDS = 32
 ROWS = 7
@@ -189,9 +189,10 @@ class _Pairs:
         Many pairs may share few sets b, such as heads. Those sets are broadcast if they have BROADCAST_BYTES or fewer.
         """
         pairs = durable(pairs.distinct())
-        if pairs.isEmpty():
+        if not (n := pairs.count()):
             return pairs
-        own, other = (some(self.held, pairs.select(F.col(x).alias("s")).distinct(), "s") for x in "ab")
+        pairs = pairs.coalesce(tasks := tasks_for(pairs.sparkSession, n))
+        own, other = (some(self.held, pairs.select(F.col(x).alias("s")).distinct().coalesce(tasks), "s") for x in "ab")
         if other.agg(F.sum(F.octet_length("own") + 64)).first()[0] <= BROADCAST_BYTES:
             other = F.broadcast(other)
         full = pairs.join(own.toDF("a", "own_a"), "a").join(other.toDF("b", "own_b"), "b")
@@ -221,9 +222,9 @@ def _met(a: DataFrame, b: DataFrame, which: Column, least: float) -> DataFrame:
     return left.join(right, (F.col("key_a") == F.col("key_b")) & which & _likely(least)).select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
 
 
-def _roots(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: float, bucket: int) -> DataFrame | None:
-    """(node, root): the components of all links between sets that share a band; none if there are no such sets. Sets without a link
-    have no row. Only bands that two sets have are moved with more than keys."""
+def _links(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: float, bucket: int) -> DataFrame | None:
+    """Edges (a, b) whose components are those of all links between sets that share a band; none if there are no such sets. Sets
+    without a link have no row. Only bands that two sets have are moved with more than keys."""
     filed = signed.select("s", F.explode("bands").alias("key"))
     shared = filed.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo < hi").select("key")
     found = durable(some(filed, shared, "key").distinct())
@@ -238,7 +239,7 @@ def _roots(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: fl
     edges = pairs.near(_met(small, small, F.col("s_a") < F.col("s_b"), least))
     large = banded.filter(F.col("m") > bucket)
     if large.isEmpty():
-        return connected_components(edges)
+        return edges
     # Sets that share many large bands with many others come first among heads.
     central = large.groupBy("s").agg(F.sum("m").alias("central"))
     large = durable(large.select("key", "s", "n", "sketch").join(central, "s").join(sets.select("s", "bands"), "s"))
@@ -258,8 +259,9 @@ def _roots(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: fl
     main = main.filter(F.col("all") > F.col("most")).select("crowd", "main", *[F.ceil(x / BLOCK_SETS).cast("long").alias(name) for x, name in ((F.col("all"), "blocks"), (F.col("all") - F.col("most"), "parts"))])
     asked = crowds.join(durable(main), "crowd").join(sets.select("s", "n", "sketch"), "s").join(pairs.held, "s")
     asked = durable(asked)
+    edges = roots.filter("node != root").toDF("a", "b")
     if asked.isEmpty():
-        return roots
+        return edges
     mine, block = F.pmod(F.xxhash64("s"), F.col("parts")), F.pmod(F.xxhash64("s"), F.col("blocks"))
 
     def every(n: str) -> Column:
@@ -269,14 +271,18 @@ def _roots(signed: DataFrame, rows: DataFrame, once: bool, words: int, least: fl
     crowd = asked.select("crowd", "s", "root", "n", "sketch", "own", every("parts").alias("part"), block.alias("block"))
     of = ["crowd", "part", "block"]
     made = durable(strays.groupBy(*of).cogroup(crowd.groupBy(*of)).applyInArrow(_blocks(least), "a long, b long"))
-    return roots if made.isEmpty() else connected_components(edges.unionByName(made))
+    return edges.unionByName(made)
 
 
 def _alike(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets of texts whose fingerprints are of one component of operator 9: a star for each component."""
+    """Edges (a, b) between sets of texts that operator 9 links: a star for each fingerprint, and its links from centre to centre."""
     sets = durable(signed.select("fp", "s").distinct())
-    named = simhash.fingerprint_components(sets.groupBy("fp").agg(F.min("s").alias("least")))
-    return sets.join(named, "fp").filter("s != component_id").select(F.col("s").alias("a"), F.col("component_id").alias("b")).distinct()
+    centres = durable(sets.groupBy("fp").agg(F.min("s").alias("centre")))
+    stars = sets.join(centres, "fp").select(F.col("s").alias("a"), F.col("centre").alias("b"))
+    linked = simhash.links(centres.select("fp"))
+    for end in "ab":
+        linked = linked.join(centres.toDF(end, f"centre_{end}"), end)
+    return stars.unionByName(linked.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b"))).filter("a != b")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int = BUCKET, fingerprints: bool = False) -> DataFrame:
@@ -302,11 +308,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket
     repeated = durable(signed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1").select("at"))
     once = repeated.isEmpty()
     classes = signed.groupBy("s").agg(F.min("at").alias("at")).withColumn("root", F.col("s"))
-    roots = _roots(signed, rows, once, words, least, bucket)
+    edges = _links(signed, rows, once, words, least, bucket)
     if fingerprints:
-        alike = _alike(signed)
-        roots = connected_components(alike if roots is None else alike.unionByName(roots.toDF("a", "b")))
-    if roots is not None:
+        edges = _alike(signed) if edges is None else _alike(signed).unionByName(edges)
+    if edges is not None:
+        roots = connected_components(edges)
         classes = durable(classes.drop("root").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")))
     heads = classes.groupBy("root").agg(F.min("at").alias("head"))
     gone = signed.select("s", "at").join(classes.select("s", "root").join(heads, "root"), "s").filter(taken != F.col("head"))

@@ -213,3 +213,20 @@ def test_long_texts_are_hashed_in_runs(monkeypatch):
     got = simhash._fingerprints(3)(pa.record_batch([pa.array(texts)], names=["text"]))[0].to_pylist()
     assert [g % (1 << 64) for g in got] == [fingerprint(t) for t in texts]
     assert len(suffixes._hashes("a b " * 100)) == 200 and len(suffixes._hashes(None)) == 0
+
+
+def test_rounds_of_components_take_few_tasks_however_many_partitions_shuffles_have(spark):
+    """Rounds on a few edges, in a session of 200 shuffle partitions that are not merged: once some 200 tasks in each of ten stages."""
+    own = spark.newSession()
+    for key, value in (("spark.sql.shuffle.partitions", "200"), ("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        own.conf.set(key, value)
+    edges = own.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    got = connected_components(edges)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert {r.node: r.root for r in got.filter("node < 100").collect()} == dict.fromkeys(range(41), 0)
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 200 * len(stages) / 4
