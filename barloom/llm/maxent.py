@@ -15,13 +15,15 @@ to the table of counts by hash. So neither grows with the vocabulary, and each t
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, durable, fresh_dir, fresh_name, remove, slices, table, token_runs, with_arrow_columns
+from ._common import RUN_BYTES, bucket_of, durable, fresh_dir, fresh_name, remove, slices, table, token_runs, with_arrow_columns
 
 #: Tokens whose counts every task holds, and tokens that the model has as words.
 HEAD, WORDS = 131_072, 4_096
@@ -64,6 +66,7 @@ class MaxentModel:
 
     class_logs: log shares of all classes, those of words first. word_logs: log shares within classes of words. rest_logs: log10
     of what counts + 1 of the other classes' tokens are divided by. class_weights, word_weights: a row for each bucket.
+    hashes, endings: of the head's tokens, so that no task hashes them again.
     """
 
     tokens: list[bytes]
@@ -75,6 +78,8 @@ class MaxentModel:
     rest_logs: np.ndarray
     class_weights: np.ndarray
     word_weights: np.ndarray
+    hashes: np.ndarray
+    endings: np.ndarray
 
     @property
     def n_words(self) -> int:
@@ -84,14 +89,15 @@ class MaxentModel:
 
 def ending(token: bytes) -> int:
     """Which of the classes of tokens that are not words of the model."""
-    from zlib import crc32
-
     return crc32(token[-3:]) % REST
 
 
 def of_counts(head: list[tuple[bytes, int]], rest: dict[int, tuple[int, int]]) -> MaxentModel:
     """The model without weights, of the commonest tokens in order, and by ending of how many tokens and distinct ones there are."""
+    import xxhash
+
     words = head[:WORDS]
+    hashes, endings = np.array([xxhash.xxh64_intdigest(t, 42) for t, _ in head], np.uint64), np.array([ending(t) for t, _ in head], np.uint8)
     n_words = -(-len(words) // CLASS_WORDS)
     sums = np.array([rest.get(e, (0, 0)) for e in range(REST)], np.int64)
     total, distinct = (int(x) for x in sums.sum(axis=0))
@@ -103,35 +109,30 @@ def of_counts(head: list[tuple[bytes, int]], rest: dict[int, tuple[int, int]]) -
     class_logs = np.log((by_class + 1) / (total + len(by_class))).astype(np.float32)
     word_logs = np.log(np.maximum(by_word, 1e-30) / by_word.sum(axis=1, keepdims=True)).astype(np.float32)
     weights = np.zeros((BUCKETS, len(by_class)), np.float32), np.zeros((BUCKETS, CLASS_WORDS), np.float32)
-    return MaxentModel([t for t, _ in head], np.array([n for _, n in head], np.int64), total, distinct, class_logs, word_logs, np.log10(sums.sum(axis=1) + 1.0), *weights)
+    return MaxentModel([t for t, _ in head], np.array([n for _, n in head], np.int64), total, distinct, class_logs, word_logs, np.log10(sums.sum(axis=1) + 1.0), *weights, hashes, endings)
 
 
 class Lexicon(dict):
     """Token to number, in the order of the head; START is after it, and tokens that are met get numbers from there on."""
 
     def __init__(self, model: MaxentModel):
-        super().__init__((t, i) for i, t in enumerate(model.tokens))
+        import xxhash
+
+        super().__init__(zip(model.tokens, range(len(model.tokens)), strict=True))
         self.start, self.n_words, self.words = len(model.tokens), model.n_words, min(len(model.tokens), WORDS)
+        self._digest = xxhash.xxh64_intdigest
         space = self.start + HELD_TOKENS + 2 * BLOCK
         self.hashes, self.classes, self.places = np.zeros(space, np.uint64), np.zeros(space, np.uint8), np.full(space, NO_WORD, np.uint8)
         self.logs = np.zeros(space)  # log10 of counts + 1; of tokens beyond the head it is added elsewhere
         self.logs[: self.start] = np.log10(model.counts + 1.0)
+        self.hashes[: self.start], self.classes[: self.start] = model.hashes, self.n_words + model.endings
         rank = np.arange(self.words)
         self.classes[: self.words], self.places[: self.words] = rank // CLASS_WORDS, rank % CLASS_WORDS
-        for token, i in self.items():
-            self._describe(token, i)
         self.classes[self[START]] = self.n_words + REST
 
-    def _describe(self, token: bytes, i: int) -> None:
-        import xxhash
-
-        self.hashes[i] = xxhash.xxh64_intdigest(token, 42)
-        if i >= self.words:
-            self.classes[i] = self.n_words + ending(token)
-
     def __missing__(self, token: bytes) -> int:
         i = self[token] = len(self)
-        self._describe(token, i)
+        self.hashes[i], self.classes[i] = self._digest(token, 42), self.n_words + crc32(token[-3:]) % REST
         return i
 
     def forget(self) -> None:
@@ -244,29 +245,43 @@ def _trained(docs: DataFrame) -> DataFrame:
     return docs.filter(bucket_of("doc_id", 7) != 2)
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n), token in bytes, over all texts: words with A-Z in lower case, and one END for each row. Counted within tasks first."""
-
-    def run(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        def told(counts):
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                for tokens in tokens_of(text.as_py()):
+def _counted(batches):
+    """Batches (token, n) of what Arrow batches with text have: counted by Arrow within slices, these summed. Long texts go in runs."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def told(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for part in slices(batch):
+            text = pc.fill_null(part.column("text"), "")
+            long = pc.greater(pc.binary_length(text), RUN_BYTES)
+            for one in text.filter(long):
+                for tokens in tokens_of(one.as_py()):
                     counts.update(tokens)
-                if len(counts) > HELD_TOKENS:
-                    yield told(counts)
-                    counts = Counter()
-        if counts:
-            yield told(counts)
+                    if len(counts) > HELD_TOKENS:
+                        yield told(counts)
+                        counts = Counter()
+            short = text.filter(pc.invert(long))
+            found = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(short)).flatten())
+            had = counts.get
+            for token, n in zip(found.field("values").cast(pa.binary()).to_pylist(), found.field("counts").to_pylist(), strict=True):
+                counts[token] = had(token, 0) + n
+            counts.pop(b"", None)  # before a leading space and after a trailing one
+            if len(short):
+                counts[END] += len(short)
+            if len(counts) > HELD_TOKENS:
+                yield told(counts)
+                counts = Counter()
+    if counts:
+        yield told(counts)
 
-    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(token, n), token in bytes, over all texts: words with A-Z in lower case, and one END for each row. Counted within tasks first."""
+    return docs.select("text").mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def head_of(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
@@ -287,8 +302,6 @@ def _fit_rows(model: MaxentModel):
     """For a function over Arrow batches: contexts and outcomes of every token (every STRIDE-th, if that is not 1), as bytes of 16-bit numbers, one column after the other, by round."""
 
     def run(batches):
-        from zlib import crc32
-
         import pyarrow as pa
 
         lexicon = Lexicon(model)

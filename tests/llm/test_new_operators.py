@@ -10,6 +10,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from fixtures import documents, empty
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -337,3 +338,24 @@ def test_moments_against_sums_token_by_token(weighted):
     rows = [Row(data=np.column_stack([f, c, w])[a : a + 100].astype("<u2").T.tobytes()) for a in range(0, n, 100)]
     got = np.concatenate([x for _, x in sorted(maxent._moments(model)(rows), key=lambda p: p[0])])
     assert np.allclose(got, np.concatenate([x.ravel() for x in want]), rtol=1e-3, atol=1e-3)
+
+
+def test_tokens_are_counted_by_arrow_and_the_head_is_hashed_once(monkeypatch):
+    """Only texts of more than a run of bytes are split word by word; tasks take hashes and endings of the head from the model."""
+    texts = [" One\ttwo\x0bTWO\n", None, "", " \r ", "\xc9t\xe9 \x1fone\x0c\x0cone", "  x", "long " * 40]
+    want = Counter(t for x in texts for t in tokens(x))
+    real, split = maxent.tokens_of, []
+    monkeypatch.setattr(maxent, "tokens_of", lambda text: (split.append(text), real(text))[1])
+    monkeypatch.setattr(maxent, "RUN_BYTES", 100, raising=False)
+    got = Counter()
+    for out in maxent._counted([pa.record_batch([pa.array(texts, pa.string())], names=["text"])] * 2):
+        got.update(dict(zip(out.column("token").to_pylist(), out.column("n").to_pylist(), strict=True)))
+    assert got == Counter({t: 2 * n for t, n in want.items()}) and split == [texts[-1]] * 2
+    head = sorted(want.items(), key=lambda r: (-r[1], r[0]))
+    model = maxent.of_counts(head, {e: (100, 9) for e in range(maxent.REST)})
+    monkeypatch.setattr(maxent, "ending", None)
+    lexicon = maxent.Lexicon(model)
+    assert [lexicon[t] for t, _ in head] == list(range(len(head))) and lexicon[maxent.START] == len(head)
+    assert lexicon.hashes[: len(head)].tolist() == [xxhash.xxh64_intdigest(t, 42) for t, _ in head]
+    new = lexicon[b"another"]
+    assert lexicon.hashes[new] == xxhash.xxh64_intdigest(b"another", 42) and lexicon.classes[new] == model.n_words + zlib.crc32(b"her") % maxent.REST
