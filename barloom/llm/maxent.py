@@ -37,11 +37,13 @@ STRIDE, ROUNDS = 1, 4
 RATE, DAMPING = 0.5, 3.0
 #: Tokens that are worked on at once, and tokens besides the head whose hashes a task keeps.
 BLOCK, HELD_TOKENS = 16_384, 400_000
-#: Rows of outcomes that are worked out at once: they stay in a core's cache.
-ROWS = 4_096
+#: Blocks of short texts whose numbers are made at once.
+GROUP_BLOCKS = 16
+#: Rows of outcomes that are worked out at once, so that they stay in a core's cache, and that are summed at once.
+ROWS, SUMMED_ROWS = 2_048, 32_768
 #: Bytes of fitted tokens that a task takes, at least and at most, those that it works on at once, and pieces in which it sends its sums.
 FIT_BYTES, MOST_FIT_BYTES, FIT_TOKENS, PIECES = 16 << 20, 128 << 20, 1 << 19, 32
-#: More rows than this for one place are summed as a product of matrices.
+#: Rows for one place are summed in pieces of so many, then these sums.
 FEW = 8
 #: No word has a space in it.
 END, START = b" ", b"  "
@@ -116,59 +118,98 @@ class Lexicon(dict):
     """Token to number, in the order of the head; START is after it, and tokens that are met get numbers from there on."""
 
     def __init__(self, model: MaxentModel):
+        import pyarrow as pa
         import xxhash
 
         super().__init__(zip(model.tokens, range(len(model.tokens)), strict=True))
         self.start, self.n_words, self.words = len(model.tokens), model.n_words, min(len(model.tokens), WORDS)
         self._digest = xxhash.xxh64_intdigest
-        space = self.start + HELD_TOKENS + 2 * BLOCK
+        space = self.start + HELD_TOKENS
         self.hashes, self.classes, self.places = np.zeros(space, np.uint64), np.zeros(space, np.uint8), np.full(space, NO_WORD, np.uint8)
         self.logs = np.zeros(space)  # log10 of counts + 1; of tokens beyond the head it is added elsewhere
         self.logs[: self.start] = np.log10(model.counts + 1.0)
         self.hashes[: self.start], self.classes[: self.start] = model.hashes, self.n_words + model.endings
         rank = np.arange(self.words)
         self.classes[: self.words], self.places[: self.words] = rank // CLASS_WORDS, rank % CLASS_WORDS
+        self.room(3)
         self.classes[self[START]] = self.n_words + REST
+        self.nothing, self.end = self[b""], self[END]
+        self.kept, self._held = len(self), pa.array(list(self), pa.binary())
 
     def __missing__(self, token: bytes) -> int:
         i = self[token] = len(self)
         self.hashes[i], self.classes[i] = self._digest(token, 42), self.n_words + crc32(token[-3:]) % REST
         return i
 
+    def room(self, n: int) -> None:
+        """Makes room for n tokens more."""
+        if len(self) + n > len(self.hashes):
+            for name, value in (("hashes", 0), ("classes", 0), ("places", NO_WORD), ("logs", 0)):
+                old = getattr(self, name)
+                setattr(self, name, np.append(old, np.full(len(self) + n, value, old.dtype)))
+
+    def numbers_of(self, tokens) -> np.ndarray:
+        """Numbers of an Arrow array of distinct tokens. Those of tokens beyond the head are good until others are asked for."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tokens = tokens.cast(pa.binary())
+        found = pc.index_in(tokens, value_set=self._held)
+        numbers, new = found.fill_null(-1).to_numpy().astype(np.int64), tokens.filter(found.is_null())
+        self.room(len(new))
+        first, end = len(self), len(self) + len(new)
+        numbers[numbers < 0] = np.arange(first, end)
+        new = new.to_numpy(zero_copy_only=False)
+        self.hashes[first:end] = np.fromiter((self._digest(t, 42) for t in new), np.uint64, len(new))
+        self.classes[first:end] = np.fromiter((crc32(t[-3:]) % REST for t in new), np.uint8, len(new)) + self.n_words
+        return numbers
+
     def forget(self) -> None:
         """Drops what is beyond the head once that is too much. Numbers given before are void then."""
-        if len(self) > self.start + HELD_TOKENS:
-            for token in list(self)[self.start + 1 :]:
+        if len(self) > self.kept + HELD_TOKENS:
+            for token in list(self)[self.kept :]:
                 del self[token]
 
 
 def blocks(texts, lexicon: Lexicon):
     """(numbers, at, rows, places) of some BLOCK tokens at a time: numbers of tokens, two of context before each piece of a text among
-    them; and of the tokens themselves where they are in these, the index of the text, and the place in it."""
-    numbers, rows, places, held = [], [], [], 0
+    them; and of the tokens themselves where they are in these, the index of the text, and the place in it.
 
-    def told():
-        flat, ends = np.concatenate(numbers), np.cumsum([len(x) for x in numbers])
-        real = np.ones(len(flat), bool)
-        begins = ends - [len(x) for x in numbers]
-        real[begins] = real[begins + 1] = False
-        return flat, np.flatnonzero(real), np.concatenate(rows), np.concatenate(places)
+    Arrow splits the texts and tells distinct tokens, so that only these are looked up one by one. Long texts go in runs.
+    """
+    import pyarrow.compute as pc
 
-    for row, text in enumerate(texts):
+    texts = pc.fill_null(texts, "")
+    long = pc.greater(pc.binary_length(texts), RUN_BYTES).to_numpy(zero_copy_only=False)
+    short = np.flatnonzero(~long)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(short)))
+    coded = lists.flatten().dictionary_encode()
+    of_codes, codes, offsets = lexicon.numbers_of(coded.dictionary), coded.indices.to_numpy(), lists.offsets.to_numpy()
+    first = 0
+    while first < len(short):
+        stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GROUP_BLOCKS * BLOCK, "right")) - 1)
+        own = of_codes[codes[offsets[first] : offsets[stop]]]
+        real = own != lexicon.nothing  # before a leading space and after a trailing one
+        n = np.diff(np.append(0, np.cumsum(real))[offsets[first : stop + 1] - offsets[first]]) + 1
+        rows, last = np.repeat(np.arange(len(n)), n), np.cumsum(n) - 1
+        at = np.arange(len(rows)) + 2 * (rows + 1)
+        numbers, tokens = np.full(len(rows) + 2 * len(n), lexicon.start), np.ones(len(rows), bool)
+        tokens[last] = False
+        numbers[at[tokens]], numbers[at[last]] = own[real], lexicon.end
+        places = np.arange(len(rows)) - (last - n + 1)[rows]
+        rows = short[first + rows]
+        for a in range(0, len(rows), BLOCK):
+            yield numbers, at[a : a + BLOCK], rows[a : a + BLOCK], places[a : a + BLOCK]
+        first = stop
+    for row in np.flatnonzero(long):
         before, place = [START, START], 0
-        for tokens in tokens_of(text.as_py()):
-            for first in range(0, len(tokens), BLOCK):
-                part = tokens[first : first + BLOCK]
-                numbers.append(np.fromiter(map(lexicon.__getitem__, before + part), np.int64, len(part) + 2))
-                rows.append(np.full(len(part), row))
-                places.append(np.arange(place, place + len(part)))
-                before, place, held = (before + part)[-2:], place + len(part), held + len(part)
-                if held >= BLOCK:
-                    yield told()
-                    numbers, rows, places, held = [], [], [], 0
-                    lexicon.forget()
-    if numbers:
-        yield told()
+        for run in tokens_of(texts[row].as_py()):
+            for first in range(0, len(run), BLOCK):
+                part = run[first : first + BLOCK]
+                lexicon.room(len(part) + 2)
+                yield np.fromiter(map(lexicon.__getitem__, before + part), np.int64, len(part) + 2), np.arange(2, len(part) + 2), np.full(len(part), row), np.arange(place, place + len(part))
+                before, place = (before + part)[-2:], place + len(part)
+                lexicon.forget()
 
 
 def features(numbers: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -185,15 +226,15 @@ def word_rows(buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (buckets * 31 + classes[:, None] * 1_009) % BUCKETS
 
 
-def unscaled(base: np.ndarray, factors: np.ndarray, buckets) -> np.ndarray:
+def unscaled(base: np.ndarray, factors: np.ndarray, buckets, out: np.ndarray | None = None, held: np.ndarray | None = None) -> np.ndarray:
     """Powers of the logits of all outcomes in each context, a row for each of `buckets`: shares times the powers of a few weights.
 
-    Logits are logs of shares and a few weights, so their powers need no shift.
+    Logits are logs of shares and a few weights, so their powers need no shift. They go to `out`; `held` has room for as many.
     """
-    p = np.take(factors, buckets[0], axis=0)
+    p = np.take(factors, buckets[0], axis=0, out=out, mode="clip")
     p *= base
     for own in buckets[1:]:
-        p *= np.take(factors, own, axis=0)
+        p *= np.take(factors, own, axis=0, out=None if held is None else held[: len(own)], mode="clip")
     return p
 
 
@@ -203,42 +244,50 @@ def powers_of(model: MaxentModel) -> tuple[np.ndarray, ...]:
 
 
 def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each of `rows` to the row of `table` that `at` names. Rows of one place are summed first: many at once, a few in turns."""
+    """Adds each of `rows` to the row of `table` that `at` names. Rows of one place are summed first, FEW at a time, then their sums."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
-    n = np.diff(np.append(first, len(at)))
-    if len(at) > 16 * len(first):
-        table[at[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
-        return
-    by = np.argsort(-np.minimum(n, FEW + 1), kind="stable")
-    first, n = first[by], n[by]
-    many = int((n > FEW).sum())
-    for a, m in zip(first[:many], n[:many], strict=True):
-        table[at[order[a]]] += np.ones(m, np.float32) @ rows[order[a : a + m]]
-    first, n = first[many:], n[many:]
-    sums = rows[order[first]]
-    for turn in range(1, FEW):
-        k = int((n > turn).sum())
-        if not k:
-            break
-        sums[:k] += rows[order[first[:k] + turn]]
-    table[at[order[first]]] += sums
+    at, held = at[order], np.empty((ROWS, rows.shape[1]), rows.dtype)
+    while len(at):
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        last = np.append(first[1:], len(at))
+        n = -(-(last - first) // FEW)
+        place = np.repeat(np.arange(len(n)), n)
+        begins = first[place] + FEW * (np.arange(len(place)) - (np.cumsum(n) - n)[place])
+        size = np.minimum(last[place] - begins, FEW).astype(np.uint8)
+        by = np.argsort(FEW - size, kind="stable")  # the longest pieces first
+        sums = np.empty((len(by), rows.shape[1]), rows.dtype)
+        for a in range(0, len(by), ROWS):
+            own, out = by[a : a + ROWS], sums[a : a + ROWS]
+            np.take(rows, order[begins[own]], axis=0, out=out, mode="clip")
+            for turn in range(1, FEW):
+                k = int(np.count_nonzero(size[own] > turn))
+                if not k:
+                    break
+                out[:k] += np.take(rows, order[begins[own[:k]] + turn], axis=0, out=held[:k], mode="clip")
+        if len(by) == len(first):
+            table[at[begins[by]]] += sums
+            return
+        order = np.empty(len(by), np.int64)
+        order[by] = np.arange(len(by))
+        at, rows = at[begins], sums
 
 
 def log_probabilities(powers: tuple[np.ndarray, ...], buckets: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Natural logs of P(class | context), times P(word | class, context) for tokens that are words of the model (`powers_of`)."""
     of_classes, of_words, class_factors, word_factors = powers
     out = np.empty(len(classes))
+    (p, held), (q, held_words) = (np.empty((2, ROWS, x.shape[1]), np.float32) for x in (class_factors, word_factors))
     for a in range(0, len(classes), ROWS):
         f, c, w = buckets[a : a + ROWS], classes[a : a + ROWS], places[a : a + ROWS]
-        p = unscaled(of_classes, class_factors, f.T)
-        found = p[np.arange(len(c)), c] / (p @ np.ones(p.shape[1], np.float32))
+        found = out[a : a + ROWS]
+        of = unscaled(of_classes, class_factors, f.T, p[: len(c)], held)
+        found[:] = of[np.arange(len(c)), c] / (of @ np.ones(of.shape[1], np.float32))
         own = np.flatnonzero(w != NO_WORD)
         if len(own):
-            p = unscaled(of_words[c[own]], word_factors, word_rows(f[own], c[own]).T)
-            found[own] *= p[np.arange(len(own)), w[own]] / (p @ np.ones(p.shape[1], np.float32))
-        out[a : a + ROWS] = np.log(found)
-    return out
+            c = c[own]
+            of = unscaled(np.take(of_words, c, axis=0), word_factors, word_rows(f[own], c).T, q[: len(c)], held_words)
+            found[own] *= of[np.arange(len(c)), w[own]] / (of @ np.ones(of.shape[1], np.float32))
+    return np.log(out)
 
 
 def _trained(docs: DataFrame) -> DataFrame:
@@ -250,10 +299,16 @@ def _counted(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def told(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+    def told(tokens, n):
+        return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n, pa.int64())], names=["token", "n"])
+
+    def summed(parts):
+        all_of = pa.Table.from_batches(parts)
+        all_of = all_of.filter(pc.and_(pc.greater(pc.binary_length(all_of["token"]), 0), pc.greater(all_of["n"], 0)))  # nothing is before a leading space and after a trailing one
+        found = all_of.group_by("token", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return told(found["token"].combine_chunks(), found["n_sum"].combine_chunks())
 
-    counts: Counter = Counter()
+    counts, held, n = Counter(), [], 0
     for batch in batches:
         for part in slices(batch):
             text = pc.fill_null(part.column("text"), "")
@@ -262,21 +317,20 @@ def _counted(batches):
                 for tokens in tokens_of(one.as_py()):
                     counts.update(tokens)
                     if len(counts) > HELD_TOKENS:
-                        yield told(counts)
+                        yield told(list(counts), list(counts.values()))
                         counts = Counter()
             short = text.filter(pc.invert(long))
             found = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(short)).flatten())
-            had = counts.get
-            for token, n in zip(found.field("values").cast(pa.binary()).to_pylist(), found.field("counts").to_pylist(), strict=True):
-                counts[token] = had(token, 0) + n
-            counts.pop(b"", None)  # before a leading space and after a trailing one
-            if len(short):
-                counts[END] += len(short)
-            if len(counts) > HELD_TOKENS:
-                yield told(counts)
-                counts = Counter()
+            counts[END] += len(short)
+            held.append(told(found.field("values").cast(pa.binary()), found.field("counts")))
+            n += len(found)
+            if n > HELD_TOKENS:
+                yield summed(held)
+                held, n = [], 0
     if counts:
-        yield told(counts)
+        held.append(told(list(counts), list(counts.values())))
+    if held:
+        yield summed(held)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -312,8 +366,8 @@ def _fit_rows(model: MaxentModel):
                     turn = (places + shift[rows]) % (STRIDE * ROUNDS)
                     took = np.flatnonzero(turn % STRIDE == 0)
                     own = numbers[at[took]]
-                    found = np.column_stack([features(numbers, at[took], lexicon), lexicon.classes[own], lexicon.places[own]]).astype("<u2")
-                    data = [found[turn[took] == r * STRIDE].T.tobytes() for r in range(ROUNDS)]
+                    found = np.vstack([features(numbers, at[took], lexicon).T, lexicon.classes[own], lexicon.places[own]], dtype="<u2", casting="unsafe")
+                    data = [found[:, np.flatnonzero(turn[took] == r * STRIDE)].tobytes() for r in range(ROUNDS)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(ROUNDS), pa.int32()), pa.array(data, pa.binary())], names=["round", "data"])
 
     return run
@@ -343,11 +397,17 @@ def _moments(model: MaxentModel):
         for own in rows:
             seen += np.bincount(own * seen.shape[1] + outcomes, minlength=seen.size).reshape(seen.shape)
 
-    def expect(expected, base, factors, rows, n):
-        p = unscaled(base, factors, rows)
-        p *= (n / (p @ np.ones(p.shape[1], np.float32))).astype(np.float32)[:, None]
-        for own in rows:
-            add_rows(expected, own, p)
+    def expect(expected, base, factors, rows, n, classes=None):
+        """With `classes`, `base` has a row for each class."""
+        p, held = (np.empty((k, base.shape[-1]), np.float32) for k in (min(len(n), SUMMED_ROWS), ROWS))
+        for first in range(0, len(n), SUMMED_ROWS):
+            end = min(first + SUMMED_ROWS, len(n))
+            for a in range(first, end, ROWS):
+                b = min(a + ROWS, end)
+                of = unscaled(base if classes is None else np.take(base, classes[a:b], axis=0), factors, rows[:, a:b], p[a - first : b - first], held)
+                of *= (n[a:b] / (of @ np.ones(of.shape[1], np.float32))).astype(np.float32)[:, None]
+            for own in rows[:, first:end]:
+                add_rows(expected, own, p[: end - first])
 
     def contexts(f, c):
         """Buckets of the distinct contexts and how many tokens have each; and those of contexts with a class of words."""
@@ -380,11 +440,8 @@ def _moments(model: MaxentModel):
                 expected[1] += by_class @ of_words
                 continue
             (f, n), (g, c, m) = contexts(f, c)
-            for a in range(0, len(n), ROWS):
-                expect(expected[0], of_classes, class_factors, f[:, a : a + ROWS], n[a : a + ROWS])
-            for a in range(0, len(m), ROWS):
-                x = c[a : a + ROWS]
-                expect(expected[1], of_words[x], word_factors, word_rows(g[:, a : a + ROWS].T, x).T, m[a : a + ROWS])
+            expect(expected[0], of_classes, class_factors, f, n)
+            expect(expected[1], of_words, word_factors, word_rows(g.T, c).T, m, c)
         if some:
             yield from enumerate(np.array_split(np.concatenate([s.reshape(-1) for pair in zip(seen, expected) for s in pair]), PIECES))
 

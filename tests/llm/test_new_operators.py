@@ -359,3 +359,53 @@ def test_tokens_are_counted_by_arrow_and_the_head_is_hashed_once(monkeypatch):
     assert lexicon.hashes[: len(head)].tolist() == [xxhash.xxh64_intdigest(t, 42) for t, _ in head]
     new = lexicon[b"another"]
     assert lexicon.hashes[new] == xxhash.xxh64_intdigest(b"another", 42) and lexicon.classes[new] == model.n_words + zlib.crc32(b"her") % maxent.REST
+
+
+@pytest.mark.parametrize("run_bytes", [12, 4 << 20])
+@pytest.mark.parametrize(("block", "held"), [(3, 1), (3, 400_000), (16_384, 400_000)])
+def test_texts_are_split_by_arrow_and_only_distinct_tokens_are_looked_up(monkeypatch, run_bytes, block, held):
+    """Tokens, contexts and places are those of plain Python, batch after batch; only texts of more than a run of bytes go word by word."""
+    texts = [" One\ttwo\x0bTWO\n", None, "", " \r ", "\xc9t\xe9 \x1fone\x0c\x0cone", "  x", "long Words " * 40, "one"]
+    head = [(b"one", 9), (b"two", 4), (b"long", 2)]
+    model = maxent.of_counts(head, {e: (100, 9) for e in range(maxent.REST)})
+    real, split = maxent.tokens_of, []
+    monkeypatch.setattr(maxent, "tokens_of", lambda text: (split.append(text), real(text))[1])
+    monkeypatch.setattr(maxent, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(maxent, "BLOCK", block)
+    monkeypatch.setattr(maxent, "HELD_TOKENS", held)
+    lexicon = maxent.Lexicon(model)
+
+    def told(texts):
+        found = {}
+        for numbers, at, rows, places in maxent.blocks(pa.array(texts, pa.string()), lexicon):
+            for i, row, place in zip(at, rows.tolist(), places.tolist(), strict=True):
+                assert (row, place) not in found
+                found[row, place] = [(int(lexicon.hashes[x]), int(lexicon.classes[x]), int(lexicon.places[x]), x < lexicon.start) for x in numbers[i - 2 : i + 1]]
+        return found
+
+    def known(token):
+        words = [t for t, _ in head]
+        place = words.index(token) if token in words else maxent.NO_WORD
+        kind = model.n_words + maxent.REST if token == maxent.START else 0 if token in words else model.n_words + zlib.crc32(token[-3:]) % maxent.REST
+        return xxhash.xxh64_intdigest(token, 42), kind, place, token in words
+
+    for part in (texts, ["new ones here and others", *texts[::-1]], [texts[6]], []):
+        want = {}
+        for row, text in enumerate(part):
+            chain = [maxent.START] * 2 + tokens(text)
+            want |= {(row, i): [known(t) for t in chain[i : i + 3]] for i in range(len(chain) - 2)}
+        split.clear()
+        assert told(part) == want
+        assert split == [t for t in part if t and len(t.encode()) > run_bytes]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 5_000])
+def test_rows_of_one_place_are_summed_in_pieces(monkeypatch, n):
+    monkeypatch.setattr(maxent, "ROWS", 128)
+    rnd = np.random.default_rng(3)
+    at, rows = np.minimum(rnd.zipf(1.2, n), 299) - 1, rnd.random((n, 7), np.float32)
+    table = rnd.random((300, 7), np.float32)
+    want = table.astype(float)
+    np.add.at(want, at, rows)
+    maxent.add_rows(table, at, rows)
+    assert np.allclose(table, want, rtol=1e-5)
