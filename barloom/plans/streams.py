@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import durable, fresh_dir
+from ..storage import fresh_dir, remove
 
 #: Rows of a batch of a stream that is fed in the order of time.
-FEED_ROWS = 250_000
+FEED_ROWS = 2_000_000
+#: Rows of an Arrow batch of a stream. Spark sends a key's state along with each batch of its rows, so small ones send it many times.
+ARROW_ROWS = 200_000
 
 
 def in_time_order(rows: DataFrame, time: str, out: str, feed_rows: int | None = None) -> int:
     """Writes `rows` under `out` as files of some FEED_ROWS rows, each later in `time` than the one before and written after it, which is
-    how a stream of files orders them. How many there are. Rows of one time share a file."""
+    how a stream of files orders them. How many there are. Rows of one time share a file.
+
+    All rows are dealt in one job; then each file is copied by itself, so every row is read twice however many files there are."""
     n = max(1, -(-rows.count() // (feed_rows or FEED_ROWS)))
-    dealt = durable(rows.repartitionByRange(n, time).withColumn("_file", F.spark_partition_id())) if n > 1 else rows.withColumn("_file", F.lit(0))
+    if n == 1:
+        rows.coalesce(1).write.parquet(f"{out}/part={0:06}")
+        return n
+    rows.repartitionByRange(n, time).withColumn("_file", F.spark_partition_id()).write.partitionBy("_file").parquet(f"{out}-dealt")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.sparkSession.read.schema(f"{kinds}, _file int").parquet(f"{out}-dealt")
     for i in range(n):
         dealt.filter(F.col("_file") == i).drop("_file").coalesce(1).write.parquet(f"{out}/part={i:06}")
+    remove(rows.sparkSession, f"{out}-dealt")
     return n
 
 
-def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None) -> DataFrame:
+def available_now(
+    spark: SparkSession, folder: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None, columns: Sequence[str] = ()
+) -> DataFrame:
     """The result of `plan` on a stream of the table's files, as a batch frame.
 
     With `time` the table is fed in the order of that column, a file of bounded size for each batch: the watermark follows, so plans
-    that hold rows until it has passed them hold two batches' rows and not the table's, and no row is late.
+    that hold rows until it has passed them hold two batches' rows and not the table's, and no row is late. With `columns` the stream
+    has only these.
 
     Result and checkpoint lie in the shared folder that spark.checkpoint.dir names. In complete mode the last batch is whole; in
     append mode batches are added, each under its own number, so a batch that runs again replaces itself.
     """
     out = fresh_dir(spark, "stream")
     static = spark.read.parquet(f"{folder}/{name}.parquet")
+    static = static.select(*columns) if columns else static
     reader = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet")
     if time:
         in_time_order(static, time, f"{out}-feed")
@@ -45,7 +59,15 @@ def available_now(spark: SparkSession, folder: str, name: str, plan: Callable[[D
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{'whole' if mode == 'complete' else f'batch={number}'}")
 
-    stream = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    arrow = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, str(ARROW_ROWS))  # a stream keeps the settings that it starts with
+    try:
+        stream = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(arrow, before)
     stream.awaitTermination()
+    if time:
+        remove(spark, f"{out}-feed")
     found = spark.read.schema(result.schema).parquet(f"{out}/{'whole' if mode == 'complete' else '*'}")
     return found

@@ -652,6 +652,8 @@ def stream_bars_available_now(spark, sf_dir):
     return available_now(spark, sf_dir, "events", lambda e: stream_bars(shape(e), "1 hour", None), "complete")
 
 
+#: What streams of ticks need of events.
+TICK_COLUMNS = ("event_id", "event_type", "ts", "value")
 LATE = "(SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 FROM events)"
 
 
@@ -664,7 +666,7 @@ def stream_asof_available_now(spark, sf_dir):
     def shape(e: DataFrame) -> DataFrame:
         return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, "bar").otherwise("sparse").alias("side"), F.col("event_id").alias("id"), "value")
 
-    found = available_now(spark, sf_dir, "events", lambda e: stream_asof(shape(e)), time="ts")
+    found = available_now(spark, sf_dir, "events", lambda e: stream_asof(shape(e)), time="ts", columns=TICK_COLUMNS)
     return found.select("symbol", "id", F.unix_micros("ts").alias("us"), F.unix_micros("match_ts").alias("match_us"), "value")
 
 

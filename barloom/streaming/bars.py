@@ -29,38 +29,61 @@ def stream_sessions(ticks: DataFrame, gap: str = "5 minutes", late: str | None =
     return rows.select(key, "start", "end", "n_rows")
 
 
+#: numpy's and pandas' mark of a time that is none.
+_NO_TIME = -(1 << 63)
+
+
+def _with_held(held: bytes, frames, kinds: list[tuple[str, str]]):
+    """The rows that a state holds as bytes and those of pandas frames, as one array of records. Times are in microseconds."""
+    import numpy as np
+
+    parts = [np.frombuffer(held, kinds)]
+    for pdf in frames:
+        part = np.empty(len(pdf), kinds)
+        for name, _ in kinds:
+            part[name] = pdf[name].astype("datetime64[us]").astype("int64") if name == "ts" else pdf[name]
+        parts.append(part)
+    return np.concatenate(parts)
+
+
+def _wake(held, times) -> None:
+    """Has a key whose oldest row is at `times[0]` looked at once the watermark has passed that row."""
+    if len(times):
+        held.setTimeoutTimestamp(max(int(times[0]) // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+
+
 def stream_asof(both: DataFrame, key: str = "symbol", late: str = "10 minutes") -> DataFrame:
     """As-of joins of a stream of two sides: rows (symbol, ts, side, id, value), side 'bar' or 'sparse'.
 
     For each bar: symbol, id, ts, match_ts, value of the last sparse row at or before it. State is, for each key, the rows that the
-    watermark has not passed and the last sparse row before them: bars are given, in order, once the watermark has passed them.
+    watermark has not passed, as bytes, and the last sparse row before them: bars are given, in order, once the watermark has passed
+    them. Rows without a time take no part.
     """
-    state = "times array<bigint>, sides array<boolean>, ids array<bigint>, vals array<double>, last_ts bigint, last_value double"
+    state = "held_rows binary, last_ts bigint, last_value double"
     out = f"{key} string, id long, ts timestamp, match_ts timestamp, value double"
+    kinds = [("ts", "<i8"), ("bar", "?"), ("id", "<i8"), ("value", "<f8")]
 
     def step(k, frames, held):
+        import numpy as np
         import pandas as pd
 
-        times, sides, ids, vals, last_ts, last_value = held.get if held.exists else ([], [], [], [], None, None)
-        rows = list(zip(times, sides, ids, vals, strict=True))
-        for pdf in frames:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            rows += [(int(t), s == "bar", int(i), None if pd.isna(v) else float(v)) for t, s, i, v in zip(micros, pdf["side"], pdf["id"], pdf["value"], strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1], r[2]))
-        passed = held.getCurrentWatermarkMs() * 1000
-        found, rest = [], []
-        for t, bar, i, v in rows:
-            if t >= passed:
-                rest.append((t, bar, i, v))
-            elif bar:
-                found.append((k[0], i, pd.Timestamp(t, unit="us"), pd.NaT if last_ts is None else pd.Timestamp(last_ts, unit="us"), last_value))
-            else:
-                last_ts, last_value = t, v
-        held.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest], last_ts, last_value))
-        if rest:
-            held.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[key, "id", "ts", "match_ts", "value"])
-
+        kept, last_ts, last_value = held.get if held.exists else (b"", None, None)
+        rows = _with_held(kept, frames, kinds)
+        rows = rows[np.lexsort((rows["id"], rows["bar"], rows["ts"]))]
+        cut = np.searchsorted(rows["ts"], held.getCurrentWatermarkMs() * 1000)
+        given, rest = rows[:cut], rows[cut:]
+        sparse = np.maximum.accumulate(np.where(given["bar"], -1, np.arange(cut)))  # the last sparse row so far, -1: that of the state
+        match = np.append(given["ts"], _NO_TIME if last_ts is None else last_ts)[sparse]
+        value = np.append(given["value"], np.nan if last_value is None else last_value)[sparse]
+        if cut and sparse[-1] >= 0:
+            last_ts, last_value = int(match[-1]), None if np.isnan(value[-1]) else float(value[-1])
+        held.update((rest.tobytes(), last_ts, last_value))
+        _wake(held, rest["ts"])
+        bar = given["bar"]
+        if bar.any():
+            yield pd.DataFrame({key: [k[0]] * int(bar.sum()), "id": given["id"][bar], "ts": given["ts"][bar].view("<M8[us]"), "match_ts": match[bar].view("<M8[us]"), "value": value[bar]})
+
+    both = both.filter(F.col("ts").isNotNull()).select(key, "ts", (F.col("side") == "bar").alias("bar"), "id", "value")
     return both.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
 
 

@@ -61,3 +61,28 @@ def test_a_table_is_fed_in_batches_in_the_order_of_time(spark, duck, sf, monkeyp
         columns = [c[0] for c in cursor.description]
         assert canonical(got) == canonical([dict(zip(columns, r, strict=True)) for r in cursor.fetchall()])
     assert fed == [4, 4]
+
+
+def test_a_stream_has_the_asked_columns_in_large_arrow_batches(spark, tmp_path):
+    """Spark sends a key's state along with each Arrow batch of its rows; with batches of 10,000 rows that grew as the square of them."""
+    from barloom.plans import streams
+
+    spark.range(30_000).select(F.timestamp_millis("id").alias("ts"), "id", F.lit("x").alias("more")).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    arrow = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(arrow)
+
+    def sizes(frames):
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(frame)], "columns": [",".join(frame.columns)]})
+
+    found = streams.available_now(spark, str(tmp_path), "t", lambda s: s.mapInPandas(sizes, "n long, columns string"), time="ts", columns=("ts", "id"))
+    assert [tuple(r) for r in found.collect()] == [(30_000, "ts,id")] and spark.conf.get(arrow) == before
+
+
+def test_asof_leaves_out_rows_without_a_time(spark, tmp_path):
+    minute = 60_000
+    rows = [("A", "sparse", 0, None, 9.0), ("A", "bar", 5, None, None), ("A", "bar", 1, 10 * minute, None), ("A", "sparse", 2, 11 * minute, None), ("A", "bar", 3, 11 * minute, None)]
+    got = run(spark, "symbol string, side string, id long, ms long, value double", stream_asof, tmp_path, [rows, [("A", "bar", 6, 100 * minute, None)]])
+    assert sorted((r.id, r.match_ts is None, r.value) for r in got) == [(1, True, None), (3, False, None)]
