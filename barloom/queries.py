@@ -681,7 +681,7 @@ def stream_windows_available_now(spark, sf_dir):
     def shape(e: DataFrame) -> DataFrame:
         return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
 
-    found = available_now(spark, sf_dir, "events", lambda e: stream_windows(shape(e), SPEC), time="ts")
+    found = available_now(spark, sf_dir, "events", lambda e: stream_windows(shape(e), SPEC), time="ts", columns=TICK_COLUMNS)
     return found.select("symbol", "start_index", "start_ts", "end_ts", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

@@ -92,36 +92,36 @@ def stream_windows(rows: DataFrame, spec: WindowSpec = WindowSpec(), key: str =
     (in ms) and values of each full window at a stride place without too long a gap, in the order of ts and id.
 
     A window is given, once, when the watermark has passed its last row. State is, for each key, the rows that it has not passed, the
-    ring of the last `length` rows before them, and how many there were.
+    ring of the last rows before them, one less than `length`, both as bytes, and how many there were. Rows without a time take no part.
     """
-    state = "times array<bigint>, ids array<bigint>, vals array<double>, ring_times array<bigint>, ring_vals array<double>, passed_rows bigint"
+    state = "held_rows binary, ring binary, passed_rows bigint"
     out = f"{key} string, start_index long, start_ts long, end_ts long, values array<double>"
     length, stride, max_gap = spec.length, spec.stride, spec.max_gap_ms
+    kinds = [("ts", "<i8"), ("id", "<i8"), ("value", "<f8")]
 
     def step(k, frames, held):
-        from collections import deque
-
+        import numpy as np
         import pandas as pd
 
-        times, ids, vals, ring_times, ring_vals, n = held.get if held.exists else ([], [], [], [], [], 0)
-        rest = list(zip(times, ids, vals, strict=True))
-        for pdf in frames:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            rest += [(int(t), int(i), None if pd.isna(v) else float(v)) for t, i, v in zip(micros, pdf["id"], pdf["value"], strict=True)]
-        rest.sort(key=lambda r: r[:2])
-        passed = held.getCurrentWatermarkMs() * 1000
-        ring, found, at = deque(zip(ring_times, ring_vals, strict=True), length), [], 0
-        while at < len(rest) and rest[at][0] < passed:
-            ring.append((rest[at][0] // 1000, rest[at][2]))
-            n, at = n + 1, at + 1
-            if n >= length and (n - length) % stride == 0:
-                own = [t for t, _ in ring]
-                if all(b - a <= max_gap for a, b in zip(own, own[1:], strict=False)):
-                    found.append((k[0], n - length, own[0], own[-1], [v for _, v in ring]))
-        rest = rest[at:]
-        held.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [t for t, _ in ring], [v for _, v in ring], n))
-        if rest:
-            held.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[key, "start_index", "start_ts", "end_ts", "values"])
+        kept, ring, n = held.get if held.exists else (b"", b"", 0)
+        now = _with_held(kept, frames, kinds)
+        now = now[np.lexsort((now["id"], now["ts"]))]
+        cut = int(np.searchsorted(now["ts"], held.getCurrentWatermarkMs() * 1000))
+        ring, rest = np.frombuffer(ring, kinds), now[cut:]
+        near = np.concatenate([ring, now[:cut]])  # what windows that end in a row that is passed now are made of
+        before, n = n - len(ring), n + cut
+        first = -(-max(before + len(ring) - length + 1, 0) // stride) * stride
+        starts = np.arange(first, n - length + 1, stride)
+        at, ms = starts - before, near["ts"] // 1000
+        if len(at):
+            wide = np.append(0, np.cumsum(np.diff(ms) > max_gap))
+            whole = wide[at + length - 1] == wide[at]
+            starts, at = starts[whole], at[whole]
+        held.update((rest.tobytes(), near[max(0, len(near) - length + 1) :].tobytes(), n))
+        _wake(held, rest["ts"])
+        if len(at):
+            values = np.lib.stride_tricks.sliding_window_view(near["value"], length)[at]
+            yield pd.DataFrame({key: [k[0]] * len(at), "start_index": starts, "start_ts": ms[at], "end_ts": ms[at + length - 1], "values": list(values)})
 
+    rows = rows.filter(F.col("ts").isNotNull()).select(key, "ts", "id", "value")
     return rows.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")

@@ -86,3 +86,11 @@ def test_asof_leaves_out_rows_without_a_time(spark, tmp_path):
     rows = [("A", "sparse", 0, None, 9.0), ("A", "bar", 5, None, None), ("A", "bar", 1, 10 * minute, None), ("A", "sparse", 2, 11 * minute, None), ("A", "bar", 3, 11 * minute, None)]
     got = run(spark, "symbol string, side string, id long, ms long, value double", stream_asof, tmp_path, [rows, [("A", "bar", 6, 100 * minute, None)]])
     assert sorted((r.id, r.match_ts is None, r.value) for r in got) == [(1, True, None), (3, False, None)]
+
+
+def test_windows_leave_out_rows_without_a_time(spark, tmp_path):
+    minute = 60_000
+    rows = [("A", 0, None, 9.0)] + [("A", i, i * minute, float(i)) for i in range(1, 7)]
+    spec = WindowSpec(length=2, stride=2, max_gap_ms=5 * minute)
+    got = run(spark, "symbol string, id long, ms long, value double", lambda s: stream_windows(s, spec), tmp_path, [rows, [("A", 9, 100 * minute, 1.0)]])
+    assert sorted((r.start_index, r["values"]) for r in got) == [(0, [1.0, 2.0]), (2, [3.0, 4.0]), (4, [5.0, 6.0])]
