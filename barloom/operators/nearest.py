@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.vectors import doubles
 from ..storage import durable
@@ -37,7 +38,8 @@ def _units(column) -> np.ndarray:
 
 
 def _rows(frame: DataFrame, vec_id: str, vector: str, name: str, *more: Column) -> DataFrame:
-    return frame.select(F.col(vec_id).alias(name), doubles(F.col(vector)).alias("v"), *more).filter(F.col(name).isNotNull() & F.col("v").isNotNull())
+    v = F.col(vector) if frame.schema[vector].dataType == ArrayType(FloatType()) else doubles(F.col(vector))  # floats take half the room on their way
+    return frame.select(F.col(vec_id).alias(name), v.alias("v"), *more).filter(F.col(name).isNotNull() & F.col("v").isNotNull())
 
 
 def _bounds(near: np.ndarray, k: int) -> np.ndarray:

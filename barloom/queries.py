@@ -439,25 +439,32 @@ def orphan_antijoin(spark, sf_dir):
     return catalog.orphans(files, files.filter("o_orderkey % 7 <> 0").select("path")).select("o_orderkey")
 
 
-KNN = "q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
+def knn_sql(asked: str = "") -> str:
+    """Of the vectors that `asked` names, or of all, the ten nearest of all vectors: table k."""
+    return f"q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS own, b.label AS theirs, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS s FROM q a JOIN q b ON a.vec_id <> b.vec_id{asked}), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p QUALIFY rank <= 10)"
 
 
-def _near(spark, sf_dir) -> DataFrame:
-    """Queries are the vectors whose id is divisible by 50, against all: the operator's stated query set."""
+#: The queries that an index is tried with, against all vectors.
+INDEX_QUERIES = "vec_id % 50 = 0"
+
+
+def _near(spark, sf_dir, asked: str = "true") -> DataFrame:
+    """Every vector's nearest of all, or those of the vectors that `asked` names."""
     e = table(spark, sf_dir, "embeddings")
-    return nearest.neighbours(e.filter("vec_id % 50 = 0"), e)
+    return nearest.neighbours(e.filter(asked), e)
 
 
-@register(f"WITH {KNN} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
+@register(f"WITH {knn_sql()} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
 def topk_neighbors(spark, sf_dir):
+    """Every vector against every other."""
     return _near(spark, sf_dir).select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
-@register(f"WITH {KNN} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
+@register(f"WITH {knn_sql(f' WHERE a.{INDEX_QUERIES}')} SELECT query, neighbour, rank, round(s, 4) AS similarity FROM k")
 def topk_neighbors_indexed(spark, sf_dir):
     """The same through cells: a query meets the nearest ones, then those that may hold something nearer."""
     e = table(spark, sf_dir, "embeddings")
-    found = nearest.search(nearest.build_index(e), e.filter("vec_id % 50 = 0"), exact=True)
+    found = nearest.search(nearest.build_index(e), e.filter(INDEX_QUERIES), exact=True)
     return found.select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
@@ -466,13 +473,13 @@ def index_recall(spark, sf_dir):
     """Of the exact neighbours, at least nine in ten are in the cells that are met first."""
     e = table(spark, sf_dir, "embeddings")
     index = nearest.build_index(e)
-    found = nearest.search(index, e.filter("vec_id % 50 = 0"), probes=nearest.enough_probes(index))
-    return nearest.recall(found, _near(spark, sf_dir)).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+    found = nearest.search(index, e.filter(INDEX_QUERIES), probes=nearest.enough_probes(index))
+    return nearest.recall(found, _near(spark, sf_dir, INDEX_QUERIES)).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 
-@register(f"WITH {KNN} SELECT round(avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS same_rate, round(1 - avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS cross_rate FROM k")
+@register(f"WITH {knn_sql(f' WHERE a.{INDEX_QUERIES}')} SELECT round(avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS same_rate, round(1 - avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS cross_rate FROM k")
 def knn_same_label_rate(spark, sf_dir):
-    return metrics.retrieval_rates(_near(spark, sf_dir), table(spark, sf_dir, "embeddings"))
+    return metrics.retrieval_rates(_near(spark, sf_dir, INDEX_QUERIES), table(spark, sf_dir, "embeddings"))
 
 
 @register("WITH a AS (SELECT label AS symbol, vec_id, embedding, lead(embedding) OVER (ORDER BY vec_id) AS n, lead(label) OVER (ORDER BY vec_id) AS nl FROM embeddings) SELECT symbol, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(n AS DOUBLE[])) / ((sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8) * (sqrt(list_dot_product(CAST(n AS DOUBLE[]), CAST(n AS DOUBLE[]))) + 1e-8)), 5) AS cosine FROM a WHERE nl = symbol")

@@ -112,6 +112,28 @@ def test_neighbours_make_no_row_for_a_pair(spark):
     assert nearest.neighbours(empty, frame).count() == nearest.neighbours(frame, empty).count() == nearest.search(nearest.build_index(empty), frame).count() == 0
 
 
+def test_every_vector_is_asked_for_its_neighbours(spark, tmp_path):
+    """No id is divisible by 50, and each vector has its ten nearest of all others all the same. Floats stay floats on their way."""
+    from helpers import canonical
+
+    from barloom import queries
+
+    rows = spark.range(1, 41).select((F.col("id") + 100).alias("vec_id"), F.array(*[F.sin(F.col("id") * i).cast("float") for i in range(1, 65)]).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [r.asDict() for r in queries.queries()["topk_neighbors"](spark, str(tmp_path)).collect()]
+    assert len(got) == 400 and canonical(got) == canonical(of_sql("topk_neighbors", tmp_path))
+
+
+def of_sql(name, folder):
+    import duckdb
+
+    from barloom import queries
+
+    cursor = duckdb.connect().execute(queries.oracle_sql()[name].replace("FROM embeddings", f"FROM '{folder}/embeddings.parquet/*.parquet'"))
+    columns = [c[0] for c in cursor.description]
+    return [dict(zip(columns, r, strict=True)) for r in cursor.fetchall()]
+
+
 def test_random_pairs_are_of_all_rows_of_a_key(spark):
     frame = spark.range(400).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("symbol"), F.array(F.col("id").cast("double")).alias("embedding"))
     rows = metrics.random_pairs(frame, draws=5000).collect()
