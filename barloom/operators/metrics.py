@@ -52,11 +52,11 @@ def evaluate_task(frame: DataFrame, label: str, majority_class: int, with_persis
 
 
 def retrieval_rates(near: DataFrame, labels: DataFrame, vec_id: str = "vec_id", label: str = "label") -> DataFrame:
-    """One row: the shares of neighbours with the query's label and with another, to 4 places."""
+    """One row: the shares of neighbours with the query's label and with another, to 4 places, halves upwards."""
     a = labels.select(F.col(vec_id).alias("query"), F.col(label).alias("own"))
     b = labels.select(F.col(vec_id).alias("neighbour"), F.col(label).alias("theirs"))
     same = F.avg((F.col("own") == F.col("theirs")).cast("double"))
-    return near.join(a, "query").join(b, "neighbour").agg(F.bround(same, 4).alias("same_rate"), F.bround(1 - same, 4).alias("cross_rate"))
+    return near.join(a, "query").join(b, "neighbour").agg(*[(F.floor(x * 10_000 + 0.5) / 10_000).alias(name) for name, x in (("same_rate", same), ("cross_rate", 1 - same))])
 
 
 def adjacent_cosines(frame: DataFrame, order: list[str], key: str = "symbol", vector: str = "embedding", mode: str = "global") -> DataFrame:

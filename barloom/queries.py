@@ -477,9 +477,9 @@ def index_recall(spark, sf_dir):
     return nearest.recall(found, _near(spark, sf_dir, INDEX_QUERIES)).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 
-@register(f"WITH {knn_sql(f' WHERE a.{INDEX_QUERIES}')} SELECT round(avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS same_rate, round(1 - avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS cross_rate FROM k")
+@register(f"WITH {knn_sql()} SELECT round(avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS same_rate, round(1 - avg(CASE WHEN own = theirs THEN 1.0 ELSE 0.0 END), 4) AS cross_rate FROM k")
 def knn_same_label_rate(spark, sf_dir):
-    return metrics.retrieval_rates(_near(spark, sf_dir, INDEX_QUERIES), table(spark, sf_dir, "embeddings"))
+    return metrics.retrieval_rates(_near(spark, sf_dir), table(spark, sf_dir, "embeddings"))
 
 
 @register("WITH a AS (SELECT label AS symbol, vec_id, embedding, lead(embedding) OVER (ORDER BY vec_id) AS n, lead(label) OVER (ORDER BY vec_id) AS nl FROM embeddings) SELECT symbol, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(n AS DOUBLE[])) / ((sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8) * (sqrt(list_dot_product(CAST(n AS DOUBLE[]), CAST(n AS DOUBLE[]))) + 1e-8)), 5) AS cosine FROM a WHERE nl = symbol")

@@ -124,6 +124,21 @@ def test_every_vector_is_asked_for_its_neighbours(spark, tmp_path):
     assert len(got) == 400 and canonical(got) == canonical(of_sql("topk_neighbors", tmp_path))
 
 
+def test_rates_are_of_every_vector_and_halves_go_upwards(spark, tmp_path):
+    """No id is divisible by 50; 1 of 32 is 0.03125, which SQL rounds to 0.0313."""
+    from helpers import canonical
+
+    from barloom import queries
+
+    rows = spark.range(1, 41).select((F.col("id") + 100).alias("vec_id"), F.array(*[F.sin(F.col("id") * i).cast("float") for i in range(1, 65)]).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [r.asDict() for r in queries.queries()["knn_same_label_rate"](spark, str(tmp_path)).collect()]
+    assert got[0]["same_rate"] is not None and canonical(got) == canonical(of_sql("knn_same_label_rate", tmp_path))
+    near = spark.range(1, 33).select(F.lit(0).alias("query"), F.col("id").alias("neighbour"))
+    labels = spark.range(0, 33).select(F.col("id").alias("vec_id"), (F.col("id") > 1).alias("label"))
+    assert tuple(metrics.retrieval_rates(near, labels).first()) == (0.0313, 0.9688)
+
+
 def of_sql(name, folder):
     import duckdb
 
