@@ -13,6 +13,8 @@ from ..storage import fresh_dir, remove
 FEED_ROWS = 2_000_000
 #: Rows of an Arrow batch of a stream. Spark sends a key's state along with each batch of its rows, so small ones send it many times.
 ARROW_ROWS = 200_000
+#: Tasks of a batch of bounded size, or one for each core if these are more. Each starts a worker and keeps a state, though it has no row.
+STATE_TASKS = 16
 
 
 def in_time_order(rows: DataFrame, time: str, out: str, feed_rows: int | None = None) -> int:
@@ -59,13 +61,17 @@ def available_now(
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{'whole' if mode == 'complete' else f'batch={number}'}")
 
-    arrow = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(arrow)
-    spark.conf.set(arrow, str(ARROW_ROWS))  # a stream keeps the settings that it starts with
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS}
+    if time:
+        settings["spark.sql.shuffle.partitions"] = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(STATE_TASKS, spark.sparkContext.defaultParallelism))
+    before = {setting: spark.conf.get(setting) for setting in settings}
     try:
+        for setting, value in settings.items():  # a stream keeps the settings that it starts with
+            spark.conf.set(setting, str(value))
         stream = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(arrow, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     stream.awaitTermination()
     if time:
         remove(spark, f"{out}-feed")

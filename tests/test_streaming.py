@@ -94,3 +94,20 @@ def test_windows_leave_out_rows_without_a_time(spark, tmp_path):
     spec = WindowSpec(length=2, stride=2, max_gap_ms=5 * minute)
     got = run(spark, "symbol string, id long, ms long, value double", lambda s: stream_windows(s, spec), tmp_path, [rows, [("A", 9, 100 * minute, 1.0)]])
     assert sorted((r.start_index, r["values"]) for r in got) == [(0, [1.0, 2.0]), (2, [3.0, 4.0]), (4, [5.0, 6.0])]
+
+
+def test_a_batch_of_bounded_size_has_few_tasks(spark, sf, tmp_path, monkeypatch):
+    """Each task of a batch starts a worker and keeps a state; the session's number of partitions, for whole tables, made most of them idle."""
+    from barloom import queries
+    from barloom.plans import streams
+
+    monkeypatch.setattr(streams, "fresh_dir", lambda *_: str(tmp_path / "stream"))
+    partitions = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, "40")
+    try:
+        assert queries.queries()["stream_asof_available_now"](spark, sf).count() > 0
+        assert len([p for p in (tmp_path / "stream-state" / "state" / "0").iterdir() if p.name.isdigit()]) == 16
+        assert spark.conf.get(partitions) == "40"
+    finally:
+        spark.conf.set(partitions, before)
